@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm._words import ALNUM, _power_tables, chunks, mix, split
 
-#: Labelled rows in training at most; features of a model; folds.
-SAMPLE_ROWS, FEATURES, FOLDS = 4000, 3000, 5
+#: Labelled rows in training at most; features of a model; folds; rows and standard errors that a feature needs.
+SAMPLE_ROWS, FEATURES, FOLDS, MIN_ROWS, MIN_Z = 6000, 3000, 5, 4, 5.0
 CHAIN = ("quality", "toxic")
 
 
@@ -84,8 +84,8 @@ def fit_linear(n: int, text: np.ndarray, feature: np.ndarray, before: np.ndarray
     count = np.bincount(column, minlength=len(names))
     positive = np.bincount(column, y[text], len(names)) if len(column) else np.zeros(0)
     z = np.abs(positive - count * prior) / np.sqrt(np.maximum(count, 1) * prior * (1 - prior))
-    chosen = np.sort(np.argsort(-np.where(count >= 3, z, -1), kind="stable")[:most])
-    chosen = chosen[(count[chosen] >= 3) & (z[chosen] > 2)]
+    chosen = np.sort(np.argsort(-np.where(count >= MIN_ROWS, z, -1), kind="stable")[:most])
+    chosen = chosen[(count[chosen] >= MIN_ROWS) & (z[chosen] >= MIN_Z)]
     place = np.full(len(names) + 1, -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[column] >= 0 if len(column) else np.zeros(0, bool)
@@ -95,7 +95,7 @@ def fit_linear(n: int, text: np.ndarray, feature: np.ndarray, before: np.ndarray
     for step in range(1, steps + 1):
         margin = b + (before @ v if len(v) else 0) + (np.bincount(row, w[col], n) if len(row) else np.zeros(n))
         error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / max(n, 1)
-        slopes = [(np.bincount(col, error[row], len(w)) if len(row) else np.zeros_like(w)) + decay / 10 * w, before.T @ error + decay * v, float(error.sum())]
+        slopes = [(np.bincount(col, error[row], len(w)) if len(row) else np.zeros_like(w)) + decay / 200 * w, before.T @ error + decay * v, float(error.sum())]
         moved = []
         for (m, s), g in zip(moments, slopes, strict=True):
             moved.append((0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g))
