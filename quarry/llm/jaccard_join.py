@@ -5,11 +5,14 @@ shingle toggles one bit, so the Hamming distance of two sketches is a lower boun
 difference, and a sketch cut into parts has at most that many parts that differ. Two sets of n and m
 shingles with Jaccard similarity t differ in at most (n + m)(1 - t)/(1 + t) <= n(1 - t)/t shingles. By the
 pigeonhole principle they agree on one of the first floor(n(1 - t)/t) + 1 non-zero parts, counted from
-either side, so those parts are the join keys. Candidates pass the Hamming bound, then the exact test.
+either side, so those parts are the join keys; with a few parts more on each side they agree on more, and
+a pair must share as many keys as follows from its sizes. Candidates pass the Hamming bound, then the
+exact test.
 
 No group is expanded to all its pairs: documents of one key are first compared with a few centres of the
 key; what these verified links connect is never compared again, and only members of one key that are
-still apart are compared tile by tile by their sketches.
+still apart are paired: by counting shared keys where few have a key, tile by tile by their sketches
+where many do.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ from pyspark.sql import functions as F
 from quarry.llm._shared import components, stored
 from quarry.llm._words import PLAIN, chunks, mix, shingle_hashes, split
 
-#: Orders in which a key's centre is chosen; members of a tile; pairs verified together; ids that may be broadcast.
-ORDERS, TILE, VERIFY_PAIRS, BROADCAST_IDS = 2, 256, 2000, 500_000
+#: Orders in which a key's centre is chosen; parts beyond those that are needed; members up to which pairs of a
+#: key are counted; members of a tile; pairs verified together; ids that may be broadcast.
+ORDERS, EXTRA, FEW, TILE, VERIFY_PAIRS, BROADCAST_IDS = 2, 3, 64, 512, 2000, 500_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -42,16 +46,21 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def _parts(level: int) -> int:
-    return 2 << level if level < 5 else int(0.45 * (2 << level))
+    """Parts of a size band's sketch: as few, hence as telling, as leave enough non-zero ones."""
+    return 2 << level if level < 5 else (2 << level) * 9 // 20 if level < 7 else (2 << level) * 5 // 16
 
 
-def join_keys(own: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set: of any two sets of that similarity at least one key is the same."""
+def join_keys(own: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set, and for each how many of its band there are.
+
+    Any two sets of that similarity share at least one key, and in some band no fewer than the smaller
+    of their numbers less the shingles in which they may differ.
+    """
     n = len(own)
     if not n:
-        return own
+        return own, own.astype(np.int32)
     level, most = n.bit_length() - 1, n * (100 - percent) // percent
-    out = []
+    out, counts = [], []
     for band in (level, level + 1) if n * 100 // percent >= 2 << level else (level,):
         sketch = np.zeros(_parts(band), np.uint64)
         np.bitwise_xor.at(sketch, ((own >> np.uint64(6)) % np.uint64(len(sketch))).astype(np.int64), np.uint64(1) << (own & np.uint64(63)))
@@ -59,9 +68,12 @@ def join_keys(own: np.ndarray, percent: int) -> np.ndarray:
         seed = np.uint64(mix(np.array([band + 1], np.uint64))[0])
         if len(part) <= most:  # too few parts to be sure: sets of which both are so thin share a shingle
             out.append(mix(own ^ seed ^ np.uint64(0x5555)))
-        part = part[: most + 1]
+            counts.append(np.zeros(n, np.int32))
+        # The fullest parts first, an order that all sets share: they are the rarest.
+        part = part[np.argsort(-np.bitwise_count(sketch[part]).astype(np.int64), kind="stable")][: most + 1 + EXTRA]
         out.append(mix(mix(sketch[part] + seed) + part.astype(np.uint64)))
-    return np.concatenate(out)
+        counts.append(np.full(len(part), len(part), np.int32))
+    return np.concatenate(out), np.concatenate(counts)
 
 
 def compact_sketch(own: np.ndarray) -> bytes:
@@ -97,15 +109,17 @@ def _keyed(k: int, percent: int):
         done: set[tuple[int, int]] = set()  # copies within a task bring nothing new: their first stands for them
         for batch in batches:
             for part in chunks(batch):
-                ids, sizes, keys, own_ids = part.column("doc_id").to_numpy(), [], [], []
+                ids, sizes, keys, counts, own_ids = part.column("doc_id").to_numpy(), [], [], [], []
                 for doc, own in zip(ids.tolist(), shingle_sets(part.column("text"), k), strict=True):
                     if len(own) and (mark := (int(own.sum(dtype=np.uint64)), len(own))) not in done:
                         done.add(mark)
-                        keys.append(found := join_keys(own, percent))
+                        found, count = join_keys(own, percent)
+                        keys.append(found)
+                        counts.append(count)
                         own_ids.append(np.full(len(found), doc))
                         sizes.append(np.full(len(found), len(own), np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(own_ids)), pa.array(np.concatenate(sizes))], names=["key", "doc_id", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(own_ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(counts))], names=["key", "doc_id", "n", "m"])
 
     return run
 
@@ -130,21 +144,26 @@ def _apart(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         key, s, t, tile, doc, part, n = (table.column(c).to_numpy() for c in ("key", "s", "t", "tile", "doc_id", "component", "n"))
-        sketches = table.column("sketch").to_pylist()
+        sketches = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
+        width = np.array([len(x) for x in sketches])
         by = np.lexsort((tile, t, s, key))
         edge = np.flatnonzero(np.concatenate([[True], (np.diff(key[by]) != 0) | (np.diff(s[by]) != 0) | (np.diff(t[by]) != 0), [True]]))
         out: set[tuple[int, int]] = set()
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             rows = by[a:b]
             left, right = rows[tile[rows] == s[rows[0]]], rows[tile[rows] == t[rows[0]]]
-            widths = {w: np.array([_folded(np.frombuffer(sketches[r], np.uint64), w) if len(sketches[r]) >= 8 * w else np.zeros(w, np.uint64) for r in right]) for w in {len(sketches[r]) // 8 for r in rows}}
-            for r in left:
-                fit = (part[right] != part[r]) & (100 * np.minimum(n[right], n[r]) >= percent * np.maximum(n[right], n[r]))
-                for other in np.flatnonzero(fit):
-                    q = right[other]
-                    w = min(len(sketches[r]), len(sketches[q])) // 8
-                    if int(np.bitwise_count(_folded(np.frombuffer(sketches[r], np.uint64), w) ^ widths[w][other]).sum()) * (100 + percent) <= int(n[q] + n[r]) * (100 - percent):
-                        out.add((min(int(doc[r]), int(doc[q])), max(int(doc[r]), int(doc[q]))))
+            for u in np.unique(width[left]):
+                for v in np.unique(width[right]):
+                    w = min(u, v)  # folded to the shorter of the two widths
+                    x, y = left[width[left] == u], right[width[right] == v]
+                    xs, ys = (np.array([_folded(sketches[r], w) for r in own]) for own in (x, y))
+                    for k, r in enumerate(x):
+                        fit = (part[y] != part[r]) & (100 * np.minimum(n[y], n[r]) >= percent * np.maximum(n[y], n[r]))
+                        near = np.flatnonzero(fit)
+                        if len(near):
+                            apart = np.bitwise_count(ys[near] ^ xs[k]).sum(axis=1, dtype=np.int64)
+                            for q in y[near[apart * (100 + percent) <= (n[y[near]].astype(np.int64) + n[r]) * (100 - percent)]]:
+                                out.add((min(int(doc[r]), int(doc[q])), max(int(doc[r]), int(doc[q]))))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
@@ -202,12 +221,12 @@ def similarity_components(documents: DataFrame, k: int = 5, percent: int = 80) -
     nodes = profiles.where("doc_id is not null and n > 0")
     classes = nodes.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = stored(nodes.join(classes, ["n", "h1", "h2"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
-    keyed = documents.where("doc_id is not null and text is not null").mapInArrow(_keyed(k, percent), "key long, doc_id long, n int")
+    keyed = documents.where("doc_id is not null and text is not null").mapInArrow(_keyed(k, percent), "key long, doc_id long, n int, m int")
     # The first of a key, in one of a few orders, is its centre.
     in_key = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", F.col("key").bitwiseAND(ORDERS - 1)), "doc_id")
     centre = F.first(F.struct("doc_id", "n")).over(in_key)
     more = F.lead("doc_id").over(in_key).isNotNull()
-    shared = stored(keyed.withColumn("centre", centre).withColumn("more", more).where("centre.doc_id <> doc_id or more").select("key", "doc_id", "n", F.col("centre.doc_id").alias("c"), F.col("centre.n").alias("cn")))
+    shared = stored(keyed.withColumn("centre", centre).withColumn("more", more).where("centre.doc_id <> doc_id or more").select("key", "doc_id", "n", "m", F.col("centre.doc_id").alias("c"), F.col("centre.n").alias("cn")))
     one = copies.select(F.col("a").alias("id"), F.col("b").alias("first"))  # a copy's first document stands for it
 
     def first_of(df: DataFrame, column: str) -> DataFrame:
@@ -218,20 +237,27 @@ def similarity_components(documents: DataFrame, k: int = 5, percent: int = 80) -
     star = first_of(first_of(star, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sketches = nodes.select("doc_id", "sketch", "n").distinct()
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    likely = star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_within_bound(percent), "a long, b long").distinct()
-    links = copies.unionAll(_verified(documents, likely, k, percent))
+    def within(pairs: DataFrame) -> DataFrame:
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_within_bound(percent), "a long, b long").distinct()
+
+    links = copies.unionAll(_verified(documents, within(star), k, percent))
     found = stored(components(links))
     # Members of one key that are still apart.
-    rest = first_of(shared.select("key", "doc_id", "n").distinct(), "doc_id").distinct()
+    rest = first_of(shared.select("key", "doc_id", "n", "m").distinct(), "doc_id").distinct()
     rest = rest.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x < y").select("key", "members")
     rest = stored(rest.join(mixed, "key"))
-    tiles = rest.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    rest = rest.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("s"), F.greatest("tile", o).alias("t")))
-    buckets = max(1, -(-rest.count() // 20_000))
-    dealt = rest.join(sketches.select("doc_id", "sketch"), "doc_id").select("key", "doc_id", "component", "n", "sketch", "tile", F.explode(pairs).alias("p")).select("*", "p.s", "p.t").drop("p")
-    late = dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "s", "t"), F.lit(buckets))).groupBy("bucket").applyInArrow(_apart(percent), "a long, b long").distinct()
+    few = rest.where(F.col("members") <= FEW)
+    left, right = (few.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "m", "component"))) for x in "ab")
+    pairs = left.join(right, "key").where(f"doc_ida < doc_idb and componenta <> componentb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    pairs = pairs.groupBy(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).agg(F.count("*").alias("common"), F.min(F.least("ma", "mb") - F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))).alias("least"))
+    late = within(pairs.where("common >= least").select("a", "b"))
+    rest = rest.where(F.col("members") > FEW).withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
+    tiled = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("s"), F.greatest("tile", o).alias("t")))
+    buckets = max(1, -(-rest.count() // 5_000))
+    dealt = rest.join(sketches.select("doc_id", "sketch"), "doc_id").select("key", "doc_id", "component", "n", "sketch", "tile", F.explode(tiled).alias("p")).select("*", "p.s", "p.t").drop("p")
+    crowded = dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "s", "t"), F.lit(buckets))).groupBy("bucket").applyInArrow(_apart(percent), "a long, b long")
+    late = late.unionAll(crowded).distinct()
     late = _verified(documents, late, k, percent)
     if late.limit(1).count():
         found = components(links.unionAll(late))
