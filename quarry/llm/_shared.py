@@ -18,6 +18,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
+    """df, with the session's Arrow batches bounded, for texts of any length must fit beside the executor's heap."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: it cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/quarry-{uuid.uuid4().hex}"

@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index of every training shard, searched for the test phrases.
 
-A shard is a run of whole documents of about 4 MB inside a Spark task, so building, searching and
+A shard is a run of whole documents of about 2 MB inside a Spark task, so building, searching and
 merging need no shuffle. The alphabet of the index is the vocabulary of the phrases; any run of other
 words is one separator. Phrases are searched backwards through wavelet-matrix ranks, occurrences are
 located by sampled suffix positions, and overlapping occurrences are merged to removal spans.
@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._fm import FMIndex
+from quarry.llm._shared import small_batches
 from quarry.llm._words import ALNUM, chunks, split
 
 #: Characters of benchmark text whose phrases travel together; a larger benchmark is searched in more passes.
 BLOCK_CHARS = 1 << 20
+#: Bytes of text in a shard, about; a longer text is a shard by itself.
+SHARD_BYTES = 2 << 20
 _FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
@@ -97,7 +100,7 @@ def _merged(old: list[dict] | None, new: list[tuple[int, int]]) -> list[dict]:
 def _pass(phrases: Phrases, schema: pa.Schema, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, schema.names[0]):
+            for part in chunks(batch, schema.names[0], SHARD_BYTES):
                 count, spans, items = phrases.scan(part.column(schema.names[0]))
                 if first:
                     own, out = part.columns, ([_merged([], x) for x in spans], items)
@@ -125,7 +128,7 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, n: int = 10, block
     blocks = max(1, -(-size // block_chars))
     keyed = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").where("text is not null")
     others = [c for c in documents.columns if c not in ("text", "n_words", "spans", "items")]
-    out = documents.select("text", *others)
+    out = small_batches(documents).select("text", *others)
     for block in range(blocks):
         items = keyed.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()  # at most about block_chars characters
         schema = out.schema if block else None

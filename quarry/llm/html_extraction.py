@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarry.llm._shared import small_batches
 from quarry.llm._words import chunks
 
 #: Words at which a block can be decided by its stop words; shares of stop words and of linked characters.
@@ -180,7 +181,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    base = pages.select("html", *(c for c in pages.columns if c not in ("html", "text", "n_chars")))
+    base = small_batches(pages).select("html", *(c for c in pages.columns if c not in ("html", "text", "n_chars")))
     extra = pages.sparkSession.createDataFrame([], "text string, n_chars long").schema
     schema = type(extra)([*base.schema.fields, *extra.fields])
     return base.mapInArrow(_extract(to_arrow_schema(schema)), schema)

@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import components, stored
+from quarry.llm._shared import components, small_batches, stored
 from quarry.llm._words import PLAIN, chunks, mix, shingle_hashes, split
 
 #: Orders in which a key's centre is chosen; parts beyond those that are needed; members up to which pairs of a
 #: key are counted; members of a tile; pairs verified together; ids that may be broadcast.
 ORDERS, EXTRA, FEW, TILE, VERIFY_PAIRS, BROADCAST_IDS = 2, 3, 64, 512, 2000, 500_000
+#: Documents from which frequent shingles are learned; bits of the table of them.
+SAMPLE_DOCS, COMMON_BITS = 5000, 1 << 24
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -50,7 +52,11 @@ def _parts(level: int) -> int:
     return 2 << level if level < 5 else (2 << level) * 9 // 20 if level < 7 else (2 << level) * 5 // 16
 
 
-def join_keys(own: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _slots(own: np.ndarray) -> np.ndarray:
+    return ((own >> np.uint64(20)) & np.uint64(COMMON_BITS - 1)).astype(np.int64)
+
+
+def join_keys(own: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of a set, and for each how many of its band there are.
 
     Any two sets of that similarity share at least one key, and in some band no fewer than the smaller
@@ -59,19 +65,25 @@ def join_keys(own: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(own)
     if not n:
         return own, own.astype(np.int32)
+    slots = _slots(own)
+    rare = 1 - ((common[slots >> 3] >> (slots & 7)) & 1)
     level, most = n.bit_length() - 1, n * (100 - percent) // percent
     out, counts = [], []
     for band in (level, level + 1) if n * 100 // percent >= 2 << level else (level,):
+        seed = mix(np.array([band + 1], np.uint64))[0]
         sketch = np.zeros(_parts(band), np.uint64)
-        np.bitwise_xor.at(sketch, ((own >> np.uint64(6)) % np.uint64(len(sketch))).astype(np.int64), np.uint64(1) << (own & np.uint64(63)))
-        part = np.flatnonzero(sketch)
-        seed = np.uint64(mix(np.array([band + 1], np.uint64))[0])
+        place = ((own >> np.uint64(6)) % np.uint64(len(sketch))).astype(np.int64)
+        np.bitwise_xor.at(sketch, place, mix(own + seed))
+        count = np.bincount(place, minlength=len(sketch))
+        part = np.flatnonzero(count)
         if len(part) <= most:  # too few parts to be sure: sets of which both are so thin share a shingle
             out.append(mix(own ^ seed ^ np.uint64(0x5555)))
             counts.append(np.zeros(n, np.int32))
-        # The fullest parts first, an order that all sets share: they are the rarest.
-        part = part[np.argsort(-np.bitwise_count(sketch[part]).astype(np.int64), kind="stable")][: most + 1 + EXTRA]
-        out.append(mix(mix(sketch[part] + seed) + part.astype(np.uint64)))
+        # First the parts with most shingles that are not frequent, then the fullest: what lies in a part that
+        # two sets agree on is the same in both, so the order is one that they share, and rare keys lead it.
+        full = np.bincount(place, rare, len(sketch))[part] * (n + 1) + count[part]
+        part = part[np.argsort(-full, kind="stable")][: most + 1 + EXTRA]
+        out.append(mix(sketch[part] + part.astype(np.uint64)))
         counts.append(np.full(len(part), len(part), np.int32))
     return np.concatenate(out), np.concatenate(counts)
 
@@ -104,7 +116,27 @@ def _profiles(k: int):
     return run
 
 
-def _keyed(k: int, percent: int):
+def _grams(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                sets = shingle_sets(part.column("text"), k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64))], names=["gram"])
+
+    return run
+
+
+def frequent_shingles(documents: DataFrame, k: int) -> np.ndarray:
+    """A bit table of the shingles that two of a bounded sample of documents have. It only orders keys; no result depends on it."""
+    ids = documents.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
+    grams = documents.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(_grams(k), "gram long")
+    twice = grams.groupBy("gram").count().where("count > 1").select(F.shiftrightunsigned("gram", 20).bitwiseAND(COMMON_BITS - 1).cast("int").alias("slot")).distinct()
+    table = np.zeros(COMMON_BITS, bool)
+    table[twice.toArrow().column("slot").to_numpy()] = True
+    return np.packbits(table, bitorder="little")
+
+
+def _keyed(k: int, percent: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()  # copies within a task bring nothing new: their first stands for them
         for batch in batches:
@@ -113,7 +145,7 @@ def _keyed(k: int, percent: int):
                 for doc, own in zip(ids.tolist(), shingle_sets(part.column("text"), k), strict=True):
                     if len(own) and (mark := (int(own.sum(dtype=np.uint64)), len(own))) not in done:
                         done.add(mark)
-                        found, count = join_keys(own, percent)
+                        found, count = join_keys(own, percent, common)
                         keys.append(found)
                         counts.append(count)
                         own_ids.append(np.full(len(found), doc))
@@ -216,12 +248,12 @@ def similarity_components(documents: DataFrame, k: int = 5, percent: int = 80) -
     Rows of one doc_id are one node; without doc_id a row links with nothing and component_id is null.
     Other columns are ignored; an empty table gives no rows.
     """
-    documents = documents.select(F.col("doc_id").cast("long"), "text")
+    documents = small_batches(documents).select(F.col("doc_id").cast("long"), "text")
     profiles = stored(documents.mapInArrow(_profiles(k), "doc_id long, n long, h1 long, h2 long, sketch binary"))
     nodes = profiles.where("doc_id is not null and n > 0")
     classes = nodes.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = stored(nodes.join(classes, ["n", "h1", "h2"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
-    keyed = documents.where("doc_id is not null and text is not null").mapInArrow(_keyed(k, percent), "key long, doc_id long, n int, m int")
+    keyed = documents.where("doc_id is not null and text is not null").mapInArrow(_keyed(k, percent, frequent_shingles(documents, k)), "key long, doc_id long, n int, m int")
     # The first of a key, in one of a few orders, is its centre.
     in_key = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", F.col("key").bitwiseAND(ORDERS - 1)), "doc_id")
     centre = F.first(F.struct("doc_id", "n")).over(in_key)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._shared import small_batches
 from quarry.llm._words import chunks
 
 KINDS = ("assign", "access", "hex")
@@ -217,7 +218,7 @@ def find_secrets(documents: DataFrame, formats: Formats | None = None) -> DataFr
     from pyspark.sql.pandas.types import to_arrow_schema
 
     formats = learn_formats(documents) if formats is None else formats
-    base = documents.select("text", *(c for c in documents.columns if c not in ("text", "secrets")))
+    base = small_batches(documents).select("text", *(c for c in documents.columns if c not in ("text", "secrets")))
     extra = documents.sparkSession.createDataFrame([], "secrets array<struct<start:long,end:long,kind:string>>").schema
     schema = type(extra)([*base.schema.fields, *extra.fields])
     return base.mapInArrow(_found(formats, to_arrow_schema(schema)), schema)

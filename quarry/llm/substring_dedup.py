@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._fm import FMIndex, RangeMin
-from quarry.llm._shared import stored
+from quarry.llm._shared import small_batches, stored
 from quarry.llm._words import PLAIN, _power_tables, chunks, mix, shingle_hashes, sliding_min, split
 
 #: Words of an anchor; windows in a segment at most; words in a shard's index, about.
@@ -224,7 +224,7 @@ def dedup_substrings(documents: DataFrame, width: int = 50) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    keyed = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("row"))
+    keyed = small_batches(documents).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("row"))
     spans = repeated_spans(keyed, width)
     joined = keyed.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,stop:int>>)")).alias("spans"))
     schema = documents.sparkSession.createDataFrame([], "doc_id long, n_words long, n_removed long, kept_text string").schema

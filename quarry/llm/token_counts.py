@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm._shared import small_batches
 from quarry.llm._words import chunks
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -47,7 +48,7 @@ def length_histogram(documents: DataFrame, tokenizer: str = TOKENIZER, pattern:
     """n_tokens, n_docs: how many texts have each encoded length. The driver reads the vocabulary file and sends it along."""
     with open(tokenizer, "rb") as file:
         ranks = file.read()
-    return documents.select("text").mapInArrow(_lengths(ranks, pattern), "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return small_batches(documents).select("text").mapInArrow(_lengths(ranks, pattern), "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def context_limits(histogram: DataFrame, width: int = 1024) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._shared import small_batches
 from quarry.llm._words import ALNUM, _power_tables, chunks, mix, split
 
 #: Labelled rows in training at most; features of a model; folds; rows and standard errors that a feature needs.
@@ -154,6 +155,7 @@ def train(documents: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAI
     Rows of labels with a null in doc_id or a label are left out; several rows of one doc_id count as their
     largest labels. Without rows or with one class only, the chain finds nothing toxic.
     """
+    documents = small_batches(documents)
     known = labels.select("doc_id", *chain).na.drop().groupBy("doc_id").agg(*(F.max(c).cast("double").alias(c) for c in chain))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most sample_rows rows
@@ -185,7 +187,7 @@ def score(documents: DataFrame, chain: Chain) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     new = [f"p_{c}" for c in chain.labels]
-    base = documents.select("text", *(c for c in documents.columns if c not in ("text", "is_toxic", *new)))
+    base = small_batches(documents).select("text", *(c for c in documents.columns if c not in ("text", "is_toxic", *new)))
     extra = documents.sparkSession.createDataFrame([], ", ".join(f"{c} double" for c in new) + ", is_toxic boolean").schema
     schema = type(extra)([*base.schema.fields, *extra.fields])
     return base.mapInArrow(_scored(chain, to_arrow_schema(schema)), schema)
