@@ -206,7 +206,8 @@ def _exact(k: int, percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        sets = shingle_sets(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()), k)
+        # A group's texts are split a chunk at a time: the working arrays take many times a text's bytes.
+        sets = [own for batch in table.to_batches() for part in chunks(batch) for own in shingle_sets(part.column("text"), k)]
         groups: dict[tuple[int, int], list[int]] = {}
         for row, where in enumerate(zip(table.column("a").to_pylist(), table.column("salt").to_pylist(), strict=True)):
             groups.setdefault(where, []).append(row)
