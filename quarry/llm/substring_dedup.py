@@ -62,28 +62,30 @@ def _segments(width: int):
 
 
 def _pieces(width: int):
-    """Texts of the wanted segments; a hot anchor's one window at a time."""
+    """Texts of the wanted segments; a hot anchor's one window at a time, routed by the hash of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 words = split(part.column("text"), PLAIN)
                 raw, docs = words.data.tobytes(), part.column("doc_id").to_pylist()
+                windows = shingle_hashes(words.hashes(), width).view(np.int64)
                 wanted = part.column("wanted")
                 sizes = np.diff(wanted.offsets.to_numpy())
                 flat = wanted.flatten()
                 get = lambda name: flat.field(name).to_numpy(zero_copy_only=False)
                 first = np.repeat(words.first[:-1], sizes) + get("start")
-                out: dict[str, list] = {k: [] for k in ("anchor", "content", "at", "doc_id", "text")}
+                out: dict[str, list] = {k: [] for k in ("anchor", "content", "at", "route", "doc_id", "text")}
                 for doc, begin, n, anchor, content, hot in zip(np.repeat(docs, sizes).tolist(), first.tolist(), get("n").tolist(), get("anchor").tolist(), get("content").tolist(), get("hot").tolist(), strict=True):
                     for at in range(n - width + 1) if hot else [0]:
                         piece = raw[words.starts[begin + at] : words.ends[begin + at + (width if hot else n) - 1]]
                         out["anchor"].append(anchor)
                         out["content"].append(content)
                         out["at"].append(at if hot else -1)
+                        out["route"].append(int(windows[begin + at]) if hot else anchor)
                         out["doc_id"].append(doc)
                         out["text"].append(piece)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=list(out)).cast(pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string())]))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=list(out)).cast(pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("route", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())]))
 
     return run
 
@@ -203,9 +205,8 @@ def repeated_spans(documents: DataFrame, width: int = 50) -> DataFrame:
     hot = distinct.groupBy("anchor").count().where(F.col("count") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("is_hot"))
     wanted = distinct.join(hot, "anchor", "left").groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "content", "start", "n", F.coalesce("is_hot", F.lit(False)).alias("hot"))).alias("wanted"))
     texts = documents.select("doc_id", "row", "text").join(wanted, ["doc_id", "row"]).select("doc_id", "text", "wanted")
-    pieces = texts.mapInArrow(_pieces(width), "anchor long, content long, at int, doc_id long, text string")
-    route = F.pmod(F.when(F.col("at") < 0, F.xxhash64("anchor")).otherwise(F.xxhash64("text")), F.lit(shards))
-    found = pieces.withColumn("shard", route).groupBy("shard").applyInArrow(_shard(width), "anchor long, content long, start int, stop int")
+    pieces = texts.mapInArrow(_pieces(width), "anchor long, content long, at int, route long, doc_id long, text string")
+    found = pieces.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInArrow(_shard(width), "anchor long, content long, start int, stop int")
     ranges = found.groupBy("anchor", "content").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     owners = distinct.select("anchor", "content", F.col("doc_id").alias("owner")).join(ranges, ["anchor", "content"], "left")
     moved = F.transform("ranges", lambda r: F.struct((F.col("start") + r["start"]).alias("start"), (F.col("start") + r["stop"]).alias("stop")))

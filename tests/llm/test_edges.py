@@ -39,6 +39,19 @@ def test_substring_dedup(documents, nothing):
     assert substring_dedup.dedup_substrings(nothing).collect() == []
 
 
+def test_substring_dedup_of_a_hot_anchor_with_other_white_space(spark, monkeypatch):
+    """Windows of a passage in many documents, each wrapped in another way, meet whatever shard they are dealt to."""
+    monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", 2)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 100)
+    passage = [f"p{k}" for k in range(60)]
+    gaps = [" ", "\n", "  ", "\r\n", "\t"]
+    texts = [f"x{d} y{d} " + "".join(w + gaps[(k * d + d) % 5] for k, w in enumerate(passage)) + f" z{d}" for d in range(20)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.dedup_substrings(frame).collect()}
+    assert got.pop(0)[0] == 0
+    assert got == {d: (60, f"x{d} y{d} z{d}") for d in range(1, 20)}
+
+
 def test_decontamination(spark, documents, nothing):
     items = spark.createDataFrame([(1, "Alpha, beta GAMMA"), (1, "w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20 w21"), (2, None), (None, "password"), (3, "")], "item_id long, text string")
     for block in (1 << 20, 10):  # one pass, and several
