@@ -23,7 +23,7 @@ from quarry.llm._words import PLAIN, _power_tables, chunks, mix, shingle_hashes,
 
 #: Words of an anchor; windows in a segment at most; words in a shard's index, about.
 ANCHOR, RUN, SHARD_WORDS = 8, 64, 250_000
-#: An anchor with more distinct segments is dealt out by single windows instead.
+#: An anchor with more distinct segments is dealt out by single windows instead, two copies of each.
 HOT_SEGMENTS = 2000
 
 
@@ -61,35 +61,46 @@ def _segments(width: int):
     return run
 
 
-def _pieces(width: int):
-    """Texts of the wanted segments; a hot anchor's one window at a time, routed by the hash of its words."""
+def _windows(width: int):
+    """The single windows of the wanted segments, by two hashes of their words; no text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 words = split(part.column("text"), PLAIN)
-                raw, docs = words.data.tobytes(), part.column("doc_id").to_pylist()
-                windows = shingle_hashes(words.hashes(), width).view(np.int64)
+                hashes = words.hashes()
+                h1, h2 = shingle_hashes(hashes, width), shingle_hashes(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), width)
                 wanted = part.column("wanted")
-                sizes = np.diff(wanted.offsets.to_numpy())
                 flat = wanted.flatten()
-                get = lambda name: flat.field(name).to_numpy(zero_copy_only=False)
-                first = np.repeat(words.first[:-1], sizes) + get("start")
-                out: dict[str, list] = {k: [] for k in ("anchor", "content", "at", "route", "doc_id", "text")}
-                for doc, begin, n, anchor, content, hot in zip(np.repeat(docs, sizes).tolist(), first.tolist(), get("n").tolist(), get("anchor").tolist(), get("content").tolist(), get("hot").tolist(), strict=True):
-                    for at in range(n - width + 1) if hot else [0]:
-                        piece = raw[words.starts[begin + at] : words.ends[begin + at + (width if hot else n) - 1]]
-                        out["anchor"].append(anchor)
-                        out["content"].append(content)
-                        out["at"].append(at if hot else -1)
-                        out["route"].append(int(windows[begin + at]) if hot else anchor)
-                        out["doc_id"].append(doc)
-                        out["text"].append(piece)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=list(out)).cast(pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("route", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())]))
+                text_of = np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
+                start, n, anchor, content = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "anchor", "content"))
+                count = n - width + 1
+                of = np.repeat(np.arange(len(n)), count)
+                at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                begin, row = words.first[text_of[of]] + start[of] + at, pa.array(text_of[of])
+                own = [pa.array(h1[begin].view(np.int64)), pa.array(h2[begin].view(np.int64)), pa.array(anchor[of]), pa.array(content[of]), pa.array(at.astype(np.int32)), part.column("doc_id").take(row), part.column("row").take(row), pa.array((start[of] + at).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(own, names=["h1", "h2", "anchor", "content", "at", "doc_id", "row", "start"])
 
     return run
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of the wanted segments and single windows."""
+    names = ("anchor", "content", "hot")
+    for batch in batches:
+        for part in chunks(batch):
+            words = split(part.column("text"), PLAIN)
+            raw = words.data.tobytes()
+            wanted = part.column("wanted")
+            sizes = np.diff(wanted.offsets.to_numpy())
+            flat = wanted.flatten()
+            first = np.repeat(words.first[:-1], sizes) + flat.field("start").to_numpy(zero_copy_only=False)
+            last = first + flat.field("n").to_numpy(zero_copy_only=False) - 1
+            texts = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[last].tolist(), strict=True)]
+            own = [*(flat.field(c) for c in names), part.column("doc_id").take(pa.array(np.repeat(np.arange(part.num_rows), sizes))), pa.array(texts, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(own, names=[*names, "doc_id", "text"])
+
+
 def matches(index: FMIndex, smallest: RangeMin, line: np.ndarray, first: np.ndarray, n: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, start) of windows that a text with a smaller owner also has; their union covers every such window.
 
@@ -147,7 +158,7 @@ def _shard(width: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         words = split(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()), PLAIN)
-        anchor, content, at, owner = (table.column(c).to_numpy() for c in ("anchor", "content", "at", "doc_id"))
+        owner = table.column("doc_id").to_numpy()
         vocabulary, symbols = np.unique(words.hashes(), return_inverse=True)
         n = np.diff(words.first)
         text_of = words.text_of_word()
@@ -157,8 +168,8 @@ def _shard(width: int):
         of[np.arange(len(symbols)) + text_of] = owner[text_of]
         index = FMIndex(line, len(vocabulary) + 1, depth=width)
         query, start = matches(index, RangeMin(of[index.order]), line, words.first[:-1] + np.arange(len(n)), n, owner, width)
-        begin = start + np.maximum(at[query], 0)
-        return pa.table({"anchor": anchor[query], "content": content[query], "start": begin.astype(np.int32), "stop": (begin + width).astype(np.int32)})
+        of = pa.array(query)
+        return pa.table({**{c: table.column(c).take(of) for c in ("anchor", "content", "hot")}, "start": start.astype(np.int32), "stop": (start + width).astype(np.int32)})
 
     return run
 
@@ -201,13 +212,26 @@ def repeated_spans(documents: DataFrame, width: int = 50) -> DataFrame:
     shared = segments.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     owned = stored(segments.join(shared, "anchor"))
     distinct = stored(owned.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("o")).select("anchor", "content", "o.*"))
-    shards = max(1, -(-(distinct.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS))
-    hot = distinct.groupBy("anchor").count().where(F.col("count") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("is_hot"))
-    wanted = distinct.join(hot, "anchor", "left").groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "content", "start", "n", F.coalesce("is_hot", F.lit(False)).alias("hot"))).alias("wanted"))
-    texts = documents.select("doc_id", "row", "text").join(wanted, ["doc_id", "row"]).select("doc_id", "text", "wanted")
-    pieces = texts.mapInArrow(_pieces(width), "anchor long, content long, at int, route long, doc_id long, text string")
-    found = pieces.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInArrow(_shard(width), "anchor long, content long, start int, stop int")
-    ranges = found.groupBy("anchor", "content").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    hot = distinct.groupBy("anchor").count().where(F.col("count") > HOT_SEGMENTS).select("anchor")
+    cold = distinct.join(hot, "anchor", "left_anti").select("doc_id", "row", "anchor", "content", "start", "n", F.lit(False).alias("hot"))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        own = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct(*(c for c in wanted.columns if c not in ("doc_id", "row")))).alias("wanted"))
+        return documents.select("doc_id", "row", "text").join(own, ["doc_id", "row"]).select("doc_id", "row", "text", "wanted")
+
+    # A hot anchor's windows by the hash of their words: however many documents have one, its first and its last copy go to the index.
+    windows = stored(texts(distinct.join(hot, "anchor").select("doc_id", "row", "anchor", "content", "start", "n")).mapInArrow(_windows(width), "h1 long, h2 long, anchor long, content long, at int, doc_id long, row long, start int"))
+    place = F.struct("doc_id", "row", "start")
+    twice = stored(windows.groupBy("h1", "h2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x.doc_id < y.doc_id"))
+    copies = twice.select(F.explode(F.array("x", "y")).alias("o"), F.col("h1").alias("anchor"), F.col("h2").alias("content")).select("o.doc_id", "o.row", "anchor", "content", "o.start", F.lit(width).alias("n"), F.lit(True).alias("hot"))
+    shards = max(1, -(-((cold.agg(F.sum("n")).first()[0] or 0) + 2 * width * twice.count()) // SHARD_WORDS))
+    pieces = texts(cold.unionAll(copies)).mapInArrow(_pieces, "anchor long, content long, hot boolean, doc_id long, text string")
+    route = F.pmod(F.when(F.col("hot"), F.xxhash64("anchor", "content")).otherwise(F.xxhash64("anchor")), F.lit(shards))
+    found = stored(pieces.withColumn("shard", route).groupBy("shard").applyInArrow(_shard(width), "anchor long, content long, hot boolean, start int, stop int"))
+    # What the index confirmed holds for each copy in a document after the first.
+    same = found.where("hot").select(F.col("anchor").alias("h1"), F.col("content").alias("h2")).distinct().join(twice.select("h1", "h2", F.col("x.doc_id").alias("owner")), ["h1", "h2"])
+    later = windows.join(same, ["h1", "h2"]).where("doc_id > owner").select("anchor", "content", F.col("at").alias("start"), (F.col("at") + width).alias("stop"))
+    ranges = found.where("not hot").select("anchor", "content", "start", "stop").unionAll(later).groupBy("anchor", "content").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     owners = distinct.select("anchor", "content", F.col("doc_id").alias("owner")).join(ranges, ["anchor", "content"], "left")
     moved = F.transform("ranges", lambda r: F.struct((F.col("start") + r["start"]).alias("start"), (F.col("start") + r["stop"]).alias("stop")))
     whole = F.array(F.struct("start", (F.col("start") + F.col("n")).alias("stop")))

@@ -52,6 +52,30 @@ def test_substring_dedup_of_a_hot_anchor_with_other_white_space(spark, monkeypat
     assert got == {d: (60, f"x{d} y{d} z{d}") for d in range(1, 20)}
 
 
+def test_substring_dedup_of_a_passage_in_many_documents_keeps_shards_small(spark, monkeypatch):
+    """No shard's index grows with the number of documents that share a window."""
+    monkeypatch.setattr(substring_dedup, "HOT_SEGMENTS", 10)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 1000)
+    plain = substring_dedup._shard
+
+    def watched(width):
+        inner = plain(width)
+
+        def run(table):
+            assert sum(len(x.split()) for x in table.column("text").to_pylist()) <= 5000
+            return inner(table)
+
+        return run
+
+    monkeypatch.setattr(substring_dedup, "_shard", watched)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [f"x{d} y{d} {passage} z{d}" for d in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.dedup_substrings(frame).collect()}
+    assert got.pop(0)[0] == 0
+    assert got == {d: (60, f"x{d} y{d} z{d}") for d in range(1, 400)}
+
+
 def test_decontamination(spark, documents, nothing):
     items = spark.createDataFrame([(1, "Alpha, beta GAMMA"), (1, "w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20 w21"), (2, None), (None, "password"), (3, "")], "item_id long, text string")
     for block in (1 << 20, 10):  # one pass, and several
