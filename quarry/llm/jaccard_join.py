@@ -12,7 +12,7 @@ exact test.
 No group is expanded to all its pairs: documents of one key are first compared with a few centres of the
 key; what these verified links connect is never compared again, and only members of one key that are
 still apart are paired: by counting shared keys where few have a key, tile by tile by their sketches
-where many do.
+where many do, without the pairs of tiles within one component.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from quarry.llm._shared import components, small_batches, stored
 from quarry.llm._words import PLAIN, chunks, mix, shingle_hashes, split
 
 #: Orders in which a key's centre is chosen; parts beyond those that are needed; members up to which pairs of a
-#: key are counted; members of a tile; pairs verified together; ids that may be broadcast.
-ORDERS, EXTRA, FEW, TILE, VERIFY_PAIRS, BROADCAST_IDS = 2, 3, 64, 512, 2000, 500_000
+#: key are counted; members of a tile; rows of tiles compared in a task; pairs verified together; ids that may be broadcast.
+ORDERS, EXTRA, FEW, TILE, BUCKET_ROWS, VERIFY_PAIRS, BROADCAST_IDS = 2, 3, 64, 512, 5000, 2000, 500_000
 #: Documents from which frequent shingles are learned; bits of the table of them.
 SAMPLE_DOCS, COMMON_BITS = 5000, 1 << 24
 
@@ -201,6 +201,24 @@ def _apart(percent: int):
     return run
 
 
+def _tiled(members: DataFrame) -> DataFrame:
+    """Members (key, doc_id, component) with a tile and the pairs (s, t) of tiles it is compared in.
+
+    A component of TILE members of a key or more has tiles of its own, never paired with one another; the
+    members of smaller ones share the first tiles of the key, which are paired with all.
+    """
+    sizes = stored(members.groupBy("key", "component").agg(F.count("*").alias("own")))
+    shared = sizes.groupBy("key").agg(F.ceil(F.sum(F.when(F.col("own") < TILE, F.col("own")).otherwise(0)) / TILE).cast("int").alias("shared"), F.sum(F.when(F.col("own") >= TILE, F.ceil(F.col("own") / TILE)).otherwise(0)).cast("int").alias("alone"))
+    # At most one row of a key for every TILE of its members is numbered.
+    before = Window.partitionBy("key").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    large = sizes.where(F.col("own") >= TILE).withColumn("count", F.ceil(F.col("own") / TILE).cast("int")).withColumn("from", F.coalesce(F.sum("count").over(before), F.lit(0)).cast("int")).select("key", "component", "count", "from")
+    at = sizes.select("key", "component").join(large, ["key", "component"], "left").join(shared, "key")
+    at = at.select("key", "component", "shared", F.coalesce(F.col("from") + F.col("shared"), F.lit(0)).alias("from"), F.coalesce("count", "shared").alias("count"), (F.col("shared") + F.col("alone")).alias("tiles"), F.col("count").isNotNull().alias("pure"))
+    own = members.join(at, ["key", "component"]).withColumn("tile", (F.col("from") + F.pmod(F.xxhash64("doc_id"), "count")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: ~F.col("pure") | (o < F.col("from")) | (o >= F.col("from") + F.col("count")))
+    return own.withColumn("pairs", F.transform(others, lambda o: F.struct(F.least("tile", o).alias("s"), F.greatest("tile", o).alias("t"))))
+
+
 def _exact(k: int, percent: int):
     """Verifies (centre, member) pairs: rows (a, salt, member, text); the centre comes as a member too."""
 
@@ -285,10 +303,9 @@ def similarity_components(documents: DataFrame, k: int = 5, percent: int = 80) -
     pairs = left.join(right, "key").where(f"doc_ida < doc_idb and componenta <> componentb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
     pairs = pairs.groupBy(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).agg(F.count("*").alias("common"), F.min(F.least("ma", "mb") - F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))).alias("least"))
     late = within(pairs.where("common >= least").select("a", "b"))
-    rest = rest.where(F.col("members") > FEW).withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
-    tiled = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("s"), F.greatest("tile", o).alias("t")))
-    buckets = max(1, -(-rest.count() // 5_000))
-    dealt = rest.join(sketches.select("doc_id", "sketch"), "doc_id").select("key", "doc_id", "component", "n", "sketch", "tile", F.explode(tiled).alias("p")).select("*", "p.s", "p.t").drop("p")
+    tiled = _tiled(rest.where(F.col("members") > FEW))
+    buckets = max(1, -(-(tiled.agg(F.sum(F.size("pairs"))).first()[0] or 0) // BUCKET_ROWS))
+    dealt = tiled.join(sketches.select("doc_id", "sketch"), "doc_id").select("key", "doc_id", "component", "n", "sketch", "tile", F.explode("pairs").alias("p")).select("*", "p.s", "p.t").drop("p")
     crowded = dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "s", "t"), F.lit(buckets))).groupBy("bucket").applyInArrow(_apart(percent), "a long, b long")
     late = late.unionAll(crowded).distinct()
     late = _verified(documents, late, k, percent)

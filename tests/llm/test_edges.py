@@ -144,6 +144,45 @@ def test_jaccard_of_many_near_copies(spark):
     assert {r.component_id for r in jaccard_join.similarity_components(frame).collect()} == {0}
 
 
+def test_jaccard_of_a_crowded_key_deals_bounded_tables(spark, monkeypatch, tmp_path):
+    """Of a key that one large component and a few other documents have, each table compared is bounded."""
+    for name, value in {"TILE": 16, "FEW": 4, "BUCKET_ROWS": 100}.items():
+        monkeypatch.setattr(jaccard_join, name, value, raising=False)
+    plain, log = jaccard_join._apart, str(tmp_path / "rows")
+
+    def watched(percent):
+        inner = plain(percent)
+
+        def run(table):
+            with open(log, "a") as out:
+                out.write(f"{table.num_rows}\n")
+            return inner(table)
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "_apart", watched)
+    base = [f"t{k}" for k in range(300)]
+    texts = [" ".join(base[:k] + [f"n{k}"] + base[k:]) for k in range(5, 295)]
+    texts += [" ".join(base[:200] + [f"o{j}x{k}" for k in range(100)]) for j in range(10)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.similarity_components(frame).collect()}
+    assert got == {d: 0 if d < 290 else d for d in range(300)}
+    rows = [int(x) for x in open(log)]
+    assert rows and max(rows) <= 500, (max(rows), sum(rows))
+
+
+def test_jaccard_tiles_pair_all_but_one_component_with_itself(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 4)
+    component = {d: 0 if d < 40 else 40 if d < 50 else d for d in range(57)}
+    frame = spark.createDataFrame([(1, d, c) for d, c in component.items()], "key long, doc_id long, component long")
+    rows = jaccard_join._tiled(frame).collect()
+    assert sum(len(r.pairs) for r in rows) < 57 * 15 * 2 / 3  # 15 tiles
+    for a in rows:
+        for b in rows:
+            if a.component != b.component:
+                assert (min(a.tile, b.tile), max(a.tile, b.tile)) in {tuple(p) for p in a.pairs} & {tuple(p) for p in b.pairs}
+
+
 def test_mixing(documents, nothing):
     rows = mixing.mix_sources(documents.withColumn("slot", F.lit("x")).withColumn("place", F.lit("y")), block=2).collect()
     assert len(rows) == len(ROWS) and len({(r.slot, r.place) for r in rows}) == len(ROWS)
