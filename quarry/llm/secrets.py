@@ -1,6 +1,6 @@
 """Secret scans: base patterns, and formats learned by grammar inference.
 
-The base patterns' matches in a bounded sample of documents are labelled credentials. From each kind a
+The base patterns' matches in all documents, a bounded number of each kind by a hash, are labelled credentials. From each kind a
 prefix tree of character classes is built, and states whose outgoing frequencies are compatible (Hoeffding
 bound) are merged to a probabilistic automaton (ALERGIA, Carrasco and Oncina 1994). All other long tokens
 with a digit are scored: likelihood under each credential automaton against one of ordinary tokens.
@@ -8,6 +8,8 @@ with a digit are scored: likelihood under each credential automaton against one
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -27,7 +29,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _DIGIT = re.compile(r"[0-9]")
-#: Documents read for training; strings of a kind; Hoeffding risk; log-likelihood ratio a character and in all.
+#: Documents read for ordinary tokens; strings of a kind; Hoeffding risk; log-likelihood ratio a character and in all.
 SAMPLE_DOCS, SAMPLE_STRINGS, RISK, PER_CHAR, IN_ALL = 5000, 300, 0.05, 0.5, 12.0
 
 
@@ -167,30 +169,47 @@ def secret_spans(text: str, formats: Formats | None) -> list[tuple[int, int, str
     return sorted(out, key=lambda x: (x[0], order[x[2]]))
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, token) of credentials and, as kind '', of ordinary long tokens and words."""
-    for batch in batches:
-        for part in chunks(batch):
-            kinds, tokens = [], []
-            for text in part.column("text").to_pylist():
-                base = base_spans(text or "")
-                for _, _, kind, own in base:
-                    kinds.append(kind)
-                    tokens.append(own)
-                found = [m[0] for m in re.finditer(r"[A-Za-z0-9+/_.=-]{8,}", text or "") if not any(a < m.end() and m.start() < b for a, b, _, _ in base)]
-                kinds += [""] * len(found[:20])
-                tokens += found[:20]
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(tokens, pa.string())], names=["kind", "token"])
+def _order(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _lowest(kind: str, tokens: set[str], most: int) -> list[tuple[int, str, str]]:
+    return heapq.nsmallest(most, ((_order(token), token, kind) for token in tokens))
+
+
+def _examples(own: bool, most: int):
+    """(h, token, kind) of credentials or, as kind '', of ordinary tokens of 8 characters and more: those of the lowest hashes of a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                found: dict[str, set[str]] = {}
+                for text in part.column("text").to_pylist():
+                    base = base_spans(text or "")
+                    if own:
+                        for _, _, kind, token in base:
+                            found.setdefault(kind, set()).add(token)
+                    else:
+                        found.setdefault("", set()).update(m[0] for m in re.finditer(r"[A-Za-z0-9+/_.=-]{8,}", text or "") if not any(a < m.end() and m.start() < b for a, b, _, _ in base))
+                rows = [row for kind, tokens in found.items() for row in _lowest(kind, tokens, most)]
+                columns = zip(*rows, strict=True) if rows else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["h", "token", "kind"])
+
+    return run
 
 
 def learn_formats(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int = SAMPLE_STRINGS) -> Formats:
-    """Automata from at most sample_docs documents, by a hash of doc_id, and sample_strings distinct strings of a kind."""
-    ids = documents.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    texts = documents.join(F.broadcast(ids), "doc_id").select("text")  # at most sample_docs ids
+    """Automata of the sample_strings distinct credentials of a kind, by a hash, over all documents.
+
+    As many ordinary tokens, by the same hash, are from the whole texts of sample_docs documents, by a hash of doc_id.
+    """
     from pyspark.sql import Window
 
-    rows = texts.mapInArrow(_examples, "kind string, token string").distinct()
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("token"), "token"))).where(F.col("k") <= sample_strings)
+    ids = documents.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    texts = small_batches(documents).join(F.broadcast(ids), "doc_id").select("text")  # at most sample_docs ids
+    shape_of = "h long, token string, kind string"
+    rows = documents.select("text").mapInArrow(_examples(True, sample_strings), shape_of).unionAll(texts.mapInArrow(_examples(False, sample_strings), shape_of)).distinct()
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("h", "token"))).where(F.col("k") <= sample_strings)
     found: dict[str, list[str]] = {}
     for row in rows.collect():
         found.setdefault(row["kind"], []).append(shape(row["token"]))

@@ -115,6 +115,16 @@ def test_secrets(documents, nothing):
     assert secrets.find_secrets(nothing).collect() == []
 
 
+def test_formats_are_learned_from_all_documents_and_whole_texts(spark):
+    """A kind that few documents have is learned, however few documents are read for ordinary tokens."""
+    words = " ".join(f"ordinary{chr(97 + k)}" for k in range(26)) + " atthevery/end"
+    texts = [words] * 400 + [f"key AKIA{'QWERTYUIOPASDFGH'[k:]}{'ZXCVBNM'[:k]}7777" for k in range(6)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    formats = secrets.learn_formats(frame, sample_docs=5)
+    assert set(formats.kinds) == {"access"}
+    assert any("/" in step for step in formats.ordinary.step)
+
+
 def test_learned_formats_find_unseen_tokens():
     import random
 
