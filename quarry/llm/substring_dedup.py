@@ -5,7 +5,10 @@ windows have equal anchors, so an anchor that occurs in one document only needs
 texts around one anchor can meet in one shard. A text around an anchor (a segment) is a run of windows
 with that anchor. Per shard, the distinct segments are indexed (wavelet-matrix BWT, document minima over
 suffix ranges) and streamed backwards through the index; what is reported are the windows that also
-start in a document with a smaller id. Hashes only route; words are matched in the index.
+start in a document with a smaller id. Words are matched in the index, but copies are aggregated by hash
+before it: of segments with one anchor and one content hash (64 bits each), only the first document's copy
+enters, and the others are removed whole; of a crowded anchor's windows with the same two hashes of their
+words, the first and the last copy enter, and what they show holds for the others.
 """
 
 from __future__ import annotations
