@@ -10,16 +10,21 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset (tests), a new temporary folder."""
+    """The cluster's spark.checkpoint.dir. Where that is unset: a new temporary folder in local mode (tests), else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def small_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
-    """df, with the session's Arrow batches bounded, for texts of any length must fit beside the executor's heap."""
+    """df, with the session's Arrow batches bounded, for texts of any length must fit beside the executor's heap.
+
+    Spark has these bounds for a session only, so they stay set; sessions with smaller ones keep theirs.
+    """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -27,30 +32,50 @@ def small_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFra
     return df
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: it cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: it cuts the lineage and survives lost executors.
+
+    The table stays there as long as results that read it may: whoever clears the folder ends them. With a
+    path, what stood there before is replaced.
+    """
+    path = path or new_path(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Parts into which the edges of one node are dealt for a join with its minimum.
+SALTS = 16
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: rows (node, component), component the smallest node reached.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014) until no edge changes. Each round
-    is a pre-aggregated minimum and a join, so a node with very many edges is split like any skewed key.
-    Self-loops and null ends are ignored. No edges: no rows.
+    is a pre-aggregated minimum and a join with it; the edges of a node are dealt to SALTS tasks and its
+    minimum to each of them, so that a node with very many edges is no single task's. The rounds write two
+    tables in turn. Self-loops and null ends are ignored. No edges: no rows.
     """
-    now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
-    seen = None
+    paths = new_path(edges.sparkSession), new_path(edges.sparkSession)
+    now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), paths[0])
+    salt, every = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+    def beside(rows: DataFrame, least: DataFrame) -> DataFrame:
+        return rows.select("u", "v", salt).join(least.select("u", "m", every), ["u", "salt"])
+
+    seen, number = None, 0
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = beside(both, least).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Of each node's smaller neighbours, the smallest becomes the parent of the node and of the others.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        small = beside(large, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        number += 1
+        now = stored(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), paths[number % 2])
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,18 +1,24 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags. First pass, each block by itself: blocks in navigation,
-footers, forms, adverts and the like are bad, as are blocks made of links; long blocks rich in stop words
-are good; long ones poor in them are bad; the rest, short blocks, are undecided. Second pass: an
-undecided block takes the label of its nearest decided neighbours; if those differ, a block in the same
-article as a good neighbour is good, else the nearer one decides.
+A page is cut into blocks at block-level tags. First pass, each block by itself: long blocks rich in stop
+words are good, long ones poor in them and blocks made of links are bad, the rest, short blocks, are
+undecided. Element names, roles, classes and ids of navigation, adverts and the like vote: a strong vote
+makes a block bad, a weak one only if it is not good by its words. An element that holds nearly all of the
+page's good text is its frame, whatever it is called, and has no vote. Second pass: an undecided block takes
+the label of its nearest decided neighbours; those in the same article count first, then the nearer one.
+
+Tags are read in one pass, states of open elements are carried on the stack, and votes are summed from the
+inner to the outer elements, so the time grows with a page's length whatever it holds.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,104 +28,192 @@ from quarry.llm._words import chunks
 
 #: Words at which a block can be decided by its stop words; shares of stop words and of linked characters.
 LONG, STOP_LOW, STOP_HIGH, LINKED = 12, 0.08, 0.2, 0.5
+#: Share of a page's good text outside an element up to which the element is the page's frame; characters at which linked text in an article is undecided.
+OUTSIDE, LONG_LINKED = 0.1, 200
 STOP_WORDS = frozenset(
     """the of and to in a is that for it on with as was at by be this are from or an
     der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch
     de la le et les des en un une du dans est que pour qui sur par au avec pas
     el los las y que del se por con una para su lo al como más""".split()
 )
-_BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-_SKIP = frozenset("nav footer aside form head title button select option dialog menu".split())
+_BLOCK = frozenset("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_VOTING = frozenset("nav footer aside form button select dialog menu".split())
+#: Elements whose content is no text: up to their end tag, or to the end of the page; the second kind only if there is an end tag.
+_RAW, _EMBEDDED = frozenset("script style title textarea iframe noembed noframes xmp".split()), frozenset("noscript template svg math object canvas".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Parts of class and id values that mark what is not the article.
+#: Elements that end an open one of the same name beside them.
+_BESIDE = frozenset("li dt dd tr td th option".split())
+#: Words of class and id values that name what is not the article, and words that may stand beside them.
 _MARKS = frozenset(
     """ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus
     footer masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related
     share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget""".split()
 )
-_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
-    re.IGNORECASE | re.DOTALL,
+_BESIDE_MARKS = frozenset(
+    """area article articles bar block body bottom box buttons column container content entry footer form global group inner item items label left level
+    link links list main page panel post posts primary reader readers right row secondary section site slot stories text thread title top unit user wrap wrapper""".split()
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))?+)?+""")
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in _RAW | _EMBEDDED}
 
 
 @dataclass
 class Block:
     text: str
-    linked: int
-    skipped: bool
-    article: int  # number of the article or main element it is in, 0 for none
+    linked: int  # characters in links
+    mark: int  # number of the innermost voting element it is in, -1 for none
+    article: int  # number of the innermost article or main element it is in, 0 for none
     heading: bool
 
 
-def _marked(attributes: str) -> bool:
+@dataclass
+class Mark:
+    strength: int  # 2 strong, 1 weak
+    parent: int
+    in_article: bool
+    holds: bool = False  # an article, main or h1 element
+
+
+def pieces(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text, '/' of an end tag, tag, attributes): the text before each tag. Comments and raw elements are left out."""
+    begin = at = 0
+    simple = False  # since a quote was never closed, tags end at the next >
+    lost: set[str] = set()  # embedded elements without an end tag behind here
+    while (lt := page.find("<", at)) >= 0:
+        if not (name := _NAME.match(page, lt)):
+            after = page[lt + 1 : lt + 2]
+            if after not in ("!", "?", "/") or not after:
+                at = lt + 1
+                continue
+            end = "-->" if page.startswith("<!--", lt) else "]]>" if page.startswith("<![CDATA[", lt) else ">"
+            stop = page.find(end, lt + 2)
+            yield page[begin:lt], "", "", ""
+            if stop < 0:
+                return
+            begin = at = stop + len(end)
+            continue
+        whole = None if simple else _TAG.match(page, lt)
+        if whole:
+            stop, attributes = whole.end(), whole[3]
+        else:
+            simple, stop = True, page.find(">", lt) + 1
+            if not stop:
+                yield page[begin:lt], "", "", ""
+                return
+            attributes = page[name.end() : stop - 1]
+        tag = name[2].lower()
+        yield page[begin:lt], name[1], tag, attributes
+        begin = at = stop
+        if not name[1] and (tag in _RAW or tag in _EMBEDDED and tag not in lost and not attributes.endswith("/")):
+            end = _ENDS[tag].search(page, stop)
+            if end:
+                begin = at = page.find(">", end.end()) + 1 or len(page)
+            elif tag in _RAW:
+                return
+            else:
+                lost.add(tag)
+    yield page[begin:], "", "", ""
+
+
+@lru_cache(1 << 14)
+def _named(token: str, in_article: bool) -> int:
+    """Vote of one class or id: strong if all its words are known, weak if only some name what is not the article."""
+    words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+", token)]
+    if "header" in words and not in_article and all(w in ("header", "site", "page", "global", "top", "main", "wrapper", "container", "inner") for w in words):
+        return 2
+    if not _MARKS.intersection(words):
+        return 0
+    if any(w in ("no", "not", "without", "with", "has", "hide") for w in words):
+        return 0  # says how the page is laid out
+    return 2 if all(w in _MARKS or w in _BESIDE_MARKS or w.isdigit() for w in words) else 1
+
+
+@lru_cache(1 << 14)
+def vote(tag: str, attributes: str, in_article: bool) -> int:
+    """2, 1 or 0: how surely an element is not the article, by its name, role, class and id."""
+    if tag in ("html", "body"):
+        return 0
+    if tag in _VOTING or tag == "header" and not in_article:
+        return 2
+    found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and _MARKS.intersection(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in _ROLES:
+        return 2
+    return max((_named(token, in_article) for token in f"{found.get('class', '')} {found.get('id', '')}".split()), default=0)
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks with text, in order."""
+def blocks(page: str) -> tuple[list[Block], list[Mark]]:
+    """The page's blocks with text, in order, and its voting elements, outer ones first."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, int]] = []  # (tag, skipped, article) of the open block-level elements
-    pieces: list[str] = []
+    marks: list[Mark] = []
+    open_: list[tuple[str, int, int]] = []  # (tag, innermost mark, innermost article) of the open block-level elements
+    count: Counter[str] = Counter()
+    text: list[str] = []
     linked: list[str] = []
-    in_link, articles, heading = False, 0, False
+    link, articles, heading = -1, 0, False  # link: open elements where the open link began
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(pieces)).split())
-        if text:
-            out.append(Block(text, len(" ".join(entities.unescape("".join(linked)).split())), any(s for _, s, _ in open_), next((a for _, _, a in reversed(open_) if a), 0), heading))
-        pieces.clear()
-        linked.clear()
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        piece, at = page[at : m.start()], m.end()
-        pieces.append(piece)
-        if in_link:
-            linked.append(piece)
-        tag = (m["tag"] or "").lower()
+        nonlocal text, linked
+        if text and (found := " ".join(entities.unescape("".join(text)).split())):
+            _, mark, article = open_[-1] if open_ else ("", -1, 0)
+            out.append(Block(found, len(" ".join(entities.unescape("".join(linked)).split())) if linked else 0, mark, article, heading))
+        text, linked = [], []
+
+    def leave() -> None:
+        nonlocal link
+        count[open_.pop()[0]] -= 1
+        if link > len(open_):
+            link = -1
+
+    for piece, end, tag, attributes in pieces(page):
+        if piece:
+            text.append(piece)
+            if link >= 0:
+                linked.append(piece)
         if tag == "a":
-            in_link = not m["close"]
-        elif tag == "br" or m["raw"]:
-            pieces.append(" ")
-            linked.append(" " if in_link else "")
-        elif tag in _BLOCK or tag in _SKIP:
+            link = -1 if end else len(open_)
+        elif tag == "br":
+            text.append(" ")
+            if link >= 0:
+                linked.append(" ")
+        elif tag in _RAW or tag in _EMBEDDED:
+            text.append(" ")
+        elif tag in _BLOCK:
             flush()
-            in_link = False
-            if m["close"]:
-                if any(name == tag for name, _, _ in open_):
-                    while open_.pop()[0] != tag:
-                        pass
-            elif tag not in _VOID and not m["attributes"].endswith("/"):
-                if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and open_ and open_[-1][0] == tag:
-                    open_.pop()
-                if tag in ("article", "main"):
-                    articles += 1
-                inside = next((a for _, _, a in reversed(open_) if a), 0)
-                skipped = tag in _SKIP or tag == "header" and not inside or _marked(m["attributes"])
-                open_.append((tag, skipped and tag not in ("html", "body", "article", "main"), articles if tag in ("article", "main") else 0))
-            heading = not m["close"] and tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-    rest = page[at:]
-    pieces.append(rest[: m2.start()] if (m2 := re.search(r"<[A-Za-z/!][^<>]*\Z", rest)) else rest)
+            if end:
+                if count[tag]:
+                    while open_[-1][0] != tag:
+                        leave()
+                    leave()
+            elif tag not in _VOID:
+                while open_ and (open_[-1][0] == "p" or open_[-1][0] == "head" or open_[-1][0] == tag and (tag in _BESIDE or tag in _HEADINGS)):
+                    leave()
+                _, mark, article = open_[-1] if open_ else ("", -1, 0)
+                if tag in ("article", "main", "h1"):
+                    if mark >= 0:
+                        marks[mark].holds = True
+                    if tag != "h1":
+                        articles += 1
+                        article = articles
+                if strength := vote(tag, attributes, article > 0):
+                    marks.append(Mark(strength, mark, article > 0, tag in ("article", "main")))
+                    mark = len(marks) - 1
+                open_.append((tag, mark, article))
+                count[tag] += 1
+            heading = not end and tag in _HEADINGS
     flush()
-    return out
+    return out, marks
 
 
-def first_pass(block: Block, articles: bool) -> bool | None:
-    """Good, bad, or None for undecided."""
-    if block.skipped:
-        return False
+def density(block: Block, articles: bool) -> bool | None:
+    """Good, bad, or None for undecided, by links, length and stop words."""
     if block.linked >= LINKED * len(block.text):
-        return False if not block.article or len(block.text) < 200 else None
+        return None if block.article and len(block.text) >= LONG_LINKED else False
     words = block.text.lower().split()
     if block.heading or len(words) < LONG:
         return None
@@ -129,33 +223,66 @@ def first_pass(block: Block, articles: bool) -> bool | None:
     return None if block.article or share >= STOP_LOW else False
 
 
+def _votes(found: list[Block], marks: list[Mark], labels: list[bool | None], articles: bool) -> list[int]:
+    """The vote that counts in each mark: of its own and the outer elements, but of those that frame the page's text."""
+    inside = [0] * len(marks)
+    total = 0
+    in_articles = any(label and block.article for block, label in zip(found, labels, strict=True))
+    for block, label in zip(found, labels, strict=True):
+        if label and (block.article or not in_articles):
+            total += len(block.text)
+            if block.mark >= 0:
+                inside[block.mark] += len(block.text)
+    for k in range(len(marks) - 1, -1, -1):
+        if (parent := marks[k].parent) >= 0:
+            inside[parent] += inside[k]
+            marks[parent].holds |= marks[k].holds
+    out = []
+    for mark, own in zip(marks, inside, strict=True):
+        near_article = not articles or mark.holds or mark.in_article
+        most = OUTSIDE * total if mark.in_article or not articles else 0  # all of the articles, or nearly all of one
+        frame = near_article and (total - own <= most if total else mark.holds)
+        out.append(max(0 if frame else mark.strength, out[mark.parent] if mark.parent >= 0 else 0))
+    return out
+
+
 def article_text(page: str | None) -> str:
     """The main text: good blocks in page order, joined by one line feed."""
-    found = blocks(page or "")
+    found, marks = blocks(page or "")
     articles = any(b.article for b in found)
-    labels = [first_pass(b, articles) for b in found]
-    before: list[int] = []
+    labels = [density(b, articles) for b in found]
+    votes = _votes(found, marks, labels, articles)
+    voted = [False] * len(found)
+    for k, block in enumerate(found):
+        against = votes[block.mark] if block.mark >= 0 else 0
+        if against == 2 or against == 1 and not labels[k] and not block.article:
+            labels[k], voted[k] = False, True
+    good, decided = set(), set()  # articles
+    nearest: list[tuple[int, int]] = []
+    last = -1
+    for k, block in enumerate(found):
+        nearest.append((last, -1))
+        if labels[k] is not None and not voted[k]:
+            last = k
+            (good if labels[k] else decided).add(block.article)
     last = -1
-    for k, label in enumerate(labels):
-        before.append(last)
-        last = k if label is not None else last
-    after, last = [0] * len(found), -1
     for k in range(len(found) - 1, -1, -1):
-        after[k] = last
-        last = k if labels[k] is not None else last
+        nearest[k] = (nearest[k][0], last)
+        if labels[k] is not None and not voted[k]:
+            last = k
     keep = []
     for k, (block, label) in enumerate(zip(found, labels, strict=True)):
         if label is None:
-            near = [x for x in (before[k], after[k]) if x >= 0]
-            own = [x for x in near if block.article and found[x].article == block.article]
-            if own:  # neighbours in the same article count first
-                label = any(labels[x] for x in own)
-            elif block.article and not any(found[x].article == block.article and labels[x] is not None for x in range(len(found))):
-                label = True  # an article of short blocks only
+            near = [x for x in nearest[k] if x >= 0]
+            if block.article:
+                own = [x for x in near if found[x].article == block.article]
+                label = any(labels[x] for x in own) if own else block.article in good or block.article not in decided
+            elif articles:
+                label = False
             elif len(near) == 2 and labels[near[0]] != labels[near[1]]:
-                label = bool(labels[near[0] if k - near[0] < near[1] - k else near[1]]) and not articles
+                label = labels[near[0] if k - near[0] <= near[1] - k else near[1]]
             else:
-                label = bool(near and labels[near[0]]) and not (articles and not block.article)
+                label = labels[near[0]] if near else True
         if label:
             keep.append(block.text)
     return "\n".join(keep)
@@ -193,3 +320,13 @@ def op8_html_extraction(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_html_extraction": op8_html_extraction}
+# The pages' articles by their tags alone: the SQL needs no rules, for these pages have one article element each.
+ORACLE_SQL = {
+    "op8_html_extraction": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1) AS h FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split(regexp_replace(regexp_replace(h, '</?(p|h1)>', chr(1), 'g'), '<br>', ' ', 'g'), chr(1)), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS parts FROM a),
+c AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d
+"""
+}

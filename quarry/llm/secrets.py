@@ -2,8 +2,9 @@
 
 The base patterns' matches in all documents, a bounded number of each kind by a hash, are labelled credentials. From each kind a
 prefix tree of character classes is built, and states whose outgoing frequencies are compatible (Hoeffding
-bound) are merged to a probabilistic automaton (ALERGIA, Carrasco and Oncina 1994). All other long tokens
-with a digit are scored: likelihood under each credential automaton against one of ordinary tokens.
+bound) are merged to a probabilistic automaton (ALERGIA, Carrasco and Oncina 1994). All tokens that touch no
+base match and have as many characters as the shortest credential may have (8) are scored, whatever they are:
+likelihood under each credential automaton against those of ordinary tokens without and with a digit.
 """
 
 from __future__ import annotations
@@ -20,17 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import small_batches
+from quarry.llm._shared import small_batches, stored
 from quarry.llm._words import chunks
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+_DIGIT = re.compile(r"[0-9]")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_DIGIT = re.compile(r"[0-9]")
-#: Documents read for ordinary tokens; strings of a kind; Hoeffding risk; log-likelihood ratio a character and in all.
-SAMPLE_DOCS, SAMPLE_STRINGS, RISK, PER_CHAR, IN_ALL = 5000, 300, 0.05, 0.5, 12.0
+#: Tokens that are scored.
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+#: Documents read for ordinary tokens; strings of a kind, at least and at most, and characters of one, from which formats are learned; Hoeffding risk; log-likelihood ratio a character and in all.
+SAMPLE_DOCS, LEAST_STRINGS, SAMPLE_STRINGS, STRING_CHARS, RISK, PER_CHAR, IN_ALL = 5000, 5, 300, 256, 0.05, 0.5, 12.0
+#: Character classes: digits, a-f, other lower case, A-F, other upper case; any other character is its own.
+_CLASSES = str.maketrans({c: k for k, own in {"0": "0123456789", "a": "abcdef", "l": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ"}.items() for c in own})
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -46,8 +50,7 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def shape(token: str) -> str:
-    """Character classes: digits, a-f, other lower case, A-F, other upper case; any other character is its own."""
-    return "".join("0" if c in "0123456789" else "a" if c in "abcdef" else "l" if "a" <= c <= "z" else "A" if c in "ABCDEF" else "U" if "A" <= c <= "Z" else c for c in token)
+    return token.translate(_CLASSES)
 
 
 @dataclass
@@ -144,29 +147,50 @@ def infer(words: list[str], risk: float = RISK) -> Automaton:
 
 @dataclass
 class Formats:
+    """Learned automata."""
+
     kinds: dict[str, Automaton]
-    ordinary: Automaton | None
+    ordinary: list[Automaton]
+    known: dict[str, str | None] = field(default_factory=dict)  # kinds of shapes already scored; emptied when it is large
 
     def kind_of(self, token: str) -> str | None:
         """The likeliest credential format of a token, or None if an ordinary token is about as likely."""
+        word = shape(token)
+        if word not in self.known:
+            if len(self.known) >= 1 << 16:
+                self.known.clear()
+            self.known[word] = self._scored(word)
+        return self.known[word]
+
+    def _scored(self, word: str) -> str | None:
         if not self.kinds:
             return None
-        word = shape(token)
-        other = self.ordinary.log_likelihood(word) if self.ordinary else len(word) * math.log(1 / 16)
+        other = max((automaton.log_likelihood(word) for automaton in self.ordinary), default=len(word) * math.log(1 / 16))
         best, kind = max((automaton.log_likelihood(word), kind) for kind, automaton in self.kinds.items())
         return kind if best - other >= max(IN_ALL, PER_CHAR * len(word)) else None
 
 
+def apart(text: str, base: list[tuple[int, int, str, str]]) -> Iterator[re.Match]:
+    """Tokens of 8 characters and more that touch no base span: one sweep over both, by start."""
+    at, end = 0, 0
+    for m in _TOKEN.finditer(text):
+        while at < len(base) and base[at][0] < m.end():
+            end = max(end, base[at][1])
+            at += 1
+        if end <= m.start():
+            yield m
+
+
 def secret_spans(text: str, formats: Formats | None) -> list[tuple[int, int, str]]:
     """Base spans, and like_<kind> spans of tokens that touch none of them."""
     base = base_spans(text)
     out = [(a, b, kind) for a, b, kind, _ in base]
     if formats is not None and formats.kinds:
-        for m in _TOKEN.finditer(text):
-            if _DIGIT.search(m[0]) and not any(a < m.end() and m.start() < b for a, b, _, _ in base) and (kind := formats.kind_of(m[0])):
-                out.append((m.start(), m.end(), f"like_{kind}"))
-    order = {kind: k for k, kind in enumerate((*KINDS, *(f"like_{kind}" for kind in KINDS)))}
-    return sorted(out, key=lambda x: (x[0], order[x[2]]))
+        out += [(m.start(), m.end(), f"like_{kind}") for m in apart(text, base) if (kind := formats.kind_of(m[0]))]
+    return sorted(out, key=lambda x: (x[0], _ORDER[x[2]]))
+
+
+_ORDER = {kind: k for k, kind in enumerate((*KINDS, *(f"like_{kind}" for kind in KINDS)))}
 
 
 def _order(token: str) -> int:
@@ -177,8 +201,8 @@ def _lowest(kind: str, tokens: set[str], most: int) -> list[tuple[int, str, str]
     return heapq.nsmallest(most, ((_order(token), token, kind) for token in tokens))
 
 
-def _examples(own: bool, most: int):
-    """(h, token, kind) of credentials or, as kind '', of ordinary tokens of 8 characters and more: those of the lowest hashes of a chunk."""
+def _examples(own: bool, most: int, chars: int):
+    """(h, token, kind) of credentials or, as kinds 'word' and 'number', of ordinary tokens without and with a digit, of 8 to chars characters: those of the lowest hashes of a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,9 +212,12 @@ def _examples(own: bool, most: int):
                     base = base_spans(text or "")
                     if own:
                         for _, _, kind, token in base:
-                            found.setdefault(kind, set()).add(token)
+                            if len(token) <= chars:
+                                found.setdefault(kind, set()).add(token)
                     else:
-                        found.setdefault("", set()).update(m[0] for m in re.finditer(r"[A-Za-z0-9+/_.=-]{8,}", text or "") if not any(a < m.end() and m.start() < b for a, b, _, _ in base))
+                        for m in apart(text or "", base):
+                            if m.end() - m.start() <= chars:
+                                found.setdefault("number" if _DIGIT.search(m[0]) else "word", set()).add(m[0])
                 rows = [row for kind, tokens in found.items() for row in _lowest(kind, tokens, most)]
                 columns = zip(*rows, strict=True) if rows else ([], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["h", "token", "kind"])
@@ -198,23 +225,25 @@ def _examples(own: bool, most: int):
     return run
 
 
-def learn_formats(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int = SAMPLE_STRINGS) -> Formats:
+def learn_formats(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int = SAMPLE_STRINGS, string_chars: int = STRING_CHARS, least_strings: int = LEAST_STRINGS) -> Formats:
     """Automata of the sample_strings distinct credentials of a kind, by a hash, over all documents.
 
-    As many ordinary tokens, by the same hash, are from the whole texts of sample_docs documents, by a hash of doc_id.
+    As many ordinary tokens without a digit, and with one, by the same hash, are from the whole texts of
+    sample_docs documents, by a hash of doc_id.
+    Only strings of at most string_chars characters are learned from; a kind with fewer than least_strings
+    of them has no automaton, so that nothing is found like it.
     """
-    from pyspark.sql import Window
-
     ids = documents.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
     texts = small_batches(documents).join(F.broadcast(ids), "doc_id").select("text")  # at most sample_docs ids
     shape_of = "h long, token string, kind string"
-    rows = documents.select("text").mapInArrow(_examples(True, sample_strings), shape_of).unionAll(texts.mapInArrow(_examples(False, sample_strings), shape_of)).distinct()
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("h", "token"))).where(F.col("k") <= sample_strings)
-    found: dict[str, list[str]] = {}
-    for row in rows.collect():
-        found.setdefault(row["kind"], []).append(shape(row["token"]))
-    learned = {kind: infer(words) for kind, words in found.items() if len(words) >= 5}
-    ordinary = learned.pop("", None)
+    examples = lambda df, own: df.mapInArrow(_examples(own, sample_strings, string_chars), shape_of)
+    rows = stored(examples(documents.select("text"), True).unionAll(examples(texts, False)).distinct())
+    learned: dict[str, Automaton] = {}
+    for kind in (*KINDS, "word", "number"):  # each the lowest of what every task sends, so no task gets all of a kind
+        words = [row["token"] for row in rows.where(F.col("kind") == kind).orderBy("h", "token").limit(sample_strings).collect()]
+        if len(words) >= least_strings:
+            learned[kind] = infer([shape(word) for word in words])
+    ordinary = [learned.pop(kind) for kind in ("word", "number") if kind in learned]
     return Formats(learned, ordinary)
 
 
@@ -243,23 +272,37 @@ def find_secrets(documents: DataFrame, formats: Formats | None = None) -> DataFr
     return base.mapInArrow(_found(formats, to_arrow_schema(schema)), schema)
 
 
+def masked(text: str, spans: list[tuple[int, int, str]], mask: str) -> str:
+    """text with what the spans cover, by start, replaced by mask; spans that overlap or touch are one."""
+    out, done, open_ = [], 0, False
+    for a, b, _ in spans:
+        if not open_ or a > done:
+            out += [text[done:a], mask]
+            open_ = True
+        done = max(done, b)
+    return "".join([*out, text[done:]])
+
+
+def _redacted(formats: Formats, mask: str, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, schema.names[0]):
+                texts = [text and masked(text, secret_spans(text, formats), mask) for text in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()).cast(schema.types[0]), *(x.cast(t) for x, t in zip(part.columns[1:], schema.types[1:], strict=True))], schema=schema)
+
+    return run
+
+
 def redact(documents: DataFrame, formats: Formats | None = None, mask: str = "[secret]") -> DataFrame:
-    """documents with every secret replaced by mask; overlapping spans are one. n_chars, where there is one, is counted anew."""
-    found = find_secrets(documents, formats)
-    # The pieces between the merged spans, joined by the mask.
-    merged = F.aggregate(
-        "secrets",
-        F.expr("cast(array() as array<struct<start:long,end:long>>)"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(done, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))),
-    )
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("_merged", lambda x: x["end"]))
-    stops = F.concat(F.transform("_merged", lambda x: x["start"]), F.array(F.length("text").cast("long")))
-    pieces = F.zip_with(begins, stops, lambda a, b: F.substring("text", (a + 1).cast("int"), (b - a).cast("int")))
-    text = F.when(F.size("secrets") > 0, F.array_join(pieces, mask)).otherwise(F.col("text"))
-    out = found.withColumn("_merged", F.when(F.size("secrets") > 0, merged)).withColumn("text", text)
+    """documents with every secret replaced by mask; overlapping spans are one. n_chars, where there is one, is counted anew.
+
+    Null and empty texts stay as they are; repeated rows are each masked; an empty table gives no rows.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    formats = learn_formats(documents) if formats is None else formats
+    base = small_batches(documents).select("text", *(c for c in documents.columns if c != "text"))
+    out = base.mapInArrow(_redacted(formats, mask, to_arrow_schema(base.schema)), base.schema)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(documents.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(*documents.columns)

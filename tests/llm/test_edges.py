@@ -108,7 +108,7 @@ def test_token_counts(documents, nothing):
 
 
 def test_secrets(documents, nothing):
-    rows = by_id(secrets.find_secrets(documents.withColumn("secrets", F.lit("x")), secrets.Formats({}, None)).collect(), "secrets")
+    rows = by_id(secrets.find_secrets(documents.withColumn("secrets", F.lit("x")), secrets.Formats({}, [])).collect(), "secrets")
     assert [x.kind for x in rows[8][0]] == ["assign", "access"] and rows[3] == [[]] and rows[1] == [[], []]
     masked = by_id(secrets.redact(documents).collect(), "text")
     assert masked[8] == ["[secret] [secret] a@b.example"] and masked[3] == [None] and masked[4] == [LONG]
@@ -122,7 +122,7 @@ def test_formats_are_learned_from_all_documents_and_whole_texts(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     formats = secrets.learn_formats(frame, sample_docs=5)
     assert set(formats.kinds) == {"access"}
-    assert any("/" in step for step in formats.ordinary.step)
+    assert any("/" in step for automaton in formats.ordinary for step in automaton.step)
 
 
 def test_learned_formats_find_unseen_tokens():
@@ -131,7 +131,7 @@ def test_learned_formats_find_unseen_tokens():
     r = random.Random(1)
     make = lambda: "ghp_" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(32))
     words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(8, 20))) for _ in range(300)]
-    formats = secrets.Formats({"assign": secrets.infer([secrets.shape(make()) for _ in range(200)])}, secrets.infer([secrets.shape(w) for w in words]))
+    formats = secrets.Formats({"assign": secrets.infer([secrets.shape(make()) for _ in range(200)])}, [secrets.infer([secrets.shape(w) for w in words])])
     assert all(formats.kind_of(make()) == "assign" for _ in range(50))
     assert not any(formats.kind_of(w) for w in words)
 
