@@ -21,17 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import components, small_batches, stored
+from quarry.llm._shared import components, hot_keys, small_batches, spread_join, stored
 from quarry.llm._words import PLAIN, chunks, mix, shingle_hashes, split
 
 #: Orders in which a key's centre is chosen; parts beyond those that are needed; members up to which pairs of a
-#: key are counted; members of a tile; rows of tiles compared in a task; pairs verified together; ids that may be broadcast.
-ORDERS, EXTRA, FEW, TILE, BUCKET_ROWS, VERIFY_PAIRS, BROADCAST_IDS = 2, 3, 64, 512, 5000, 2000, 500_000
-#: Documents from which frequent shingles are learned; bits of the table of them.
+#: key are counted; members of a tile; pairs and bytes of text verified together; ids that may be broadcast.
+ORDERS, EXTRA, FEW, TILE, VERIFY_PAIRS, VERIFY_BYTES, BROADCAST_IDS = 2, 3, 64, 512, 2000, 8 << 20, 500_000
+#: Documents from which frequent shingles and crowded keys are learned; bits of the table of shingles.
 SAMPLE_DOCS, COMMON_BITS = 5000, 1 << 24
+#: Sampled documents that make a key crowded; tasks that such a key is dealt to, each with a centre of its own.
+CROWDED, SALTS = 25, 32
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -101,7 +104,7 @@ def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
 
 
 def _profiles(k: int):
-    """One row per document: size, 128-bit hash of the set, compact sketch."""
+    """One row per document: size, 128-bit hash of the set, bytes of the text, compact sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,8 +112,8 @@ def _profiles(k: int):
                 sets = shingle_sets(part.column("text"), k)
                 total = lambda x: int(x.sum(dtype=np.uint64).view(np.int64)) if len(x) else 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([total(x) for x in sets], pa.int64()), pa.array([total(mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5))) for x in sets], pa.int64()), pa.array([compact_sketch(x) if len(x) else None for x in sets], pa.binary())],
-                    names=["doc_id", "n", "h1", "h2", "sketch"],
+                    [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([total(x) for x in sets], pa.int64()), pa.array([total(mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5))) for x in sets], pa.int64()), pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64()), pa.array([compact_sketch(x) if len(x) else None for x in sets], pa.binary())],
+                    names=["doc_id", "n", "h1", "h2", "size", "sketch"],
                 )
 
     return run
@@ -126,10 +129,14 @@ def _grams(k: int):
     return run
 
 
-def frequent_shingles(documents: DataFrame, k: int) -> np.ndarray:
-    """A bit table of the shingles that two of a bounded sample of documents have. It only orders keys; no result depends on it."""
+def _sample(documents: DataFrame) -> DataFrame:
     ids = documents.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
-    grams = documents.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(_grams(k), "gram long")
+    return documents.where("text is not null").join(F.broadcast(ids), "doc_id")  # at most SAMPLE_DOCS ids
+
+
+def frequent_shingles(sample: DataFrame, k: int) -> np.ndarray:
+    """A bit table of the shingles that two of a bounded sample of documents have. It only orders keys; no result depends on it."""
+    grams = sample.select("text").mapInArrow(_grams(k), "gram long")
     twice = grams.groupBy("gram").count().where("count > 1").select(F.shiftrightunsigned("gram", 20).bitwiseAND(COMMON_BITS - 1).cast("int").alias("slot")).distinct()
     table = np.zeros(COMMON_BITS, bool)
     table[twice.toArrow().column("slot").to_numpy()] = True
@@ -166,13 +173,13 @@ def _within_bound(percent: int):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 size = min(len(x), len(y))
                 keep.append(int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()) * (100 + percent) <= (n + m) * (100 - percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "wa", "wb"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _apart(percent: int):
-    """Of the tiles of keys in a bucket: pairs of different components within the Hamming bound."""
+    """Of pairs of tiles of keys: pairs of different components within the Hamming bound."""
 
     def run(table: pa.Table) -> pa.Table:
         key, s, t, tile, doc, part, n = (table.column(c).to_numpy() for c in ("key", "s", "t", "tile", "doc_id", "component", "n"))
@@ -214,7 +221,10 @@ def _tiled(members: DataFrame) -> DataFrame:
     large = sizes.where(F.col("own") >= TILE).withColumn("count", F.ceil(F.col("own") / TILE).cast("int")).withColumn("from", F.coalesce(F.sum("count").over(before), F.lit(0)).cast("int")).select("key", "component", "count", "from")
     at = sizes.select("key", "component").join(large, ["key", "component"], "left").join(shared, "key")
     at = at.select("key", "component", "shared", F.coalesce(F.col("from") + F.col("shared"), F.lit(0)).alias("from"), F.coalesce("count", "shared").alias("count"), (F.col("shared") + F.col("alone")).alias("tiles"), F.col("count").isNotNull().alias("pure"))
-    own = members.join(at, ["key", "component"]).withColumn("tile", (F.col("from") + F.pmod(F.xxhash64("doc_id"), "count")).cast("int"))
+    group = F.struct("key", "component").alias("group")
+    members = members.withColumn("group", group)
+    own = spread_join(members, at.withColumn("group", group).drop("key", "component"), "group", "doc_id", hot_keys(members, "group")).drop("group")
+    own = own.withColumn("tile", (F.col("from") + F.pmod(F.xxhash64("doc_id"), "count")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: ~F.col("pure") | (o < F.col("from")) | (o >= F.col("from") + F.col("count")))
     return own.withColumn("pairs", F.transform(others, lambda o: F.struct(F.least("tile", o).alias("s"), F.greatest("tile", o).alias("t"))))
 
@@ -244,17 +254,19 @@ def _exact(k: int, percent: int):
 
 
 def _verified(documents: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar enough. A centre with many partners is split by salts."""
+    """Those of pairs (a, b, and the bytes wa and wb of their texts) whose sets are similar enough. A centre with many or long partners is split by salts."""
     pairs = stored(pairs)
+    per_a = stored(pairs.groupBy("a").agg(F.max("wa").alias("wa"), F.greatest(F.ceil(F.count("*") / 128), F.ceil(F.sum("wb") / VERIFY_BYTES)).alias("salts")))
     count = pairs.count()
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / 128).alias("salts"))
-    salted = pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
-    members = salted.select("a", "salt", F.col("b").alias("member")).unionAll(salted.select("a", "salt", F.col("a").alias("member")).distinct())
-    ids = members.select(F.col("member").alias("doc_id")).distinct()
+    size = (pairs.agg(F.sum("wb")).first()[0] or 0) + (per_a.agg(F.sum(F.col("wa") * F.col("salts"))).first()[0] or 0)
+    buckets = max(1, -(-count // VERIFY_PAIRS), -(-size // (2 * VERIFY_BYTES)))
+    salted = spread_join(pairs.select("a", "b"), per_a.select("a", F.col("salts").alias("n")), "a", "b", hot_keys(pairs, "a")).withColumn("salt", F.pmod(F.xxhash64("b"), "n"))
+    members = stored(salted.select("a", "salt", F.col("b").alias("doc_id")).unionAll(salted.select("a", "salt", F.col("a").alias("doc_id")).distinct()))
+    ids = members.select("doc_id").distinct()
     if 2 * count <= BROADCAST_IDS:  # a small id set goes to the documents; otherwise both are shuffled
         ids = F.broadcast(ids)
     texts = documents.join(ids, "doc_id", "left_semi").distinct()
-    rows = members.join(texts, members["member"] == texts["doc_id"]).select("a", "salt", "member", "text", F.pmod(F.xxhash64("a", "salt"), F.lit(max(1, -(-count // VERIFY_PAIRS)))).alias("bucket"))
+    rows = spread_join(members, texts, "doc_id", "salt", hot_keys(members, "doc_id")).select("a", "salt", F.col("doc_id").alias("member"), "text", F.pmod(F.xxhash64("a", "salt"), F.lit(buckets)).alias("bucket"))
     return stored(rows.groupBy("bucket").applyInArrow(_exact(k, percent), "a long, b long"))
 
 
@@ -268,46 +280,58 @@ def similarity_components(documents: DataFrame, k: int = 5, percent: int = 80) -
     Other columns are ignored; an empty table gives no rows.
     """
     documents = small_batches(documents).select(F.col("doc_id").cast("long"), "text")
-    profiles = stored(documents.mapInArrow(_profiles(k), "doc_id long, n long, h1 long, h2 long, sketch binary"))
+    profiles = stored(documents.mapInArrow(_profiles(k), "doc_id long, n long, h1 long, h2 long, size long, sketch binary"))
     nodes = profiles.where("doc_id is not null and n > 0")
     classes = nodes.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = stored(nodes.join(classes, ["n", "h1", "h2"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
-    keyed = documents.where("doc_id is not null and text is not null").mapInArrow(_keyed(k, percent, frequent_shingles(documents, k)), "key long, doc_id long, n int, m int")
-    # The first of a key, in one of a few orders, is its centre.
-    in_key = Window.partitionBy("key").orderBy(F.xxhash64("doc_id", F.col("key").bitwiseAND(ORDERS - 1)), "doc_id")
+    sample = _sample(documents)
+    keys = _keyed(k, percent, frequent_shingles(sample, k))
+    shape = "key long, doc_id long, n int, m int"
+    keyed = documents.where("doc_id is not null and text is not null").mapInArrow(keys, shape)
+    # Keys of many sampled documents are dealt out; their number is bounded by the sample, and what is missed costs time only.
+    crowded = stored(sample.mapInArrow(keys, shape).groupBy("key").count().where(F.col("count") >= CROWDED).select("key", F.lit(True).alias("crowded")))
+    keyed = keyed.join(F.broadcast(crowded), "key", "left").withColumn("salt", F.when(F.col("crowded"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    # The first of a key, in one of a few orders, is its centre; of a crowded key, the first in each task.
+    in_key = Window.partitionBy("key", "salt").orderBy(F.xxhash64("doc_id", F.col("key").bitwiseAND(ORDERS - 1)), "doc_id")
     centre = F.first(F.struct("doc_id", "n")).over(in_key)
     more = F.lead("doc_id").over(in_key).isNotNull()
-    shared = stored(keyed.withColumn("centre", centre).withColumn("more", more).where("centre.doc_id <> doc_id or more").select("key", "doc_id", "n", "m", F.col("centre.doc_id").alias("c"), F.col("centre.n").alias("cn")))
+    shared = keyed.withColumn("centre", centre).withColumn("more", more).where("centre.doc_id <> doc_id or more or crowded")
+    shared = stored(shared.select("key", "doc_id", "n", "m", F.col("centre.doc_id").alias("c"), F.col("centre.n").alias("cn"), F.coalesce("crowded", F.lit(False)).alias("crowded")))
+    centres = shared.where("crowded and c = doc_id")  # SALTS of a key at most
+    first = centres.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("f"))
+    between = centres.join(first, "key").select("doc_id", "n", F.col("f.doc_id").alias("c"), F.col("f.n").alias("cn"))
     one = copies.select(F.col("a").alias("id"), F.col("b").alias("first"))  # a copy's first document stands for it
 
     def first_of(df: DataFrame, column: str) -> DataFrame:
         return df.join(one, F.col(column) == one["id"], "left").withColumn(column, F.coalesce("first", column)).drop("id", "first")
 
     fits = f"100 * least(n, cn) >= {percent} * greatest(n, cn)"
-    star = shared.where(f"c <> doc_id and {fits}").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
+    star = shared.select("doc_id", "n", "c", "cn").unionAll(between).where(f"c <> doc_id and {fits}").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
     star = first_of(first_of(star, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sketches = nodes.select("doc_id", "sketch", "n").distinct()
-    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    sketches = nodes.select("doc_id", "sketch", "n", "size").distinct()
+    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("size").alias(f"w{x}"))
+
     def within(pairs: DataFrame) -> DataFrame:
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_within_bound(percent), "a long, b long").distinct()
+        pairs = stored(pairs)
+        one = spread_join(pairs, side("a"), "a", "b", hot_keys(pairs, "a"))
+        both = spread_join(one, side("b"), "b", "a", hot_keys(pairs, "b"))
+        return both.select("a", "b", "sa", "sb", "na", "nb", "wa", "wb").mapInArrow(_within_bound(percent), "a long, b long, wa long, wb long").distinct()
 
     links = copies.unionAll(_verified(documents, within(star), k, percent))
     found = stored(components(links))
     # Members of one key that are still apart.
     rest = first_of(shared.select("key", "doc_id", "n", "m").distinct(), "doc_id").distinct()
-    rest = rest.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rest = stored(rest.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x < y").select("key", "members")
-    rest = stored(rest.join(mixed, "key"))
+    rest = stored(spread_join(rest, mixed, "key", "doc_id", hot_keys(rest, "key")))
     few = rest.where(F.col("members") <= FEW)
     left, right = (few.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "m", "component"))) for x in "ab")
     pairs = left.join(right, "key").where(f"doc_ida < doc_idb and componenta <> componentb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
     pairs = pairs.groupBy(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).agg(F.count("*").alias("common"), F.min(F.least("ma", "mb") - F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))).alias("least"))
-    late = within(pairs.where("common >= least").select("a", "b"))
-    tiled = _tiled(rest.where(F.col("members") > FEW))
-    buckets = max(1, -(-(tiled.agg(F.sum(F.size("pairs"))).first()[0] or 0) // BUCKET_ROWS))
+    tiled = _tiled(stored(rest.where(F.col("members") > FEW)))
     dealt = tiled.join(sketches.select("doc_id", "sketch"), "doc_id").select("key", "doc_id", "component", "n", "sketch", "tile", F.explode("pairs").alias("p")).select("*", "p.s", "p.t").drop("p")
-    crowded = dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "s", "t"), F.lit(buckets))).groupBy("bucket").applyInArrow(_apart(percent), "a long, b long")
-    late = late.unionAll(crowded).distinct()
+    crowded = dealt.groupBy("key", "s", "t").applyInArrow(_apart(percent), "a long, b long")  # two tiles at most
+    late = within(pairs.where("common >= least").select("a", "b").unionAll(crowded).distinct())
     late = _verified(documents, late, k, percent)
     if late.limit(1).count():
         found = components(links.unionAll(late))

@@ -156,7 +156,7 @@ def test_jaccard_of_many_near_copies(spark):
 
 def test_jaccard_of_a_crowded_key_deals_bounded_tables(spark, monkeypatch, tmp_path):
     """Of a key that one large component and a few other documents have, each table compared is bounded."""
-    for name, value in {"TILE": 16, "FEW": 4, "BUCKET_ROWS": 100}.items():
+    for name, value in {"TILE": 16, "FEW": 4, "CROWDED": 20, "SALTS": 3}.items():
         monkeypatch.setattr(jaccard_join, name, value, raising=False)
     plain, log = jaccard_join._apart, str(tmp_path / "rows")
 
