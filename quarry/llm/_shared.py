@@ -80,3 +80,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = state
+
+
+def hot_keys(rows: DataFrame, key: str, share: int = 1000, least: int = 10_000) -> DataFrame | None:
+    """(key, salts) of the keys that hold more than `least` rows and one in `share`: fewer than `share` keys, whatever the table; None without any."""
+    most = max(least, rows.count() // share)
+    found = rows.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("salts"))
+    known = found.collect()  # fewer than `share`
+    return rows.sparkSession.createDataFrame(known, found.schema) if known else None
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with per_key, one row of each key; the rows of a hot key are dealt by `by` to its salts, its row goes to each."""
+    if hot is None:
+        return rows.join(per_key, key, how)
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), "salts"), F.lit(0)).cast("int")).drop("salts")
+    right = per_key.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
