@@ -13,7 +13,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents of a block; slots of a period before rounding; sources at most.
+#: Documents of a block; slots of a period before rounding; sources with weights of their own at most.
 BLOCK, PERIOD, MAX_SOURCES = 16, 1000, 100_000
 
 
@@ -36,40 +36,55 @@ def schedule(weights: list[int]) -> list[tuple[int, int]]:
     return slots
 
 
-def root_weights(counts: dict[str, int], period: int = PERIOD) -> dict[str, int]:
-    """Weights as the square roots of the sources' sizes, in whole slots of about `period`."""
-    total = sum(n**0.5 for n in counts.values())
-    return {source: max(1, int(period * n**0.5 / total + 0.5)) for source, n in counts.items()}
+#: Name under which the sources beyond the largest MAX_SOURCES are mixed as one.
+POOL = "\x00others"
 
 
-def mix_sources(documents: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, digits: int = 3) -> DataFrame:
+def root_weights(roots: dict[str, float], period: int = PERIOD) -> dict[str, int]:
+    """Weights in proportion to the square roots of the sources' sizes, in whole slots of about `period`."""
+    total = sum(roots[source] for source in sorted(roots))
+    return {source: max(1, int(period * root / total + 0.5)) for source, root in roots.items()}
+
+
+def mix_sources(documents: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, digits: int = 3, most: int = MAX_SOURCES) -> DataFrame:
     """documents with block (number within its source), slot and place (within the block): their order is the mix.
 
-    weights gives each source a whole number; without it, root_weights of the sources' sizes. Within a
-    source, documents are in order of the MD5 of doc_id, so any prefix of the mix is a fair sample of it.
+    weights gives each source a whole number; without it, root_weights of the sources' sizes, where the sources
+    beyond the `most` largest share one weight, the sum of theirs, and are mixed as one. Within a source,
+    documents are in order of the MD5 of doc_id, so any prefix of the mix is a fair sample of it.
     A source that runs out leaves its slots empty; the others keep theirs. A null source is a source of
     its own, named ''; null doc_ids come last in their source; repeated rows each have a place; columns
-    named block, slot or place give way; an empty table gives no rows. A source without a weight or over
-    100,000 sources are errors.
+    named block, slot or place give way; an empty table gives no rows. A source without a positive weight
+    in given weights is an error.
     """
     base = documents.drop("block", "slot", "place")
+    spark = documents.sparkSession
     name, digest = F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("g"))
-    keyed = base.withColumn("_source", name).withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, digits))
-    parts = base.select(name.alias("_source"), F.substring(digest, 1, digits).alias("_part")).groupBy("_source", "_part").count()
+    sizes = base.groupBy(name.alias("_source")).count()
+    if weights is None:
+        # At most `most` rows; the rest is added up where it is.
+        largest = [(x["_source"], float(x["count"]) ** 0.5) for x in sizes.orderBy(F.desc("count"), "_source").limit(most).collect()]
+        roots = dict(largest)
+        if len(largest) == most:
+            own = spark.createDataFrame([(source,) for source, _ in largest], "_source string")
+            rest = sizes.join(F.broadcast(own), "_source", "left_anti").agg(F.sum(F.sqrt("count"))).first()[0]
+            if rest is not None:
+                roots[POOL] = rest
+                mapped = F.broadcast(own.select(F.col("_source").alias("_known")))
+                base_named = base.withColumn("_name", name).join(mapped, F.col("_name") == F.col("_known"), "left").withColumn("_source", F.coalesce("_known", F.lit(POOL))).drop("_name", "_known")
+        weights = root_weights(roots) if roots else {}
+        pooled = POOL in roots
+    else:
+        pooled = False
+        known = spark.createDataFrame([(source,) for source, weight in weights.items() if weight > 0], "_source string")
+        if missing := [x["_source"] for x in sizes.join(F.broadcast(known), "_source", "left_anti").limit(5).collect()]:  # as many as weights were given
+            raise ValueError(f"no weight for {sorted(missing)}")
+    keyed = (base_named if pooled else base.withColumn("_source", name)).withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, digits))
+    parts = keyed.select("_source", "_part").groupBy("_source", "_part").count()
     before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_source", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    counts = {x["_source"]: x["count"] for x in base.groupBy(name.alias("_source")).count().limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    if weights is None:
-        weights = root_weights(counts)
-    if missing := counts.keys() - weights.keys():
-        raise ValueError(f"no weight for {sorted(missing)[:5]}")
     names = sorted(source for source in weights if weights[source] > 0)
-    if missing := counts.keys() - set(names):
-        raise ValueError(f"no positive weight for {sorted(missing)[:5]}")
     shares = [weights[source] for source in names]
-    spark = documents.sparkSession
     slots = spark.createDataFrame([(names[source], number, slot, shares[source]) for slot, (source, number) in enumerate(schedule(shares))], "_source string, _number long, _slot long, _share long")
     within = Window.partitionBy("_source", "_part").orderBy(F.col("doc_id").isNull(), "_digest", "doc_id", *([F.xxhash64("text")] if "text" in base.columns else []))
     placed = keyed.join(parts, ["_source", "_part"]).withColumn("_rank", F.col("_before") + F.row_number().over(within) - 1)

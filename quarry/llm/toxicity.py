@@ -4,6 +4,8 @@ Linear models predict the label columns one after another; each later model also
 probabilities, in training as out-of-fold predictions, so that it learns from probabilities as uncertain
 as those it will see. Features are the distinct words of a text and their beginnings of 4 to 6 bytes.
 Training takes a bounded sample of labelled rows on the driver; scoring is one pass over all documents.
+The tables have one category of toxicity and a quality label, so the chain there has two links, of which only
+the second is a category; any number of label columns can be chained.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import small_batches
+from quarry.llm._shared import small_batches, stored
 from quarry.llm._words import ALNUM, _power_tables, chunks, mix, split
 
-#: Labelled rows in training at most; features of a model; folds; rows and standard errors that a feature needs.
-SAMPLE_ROWS, FEATURES, FOLDS, MIN_ROWS, MIN_Z = 6000, 3000, 5, 4, 5.0
+#: Labelled rows in training at most, and bytes of a text in training; features of a model; folds; rows and standard errors that a feature needs.
+SAMPLE_ROWS, TEXT_BYTES, FEATURES, FOLDS, MIN_ROWS, MIN_Z = 6000, 200_000, 3000, 5, 4, 5.0
 CHAIN = ("quality", "toxic")
 
 
@@ -78,12 +80,11 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_linear(n: int, text: np.ndarray, feature: np.ndarray, before: np.ndarray, y: np.ndarray, most: int = FEATURES, steps: int = 250, decay: float = 2e-3) -> Linear:
-    """Logistic regression on the features that differ most between the classes, by Adam on the whole sample."""
+def fit_linear(n: int, text: np.ndarray, column: np.ndarray, names: np.ndarray, before: np.ndarray, y: np.ndarray, most: int = FEATURES, steps: int = 250, decay: float = 2e-3) -> Linear:
+    """Logistic regression on the features that differ most between the classes, by Adam on the whole sample. column: places in names."""
     prior = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if n else 0.5
-    names, column = np.unique(feature, return_inverse=True)
     count = np.bincount(column, minlength=len(names))
-    positive = np.bincount(column, y[text], len(names)) if len(column) else np.zeros(0)
+    positive = np.bincount(column, y[text], len(names)) if len(column) else np.zeros(len(names))
     z = np.abs(positive - count * prior) / np.sqrt(np.maximum(count, 1) * prior * (1 - prior))
     chosen = np.sort(np.argsort(-np.where(count >= MIN_ROWS, z, -1), kind="stable")[:most])
     chosen = chosen[(count[chosen] >= MIN_ROWS) & (z[chosen] >= MIN_Z)]
@@ -111,6 +112,7 @@ def fit_chain(rows: list[np.ndarray], y: np.ndarray, labels: tuple[str, ...], fo
     if not n or len(set(y[:, -1].tolist())) < 2:
         return Chain(labels)
     text, feature = np.repeat(np.arange(n), [len(x) for x in rows]), np.concatenate(rows)
+    names, column = np.unique(feature, return_inverse=True)
     chain, held = Chain(labels), np.zeros((n, len(labels)))
     for k in range(len(labels)):
         before = _logit(held[:, :k])
@@ -118,12 +120,12 @@ def fit_chain(rows: list[np.ndarray], y: np.ndarray, labels: tuple[str, ...], fo
             train = fold != own
             number = np.cumsum(train) - 1
             use = train[text]
-            model = fit_linear(int(train.sum()), number[text[use]], feature[use], before[train], y[train, k])
+            model = fit_linear(int(train.sum()), number[text[use]], column[use], names, before[train], y[train, k])
             test = ~train
             number = np.cumsum(test) - 1
             use = test[text]
             held[test, k] = model.probability(int(test.sum()), number[text[use]], feature[use], before[test])
-        chain.models.append(fit_linear(n, text, feature, before, y[:, k]))
+        chain.models.append(fit_linear(n, text, column, names, before, y[:, k]))
     # The cut with the best F1 out of fold, in the middle of the gap it lies in.
     p, truth = held[:, -1], y[:, -1]
     order = np.argsort(-p, kind="stable")
@@ -149,22 +151,27 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "text"), own], names=[*(c for c in part.schema.names if c != "text"), "features"])
 
 
-def train(documents: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, sample_rows: int = SAMPLE_ROWS) -> Chain:
-    """A chain from at most sample_rows labelled documents, chosen by a hash of doc_id.
+def train(documents: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, sample_rows: int = SAMPLE_ROWS, text_bytes: int = TEXT_BYTES) -> Chain:
+    """A chain from at most sample_rows labelled documents of at most text_bytes, chosen by a hash of doc_id.
 
     Rows of labels with a null in doc_id or a label are left out; several rows of one doc_id count as their
-    largest labels. Without rows or with one class only, the chain finds nothing toxic.
+    largest labels, several documents of one doc_id as the first text. Copies of a text are in one fold. Only
+    features that MIN_ROWS of the sample have reach the driver, for no model takes others. Without rows or
+    with one class only, the chain finds nothing toxic.
     """
     documents = small_batches(documents)
     known = labels.select("doc_id", *chain).na.drop().groupBy("doc_id").agg(*(F.max(c).cast("double").alias(c) for c in chain))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most sample_rows rows
-    shape = "doc_id long, " + ", ".join(f"{c} double" for c in chain) + ", features array<int>"
-    rows = texts.select(F.col("doc_id").cast("long"), *chain, "text").mapInArrow(_features_of, shape).toArrow().sort_by("doc_id")
-    own = [np.asarray(x.values, np.int64) & 0xFFFFFFFF for x in rows.column("features")]
-    y = np.array([rows.column(c).to_numpy() for c in chain]).T
-    fold = (mix(rows.column("doc_id").to_numpy().astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
-    return fit_chain(own, y, tuple(chain), fold)
+    texts = documents.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= text_bytes).join(F.broadcast(known), "doc_id")  # at most sample_rows rows
+    texts = texts.groupBy("doc_id", *chain).agg(F.min("text").alias("text")).select(F.col("doc_id").cast("long"), *chain, F.pmod(F.xxhash64("text"), F.lit(FOLDS)).alias("fold"), "text")
+    rows = stored(texts.mapInArrow(_features_of, "doc_id long, " + ", ".join(f"{c} double" for c in chain) + ", fold long, features array<int>"))
+    own = rows.select("doc_id", F.explode("features").alias("f"))
+    common = own.groupBy("f").count().where(F.col("count") >= MIN_ROWS).select("f")
+    own = own.join(common, "f").groupBy("doc_id").agg(F.collect_list("f").alias("features"))
+    table = rows.drop("features").join(own, "doc_id", "left").toArrow().sort_by("doc_id")
+    features_ = [np.sort(np.asarray(x.values, np.int64) & 0xFFFFFFFF) if x.is_valid else np.empty(0, np.int64) for x in table.column("features")]
+    y = np.array([table.column(c).to_numpy() for c in chain]).T
+    return fit_chain(features_, y, tuple(chain), table.column("fold").to_numpy())
 
 
 def _scored(chain: Chain, schema: pa.Schema):
