@@ -71,7 +71,10 @@ class Bits:
 
 
 class FMIndex:
-    """symbols: the shard's texts, each followed by 0. sample: distance of the kept suffix positions, 0 for none."""
+    """symbols: the shard's texts, each followed by 0. sample: distance of the kept suffix positions, 0 for none.
+
+    With depth, order is the whole suffix order, for the caller to draw from and drop.
+    """
 
     def __init__(self, symbols: np.ndarray, sigma: int, depth: int | None = None, sample: int = 16):
         symbols = np.asarray(symbols, np.int64)
@@ -135,21 +138,24 @@ class FMIndex:
         return (self.positions[self.marks.rank(rows)] + walked) % self.n
 
 
-class RangeMin:
-    """Minimum of any range by doubling tables."""
+class SmallestOwner:
+    """The least owner among the suffixes of a range: the owners in suffix order, as ranks, in a wavelet matrix of their own."""
 
-    def __init__(self, values: np.ndarray):
-        self.tables = [values]
-        width = 1
-        while 2 * width <= len(values):
-            last = self.tables[-1]
-            self.tables.append(np.minimum(last[:-width], last[width:]))
-            width *= 2
-        self.flat = np.concatenate(self.tables)
-        self.at = np.concatenate([[0], np.cumsum([len(t) for t in self.tables])])
+    def __init__(self, owners: np.ndarray):
+        self.values, now = np.unique(owners, return_inverse=True)
+        self.levels: list[tuple[Bits, int]] = []
+        for level in range(max(1, int(len(self.values) - 1).bit_length()) - 1, -1, -1):
+            bit = ((now >> level) & 1).astype(bool)
+            zeros = now[~bit]
+            self.levels.append((Bits(bit), len(zeros)))
+            now = np.concatenate([zeros, now[bit]])
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Of [lo, hi), which must not be empty."""
-        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        base = self.at[level]
-        return np.minimum(self.flat[base + lo], self.flat[base + hi - (1 << level.astype(np.int64))])
+        """Of [lo, hi), which must not be empty: at each level the half with a zero bit, if there is any."""
+        rank = np.zeros(len(lo), np.int64)
+        for bits, zeros in self.levels:
+            a, b = bits.rank(lo), bits.rank(hi)
+            up = (b - a) == (hi - lo)
+            lo, hi = np.where(up, zeros + a, lo - a), np.where(up, zeros + b, hi - b)
+            rank = (rank << 1) | up
+        return self.values[rank]

@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._fm import FMIndex
-from quarry.llm._shared import small_batches
+from quarry.llm._shared import new_path, small_batches, stored
 from quarry.llm._words import ALNUM, chunks, split
 
-#: Characters of benchmark text whose phrases travel together; a larger benchmark is searched in more passes.
-BLOCK_CHARS = 1 << 20
+#: Characters of benchmark text whose phrases travel together; a larger benchmark is searched in more passes, each of
+#: which reads what the one before it has written, so that the driver holds one block's phrases and a plan one pass.
+BLOCK_CHARS = 4 << 20
 #: Bytes of text in a shard, about; a longer text is a shard by itself.
 SHARD_BYTES = 2 << 20
 _FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
@@ -34,17 +35,19 @@ class Phrases:
         self.vocabulary, symbols = np.unique(words.hashes(), return_inverse=True)
         self.names = sorted({name for name, _ in items if name is not None})
         place = {name: k for k, name in enumerate(self.names)}
-        windows: dict[bytes, set[int]] = {}
-        for k, (name, _) in enumerate(items):
-            own = (symbols[words.first[k] : words.first[k + 1]] + 1).astype(np.int64)
-            for at in range(max(1, len(own) - n + 1) if len(own) else 0):
-                windows.setdefault(own[at : at + n].tobytes(), set()).update([place[name]] if name is not None else [])
-        rows = [np.frombuffer(key, np.int64) for key in windows]
-        self.lengths = np.array([len(row) for row in rows], np.int64)
-        self.patterns = np.zeros((len(rows), n), np.int64)
-        for k, row in enumerate(rows):
-            self.patterns[k, : len(row)] = row
-        self.of = [np.array(sorted(own), np.int64) for own in windows.values()]
+        name_of = np.array([-1 if name is None else place[name] for name, _ in items], np.int64)
+        count = np.diff(words.first)
+        times = np.where(count > 0, np.maximum(count - n + 1, 1), 0)
+        item = np.repeat(np.arange(len(items)), times)
+        begin = words.first[item] + np.arange(len(item)) - np.repeat(np.cumsum(times) - times, times)
+        lengths = np.minimum(count[item], n)
+        padded = np.concatenate([symbols + 1, np.zeros(n, np.int64)]).astype(np.int32)
+        rows = np.where(np.arange(n) < lengths[:, None], padded[begin[:, None] + np.arange(n)], 0) if len(item) else np.zeros((0, n), np.int32)
+        _, first, which = np.unique(np.ascontiguousarray(rows, np.int32).view(np.dtype((np.void, 4 * n))).ravel(), return_index=True, return_inverse=True)
+        self.patterns, self.lengths = rows[first].astype(np.int64), lengths[first]
+        # The items of each window, one after the other.
+        pairs = np.unique(np.stack([which, name_of[item]], 1)[name_of[item] >= 0], axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        self.of, self.of_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
 
     def scan(self, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
         """For each text: its number of words, merged hit spans in words, and the items found."""
@@ -83,7 +86,8 @@ class Phrases:
         for k, begin, stop in zip(text_of[begins], begins, stops, strict=True):
             spans[k].append((int(begin - words.first[k]), int(stop - words.first[k])))
         for code in np.unique(text * len(self.lengths) + which):
-            items[code // len(self.lengths)].extend(self.of[code % len(self.lengths)])
+            window = code % len(self.lengths)
+            items[code // len(self.lengths)].extend(self.of[self.of_at[window] : self.of_at[window + 1]].tolist())
         return count, spans, [[self.names[x] for x in sorted(set(own))] for own in items]
 
 
@@ -124,17 +128,20 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, n: int = 10, block
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    spark = documents.sparkSession
     size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_chars))
     keyed = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").where("text is not null")
     others = [c for c in documents.columns if c not in ("text", "n_words", "spans", "items")]
     out = small_batches(documents).select("text", *others)
+    shape = spark.createDataFrame([], _FOUND).schema
+    target = type(shape)([*out.schema.fields, *shape.fields])
+    paths = [new_path(spark), new_path(spark)] if blocks > 1 else []
     for block in range(blocks):
         items = keyed.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()  # at most about block_chars characters
-        schema = out.schema if block else None
-        shape = documents.sparkSession.createDataFrame([], f"{_FOUND}").schema
-        target = schema or type(shape)([*out.schema.fields, *shape.fields])
         out = out.mapInArrow(_pass(Phrases([(x["id"], x["text"]) for x in items], n), to_arrow_schema(target, prefers_large_types=False), block == 0), target)
+        if blocks > 1:
+            out = stored(out, paths[block % 2])
     return out
 
 
@@ -182,10 +189,24 @@ def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     hits = F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.start)")
     return found.select(
         "doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"), "spans",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"),
     )
 
 
 QUERIES = {"op2_benchmark_decontamination": op2_benchmark_decontamination}
-
-_SPLIT = r"list_filter(regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '')"
+ORACLE_SQL = {
+    "op2_benchmark_decontamination": r"""
+WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, low),
+b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, low),
+bw AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, md5(array_to_string(w[i:i + 9], ' ')) AS h FROM bw),
+lens AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n),
+occ AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN win ON win.n = dw.n AND win.h = md5(array_to_string(dw.w[i:i + dw.n - 1], ' '))),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY doc_id),
+item AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(item.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
+"""
+}

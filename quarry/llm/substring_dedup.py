@@ -3,8 +3,9 @@
 Every window of `width` consecutive words is represented by its smallest 8-word hash, its anchor. Equal
 windows have equal anchors, so an anchor that occurs in one document only needs no further look, and all
 texts around one anchor can meet in one shard. A text around an anchor (a segment) is a run of windows
-with that anchor. Per shard, the distinct segments are indexed (wavelet-matrix BWT, document minima over
-suffix ranges) and streamed backwards through the index; what is reported are the windows that also
+with that anchor. Per shard, the distinct segments are indexed (BWT in a wavelet matrix, the owners of the
+suffixes in a second one, which answers the smallest owner of a suffix range; the suffix order itself is not
+kept) and streamed backwards through the index; what is reported are the windows that also
 start in a document with a smaller id. Words are matched in the index, but copies are aggregated by hash
 before it: of segments with one anchor and one content hash (64 bits each), only the first document's copy
 enters, and the others are removed whole; of a crowded anchor's windows with the same two hashes of their
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._fm import FMIndex, RangeMin
-from quarry.llm._shared import small_batches, stored
+from quarry.llm._fm import FMIndex, SmallestOwner
+from quarry.llm._shared import hot_keys, small_batches, spread_join, stored
 from quarry.llm._words import PLAIN, _power_tables, chunks, mix, shingle_hashes, sliding_min, split
 
 #: Words of an anchor; windows in a segment at most; words in a shard's index, about.
@@ -104,7 +105,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(own, names=[*names, "doc_id", "text"])
 
 
-def matches(index: FMIndex, smallest: RangeMin, line: np.ndarray, first: np.ndarray, n: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def matches(index: FMIndex, smallest: SmallestOwner, line: np.ndarray, first: np.ndarray, n: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, start) of windows that a text with a smaller owner also has; their union covers every such window.
 
     Each query looks at one window at a time, from its last word backwards. As soon as the suffixes
@@ -170,7 +171,8 @@ def _shard(width: int):
         of = np.zeros(len(line), np.int64)
         of[np.arange(len(symbols)) + text_of] = owner[text_of]
         index = FMIndex(line, len(vocabulary) + 1, depth=width)
-        query, start = matches(index, RangeMin(of[index.order]), line, words.first[:-1] + np.arange(len(n)), n, owner, width)
+        smallest, index.order = SmallestOwner(of[index.order]), None
+        query, start = matches(index, smallest, line, words.first[:-1] + np.arange(len(n)), n, owner, width)
         of = pa.array(query)
         return pa.table({**{c: table.column(c).take(of) for c in ("anchor", "content", "hot")}, "start": start.astype(np.int32), "stop": (start + width).astype(np.int32)})
 
@@ -213,9 +215,11 @@ def repeated_spans(documents: DataFrame, width: int = 50) -> DataFrame:
     """Word ranges of documents (doc_id, text, row) that are windows of a document with a smaller doc_id: (doc_id, row, spans)."""
     segments = stored(documents.select("doc_id", "row", "text").where("doc_id is not null and text is not null").mapInArrow(_segments(width), "anchor long, content long, doc_id long, row long, start int, n int"))
     shared = segments.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    owned = stored(segments.join(shared, "anchor"))
-    distinct = stored(owned.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("o")).select("anchor", "content", "o.*"))
-    hot = distinct.groupBy("anchor").count().where(F.col("count") > HOT_SEGMENTS).select("anchor")
+    owned = stored(spread_join(segments, shared, "anchor", "content", hot_keys(segments, "anchor")))
+    same_words = F.struct("anchor", "content").alias("words")
+    distinct = stored(owned.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("o"), F.count("*").alias("copies")).select("anchor", "content", "o.*", "copies"))
+    crowd = distinct.groupBy("anchor").count()
+    hot = stored(crowd.where(F.col("count") > HOT_SEGMENTS).select("anchor"))
     cold = distinct.join(hot, "anchor", "left_anti").select("doc_id", "row", "anchor", "content", "start", "n", F.lit(False).alias("hot"))
 
     def texts(wanted: DataFrame) -> DataFrame:
@@ -235,10 +239,13 @@ def repeated_spans(documents: DataFrame, width: int = 50) -> DataFrame:
     same = found.where("hot").select(F.col("anchor").alias("h1"), F.col("content").alias("h2")).distinct().join(twice.select("h1", "h2", F.col("x.doc_id").alias("owner")), ["h1", "h2"])
     later = windows.join(same, ["h1", "h2"]).where("doc_id > owner").select("anchor", "content", F.col("at").alias("start"), (F.col("at") + width).alias("stop"))
     ranges = found.where("not hot").select("anchor", "content", "start", "stop").unionAll(later).groupBy("anchor", "content").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    owners = distinct.select("anchor", "content", F.col("doc_id").alias("owner")).join(ranges, ["anchor", "content"], "left")
+    owners = distinct.select("anchor", "content", F.col("doc_id").alias("owner")).join(ranges, ["anchor", "content"], "left").withColumn("words", same_words).drop("anchor", "content")
+    most = max(10_000, owned.count() // 1000)
+    often = distinct.where(F.col("copies") > most).select(same_words, F.ceil(F.col("copies") / most).cast("int").alias("salts"))  # fewer than 1,000
+    often = often if often.limit(1).count() else None
     moved = F.transform("ranges", lambda r: F.struct((F.col("start") + r["start"]).alias("start"), (F.col("start") + r["stop"]).alias("stop")))
     whole = F.array(F.struct("start", (F.col("start") + F.col("n")).alias("stop")))
-    covered = owned.join(owners, ["anchor", "content"]).withColumn("spans", F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(moved)).where("spans is not null")
+    covered = spread_join(owned.withColumn("words", same_words), owners, "words", "doc_id", often).withColumn("spans", F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(moved)).where("spans is not null")
     return covered.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
@@ -266,3 +273,15 @@ def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+ORACLE_SQL = {
+    "op1_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM pos),
+owner AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h),
+hit AS (SELECT DISTINCT win.doc_id, i + k AS p FROM win JOIN owner USING (h), range(50) r(k) WHERE first < win.doc_id),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS text FROM word LEFT JOIN hit USING (doc_id, p) WHERE hit.doc_id IS NULL GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+}
