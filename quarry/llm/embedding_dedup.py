@@ -5,19 +5,25 @@ Each normalised vector x is kept as s * q + e with q of int8 and the norm of e k
 reaches the threshold are computed again in double precision. Equal vectors of a label are one row with a
 count before any product. A label is cut into tiles and each pair of tiles is a group of its own; a group
 returns a count and a local root per vector, never its pairs.
+
+In large labels a tile holds vectors near one pivot, and the range of its angles to every pivot is known. By
+the triangle inequality two vectors are at least as far apart as their angles to any pivot differ, so a pair
+of tiles whose ranges lie too far apart for some pivot has no link and is left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm._shared import components, stored
 
-#: Vectors of a tile.
-TILE = 2048
+#: Vectors of a tile; labels that get pivots, the largest ones of more than a tile, and pivots of each. Neither changes a result.
+TILE, PIVOT_LABELS, PIVOTS = 2048, 64, 32
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,11 +79,59 @@ def _tile_pair(threshold: float):
             if (before == root).all():
                 break
         own = np.flatnonzero(links)
-        return pa.table({"rep": rep[own], "links": links[own].astype(np.int64), "root": root[own]})
+        return pa.table({**{c: table.column(c).take(pa.array(own)) for c in ("label", "k1", "k2")}, "rep": rep[own], "links": links[own].astype(np.int64), "root": root[own]})
+
+    return run
+
+
+def _angled(pivots: dict[tuple, np.ndarray], schema: pa.Schema):
+    """The number of the nearest pivot and the angles to all pivots of the label; none where it has no pivots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, dims, vectors = (batch.column(c).to_pylist() if c != "embedding" else batch.column(c) for c in ("label", "dim", "embedding"))
+            cell, angles = np.zeros(batch.num_rows, np.int32), [[] for _ in range(batch.num_rows)]
+            groups: dict[tuple, list[int]] = {}
+            for row, key in enumerate(zip(labels, dims, strict=True)):
+                if key in pivots:
+                    groups.setdefault(key, []).append(row)
+            for key, rows in groups.items():
+                own = np.asarray(vectors.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), -1)
+                angle = np.arccos(np.clip((own / np.linalg.norm(own, axis=1)[:, None]) @ pivots[key].T, -1, 1))
+                cell[rows] = angle.argmin(axis=1)
+                for row, found in zip(rows, angle.tolist(), strict=True):
+                    angles[row] = found
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angles, pa.list_(pa.float64()))], schema=schema)
 
     return run
 
 
+def _cells(classes: DataFrame, counts: DataFrame, tile: int) -> DataFrame:
+    """classes with cell and angles. Pivots are a bounded number of vectors, by a hash, of a bounded number of large labels."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    large = counts.where(F.col("n") > tile).orderBy(F.desc("n"), "label", "dim").limit(PIVOT_LABELS).select("label", "dim")
+    first = Window.partitionBy("label", "dim").orderBy(F.xxhash64("k1"), "k1", "k2")
+    chosen = classes.join(F.broadcast(large), ["label", "dim"]).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= PIVOTS)
+    pivots: dict[tuple, list] = {}
+    for row in chosen.select("label", "dim", "embedding").collect():  # at most PIVOT_LABELS * PIVOTS vectors
+        pivots.setdefault((row["label"], row["dim"]), []).append(row["embedding"])
+    unit = {key: np.array(own) / np.linalg.norm(own, axis=1)[:, None] for key, own in pivots.items()}
+    extra = classes.sparkSession.createDataFrame([], "cell int, angles array<double>").schema
+    schema = type(extra)([*classes.schema.fields, *extra.fields])
+    return stored(classes.mapInArrow(_angled(unit, to_arrow_schema(schema, prefers_large_types=False)), schema))
+
+
+def _tile_pairs(tiles: DataFrame, threshold: float) -> DataFrame:
+    """(label, dim, tile, pairs): the pairs (s, t) that a tile is in, without those whose angles to some pivot differ too much. tiles: label, dim, tile, low, high."""
+    reach = float(np.arccos(threshold)) + 1e-6
+    one, two = tiles.select("label", "dim", F.col("tile").alias("s"), F.col("low").alias("low_s"), F.col("high").alias("high_s")), tiles.select("label", "dim", F.col("tile").alias("t"), F.col("low").alias("low_t"), F.col("high").alias("high_t"))
+    apart = F.exists(F.arrays_zip("low_s", "high_s", "low_t", "high_t"), lambda x: (x["low_s"] - x["high_t"] > reach) | (x["low_t"] - x["high_s"] > reach))
+    near = one.join(two, ["label", "dim"]).where("s <= t").where(~apart).select("label", "dim", "s", "t")
+    both = near.select("label", "dim", F.explode(F.array_distinct(F.array("s", "t"))).alias("tile"), F.struct("s", "t").alias("p"))
+    return both.groupBy("label", "dim", "tile").agg(F.collect_list("p").alias("pairs"))
+
+
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, tile: int = TILE) -> DataFrame:
     """One row per row of embeddings (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
@@ -96,14 +150,24 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93, tile: int =
     keyed = rows.withColumn("k1", F.when(sound, F.xxhash64("embedding"))).withColumn("k2", F.when(sound, F.xxhash64(F.reverse("embedding"))))
     once = keyed.where("k1 is not null").dropDuplicates(["vec_id", "label", "k1", "k2"])
     classes = stored(once.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding")))
-    tiles = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = classes.join(F.broadcast(tiles) if tiles.count() <= 100_000 else tiles, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("s"), F.greatest("tile", o).alias("t")))
-    dealt = dealt.select("label", "dim", "rep", "copies", "embedding", "tile", F.explode(pairs).alias("p")).select("*", "p.s", "p.t").drop("p")
-    found = stored(dealt.groupBy("label", "dim", "s", "t").applyInArrow(_tile_pair(threshold), "rep long, links long, root long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    counts = stored(classes.groupBy("label", "dim").agg(F.count("*").alias("n")))
+    placed = _cells(classes, counts, tile)
+    size = stored(placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")))
+    before = Window.partitionBy("label", "dim").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row a cell, at most PIVOTS of a label
+    size = size.withColumn("from", F.coalesce(F.sum("tiles").over(before), F.lit(0)).cast("int"))
+    size = F.broadcast(size) if size.count() <= 100_000 else size
+    dealt = placed.join(size, ["label", "dim", "cell"]).withColumn("tile", (F.col("from") + F.pmod(F.xxhash64("k1", "k2"), "tiles")).cast("int")).drop("cell", "tiles", "from")
+    extreme = lambda of, name: F.array_compact(F.array(*(of(F.get("angles", F.lit(k))) for k in range(PIVOTS)))).alias(name)
+    tiles = stored(dealt.groupBy("label", "dim", "tile").agg(extreme(F.min, "low"), extreme(F.max, "high")))
+    pairs = stored(_tile_pairs(tiles, threshold))
+    pairs = F.broadcast(pairs) if pairs.agg(F.coalesce(F.sum(F.size("pairs")), F.lit(0))).first()[0] <= 1_000_000 else pairs
+    dealt = dealt.drop("angles").join(pairs, ["label", "dim", "tile"])
+    dealt = dealt.select("label", "dim", "k1", "k2", "rep", "copies", "embedding", "tile", F.explode("pairs").alias("p")).select("*", "p.s", "p.t").drop("p")
+    shape = f"label {classes.schema['label'].dataType.simpleString()}, k1 long, k2 long, rep long, links long, root long"
+    found = stored(dealt.groupBy("label", "dim", "s", "t").applyInArrow(_tile_pair(threshold), shape))
+    links = found.groupBy("label", "k1", "k2").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    known = classes.select("label", "k1", "k2", "rep", "copies").join(links, "rep", "left").join(joined, "rep", "left")
+    known = classes.select("label", "k1", "k2", "rep", "copies").join(links, ["label", "k1", "k2"], "left").join(joined, "rep", "left")
     out = keyed.select("vec_id", "label", "k1", "k2").join(known, ["label", "k1", "k2"], "left")
     component = F.coalesce("component", "rep", "vec_id")
     return out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -101,12 +101,68 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(frame.limit(0)).collect() == []
 
 
+def test_embeddings_of_different_vectors_with_one_id(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [1.0, 0.02], 1), (4, [0.01, 1.0], 1)]
+    got = {}
+    for row in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect():
+        got.setdefault(row.vec_id, []).append((row.n_links, row.component_id))
+    assert sorted(got[1]) == [(1, 1), (2, 1)] and got[2] == [(2, 1)] and got[3] == [(2, 1)] and got[4] == [(1, 1)]
+
+
+def test_embeddings_leave_out_only_pairs_of_tiles_without_a_link(spark):
+    """Clusters in many tiles, with pivots: the same links as all pairs, from fewer pairs of tiles."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(8, 16))
+    x = centres[np.arange(400) % 8] + r.normal(size=(400, 16)) * 0.18
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    close = (unit @ unit.T >= 0.93) & ~np.eye(400, dtype=bool)
+    frame = spark.createDataFrame([(k, v.tolist(), "a") for k, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = {row.vec_id: row for row in embedding_dedup.near_duplicates(frame, tile=10).collect()}
+    assert close.any() and [got[k].n_links for k in range(400)] == close.sum(axis=1).tolist()
+    tiles = spark.createDataFrame([("a", 2, 0, [0.0], [0.1]), ("a", 2, 1, [0.3], [0.4]), ("a", 2, 2, [1.0], [1.1])], "label string, dim int, tile int, low array<double>, high array<double>")
+    pairs = {(p.s, p.t) for row in embedding_dedup._tile_pairs(tiles, 0.93).collect() for p in row.pairs}
+    assert pairs == {(0, 0), (1, 1), (2, 2), (0, 1)}
+
+
 def test_token_counts(documents, nothing):
     rows = {r.n_tokens: r for r in token_counts.token_counts(documents.withColumn("n_tokens", F.lit("x"))).collect()}
     assert rows[0].n_docs == 2 and max(rows) > 60_000 and sum(r.n_docs for r in rows.values()) == len(ROWS)
     assert token_counts.token_counts(nothing).collect() == []
 
 
+def test_token_counts_of_long_white_space(spark):
+    """Runs that the tokenizer's own matcher fails on, with the lengths that their pieces have."""
+    texts = [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", None, "a b"]
+    table = token_counts.token_counts(spark.createDataFrame([(x,) for x in texts], "text string"))
+    assert sorted(r.n_tokens for r in table.collect()) == [0, 2, 500_003, 1_000_000]
+
+
+def test_white_space_is_cut_where_the_pattern_cuts_it(monkeypatch):
+    import random
+    import re
+
+    encoding = token_counts._encoding(open(token_counts.TOKENIZER, "rb").read(), token_counts.PATTERN)
+    monkeypatch.setattr(token_counts, "RUN", 0)
+    monkeypatch.setattr(token_counts, "_RUN", re.compile(token_counts._RUN.pattern.replace("1000", "4")))
+    r = random.Random(2)
+    for _ in range(300):
+        text = "".join(r.choice(["a", "b1", " ", "  \n", "\t", "é", "!", " " * r.randint(1, 30), "\u2003" * 3]) for _ in range(r.randint(0, 30)))
+        assert token_counts.n_tokens(text, encoding, token_counts.PATTERN) == len(encoding.encode_ordinary(text)), text
+
+
+def test_limits_and_quantiles(spark):
+    table = token_counts.context_limits(spark.createDataFrame([(2, 3), (5, 1), (9, 4)], "n_tokens long, n_docs long"), width=4)
+    lengths = [2] * 3 + [5] + [9] * 4
+    for row in token_counts.at_limits(table, [0, 1, 2, 4, 7, 100]).collect():
+        n = row.n_tokens
+        kept = sum(min(x, n) for x in lengths)
+        assert tuple(row) == (n, sum(x <= n for x in lengths), sum(x > n for x in lengths), sum(x for x in lengths if x <= n), kept, sum(lengths) - kept)
+    assert [tuple(r) for r in token_counts.quantiles(table, [0.1, 0.5, 0.51, 1.0]).collect()] == [(0.1, 2), (0.5, 5), (0.51, 9), (1.0, 9)]
+    assert token_counts.at_limits(table.limit(0), [5]).collect() == []
+
+
 def test_secrets(documents, nothing):
     rows = by_id(secrets.find_secrets(documents.withColumn("secrets", F.lit("x")), secrets.Formats({}, [])).collect(), "secrets")
     assert [x.kind for x in rows[8][0]] == ["assign", "access"] and rows[3] == [[]] and rows[1] == [[], []]
@@ -115,6 +171,33 @@ def test_secrets(documents, nothing):
     assert secrets.find_secrets(nothing).collect() == []
 
 
+def test_secrets_of_many_matches_in_one_text():
+    import time
+
+    text = " ".join(f"token={k:012d} {'ab' * 20} word{k}longer" for k in range(100_000))
+    began = time.time()
+    spans = secrets.secret_spans(text, secrets.Formats({"hex": secrets.infer(["a" * 40] * 9)}, []))
+    assert len(spans) >= 200_000 and time.time() - began < 30
+    assert secrets.masked(text, spans, "#").startswith("# # word0longer # # word1longer")
+    assert secrets.masked("abcdef", [(0, 2, "x"), (1, 4, "y"), (5, 6, "x")], "#") == "#e#" and secrets.masked("ab", [], "#") == "ab"
+
+
+def test_learned_formats_on_held_out_credentials(spark):
+    """Credentials of half of the documents, without what names them, against the tokens of the others."""
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    formats = secrets.learn_formats(documents.where("doc_id % 2 = 0"))
+    hit = total = wrong = ordinary = 0
+    for row in documents.where("doc_id % 2 = 1").select("text").collect():
+        base = secrets.base_spans(row.text or "")
+        for _, _, _, token in base:
+            total += 1
+            hit += formats.kind_of(token) is not None
+        for m in secrets.apart(row.text or "", base):
+            ordinary += 1
+            wrong += formats.kind_of(m[0]) is not None
+    assert total > 100 and hit >= 0.95 * total and ordinary > 100_000 and wrong <= 0.0001 * ordinary
+
+
 def test_formats_are_learned_from_all_documents_and_whole_texts(spark):
     """A kind that few documents have is learned, however few documents are read for ordinary tokens."""
     words = " ".join(f"ordinary{chr(97 + k)}" for k in range(26)) + " atthevery/end"
@@ -217,6 +300,57 @@ def test_html(spark):
     assert html_extraction.extract_text(frame.limit(0)).collect() == []
 
 
+PROSE = "<p>The first of the paragraphs is long enough to be decided by the words that are in it.</p>"
+
+
+@pytest.mark.parametrize(("page", "lines"), [
+    (f"<div style='overflow:hidden'>{PROSE}</div>", 1), (PROSE.replace("<p>", "<p title='hidden gem'>"), 1), (f"<div class='content with-sidebar'>{PROSE * 3}</div>", 3),
+    (f"<div id='page' class='no-sidebar'><nav><a href='/'>Home</a></nav>{PROSE * 3}<footer>Of the site</footer></div>", 3), (f"<article>{PROSE}<section id='related-work'><h2>Related work</h2>{PROSE}</section></article>", 3),
+    (f"<form id='whole'><div class='site-header'>Site</div><article>{PROSE}</article><div class='comments'>{PROSE * 5}</div></form>", 1), (f"<article>{PROSE}</article><section id='comments'><article class='comment'>{PROSE * 9}</article></section>", 1),
+    (f"<article>{PROSE}<div hidden>{PROSE}</div><div class='ad'>{PROSE}</div><p>Short.</p></article>", 2), (f"<article>{PROSE * 2}</article>{PROSE * 2}".replace("The first", "A first", 2), 4), ("<article><p>Short.</p><div class='ad'>Buy</div><p>Short, too.</p></article>", 2),
+    ("<a href=\"x>text</a><p>lost</p>", 0), ("x &lt; y <a \"> z</a>", 1), ("<p>a <b", 1), ("", 0), (f"<nav><a href='/'>Home</a></nav><h1>Head</h1>{PROSE}<p>Short.</p>", 3),
+])
+def test_html_names_do_not_decide_alone(page, lines):
+    assert len(html_extraction.article_text(page).splitlines()) == lines
+
+
+@pytest.mark.parametrize("page", ["<article>" + "<p>Short one</p>" * 100_000 + "</article>", "<div>" * 100_000 + "text", '<a "' * 100_000, '<a x=" > " ' * 50_000, "<svg>" * 100_000, "<div class='ad'>" * 50_000 + "word", "<div>" * 50_000 + "</p>" * 50_000])
+def test_html_of_very_long_pages(page):
+    import time
+
+    began = time.time()
+    html_extraction.article_text(page)
+    assert time.time() - began < 20
+
+
+def test_pii_of_many_matches_in_one_text(spark):
+    n = 20_000
+    text = " ".join(f"server 10.0.{k // 250}.{k % 250} code AB-{k:06d}" for k in range(n))
+    spans = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert [text[x.start : x.end] for x in spans if x.kind == "ip"] == [f"10.0.{k // 250}.{k % 250}" for k in range(n)]
+
+
+def test_pii_learned_patterns(spark):
+    """Unseen identifiers behind contexts that seeds have, and behind others: precision and recall."""
+    seen, plain = ("client number", "write to", "login from"), ("order code", "part size", "room name")
+    texts = []
+    for k in range(120):
+        for j, context in enumerate(seen):
+            texts.append(f"Here {context} 10.{j}.0.{k} was used.")
+        texts.append(f"Then {seen[k % 3]} ID-{k:05d}X was used.")
+        texts.append(f"Then {plain[k % 3]} ID-{k:05d}Y was used.")
+    found = [texts[row.doc_id][x.start : x.end] for row in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() for x in row.spans if x.kind.startswith("like_")]
+    assert sorted(found) == [f"ID-{k:05d}X" for k in range(120)]
+
+
+def test_pii_contexts_are_whole(spark):
+    """A long context is not cut, and one ends at the match before it."""
+    long = "a" * 70
+    frame = spark.createDataFrame([(1, f"{long} {long}: 10.0.0.1, 10.0.0.2")], "doc_id long, text string")
+    base = pii.scan(frame).first().base
+    assert [x.context for x in base] == [f"{long} {long}: ", ""]
+
+
 def test_pii(spark, documents, nothing):
     spans = by_id(pii.find_pii(documents.withColumn("spans", F.lit("x"))).collect(), "spans")
     assert [x.kind for x in spans[8][0]] == ["email"] and spans[3] == [[]] and spans[1] == [[], []] and spans[None] == [[]]
@@ -227,6 +361,22 @@ def test_pii(spark, documents, nothing):
     assert [(x.kind, x.start, x.end) for x in found[99][0]] == [("like_ip", 26, 35)]
 
 
+def test_mixing_pools_what_is_beyond_the_largest_sources(spark):
+    rows = [(k, f"s{k % 7}" if k % 2 else f"t{k}") for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix_sources(frame, block=2, most=7).collect()
+    assert len(got) == 400 and len({(r.slot, r.place) for r in got}) == 400 and {r.source for r in got} == {source for _, source in rows}
+
+
+def test_toxicity_of_repeated_documents(spark):
+    words = "alpha beta gamma delta".split()
+    texts = [(k, f"{words[k % 4]} common words {'awful insult' if k % 3 == 0 else 'kind praise'}") for k in range(120)]
+    frame = spark.createDataFrame(texts * 3 + [(200, "x " * 200_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(120)] + [(200, 1, 1)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(frame, labels)
+    assert all(r.is_toxic == (r.doc_id % 3 == 0) for r in toxicity.score(frame, chain).collect() if r.doc_id != 200)
+
+
 def test_toxicity(spark, documents, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (8, 0, None)], "doc_id long, quality int, toxic int")
     chain = toxicity.train(documents, labels)
