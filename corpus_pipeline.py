@@ -1,7 +1,12 @@
 """A corpus pipeline: five stages over the documents table, each a numbered operator of quarry.llm.
 
 Each stage gets (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
-the next one's docs. All but the last return the columns of documents.
+the next one's docs. All but the last return the columns of documents, and other columns that docs has.
+
+Nulls, empty texts and repeated rows come through as follows. A null or empty text is not toxic, no near copy,
+holds no benchmark passage and no secret, so it stays and is mixed. Rows without doc_id stay too, as nothing is
+their copy. Repeated rows of one doc_id are one document: they stay or go together and get the same text. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
