@@ -126,7 +126,7 @@ def deadlines(df: DataFrame, published: str, n: str, kind: str, days: DataFrame)
     """df with due_on: n business or calendar days after publication, suspended in the year-end recess.
 
     Days of the recess do not count unless the publication itself lies in it; a due day that is not a
-    working day rolls forward. Null published or n gives null.
+    working day rolls forward to the next one, in the recess or not. Null published or n gives null.
     """
     marked = days.withColumn("_recess", in_recess(F.col("day")))
     order = Window.orderBy("day")
@@ -135,7 +135,6 @@ def deadlines(df: DataFrame, published: str, n: str, kind: str, days: DataFrame)
         F.sum((F.col("is_working") & ~F.col("_recess")).cast("int")).over(order).alias("open_ordinal"),
         F.sum((~F.col("_recess")).cast("int")).over(order).alias("open_days"),
         F.min(F.when(F.col("is_working"), F.col("day"))).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("next_working"),
-        F.min(F.when(F.col("is_working") & ~F.col("_recess"), F.col("day"))).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("next_open"),
     )
     start = table.select(F.col("day").alias("_start"), F.col("ordinal").alias("_w"), F.col("open_ordinal").alias("_ow"), F.col("open_days").alias("_od"), F.col("_recess").alias("_inside"))
     out = df.join(F.broadcast(start), F.col(published) == F.col("_start"), "left")
@@ -146,12 +145,33 @@ def deadlines(df: DataFrame, published: str, n: str, kind: str, days: DataFrame)
         table.where("is_working").select(F.lit("w").alias("_m"), F.col("ordinal").cast("long").alias("_g"), F.col("day").alias("due_on"))
         .unionAll(table.where("is_working and not _recess").select(F.lit("o"), F.col("open_ordinal").cast("long"), "day"))
         .unionAll(table.select(F.lit("c"), F.datediff("day", F.lit("1970-01-01")).cast("long"), "next_working"))
-        .unionAll(table.where("not _recess").select(F.lit("d"), F.col("open_days").cast("long"), "next_open"))
+        .unionAll(table.where("not _recess").select(F.lit("d"), F.col("open_days").cast("long"), "next_working"))
     )
     out = out.join(F.broadcast(goals), (F.col("_mode") == F.col("_m")) & (F.col("_goal").cast("long") == F.col("_g")), "left")
     return out.drop("_start", "_w", "_ow", "_od", "_inside", "_mode", "_goal", "_m", "_g")
 
 
+def deadline_results(df: DataFrame, days: DataFrame, now: str) -> DataFrame:
+    """df with due_on, overdue, reason, needs_review and items, an array of (kind, day, time, fatal), of each publication.
+
+    df: published_on or available_on, deadline_days, deadline_kind, manual_due_on, court, calendar_verified,
+    hearing_on, hearing_time, judgment_on. A publication is the first working day after its availability; a
+    manual day wins over a computed one; without days or a publication there is none. A court whose calendar
+    is not verified makes a computed or manual day partial, which is to be reviewed.
+    """
+    out = add_working_days(df, "available_on", 1, days, "_after").withColumn("published_on", F.coalesce("published_on", "_after")).drop("_after")
+    out = deadlines(out, "published_on", "deadline_days", "deadline_kind", days).withColumnRenamed("due_on", "_computed")
+    partial = F.col("court").isNotNull() & ~F.coalesce("calendar_verified", F.lit(False))
+    out = out.withColumn("due_on", F.coalesce("manual_due_on", "_computed"))
+    manual, due = F.col("manual_due_on").isNotNull(), F.col("due_on").isNotNull()
+    reason = F.when(manual & partial, F.lit("manual_due_date_with_partial_calendar")).when(manual, F.lit("manual_due_date")).when(~due, F.lit("missing_deadline_data")).when(partial, F.lit("partial_court_calendar"))
+    item = lambda kind, day, fatal, time=None: F.when(F.col(day).isNotNull(), F.struct(F.lit(kind).alias("kind"), F.col(day).alias("day"), (F.col(time) if time else F.lit(None).cast("string")).alias("time"), F.lit(fatal).alias("fatal")))
+    first = F.when(manual, item("manual_due_date", "due_on", True)).otherwise(item("deadline", "due_on", True))
+    items = F.array_compact(F.array(first, item("hearing", "hearing_on", False, "hearing_time"), item("judgment", "judgment_on", False)))
+    out = out.withColumns({"overdue": F.coalesce(F.col("due_on") < F.lit(now).cast("date"), F.lit(False)), "reason": reason, "needs_review": due & partial, "items": items})
+    return out.drop("_computed")
+
+
 def backfill_years(spark: SparkSession, now: str, first: int = 2008) -> DataFrame:
     """Every year from first to the one after now."""
     return spark.range(1).select(F.explode(F.sequence(F.lit(first), F.year(F.lit(now).cast("date")) + 1)).alias("year"))

@@ -26,6 +26,12 @@ def half_up(x: Column | str, places: int = 0) -> Column:
     return F.floor(col(x) * 10**places + 0.5) / 10**places
 
 
+def to_fixed(x: Column | str, places: int) -> Column:
+    """Rounded by the exact binary value of a double, halves away from zero: 1.005 is below its half and goes down."""
+    exact = col(x).cast("double").cast("decimal(38,20)")
+    return F.round(exact, places).cast("double")
+
+
 def rate(x: Column | str) -> Column:
     """A rate over 1 is a percentage."""
     return F.when(col(x) > 1, col(x) / 100).otherwise(col(x))

@@ -23,13 +23,17 @@ def quality_grade(score: Column | str) -> Column:
 def source_quality(runs: DataFrame, key: str = "source_id") -> DataFrame:
     """Per source: valid coverage, yield, field coverage, error rate, and the weighted score with its grade.
 
-    runs: rows, valid, relevant, imported, errors and field_coverage (null where a run has none). yield is
-    imported of relevant, the error rate errors of errors and relevant; averages leave nulls out.
+    runs: rows, valid, relevant, imported, errors and field_coverage (null where a run has none). Valid rows
+    are measured against all rows, else the relevant, else themselves; imported rows and errors against the
+    relevant rows, else the valid, else the imported ones. Averages leave nulls out; without any field
+    coverage the valid coverage stands for it.
     """
-    sums = runs.groupBy(key).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "valid", "relevant", "imported", "errors")), F.avg("field_coverage").alias("field_coverage"))
-    out = sums.withColumns({"valid_coverage": ratio("valid", "rows"), "yield": ratio("imported", "relevant"), "error_rate": ratio("errors", F.col("errors") + F.col("relevant"))})
+    out = runs.groupBy(key).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "valid", "relevant", "imported", "errors")), F.avg("field_coverage").alias("field_coverage"))
+    first = lambda *names: F.coalesce(*(F.nullif(F.col(c), F.lit(0)) for c in names), F.lit(0))
+    basis = first("relevant", "valid", "imported")
+    out = out.withColumns({"valid_coverage": ratio("valid", first("rows", "relevant", "valid")), "yield": ratio("imported", basis), "error_rate": ratio("errors", F.col("errors") + basis)})
     fields = F.coalesce(F.col("field_coverage"), F.col("valid_coverage"))
-    score = 0.4 * F.col("valid_coverage") + 0.3 * F.least(F.col("yield"), F.lit(1.0)) + 0.2 * fields + 0.1 * (1 - F.col("error_rate"))
+    score = 0.4 * F.col("valid_coverage") + 0.3 * F.col("yield") + 0.2 * fields + 0.1 * (1 - F.col("error_rate"))
     return out.withColumn("quality_score", F.round(score, 4)).withColumn("grade", quality_grade("quality_score"))
 
 

@@ -41,48 +41,65 @@ def resolve_fields(candidates: DataFrame, wanted: DataFrame | None = None) -> Da
     """
     values = candidates.withColumn("normalized", normalized_value("field", "value")).where("normalized is not null")
     groups = values.groupBy("asset_id", "field", "normalized").agg(F.sum("weight").alias("score"), F.max("confidence").alias("confidence"), F.count("*").alias("mentions"))
-    totals = groups.groupBy("asset_id", "field").agg(F.sum("score").alias("total"), F.count("*").alias("distinct_values"))
-    best = top_by(groups, ["asset_id", "field"], [F.desc("score"), F.desc("mentions"), F.asc("normalized")])
-    out = best.join(totals, ["asset_id", "field"]).select(
-        "asset_id", "field", F.col("normalized").alias("resolved_value"), F.when(F.col("distinct_values") > 1, F.lit("conflict")).otherwise(F.lit("resolved")).alias("status"),
-        F.when(F.col("distinct_values") > 1, F.col("score") / F.col("total")).otherwise(F.col("confidence")).alias("confidence"), "distinct_values", "mentions",
+    # The highest score, then the most mentions, then the first value, in one aggregation.
+    first = F.min_by(F.struct("normalized", "score", "confidence", "mentions"), F.struct(-F.col("score"), -F.col("mentions"), F.col("normalized"))).alias("best")
+    best = groups.groupBy("asset_id", "field").agg(first, F.sum("score").alias("total"), F.count("*").alias("distinct_values"))
+    out = best.select(
+        "asset_id", "field", F.col("best.normalized").alias("resolved_value"), F.when(F.col("distinct_values") > 1, F.lit("conflict")).otherwise(F.lit("resolved")).alias("status"),
+        F.when(F.col("distinct_values") > 1, F.col("best.score") / F.col("total")).otherwise(F.col("best.confidence")).alias("confidence"), "distinct_values", "best.mentions",
     )
     if wanted is None:
         return out
     return wanted.select("asset_id", "field").distinct().join(out, ["asset_id", "field"], "left").fillna({"status": "missing", "confidence": 0.0, "distinct_values": 0, "mentions": 0})
 
 
-# Points of each agreement between an asset and a process.
+# Points of each agreement between an asset and a process; words of classes and subjects; class codes of requisitions.
 POINTS = {"prefix": 35, "same_year": 20, "same_court": 15, "proposal_year": 10, "process_date": 20, "close_year": 10, "precatorio_class": 25, "execution_class": 15, "cause_overlap": 15, "benefit_subject": 5}
+REQUISITION_WORDS = ("precatorio", "requisicao de pequeno valor", "rpv")
+EXECUTION_WORDS = ("cumprimento", "execucao", "fazenda")
+BENEFIT_WORDS = ("aposentadoria", "previd", "beneficio", "servidor", "salario")
+REQUISITION_CLASSES = (1265, 1266)
+#: Processes of a court and year that a task compares.
+SALT_ROWS = 100_000
 
 
-def match_candidates(assets: DataFrame, processes: DataFrame, n: int = 5, least: int = 35) -> DataFrame:
-    """The n best processes of each asset by summed points, at most 100.
-
-    Pairs come from two equi-joins only: the same first seven digits of the process number, or the same
-    court and filing year. assets: asset_id, cnj_number, court, filed_year, proposal_year, cause;
-    processes: process_id, cnj, p_court, p_year, class_name, subject.
-    """
-    a = assets.withColumn("_prefix", F.substring(digits("cnj_number"), 1, 7))
-    p = processes.withColumn("_prefix", F.substring(digits("cnj"), 1, 7))
-    keys = a.select("asset_id", "_prefix").join(p.select("process_id", "_prefix"), "_prefix").select("asset_id", "process_id")
-    same = a.where("cnj_number is null").select("asset_id", F.col("court").alias("_c"), F.col("filed_year").alias("_y")).join(p.select("process_id", F.col("p_court").alias("_c"), F.col("p_year").alias("_y")), ["_c", "_y"]).select("asset_id", "process_id")
-    pairs = keys.unionAll(same).distinct().join(a, "asset_id").join(p.drop("_prefix"), "process_id")
+def candidate_score(points: dict[str, int] = POINTS) -> tuple[Column, Column]:
+    """(score, signals) of a row of match_candidates' pairs."""
     number, other = digits("cnj_number"), digits("cnj")
-    none = F.col("cnj_number").isNull()
-    klass = F.lower(fold("class_name"))
+    at = lambda c, start, n: F.nullif(F.substring(c, start, n), F.lit(""))
+    unnumbered = F.coalesce(number, F.lit("")) == ""
+    says = lambda c, words: F.lower(fold(F.coalesce(c, F.lit("")))).rlike("|".join(words))
     tests = {
-        "prefix": F.substring(number, 1, 7) == F.substring(other, 1, 7), "same_year": F.substring(number, 10, 4) == F.substring(other, 10, 4), "same_court": F.substring(number, 14, 3) == F.substring(other, 14, 3),
-        "proposal_year": F.col("proposal_year") - F.col("p_year") <= 2, "process_date": none & (F.col("filed_year") == F.col("p_year")), "close_year": none & (F.abs(F.col("filed_year") - F.col("p_year")) <= 2),
-        "precatorio_class": klass.contains("precatorio"), "execution_class": klass.contains("execucao") | klass.contains("cumprimento"), "cause_overlap": shares_long_word("cause", "subject"),
-        "benefit_subject": F.lower(fold("subject")).contains("beneficio"),
+        "prefix": at(number, 1, 7) == at(other, 1, 7), "same_year": at(number, 10, 4) == at(other, 10, 4), "same_court": at(number, 14, 3) == at(other, 14, 3),
+        "proposal_year": F.col("proposal_year").cast("string") == at(other, 10, 4), "process_date": unnumbered & (F.col("filed_year") == F.col("p_year")),
+        "close_year": unnumbered & (F.abs(F.col("proposal_year") - F.col("p_year")) <= 2), "precatorio_class": says(F.col("class_name"), REQUISITION_WORDS),
+        "execution_class": says(F.col("class_name"), EXECUTION_WORDS), "cause_overlap": shares_long_word("cause", "subject"), "benefit_subject": says(F.col("subject"), BENEFIT_WORDS),
     }
     hits = {k: F.coalesce(v, F.lit(False)) for k, v in tests.items()}
     score = F.lit(0)
     for k, v in hits.items():
-        score = score + F.when(v, POINTS[k]).otherwise(0)
-    reasons = F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in hits.items())))
-    scored = pairs.withColumns({"score": F.least(score, F.lit(100)), "signals": reasons}).where(F.col("score") >= least)
+        score = score + F.when(v, points[k]).otherwise(0)
+    return F.least(score, F.lit(100)), F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in hits.items())))
+
+
+def match_candidates(assets: DataFrame, processes: DataFrame, n: int = 5, least: int = 35) -> DataFrame:
+    """The n best processes of each asset by summed points, at most 100.
+
+    Pairs come from two equi-joins only: the same first seven digits of the process number; or, for assets
+    without a number, the same court and filing year among requisitions (REQUISITION_CLASSES). A court and year
+    with very many of them is dealt to several tasks. assets: asset_id, cnj_number, court, filed_year,
+    proposal_year, cause; processes: process_id, cnj, p_court, p_year, class_code, class_name, subject.
+    """
+    prefix = lambda c: F.nullif(F.substring(digits(c), 1, 7), F.lit("")).alias("_prefix")
+    keys = assets.select("asset_id", prefix("cnj_number")).join(processes.select("process_id", prefix("cnj")), "_prefix").select("asset_id", "process_id")
+    of_class = processes.where(F.col("class_code").isin(*REQUISITION_CLASSES)).select("process_id", F.col("p_court").alias("_c"), F.col("p_year").alias("_y"))
+    salts = of_class.groupBy("_c", "_y").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("_salts"))
+    of_class = of_class.join(salts, ["_c", "_y"]).withColumn("_salt", F.pmod(F.xxhash64("process_id"), "_salts").cast("int")).drop("_salts")
+    unnumbered = assets.where(F.coalesce(digits("cnj_number"), F.lit("")) == "").select("asset_id", F.col("court").alias("_c"), F.col("filed_year").alias("_y"))
+    unnumbered = unnumbered.join(salts, ["_c", "_y"]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    pairs = keys.unionAll(unnumbered.join(of_class, ["_c", "_y", "_salt"]).select("asset_id", "process_id")).distinct()
+    score, signals = candidate_score()
+    scored = pairs.join(assets, "asset_id").join(processes, "process_id").withColumns({"score": score, "signals": signals}).where(F.col("score") >= least)
     return top_by(scored.select("asset_id", "process_id", "score", "signals"), ["asset_id"], [F.desc("score"), F.asc("process_id")], n).withColumn("status", candidate_status("score"))
 
 
@@ -95,8 +112,20 @@ def review(df: DataFrame, least: int = 85, force: bool = False) -> Column:
     return F.when(F.lit(force) | (F.col("score") >= least), F.lit("accepted")).otherwise(F.col("status"))
 
 
-# Weights of the eight checks of a dossier, and grades by least share.
-CHECKS = {"identity": 15, "debtor": 20, "value": 15, "queue": 10, "process": 15, "publication": 10, "evidence": 10, "score": 5}
+# Weights of the eight checks of a dossier.
+CHECKS = {"source_evidence": 15, "canonical_identity": 20, "judicial_process": 15, "publication_history": 10, "financial_facts": 15, "legal_signals": 10, "scoring": 10, "operation": 5}
+
+
+def dossier_checks() -> dict[str, Column]:
+    """State of each check from the counts source_links, identities (of three), processes, candidates, publications, publication_events, valuations, budget_facts, process_signals, events, scores, and the flags has_source, has_score, has_opportunity, has_pricing."""
+    has = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rules = {
+        "source_evidence": (has("source_links"), flag("has_source")), "canonical_identity": (F.col("identities") == 3, F.col("identities") >= 2), "judicial_process": (has("processes"), has("candidates")),
+        "publication_history": (has("publications") & has("publication_events"), has("publications")), "financial_facts": (has("valuations") & has("budget_facts"), has("valuations") | has("budget_facts")),
+        "legal_signals": (has("process_signals") | has("publication_events") | (F.coalesce("events", F.lit(0)) >= 2), has("events")), "scoring": (has("scores"), flag("has_score")), "operation": (flag("has_opportunity") & flag("has_pricing"), flag("has_opportunity")),
+    }
+    return {name: F.when(whole, F.lit("complete")).when(part, F.lit("partial")).otherwise(F.lit("missing")) for name, (whole, part) in rules.items()}
 
 
 def completeness(checks: dict[str, Column]) -> tuple[Column, Column]:

@@ -65,17 +65,29 @@ DEADLINE_WORDS = {"cinco": 5, "oito": 8, "dez": 10, "quinze": 15}
 _DEADLINE = r"\bprazo\s+(?:de\s+)?(\d{1,3}|cinco|dez|quinze|oito)\s+dias?\s*(uteis|corridos)?"
 
 
+# Words in folded lower-case text that name a branch, a notice, a wish to be heard, a denied deadline, a matter, urgency; words of dated events.
+SMALL_CLAIMS, FEDERAL_SMALL_CLAIMS = r"\b(jec|juizado especial civel)\b", r"\b(jef|juizado especial federal)\b"
+NOTICE, HEARD = r"\bintime-se\b|\bmanifeste-se\b", r"\b(manifeste-se|manifestar|manifestacao|pronuncie-se|diga)\b"
+NO_DEADLINE = r"\bsem\s+prazo\b|\bprazo\s+nao\s+informado\b"
+MATTERS = (("precatorio", r"\bprecatorio\b|\brpv\b"), ("injunction", r"\btutela\b|\bliminar\b"), ("asset_restriction", r"\bpenhora\b|\bbloqueio\b"))
+URGENT = r"\burgente\b|\bliminar\b|\btutela\b|\bpenhora\b|\bbloqueio\b"
+HEARING, JUDGMENT = "audiencia|conciliacao|instrucao", "julgamento|sessao"
+# Rule of law behind a deadline, by act.
+BASIS = {"article_523_notice": "CPC art. 523", "citation": "CPC art. 335", "sentence": "CPC art. 1.003, paragraph 5", "appellate_decision": "CPC art. 1.003, paragraph 5", "interlocutory_decision": "CPC art. 1.015", "embargos_decision": "CPC art. 1.023"}
+ASSUMED_BASIS, SMALL_CLAIMS_BASIS = "CPC art. 218, paragraph 3", "Law 9.099/95"
+
+
 def branch(text: Column, court: Column, judicial_class: Column) -> Column:
     c, special = F.upper(F.coalesce(court, F.lit(""))), F.coalesce(search_text(judicial_class).contains("juizado especial"), F.lit(False))
     return (
-        F.when(text.rlike(r"\b(jec|juizado especial civel)\b"), F.lit("small_claims")).when(text.rlike(r"\b(jef|juizado especial federal)\b"), F.lit("federal_small_claims"))
+        F.when(text.rlike(SMALL_CLAIMS), F.lit("small_claims")).when(text.rlike(FEDERAL_SMALL_CLAIMS), F.lit("federal_small_claims"))
         .when((c == "TST") | c.startswith("TRT"), F.lit("labor")).when(c.startswith("TRF"), F.when(special, F.lit("federal_small_claims")).otherwise(F.lit("federal")))
         .when(c.startswith("TJ"), F.when(special, F.lit("small_claims")).otherwise(F.lit("civil")))
     )
 
 
 def act_type(text: Column, communication: Column) -> Column:
-    notice = F.contains(F.coalesce(search_text(communication), F.lit("")), F.lit("intimacao")) | text.rlike(r"\bintime-se\b|\bmanifeste-se\b")
+    notice = F.contains(F.coalesce(search_text(communication), F.lit("")), F.lit("intimacao")) | text.rlike(NOTICE)
     out = F.when(notice, F.lit("order")).otherwise(F.lit("other"))
     for name, pattern in reversed(ACTS):
         out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
@@ -83,8 +95,8 @@ def act_type(text: Column, communication: Column) -> Column:
 
 
 def dated_event(text: Column, words: str) -> tuple[Column, Column]:
-    """(date, time) named within 80 characters of one of the words, the time at most 30 behind the date."""
-    pattern = rf"(?s)(?:{words}).{{0,80}}?(\d{{2}}/\d{{2}}/\d{{4}})(?:.{{0,30}}?(\d{{1,2}}:\d{{2}}))?"
+    """(date, time) that ends the reach of 80 characters behind the first of the words: the last date there, and a time at most 30 behind it."""
+    pattern = rf"(?s)(?:{words}).{{0,80}}(\d{{2}}/\d{{2}}/\d{{4}})(?:.{{0,30}}?(\d{{1,2}}:\d{{2}}))?"
     get = lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
     return F.try_to_date(get(1), "dd/MM/yyyy"), F.lpad(get(2), 5, "0")
 
@@ -105,29 +117,25 @@ def interpret(df: DataFrame, text: str, court: Column | None = None, communicati
         F.when((F.col("branch") == "labor") & act.isin("sentence", "embargos_decision", "appellate_decision"), 8)
         .when(F.col("branch").isin("small_claims", "federal_small_claims") & act.isin("citation", "sentence", "embargos_decision"), 10).when(act.isin(*FATAL), 15).when(act == "case_return", 10)
     )
-    out = out.withColumn("assumed_deadline", F.col("explicit_days").isNull() & t.rlike(r"\b(manifeste-se|manifestar|manifestacao|pronuncie-se|diga)\b"))
+    out = out.withColumn("assumed_deadline", F.col("explicit_days").isNull() & t.rlike(HEARD))
     out = out.withColumn("deadline_days", F.coalesce("explicit_days", canonical, F.when(F.col("assumed_deadline"), 5)))
     out = out.withColumn("deadline_kind", F.when(F.col("explicit_days").isNotNull(), F.col("_kind")).when(F.col("deadline_days").isNotNull(), F.lit("business_days")))
-    hearing, judgment = dated_event(t, "audiencia|conciliacao|instrucao"), dated_event(t, "julgamento|sessao")
+    hearing, judgment = dated_event(t, HEARING), dated_event(t, JUDGMENT)
     out = out.withColumns({"hearing_on": hearing[0], "hearing_time": hearing[1], "judgment_on": judgment[0]})
     due = F.col("deadline_days").isNotNull()
     reasons = F.array_compact(F.array(
         F.when(F.col("assumed_deadline"), F.lit("manifestation_without_explicit_deadline")), F.when(act.isin(*FATAL) & ~due, F.lit("fatal_act_without_deadline")),
-        F.when(F.col("explicit_days") > 60, F.lit("unusually_long_deadline")), F.when(due & t.rlike(r"\bsem\s+prazo\b|\bprazo\s+nao\s+informado\b"), F.lit("text_denies_deadline_but_deadline_was_detected")),
+        F.when(F.col("explicit_days") > 60, F.lit("unusually_long_deadline")), F.when(due & t.rlike(NO_DEADLINE), F.lit("text_denies_deadline_but_deadline_was_detected")),
     ))
     out = out.withColumn("review_reasons", reasons)
     labels = F.array_distinct(F.array_compact(F.array(
-        F.col("branch"), act, F.when(F.col("hearing_on").isNotNull(), F.lit("hearing")), F.when(t.rlike(r"\bprecatorio\b|\brpv\b"), F.lit("precatorio")),
-        F.when(t.rlike(r"\btutela\b|\bliminar\b"), F.lit("injunction")), F.when(t.rlike(r"\bpenhora\b|\bbloqueio\b"), F.lit("asset_restriction")),
+        F.col("branch"), act, F.when(F.col("hearing_on").isNotNull(), F.lit("hearing")), *(F.when(t.rlike(pattern), F.lit(name)) for name, pattern in MATTERS),
     )))
-    priority = F.when(t.rlike(r"\burgente\b|\bliminar\b|\btutela\b|\bpenhora\b|\bbloqueio\b") | (F.col("deadline_days") <= 5), F.lit("high")).when(act.isin(*FATAL, "judgment_docket") | due, F.lit("medium")).otherwise(F.lit("low"))
+    priority = F.when(t.rlike(URGENT) | (F.col("deadline_days") <= 5), F.lit("high")).when(act.isin(*FATAL, "judgment_docket") | due, F.lit("medium")).otherwise(F.lit("low"))
     confidence = F.when(F.size("review_reasons") > 0, F.lit("low")).when(due, F.lit("high")).otherwise(F.lit("low"))
     action = F.when(due, F.lit("calendar_deadline")).when(act == "judgment_docket", F.lit("review_date")).otherwise(F.lit("review"))
-    basis = (
-        F.when(F.col("assumed_deadline"), F.lit("CPC art. 218, paragraph 3")).when(act == "article_523_notice", F.lit("CPC art. 523"))
-        .when(act == "citation", F.when(F.col("branch") == "small_claims", F.lit("Law 9.099/95")).otherwise(F.lit("CPC art. 335"))).when(act.isin("sentence", "appellate_decision"), F.lit("CPC art. 1.003, paragraph 5"))
-        .when(act == "interlocutory_decision", F.lit("CPC art. 1.015")).when(act == "embargos_decision", F.lit("CPC art. 1.023"))
-    )
+    by_act = F.create_map(*(F.lit(x) for pair in BASIS.items() for x in pair))[act]
+    basis = F.when(F.col("assumed_deadline"), F.lit(ASSUMED_BASIS)).when((act == "citation") & (F.col("branch") == "small_claims"), F.lit(SMALL_CLAIMS_BASIS)).otherwise(by_act)
     return out.withColumns({"labels": labels, "priority": priority, "confidence": confidence, "recommended_action": action, "legal_basis": basis}).drop("_t", "_kind")
 
 

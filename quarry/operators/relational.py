@@ -23,6 +23,12 @@ def top_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int =
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
 
 
+def latest_by(df: DataFrame, keys: Sequence[str], newest: Sequence[Column]) -> DataFrame:
+    """The one row of each key whose `newest` values are the highest, compared in turn: a map-side aggregate without a sort."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*(c.alias(f"_{k}") for k, c in enumerate(newest)))).alias("_row")).select(*keys, "_row.*")
+
+
 def children(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str, columns: Sequence[str]) -> DataFrame:
     """For each key, an array of its first n rows as structs, in order."""
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= n)
@@ -123,6 +129,17 @@ def soft_delete(df: DataFrame, condition: Column, now: str) -> DataFrame:
     return df.withColumn("deleted_at", F.when(condition & F.col("deleted_at").isNull(), F.lit(now).cast("timestamp")).otherwise(F.col("deleted_at")))
 
 
+def force_delete(df: DataFrame, condition: Column) -> DataFrame:
+    """df without the rows for which the condition holds; unknown is not true."""
+    return df.where(~F.coalesce(condition, F.lit(False)))
+
+
+def set_where(df: DataFrame, condition: Column, **values: Column) -> DataFrame:
+    """A set-based update: columns of the rows for which the condition holds."""
+    holds = F.coalesce(condition, F.lit(False))
+    return df.withColumns({c: F.when(holds, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
 def restore(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("deleted_at", F.when(~condition, F.col("deleted_at")))
 
@@ -163,6 +180,36 @@ def deltas(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFra
     return pairs.select(key, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("before", "after"))).withColumn("delta", F.col("after") - F.col("before"))
 
 
+def apply_retention(df: DataFrame, at: str, now: str, days: int, dry_run: bool = True) -> DataFrame:
+    """The rows that stay: all in a dry run, else those not older than days."""
+    return df if dry_run else df.where(F.col(at) >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))
+
+
+def in_range(column: Column | str, low: float | None = None, high: float | None = None) -> Column:
+    """Between bounds, where a bound that is none or 0 does not count."""
+    value = F.col(column) if isinstance(column, str) else column
+    out = F.lit(True)
+    if low:
+        out = out & (value >= low)
+    if high:
+        out = out & (value <= high)
+    return out
+
+
+def named(df: DataFrame, names: DataFrame, code: str, name: str, default: str | None = None) -> DataFrame:
+    """df with the name of a code from a table (code, name) of codes; the default, else the code, where it has none."""
+    other = names.select(F.col(code).alias("_code"), F.col(name).alias("_name"))
+    fallback = F.lit(default) if default is not None else F.col(code).cast("string")
+    return df.join(other, F.col(code) == F.col("_code"), "left").withColumn(name, F.coalesce("_name", fallback)).drop("_code", "_name")
+
+
+def register_case(cases: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """new with outcome: duplicate where a case of those keys is active, reactivate where one is inactive, else create. Nulls are equal."""
+    known = cases.groupBy(*keys).agg(F.bool_or("active").alias("_active"))
+    joined = new.alias("n").join(known.alias("k"), F.expr(" AND ".join(f"n.{k} <=> k.{k}" for k in keys)), "left")
+    return joined.select("n.*", F.when(F.col("k._active"), F.lit("duplicate")).when(~F.col("k._active"), F.lit("reactivate")).otherwise(F.lit("create")).alias("outcome"))
+
+
 def product_rows(small: DataFrame, other: DataFrame, most: int = 10_000) -> DataFrame:
     """All pairs of two catalogues, each of which must have at most `most` rows."""
     for df in (small, other):

@@ -69,6 +69,11 @@ def valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATEST = (F.desc, "computed_at"), (F.desc, "l_linenumber"), (F.desc, "face_value"), (F.asc, "l_partkey"), (F.asc, "l_suppkey")
 
 
+def newest() -> list:
+    """The same order as values of which the highest is the newest."""
+    return [F.col(column) if direction is F.desc else -F.col(column) for direction, column in LATEST]
+
+
 def latest_order() -> list:
     return [direction(column) for direction, column in LATEST]
 
@@ -85,20 +90,43 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_SIGNALS = {"signup": "requisition_issued", "error": "suspension_detected", "click": "direct_agreement_window", "view": "queue_position_favorable", "purchase": "payment_process_detected"}
 
 
-# A publication's text for each kind of event.
-PUBLICATIONS = {
-    "signup": "Expedição de precatório. Cite-se a ré para contestar no prazo de 15 dias úteis.",
-    "error": "Suspensão do processo por decisão liminar; manifeste-se a parte.",
-    "click": "Homologação do cálculo. Acordo direto: prazo de 10 dias corridos.",
-    "view": "Audiência de conciliação designada para 12/05/2024 às 14:30. Intime-se.",
-    "purchase": "Pagamento liberado; alvará expedido. Penhora e honorários contratuais em sentença.",
-}
+# Texts of publications, in turn by event.
+PUBLICATIONS = (
+    "Expedição de precatório. Cite-se a ré para contestar no prazo de 15 dias úteis.",
+    "Suspensão do processo por decisão liminar; manifeste-se a parte.",
+    "Homologação do cálculo. Acordo direto: prazo de 10 dias corridos.",
+    "Audiência de conciliação redesignada de 01/02/2024 para 12/05/2024 às 14:30. Intime-se.",
+    "Pagamento liberado; alvará expedido. Penhora e honorários contratuais em sentença.",
+    "Certidão de trânsito em julgado. Baixa dos autos.",
+    "Deferida a superpreferência por doença grave. Expedição de RPV.",
+    "Cessão de crédito comunicada pelo cessionário. Prazo de 5 dias corridos para impugnar.",
+    "Impugnação ao cumprimento apresentada; valor controvertido. Prazo de quinze dias uteis.",
+    "Embargos de declaração rejeitados. Recolhimento de custas.",
+    "Óbito: espólio e herdeiros habilitados em inventário. Diga a parte contrária.",
+    "Município em regime especial e moratória. Julgo procedente o pedido.",
+    "Acórdão publicado. Turma recursal. Embargos à execução.",
+    "Decisão do relator. Tutela de urgência indeferida.",
+    "Cumprimento de sentença, art. 523 do CPC.",
+    "Execução de título extrajudicial. Bloqueio via SISBAJUD.",
+    "Pauta de julgamento: sessão de julgamento em 10/08/2026.",
+    "Contrarrazões no prazo de 90 dias.",
+    "Defiro o pedido. Prazo de oito dias. Certidão sem prazo.",
+    "Retorno dos autos. Ciência às partes.",
+    "Preparo insuficiente. Pronuncie-se o autor com urgência.",
+    "Juizado especial cível: sentença de improcedência.",
+    "JEF. Citação do INSS.",
+    "Ato ordinatório.",
+    "Suspenso o feito até nova ordem.",
+)
 
 
 def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One publication per event, of the court trf1."""
-    words = F.create_map(*(F.lit(x) for pair in PUBLICATIONS.items() for x in pair))
-    return read(spark, sf_dir, "events").select(F.col("event_id").alias("publication_id"), F.col("user_id").alias("asset_id"), F.to_date("ts").alias("published_on"), F.lit("trf1").alias("court"), words[F.col("event_type")].alias("text"), "event_type")
+    """One publication per event: texts, courts, classes and kinds of communication in turn."""
+    turn = lambda values: F.get(F.array(*map(F.lit, values)), F.pmod("event_id", F.lit(len(values))).cast("int"))
+    return read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("publication_id"), F.col("user_id").alias("asset_id"), F.to_date("ts").alias("published_on"), turn(("trf1", "TRT2", "TST", "TJSP", None, "tjrj", "TRF3")).alias("court"),
+        turn(("Juizado Especial", "Procedimento comum", None)).alias("judicial_class"), turn(("Intimação", None, "Edital", None)).alias("communication"), turn(PUBLICATIONS).alias("text"), "event_type",
+    )
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +165,10 @@ latest AS (
   QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY computed_at DESC, l_linenumber DESC, face_value DESC, l_partkey, l_suppkey) = 1),
 asset_events AS (
   SELECT event_id, user_id AS asset_id, ts AS event_at, {_case('event_type', EVENT_SIGNALS)} AS code, event_type, value, (props->>'$.k')::INT AS k, props FROM events),
+publications AS (
+  SELECT event_id AS publication_id, user_id AS asset_id, ts::DATE AS published_on, ['trf1', 'TRT2', 'TST', 'TJSP', NULL, 'tjrj', 'TRF3'][event_id % 7 + 1] AS court,
+    ['Juizado Especial', 'Procedimento comum', NULL][event_id % 3 + 1] AS judicial_class, ['Intimação', NULL, 'Edital', NULL][event_id % 4 + 1] AS communication,
+    [{", ".join("'" + x + "'" for x in PUBLICATIONS)}][event_id % {len(PUBLICATIONS)} + 1] AS text, event_type FROM events),
 links AS (
   SELECT l_orderkey AS asset_id, l_suppkey AS source_id, CASE l_returnflag WHEN 'R' THEN 'conflict' WHEN 'A' THEN 'primary' ELSE 'enrichment' END AS role,
     l_shipdate AS seen_at, l_linestatus AS status FROM lineitem)

@@ -29,7 +29,7 @@ MONEY = "decimal(18,2)"
 
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:
-    return relational.top_by(b.valuations(spark, d), ["asset_id"], b.latest_order())
+    return relational.latest_by(b.valuations(spark, d), ["asset_id"], b.newest())
 
 
 def _money(c, name: str):
@@ -69,7 +69,9 @@ WHERE tenant_id = 1 AND lifecycle_status IN ('paid', 'in_payment') AND nature <>
 ORDER BY updated_value DESC NULLS LAST, asset_id LIMIT 50""")
 def asset_list_filtered(spark: SparkSession, d: str) -> DataFrame:
     a = relational.live(b.assets(spark, d), 1).where(F.col("lifecycle_status").isin("paid", "in_payment") & (F.col("nature") != "unknown") & F.col("exercise_year").between(1994, 1997) & relational.contains_any("9", "debtor_name"))
-    rows = a.select("asset_id", "debtor_name", "nature").join(_latest(spark, d).select("asset_id", "updated_value"), "asset_id", "left").where(F.col("updated_value") >= 20000)
+    chosen = a.select("asset_id", "debtor_name", "nature")
+    latest = relational.latest_by(b.valuations(spark, d).join(chosen.select("asset_id"), "asset_id", "left_semi"), ["asset_id"], b.newest())
+    rows = chosen.join(latest.select("asset_id", "updated_value"), "asset_id", "left").where(relational.in_range("updated_value", 20000, 0))
     return relational.page(rows, [F.desc_nulls_last("updated_value"), F.asc("asset_id")], 1, 50)
 
 
@@ -186,11 +188,11 @@ def exact_link_arity(spark: SparkSession, d: str) -> DataFrame:
     return relational.link_by_arity(left, right, "k", "o_orderkey").select("record_id", "matches", "linked_id", "link_status")
 
 
-def _signal_values(kind: int) -> str:
+def _signal_values() -> str:
     return ", ".join(f"('{code}', {float(m)!r}, {w}, {1 if table is pricing.POSITIVE else -1})" for table in (pricing.POSITIVE, pricing.NEGATIVE) for code, (m, w) in table.items())
 
 
-_SIGNALS_SQL = f""", signal(code, multiplier, weight, sign) AS (VALUES {_signal_values(0)}),
+_SIGNALS_SQL = f""", signal(code, multiplier, weight, sign) AS (VALUES {_signal_values()}),
 all_signals AS (SELECT asset_id, code FROM asset_events UNION ALL SELECT asset_id, CASE lifecycle_status WHEN 'in_payment' THEN 'payment_available' WHEN 'suspended' THEN 'suspension_detected' END FROM assets),
 by_asset AS (
   SELECT asset_id, product(multiplier) AS multiplier, sum(CASE WHEN sign > 0 THEN weight ELSE 0 END)::BIGINT AS positive_weight, sum(CASE WHEN sign < 0 THEN weight ELSE 0 END)::BIGINT AS negative_weight,
@@ -228,8 +230,13 @@ def event_signal_score(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("asset_id", *(F.col(c).cast("int").alias(c) for c in ("quality_score", "legal_score", "liquidity_score")), F.round("signal_score", 4).alias("signal_score"))
 
 
-def _priced(spark: SparkSession, d: str) -> DataFrame:
-    a = b.assets(spark, d).drop("total", "cnj_number", "created_at").join(_latest(spark, d).select("asset_id", F.col("updated_value").alias("face_value"), "queue_position"), "asset_id", "left").join(_signals(spark, d), "asset_id", "left")
+def _priced(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    """Priced assets, or of (asset_id, few enough to be broadcast) only those: the limit comes before the joins."""
+    some = (lambda df: df) if of is None else (lambda df: df.join(F.broadcast(of), "asset_id", "left_semi"))
+    latest = relational.latest_by(some(b.valuations(spark, d)), ["asset_id"], b.newest())
+    own = some(b.assets(spark, d))
+    signals = pricing.signals_by_asset(some(b.events(spark, d).select("asset_id", "code")).unionAll(pricing.lifecycle_signals(own)))
+    a = own.drop("total", "cnj_number", "created_at").join(latest.select("asset_id", F.col("updated_value").alias("face_value"), "queue_position"), "asset_id", "left").join(signals, "asset_id", "left")
     unknown = {"on_time_rate": F.lit(None).cast("double"), "average_months": F.lit(None).cast("int"), "regime_special": F.lit(None).cast("boolean"), "recent_default": F.lit(None).cast("boolean")}
     return pricing.price(a.withColumns(unknown))
 
@@ -285,8 +292,8 @@ def pipeline_board(spark: SparkSession, d: str) -> DataFrame:
 SELECT asset_id, grade, round(final_score, 6) AS final_score FROM graded JOIN newest USING (asset_id) WHERE grade IN ('A+', 'A', 'B+') AND probability >= 0.5""")
 def opportunity_list(spark: SparkSession, d: str) -> DataFrame:
     """The limit comes before the filter: the newest 1,000 assets are priced, then filtered."""
-    newest = b.assets(spark, d).select("asset_id", "created_at").orderBy(F.desc("created_at"), "asset_id").limit(1000).select("asset_id")
-    return _priced(spark, d).join(F.broadcast(newest), "asset_id").where(F.col("grade").isin("A+", "A", "B+") & (F.col("payment_probability") >= 0.5)).select("asset_id", "grade", F.round("final_score", 6).alias("final_score"))
+    newest = b.read(spark, d, "orders").select(F.col("o_orderkey").alias("asset_id"), "o_orderdate").orderBy(F.desc("o_orderdate"), "asset_id").limit(1000).select("asset_id")
+    return _priced(spark, d, newest).where(F.col("grade").isin("A+", "A", "B+") & (F.col("payment_probability") >= 0.5)).select("asset_id", "grade", F.round("final_score", 6).alias("final_score"))
 
 
 @query(_PRICE_SQL + """, adv AS (
@@ -303,11 +310,10 @@ def liquidity_advice(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT asset_id, min(computed_at) AS first_seen, max(computed_at) AS last_seen, count(*) AS n, ((max(face_value) - min(face_value)) / min(face_value))::DOUBLE >= 0.05 AS diverges FROM valuations WHERE face_value > 0 GROUP BY asset_id""")
+, s AS (SELECT asset_id, count(*) AS n, ((max(face_value) - min(face_value)) / min(face_value))::DOUBLE AS spread FROM valuations WHERE face_value > 0 GROUP BY asset_id)
+SELECT asset_id, n, round(spread, 6) AS spread FROM s WHERE spread >= 0.05""")
 def valuation_spread(spark: SparkSession, d: str) -> DataFrame:
-    v = b.valuations(spark, d).where("face_value > 0")
-    low, high = F.min("face_value"), F.max("face_value")
-    return v.groupBy("asset_id").agg(F.min("computed_at").alias("first_seen"), F.max("computed_at").alias("last_seen"), F.count("*").alias("n"), (((high - low) / low).cast("double") >= 0.05).alias("diverges"))
+    return evidence.relative_spread(b.valuations(spark, d), "asset_id", "face_value").select("asset_id", "n", F.round("spread", 6).alias("spread"))
 
 
 @query("""
@@ -341,12 +347,14 @@ def rate_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-, runs AS (SELECT l_suppkey AS source_id, 1 AS rows, (l_quantity > 5)::INT AS valid, (l_quantity > 10)::INT AS relevant, (l_quantity > 20)::INT AS imported, (l_returnflag = 'R')::INT AS errors, (l_discount * 100)::INT AS f FROM lineitem),
+, runs AS (SELECT l_suppkey AS source_id, 1 AS rows, (l_quantity > 5)::INT AS valid, (l_quantity > 10 AND l_suppkey % 5 > 0)::INT AS relevant, (l_quantity > 20)::INT AS imported, (l_returnflag = 'R')::INT AS errors, (l_discount * 100)::INT AS f FROM lineitem),
 s AS (SELECT source_id, sum(rows) AS rows, sum(valid) AS valid, sum(relevant) AS relevant, sum(imported) AS imported, sum(errors) AS errors, avg(f) / 10 AS fields FROM runs GROUP BY source_id),
-q AS (SELECT source_id, round(valid::DOUBLE / rows, 4) AS vc, CASE WHEN relevant > 0 THEN round(imported::DOUBLE / relevant, 4) ELSE 0 END AS y, CASE WHEN errors + relevant > 0 THEN round(errors::DOUBLE / (errors + relevant), 4) ELSE 0 END AS e, fields FROM s)
-SELECT source_id, round(vc, 3) AS valid_coverage, round(y, 3) AS yield, round(0.4::DOUBLE * vc + 0.3::DOUBLE * least(y, 1) + 0.2::DOUBLE * fields + 0.1::DOUBLE * (1 - e), 2) AS quality_score FROM q""")
+q AS (
+  SELECT source_id, round(valid::DOUBLE / coalesce(nullif(rows, 0), nullif(relevant, 0), nullif(valid, 0)), 4) AS vc, coalesce(nullif(relevant, 0), nullif(valid, 0), imported) AS basis, imported, errors, fields FROM s),
+r AS (SELECT *, CASE WHEN basis > 0 THEN round(imported::DOUBLE / basis, 4) ELSE 0 END AS y, CASE WHEN basis + errors > 0 THEN round(errors::DOUBLE / (basis + errors), 4) ELSE 0 END AS e FROM q)
+SELECT source_id, round(vc, 3) AS valid_coverage, round(y, 3) AS yield, round(0.4::DOUBLE * vc + 0.3::DOUBLE * y + 0.2::DOUBLE * fields + 0.1::DOUBLE * (1 - e), 2) AS quality_score FROM r""")
 def source_quality(spark: SparkSession, d: str) -> DataFrame:
-    rows = b.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("source_id"), F.lit(1).alias("rows"), *((F.col("l_quantity") > n).cast("int").alias(c) for c, n in (("valid", 5), ("relevant", 10), ("imported", 20))), (F.col("l_returnflag") == "R").cast("int").alias("errors"), (F.round(F.col("l_discount") * 100).cast("int") / 10).alias("field_coverage"))
+    rows = b.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("source_id"), F.lit(1).alias("rows"), *(F.expr(e).cast("int").alias(c) for c, e in (("valid", "l_quantity > 5"), ("relevant", "l_quantity > 10 and l_suppkey % 5 > 0"), ("imported", "l_quantity > 20"))), (F.col("l_returnflag") == "R").cast("int").alias("errors"), (F.round(F.col("l_discount") * 100).cast("int") / 10).alias("field_coverage"))
     return coverage.source_quality(rows).select("source_id", F.round("valid_coverage", 3).alias("valid_coverage"), F.round("yield", 3).alias("yield"), F.round("quality_score", 2).alias("quality_score"))
 
 
@@ -363,9 +371,9 @@ def field_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT debtor_id, upper(trim(regexp_replace(strip_accents(name), '[^A-Za-z0-9]+', ' ', 'g'))) AS normalized, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
-  trim(regexp_replace(upper(name), '[^A-Z0-9]+', '_', 'g'), '_') AS code, sha256(name) AS fingerprint FROM debtors""")
+  trim(regexp_replace(upper(name), '[^A-Z0-9]+', '_', 'g'), '_') AS code, sha256('{"court":' || to_json(court) || ',"name":' || to_json(name) || '}') AS fingerprint FROM debtors""")
 def debtor_keys(spark: SparkSession, d: str) -> DataFrame:
-    return b.debtors(spark, d).select("debtor_id", text.debtor_name("name").alias("normalized"), text.slug("name").alias("slug"), text.code_key("name").alias("code"), F.sha2("name", 256).alias("fingerprint"))
+    return b.debtors(spark, d).select("debtor_id", text.debtor_name("name").alias("normalized"), text.slug("name").alias("slug"), text.code_key("name").alias("code"), text.fingerprint(name=F.col("name"), court=F.col("court")).alias("fingerprint"))
 
 
 @query("SELECT asset_id, cnj_number, 'trf' || substr(cnj_number, 20, 1) AS court_alias FROM assets WHERE substr(cnj_number, 20, 1) BETWEEN '1' AND '6'")
@@ -374,48 +382,6 @@ def process_number_courts(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("court_alias", text.court_of_process("cnj_number")).where("court_alias is not null")
 
 
-@query("""
-, found(event_type, code, confidence) AS (VALUES ('signup', 'requisition_issued', 96), ('error', 'suspension_detected', 88), ('click', 'calculation_homologated', 90), ('click', 'direct_agreement_opened', 86),
-  ('purchase', 'payment_available', 94), ('purchase', 'lien_detected', 90), ('purchase', 'fee_dispute_detected', 78))
-SELECT code, count(*) AS publications, count(DISTINCT asset_id) AS assets, max(confidence)::INT AS confidence FROM asset_events JOIN found USING (event_type) GROUP BY found.code""".replace("SELECT code", "SELECT found.code AS code"))
-def publication_signals(spark: SparkSession, d: str) -> DataFrame:
-    found = legal.classify(b.publications(spark, d), "text", ["publication_id", "asset_id"])
-    return found.groupBy("code").agg(F.count("*").alias("publications"), F.countDistinct("asset_id").alias("assets"), F.max("confidence").alias("confidence"))
-
-
-_INTERPRETED = """
-, said(event_type, act_type, deadline_days, deadline_kind, priority, confidence, hearing, reasons) AS (VALUES
-  ('signup', 'citation', 15, 'business_days', 'medium', 'high', NULL, ''), ('error', 'suspension', 5, 'business_days', 'high', 'low', NULL, 'manifestation_without_explicit_deadline'),
-  ('click', 'other', 10, 'calendar_days', 'medium', 'high', NULL, ''), ('view', 'order', NULL, NULL, 'low', 'low', DATE '2024-05-12', ''), ('purchase', 'attachment', NULL, NULL, 'high', 'low', NULL, ''))
-"""
-
-
-@query(_INTERPRETED + """SELECT event_id AS publication_id, 'federal' AS branch, act_type, deadline_days, deadline_kind, priority, confidence, hearing AS hearing_on, reasons FROM asset_events JOIN said USING (event_type)""")
-def publication_interpretation(spark: SparkSession, d: str) -> DataFrame:
-    read = legal.interpret(b.publications(spark, d), "text", F.col("court"))
-    return read.select("publication_id", "branch", "act_type", "deadline_days", "deadline_kind", "priority", "confidence", "hearing_on", F.array_join("review_reasons", ",").alias("reasons"))
-
-
-@query(_INTERPRETED + """, days AS (SELECT range::DATE AS day FROM range(DATE '2023-12-01', DATE '2025-06-01', INTERVAL 1 DAY)),
-easter(y, day) AS (VALUES (2023, DATE '2023-04-09'), (2024, DATE '2024-03-31'), (2025, DATE '2025-04-20')),
-cal AS (
-  SELECT days.day, isodow(days.day) < 6 AND strftime(days.day, '%m-%d') NOT IN ('01-01', '04-21', '05-01', '09-07', '10-12', '11-02', '11-15', '11-20', '12-25') AND (days.day - easter.day) NOT IN (-48, -47, -2, 60) AS working,
-    strftime(days.day, '%m-%d') >= '12-20' OR strftime(days.day, '%m-%d') <= '01-20' AS recess
-  FROM days JOIN easter ON easter.y = year(days.day)),
-o AS (SELECT *, sum(working::INT) OVER w AS n, sum((working AND NOT recess)::INT) OVER w AS n_open, sum((NOT recess)::INT) OVER w AS d_open FROM cal WINDOW w AS (ORDER BY day)),
-p AS (SELECT event_id, event_at::DATE AS day, deadline_days AS k, deadline_kind AS kind FROM asset_events JOIN said USING (event_type) WHERE deadline_days IS NOT NULL)
-SELECT event_id AS publication_id, CASE
-  WHEN kind = 'business_days' AND o.recess THEN (SELECT min(t.day) FROM o t WHERE t.working AND t.n = o.n + k)
-  WHEN kind = 'business_days' THEN (SELECT min(t.day) FROM o t WHERE t.working AND NOT t.recess AND t.n_open = o.n_open + k)
-  WHEN o.recess THEN (SELECT min(t.day) FROM o t WHERE t.working AND t.day >= p.day + k)
-  ELSE (SELECT min(t.day) FROM o t WHERE t.working AND NOT t.recess AND t.d_open >= o.d_open + k) END AS due_on
-FROM p JOIN o ON o.day = p.day""")
-def publication_deadlines(spark: SparkSession, d: str) -> DataFrame:
-    days = dates.calendar(spark, "2023-12-01", "2025-05-31")
-    read = legal.interpret(b.publications(spark, d), "text", F.col("court")).where("deadline_days is not null")
-    return dates.deadlines(read, "published_on", "deadline_days", "deadline_kind", days).select("publication_id", "due_on")
-
-
 @query("""
 SELECT page_id, n::BIGINT AS n_links, first_link FROM (SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS n, regexp_extract(html, '<a [^>]*href="([^"]*)"', 1) AS first_link FROM pages) WHERE n > 0""")
 def page_links(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Reading tribunal files: formats, encodings, delimited text, tables in HTML, loose text, workbooks and PDF.
 
-Lines are rows from the start (read_lines), so one large file is split like any text; what depends on the
-lines before it is a window over the line numbers of its file.
+Delimited files whose rows stand for themselves are read split by split (read_delimited). Reports in which
+lines depend on those before them are read whole, a file a record (read_lines), which is for files of up to
+some hundred megabytes; their lines are numbered, and what depends on the lines before is a window by file.
 """
 
 from __future__ import annotations
@@ -33,11 +34,20 @@ def decoded(content: Column | str) -> Column:
     return F.when(F.is_valid_utf8(col(content).cast("string")), col(content).cast("string")).otherwise(F.decode(col(content), "windows-1252"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content) of text files as lines would lose their numbers, so: (file, n, line), n from 1.
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """(file, row) of large delimited files, read in splits: row maps normalised header names to cells.
 
-    A file is one record of the binary reader; its lines are exploded with their positions.
+    All files have one header. Without sep it is ; if the header line of the first file has one, else a comma.
     """
+    if sep is None:
+        sep = ";" if ";" in (spark.read.option("encoding", encoding).text(path).first() or [""])[0] else ","
+    rows = spark.read.option("encoding", encoding).csv(path, header=True, sep=sep, quote='"', escape='"')
+    names = F.transform(F.array(*map(F.lit, rows.columns)), header_key)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.map_filter(F.map_from_arrays(names, F.array(*(F.trim(F.col(f"`{c}`")) for c in rows.columns))), lambda k, v: (k != "") & v.isNotNull()).alias("row"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, line) of text files, n from 1. A file is one record, decoded as a whole."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), decoded("content").alias("text"))
     return lines(files, "file", "text")
 
@@ -53,8 +63,17 @@ def delimiter(line: Column | str) -> Column:
 
 
 def cells(line: Column | str, sep: Column | str = ";") -> Column:
-    """Split at separators outside quotes; quotes go, cells are trimmed."""
-    parts = lambda s: F.transform(F.split(col(line), s + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: F.trim(F.replace(c, F.lit('"'))))
+    """Split at separators outside quotes; quotes go, cells are trimmed. A quote that is never closed holds to the line's end.
+
+    Matched cell by cell in one pass: runs of quoted text and of anything else up to the next separator.
+    """
+    def parts(s: str) -> Column:
+        one = rf'((?:"[^"]*+(?:"|$)|[^"{s}]++)*+)({s}|$)'
+        found, ends = (F.regexp_extract_all(col(line), F.lit(one), F.lit(k)) for k in (1, 2))
+        # behind a cell that ended with the line there is one more, empty match
+        whole = F.when((F.size(ends) > 1) & (F.try_element_at(ends, F.lit(-2)) == ""), F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+        return F.transform(whole, lambda c: F.trim(F.replace(c, F.lit('"'))))
+
     if isinstance(sep, str):
         return parts(sep)
     return F.when(sep == ";", parts(";")).otherwise(parts(","))

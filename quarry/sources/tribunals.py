@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import json
 from quarry.functions.dates import day_or_null, local_moment, short_month
 from quarry.functions.text import (
     brazilian_money,
@@ -158,11 +159,13 @@ def json_pages(df: DataFrame, keys: list[str], payload: str, items: str = "conte
 def process_hits(df: DataFrame, payload: str) -> dict[str, DataFrame]:
     """Processes, subjects, movements and complements of API hits, each keyed by the process number.
 
-    payload: JSON with numeroProcesso, tribunal, dataAjuizamento, classe, assuntos (maybe nested once) and
-    movimentos with complementosTabelados. A hit without a valid number goes.
+    payload: JSON with numeroProcesso, tribunal, dataAjuizamento, classe, assuntos (objects, or arrays of them
+    up to two deep, of which only objects count) and movimentos with complementosTabelados. A hit without a
+    valid number goes.
     """
-    shape = "numeroProcesso string, tribunal string, dataAjuizamento string, classe struct<codigo:int,nome:string>, assuntos array<struct<codigo:int,nome:string>>, movimentos array<struct<codigo:int,nome:string,dataHora:string,complementosTabelados:array<struct<codigo:int,valor:string,nome:string>>>>"
+    shape = "numeroProcesso string, tribunal string, dataAjuizamento string, classe struct<codigo:int,nome:string>, assuntos array<string>, movimentos array<struct<codigo:int,nome:string,dataHora:string,complementosTabelados:array<struct<codigo:int,valor:string,nome:string>>>>"
     hits = df.select(F.from_json(payload, shape).alias("h")).select(process_number("h.numeroProcesso").alias("cnj_number"), "h.*").where("cnj_number is not null")
+    hits = hits.withColumn("assuntos", F.transform(json.objects("assuntos"), lambda x: F.from_json(x, "codigo int, nome string")))
     from quarry.functions.dates import moment_or_null
 
     movements = hits.select("cnj_number", F.posexplode("movimentos").alias("n", "m"))

@@ -5,7 +5,7 @@ import collections
 import duckdb
 import pytest
 
-from quarry.plans import queries
+from quarry.plans import registry as queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
