@@ -29,9 +29,14 @@ def detect_format(media: Column | str, name: Column | str, url: Column | str) ->
     return F.when(found == "htm", F.lit("html")).otherwise(found)
 
 
+#: What windows-1252 has where ISO 8859-1 has control characters.
+_C1 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
 def decoded(content: Column | str) -> Column:
     """UTF-8, or windows-1252 if the bytes are not UTF-8."""
-    return F.when(F.is_valid_utf8(col(content).cast("string")), col(content).cast("string")).otherwise(F.decode(col(content), "windows-1252"))
+    text = col(content).cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.translate(F.decode(col(content), "ISO-8859-1"), "".join(_C1), "".join(_C1.values())))
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
@@ -104,7 +109,7 @@ def html_rows(df: DataFrame, key: str, html: str) -> DataFrame:
     """(key, table, n, cells) of every row of every table of a page."""
     tables = df.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<table\b.*?</table\s*>"), F.lit(0))).alias("table", "_t"))
     rows = tables.select(key, "table", F.posexplode(F.regexp_extract_all("_t", F.lit(r"(?is)<tr\b.*?</tr\s*>"), F.lit(0))).alias("n", "_r"))
-    return rows.select(key, "table", "n", F.transform(F.regexp_extract_all("_r", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), F.lit(1)), strip_tags).alias("cells"))
+    return rows.select(key, "table", "n", F.transform(F.regexp_extract_all("_r", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), F.lit(1)), lambda c: strip_tags(c)).alias("cells"))
 
 
 def html_records(df: DataFrame, key: str, html: str) -> DataFrame:
@@ -199,7 +204,7 @@ def ranked_links(df: DataFrame, key: str, least: int = 1) -> DataFrame:
 
 
 def preceding_heading(df: DataFrame, key: str, html: str, heading: str, reach: int = 2000) -> DataFrame:
-    """Links with the last match of a heading pattern (group 1) within reach characters before them."""
+    """Links with the last match of a heading pattern (group 1) that begins within reach characters before them."""
     anchor = r"(?is)<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"
     found = F.regexp_extract_all(html, F.lit(anchor), F.lit(0))
     pieces = F.split(F.col(html), anchor, -1)
@@ -208,6 +213,7 @@ def preceding_heading(df: DataFrame, key: str, html: str, heading: str, reach: i
     size = F.length("_x.before") + F.length("_x.a")
     rows = rows.withColumn("at", F.sum(size).over(order) - F.length("_x.a"))
     heads = F.regexp_extract_all("_x.before", F.lit(heading), F.lit(1))
-    own = F.when(F.size(heads) > 0, F.struct(F.element_at(heads, -1).alias("text"), F.col("at").alias("until")))
+    last = F.length(F.element_at(F.regexp_extract_all("_x.before", F.lit(heading), F.lit(0)), -1)) + F.length(F.element_at(F.split("_x.before", heading, -1), -1))
+    own = F.when(F.size(heads) > 0, F.struct(F.element_at(heads, -1).alias("text"), (F.col("at") - last).alias("begin")))
     rows = rows.withColumn("_h", F.last(own, True).over(order))
-    return rows.select(key, "n", F.regexp_extract("_x.a", anchor, 1).alias("href"), strip_tags(F.regexp_extract("_x.a", anchor, 2)).alias("title"), F.when(F.col("at") - F.col("_h.until") <= reach, strip_tags("_h.text")).alias("heading"))
+    return rows.select(key, "n", F.regexp_extract("_x.a", anchor, 1).alias("href"), strip_tags(F.regexp_extract("_x.a", anchor, 2)).alias("title"), F.when(F.col("at") - F.col("_h.begin") <= reach, strip_tags("_h.text")).alias("heading"))

@@ -108,11 +108,11 @@ def report_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     debtor = F.nullif(F.trim(F.regexp_extract("line", r"(?i)^\s*(?:entidade|ente)\s+devedor[a]?\s*:\s*(.+)$", 1)), F.lit(""))
     rows = carried(lines(df, key, text), key, debtor, "debtor_name").withColumn("line", F.concat_ws("\x01", "line", F.when(starts, F.coalesce("debtor_name", F.lit("")))))
     out = blocks(rows, key, F.col("line").rlike(r"^\s*\d+\s+\d{7}-?\d{2}\.?\d{4}\.?\d\.?\d{2}"))
-    body = F.replace(F.split_part("text", F.lit("\x01"), F.lit(1)), F.lit("\x01"), F.lit(" "))
+    body = F.regexp_replace("text", "\x01[^\n]*", "")
     number = F.regexp_extract("text", r"\d{7}-?\d{2}\.?\d{4}\.?\d\.?\d{2}(?:\.?\d{4})?", 0)
     return out.select(
         key, "block", whole_number(F.regexp_extract("text", r"^\s*(\d+)\s", 1)).alias("queue_position"), process_number_without_origin(number).alias("cnj_number"),
-        F.nullif(F.trim(F.regexp_extract("text", "\x01([^\n]*)", 1)), F.lit("")).alias("debtor_name"), find_money(body).alias("value"), nature("text").alias("nature"), preference("text").alias("preference"),
+        F.nullif(F.trim(F.regexp_extract("text", "\x01([^\n]*)", 1)), F.lit("")).alias("debtor_name"), find_money(body).alias("value"), nature(body).alias("nature"), preference(body).alias("preference"),
     )
 
 
