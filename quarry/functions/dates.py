@@ -60,7 +60,7 @@ def is_stale(at: Column | str, now: Column, days: int = 30) -> Column:
 
 
 def milliseconds(start: Column | str, end: Column | str) -> Column:
-    return F.unix_millis(col(end)) - F.unix_millis(col(start))
+    return F.unix_millis(col(end).cast("timestamp")) - F.unix_millis(col(start).cast("timestamp"))
 
 
 def easter(year: Column | str) -> Column:

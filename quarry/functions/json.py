@@ -42,9 +42,10 @@ def first_name(xs: Column | str, key: str = "nome") -> Column:
 def merged(*objects_: Column | str) -> Column:
     """Shallow merge of maps: later ones win; a null map adds nothing."""
     maps = [F.coalesce(col(x), F.create_map().cast("map<string,string>")) for x in objects_]
+    over = lambda one, later: F.map_concat(F.map_filter(one, lambda k, v: ~F.map_contains_key(later, k)), later)
     out = maps[0]
     for later in maps[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, v, later=later: ~F.map_contains_key(later, k)), later)
+        out = over(out, later)
     return out
 
 
@@ -60,3 +61,15 @@ def items(x: Column | str) -> Column:
     text = lambda r, key: F.get_json_object(r["raw"], f"$.{key}").isNotNull() & r["raw"].rlike(rf'"{key}"\s*:\s*"')
     good = F.filter(rows, lambda r: text(r, "kind") & text(r, "label") & text(r, "dueAt") & r["raw"].rlike(r'"fatal"\s*:\s*(true|false)'))
     return F.transform(good, lambda r: F.struct(r["v"]["kind"].alias("kind"), r["v"]["label"].alias("label"), r["v"]["dueAt"].cast("date").alias("day"), r["v"]["time"].alias("time"), (r["v"]["fatal"] == "true").alias("fatal")))
+
+
+def canonical(x: Column | str, shape: str) -> Column:
+    """A JSON text with the keys of its objects in order, at every depth, and nulls kept. shape: the DDL of its fields; what it does not name is left out."""
+    from pyspark.sql.types import ArrayType, DataType, StructField, StructType, _parse_datatype_string
+
+    def ordered(t: DataType) -> DataType:
+        if isinstance(t, StructType):
+            return StructType([StructField(f.name, ordered(f.dataType)) for f in sorted(t.fields, key=lambda f: f.name)])
+        return ArrayType(ordered(t.elementType)) if isinstance(t, ArrayType) else t
+
+    return F.to_json(F.from_json(col(x), ordered(_parse_datatype_string(shape))), {"ignoreNullFields": "false"})

@@ -27,9 +27,15 @@ def half_up(x: Column | str, places: int = 0) -> Column:
 
 
 def to_fixed(x: Column | str, places: int) -> Column:
-    """Rounded by the exact binary value of a double, halves away from zero: 1.005 is below its half and goes down."""
-    exact = col(x).cast("double").cast("decimal(38,20)")
-    return F.round(exact, places).cast("double")
+    """Rounded by the exact binary value of a double, exact halves away from zero: 1.005 is below its half and goes down."""
+    value = F.abs(col(x).cast("double"))
+    halves = 2.0 * 10**places
+    # Two parts of at most 27 bits, so that their products with halves are exact.
+    high = value * 134217729.0 - (value * 134217729.0 - value)
+    k = F.rint(value * halves)
+    below = (high * halves - k) + (value - high) * halves < 0
+    n = F.when((k % 2 == 1) & ~below, (k + 1) / 2).otherwise(F.floor(k / 2))
+    return F.signum(col(x).cast("double")) * n / float(10**places)
 
 
 def rate(x: Column | str) -> Column:
@@ -69,5 +75,10 @@ def correction_rate(inflation: Column | str, base: Column | str, margin: float =
 
 def reliability(paid: Column | str, due: Column | str, special: Column) -> Column:
     """68, or 45 under the special regime, plus up to 25 for what was paid of what was due, within 5 and 95."""
-    share = F.coalesce(F.least(F.try_divide(col(paid).cast("double"), col(due).cast("double")), F.lit(1.0)), F.lit(0.0))
+    share = F.least(F.coalesce(F.try_divide(col(paid).cast("double"), col(due).cast("double")), F.lit(0.0)), F.lit(1.0))
     return clamp(half_up(F.when(special, 45.0).otherwise(68.0) + 25 * share), 5.0, 95.0)
+
+
+def at_least_one(x: Column | str) -> Column:
+    """A count of which there is at least one: null and 0 are 1."""
+    return F.greatest(col(x).cast("long"), F.lit(1).cast("long"))

@@ -82,6 +82,11 @@ def padded_process_number(x: Column | str) -> Column:
     return F.when(F.length(d).between(1, 20), process_number(F.lpad(d, 20, "0")))
 
 
+def joined_process_number(x: Column | str) -> Column:
+    """As process_number; also with segment and court joined and a digit behind: NNNNNNN-DD.AAAA.JTR.OOOO-d."""
+    return F.coalesce(process_number(x), process_number(F.when(col(x).rlike(r"^\d{7}-\d{2}\.\d{4}\.\d{3}\.\d{4}-\d$"), F.regexp_replace(col(x), r"-\d$", ""))))
+
+
 def short_process_number(x: Column | str) -> Column:
     """Sequences of six digits before the check digits get a zero in front."""
     return F.coalesce(process_number(x), process_number(F.regexp_replace(F.trim(col(x)), r"^(\d{6})-", "0$1-")))
