@@ -65,6 +65,61 @@ def primary_targets(targets: DataFrame, key: str, status: str, order: list[str])
     return top_by(targets, [key], [layer_rank(status).desc(), *(F.asc(c) for c in order)])
 
 
+# Gaps of a state's coverage by its primary layer, with severity.
+PRIMARY_GAPS = {"missing": ("primary_source_missing", "high"), "mapped": ("primary_source_mapped_without_adapter", "medium"), "configured": ("primary_source_not_validated", "medium")}
+
+
+def state_intelligence(states: DataFrame) -> DataFrame:
+    """states (primary, datajud, djen: layer statuses) with what they allow, whether any data prove it, and gaps (code, severity)."""
+    runs = lambda c: F.col(c).isin("validated", "configured")
+    out = states.withColumns({"has_primary": runs("primary"), "has_processes": runs("datajud"), "has_publications": runs("djen"), "has_evidence": F.array_contains(F.array("primary", "datajud", "djen"), "validated")})
+    out = out.withColumn("ready", F.col("has_primary") & F.col("has_processes") & F.col("has_publications"))
+    gap = lambda test, code, severity: F.when(test, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity")))
+    rows = [gap(F.col("primary") == status, *row) for status, row in PRIMARY_GAPS.items()]
+    rows += [gap(F.col(layer) == "missing", f"{layer}_missing", "medium") for layer in ("datajud", "djen")] + [gap(~F.col("ready"), "operational_scoring_incomplete", "low")]
+    return out.withColumn("gaps", F.array_compact(F.array(*rows)))
+
+
+def matrix_summary(states: DataFrame) -> DataFrame:
+    """One row: states, those of each primary status, and those with any process and publication layer."""
+    return states.agg(F.count("*").alias("states"), *(F.count_if(F.col("primary") == s).alias(s) for s in LAYERS), *(F.count_if(F.col(c) != "missing").alias(c) for c in ("datajud", "djen")))
+
+
+def coherence_summary(report: DataFrame) -> DataFrame:
+    """One row over the courts of coherence: assets, the share of each flag and of complete ones (0 without assets), conflicts."""
+    whole = F.sum("assets")
+    return report.agg(whole.alias("assets"), *(ratio(F.sum(flag), whole).alias(flag) for flag, *_ in GAPS), ratio(F.sum("complete"), whole).alias("complete"), F.sum("conflicts").alias("conflicts"))
+
+
+def process_coverage(rows: DataFrame, groups: Column) -> DataFrame:
+    """Per group: assets, those with a number and with a process, numbers of no known court, and processes per number in per cent.
+
+    groups: an array of the groups that a row counts in. rows: cnj_number (valid or null), has_process, courts (an array).
+    """
+    numbered = F.col("cnj_number").isNotNull()
+    out = rows.withColumn("group", F.explode(groups)).groupBy("group").agg(
+        F.count("*").alias("assets"), F.count_if(numbered).alias("numbered"), F.count_if(numbered & F.col("has_process")).alias("with_process"), F.count_if(numbered & (F.size("courts") == 0)).alias("no_court"),
+    )
+    return out.withColumn("percent", F.when(F.col("numbered") > 0, F.round(F.col("with_process") / F.col("numbered") * 100, 2)).otherwise(F.lit(0.0)))
+
+
+def source_groups(sources: DataFrame, key: str) -> DataFrame:
+    """Per group: its sources, their counts, and how many are covered, manual or blocked, and in error.
+
+    sources: records, discovered, imported, last_success_at, status, blocked_links, manual_url, last_error_at.
+    """
+    count = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
+    return sources.groupBy(key).agg(
+        F.count("*").alias("sources"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("records", "discovered", "imported")), F.count_if((F.coalesce("records", F.lit(0)) > 0) | F.col("last_success_at").isNotNull()).alias("covered"),
+        F.count_if((F.coalesce("status", F.lit("")) == "blocked") | (F.coalesce("blocked_links", F.lit(0)) > 0) | F.col("manual_url").isNotNull()).alias("manual_or_blocked"), F.count_if(F.col("last_error_at").isNotNull() | (F.coalesce("status", F.lit("")) == "error")).alias("errors"),
+    )
+
+
+def without_targets(datasets: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """Datasets that no target names."""
+    return datasets.join(targets.select(key), key, "left_anti")
+
+
 def recovery_plan(targets: DataFrame, now: str) -> DataFrame:
     """Reasons, points and priority of each target; healthy ones have 5 points and none.
 

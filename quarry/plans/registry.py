@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import files, publications, texts  # noqa: F401  they register their queries
+from quarry.plans import files, publications, reports, texts  # noqa: F401  they register their queries
 from quarry.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
