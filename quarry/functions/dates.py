@@ -100,6 +100,13 @@ def calendar(spark: SparkSession, first: str, last: str, extra: DataFrame | None
     return days.withColumn("ordinal", F.sum(F.col("is_working").cast("int")).over(Window.orderBy("day")))
 
 
+def holidays_of(holidays: DataFrame, courts: DataFrame, key: str, first: str, last: str) -> DataFrame:
+    """(court, day): holidays (day, court) from first to last of each court, national ones (court null) for all. Both tables are catalogues."""
+    span = holidays.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    national = courts.select(key).crossJoin(F.broadcast(span.where("court is null").select("day")))  # courts times days of a calendar
+    return national.unionAll(courts.select(key).join(F.broadcast(span.where("court is not null").select(F.col("court").alias(key), "day")), key)).distinct()
+
+
 def add_working_days(df: DataFrame, day: str, n: Column | str | int, days: DataFrame, out: str) -> DataFrame:
     """out: the n-th working day after day (day itself for n <= 0); both joins are with the calendar's rows."""
     steps = F.lit(n) if isinstance(n, int) else col(n)

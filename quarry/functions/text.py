@@ -123,6 +123,17 @@ def _court(d: Column) -> Column:
     )
 
 
+def court_of_state(x: Column | str) -> Column:
+    """Alias of a state's court, from its two letters; the Federal District's has an alias of its own."""
+    state = F.lower(F.trim(col(x)))
+    return F.when(state == "df", F.lit("tjdft")).when(state.isin(*STATES), F.concat(F.lit("tj"), state))
+
+
+def first_alias(*columns: Column | str) -> Column:
+    """The first alias that is not blank, in lower case."""
+    return F.coalesce(*(F.lower(blank_to_null(c)) for c in columns))
+
+
 def court_from_name(x: Column | str) -> Column:
     """trfN from names like 'TRF 3' or 'Federal Regional Court of the 3rd region' in Portuguese."""
     t = search_text(x)

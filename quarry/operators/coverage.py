@@ -212,3 +212,8 @@ def counters(previous: DataFrame, new: DataFrame, key: str, names: list[str]) ->
 
 def share(part: Column, whole: Column) -> Column:
     return clamp(ratio(part, whole), 0.0, 1.0)
+
+
+def run_totals(runs: DataFrame, key: str, sums: list[str], distinct: str) -> DataFrame:
+    """Per key: runs, the sums of counters, and how many different values a column has."""
+    return runs.groupBy(key).agg(F.count("*").alias("runs"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums), F.countDistinct(distinct).alias("kinds"))

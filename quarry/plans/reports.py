@@ -79,14 +79,14 @@ def critical_signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-, e AS (SELECT l_suppkey % 4 AS court, year(l_shipdate) AS reference_year, CASE WHEN l_linenumber % 2 = 0 THEN 'Fundo ' || l_partkey END AS program_name, (l_extendedprice)::DECIMAL(18,2) AS net, (l_extendedprice * 0.5)::DECIMAL(18,2) AS paid FROM lineitem)
+, e AS (SELECT l_suppkey % 4 AS court, year(l_shipdate) AS reference_year, CASE WHEN l_linenumber % 2 = 0 THEN 'Fundo ' || l_partkey END AS program_name, (l_extendedprice)::DECIMAL(18,2) AS net, (l_extendedprice::DECIMAL(18,2) - 1)::DECIMAL(18,2) AS paid FROM lineitem)
 SELECT count(*) AS rows, coalesce(sum(net), 0)::DECIMAL(18,2)::VARCHAR AS net_allocation_total, coalesce(sum(net), 0)::DECIMAL(18,2)::VARCHAR AS committed_amount_total, '0.00' AS liquidated_amount_total, coalesce(sum(paid), 0)::DECIMAL(18,2)::VARCHAR AS paid_amount_total
 FROM e WHERE court = 2 AND reference_year = 1995 AND contains(lower(program_name), 'fundo 1')""")
 def budget_execution_summary(spark: SparkSession, d: str) -> DataFrame:
     none, price = F.lit(None).cast("string"), F.col("l_extendedprice")
     rows = b.read(spark, d, "lineitem").select(
         (F.col("l_suppkey") % 4).alias("court"), F.year("l_shipdate").alias("reference_year"), none.alias("budget_unit_name"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Fundo "), F.col("l_partkey").cast("string"))).alias("program_name"), none.alias("action_name"), none.alias("funding_source_name"),
-        price.cast("decimal(18,2)").alias("net_allocation"), price.cast("decimal(18,2)").alias("committed_amount"), F.lit(None).cast("decimal(18,2)").alias("liquidated_amount"), (price * 0.5).cast("decimal(18,2)").alias("paid_amount"),
+        price.cast("decimal(18,2)").alias("net_allocation"), price.cast("decimal(18,2)").alias("committed_amount"), F.lit(None).cast("decimal(18,2)").alias("liquidated_amount"), (price.cast("decimal(18,2)") - 1).cast("decimal(18,2)").alias("paid_amount"),
     )
     return desk.budget_summary(desk.budget_rows(rows, q="FUNDO 1", court=2, reference_year=1995, source_kind=None))
 

@@ -204,3 +204,8 @@ def operational_signals(queue: str = "queue_position", kind: str = "source_kind"
         F.when(F.col(queue) <= 100, F.lit("queue_position_favorable")).when(F.col(queue).isNull(), F.lit("queue_position_unknown")), F.when(F.col(kind) == "agreement", F.lit("direct_agreement_window")),
         F.when(F.col(kind) == "paid", F.lit("payment_process_detected")), F.when(F.col(pref) == "superpreference", F.lit("superpreference_granted")).when(F.col(pref).isNotNull(), F.lit("preferential_queue")),
     ))
+
+
+def endpoint(base: str, alias: Column | str) -> Column:
+    """Address of a court's search."""
+    return F.concat(F.lit(base.rstrip("/") + "/"), F.col(alias) if isinstance(alias, str) else alias, F.lit("/search"))
