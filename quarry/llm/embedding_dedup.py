@@ -84,8 +84,8 @@ def _tile_pair(threshold: float):
     return run
 
 
-def _angled(pivots: dict[tuple, np.ndarray], schema: pa.Schema):
-    """The number of the nearest pivot and the angles to all pivots of the label; none where it has no pivots."""
+def _angled(pivots: dict[tuple, tuple[np.ndarray, int]], schema: pa.Schema):
+    """The number of the nearest of the label's first pivots, as many as it has tiles, and the angles to all of its pivots; none where it has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,8 +97,9 @@ def _angled(pivots: dict[tuple, np.ndarray], schema: pa.Schema):
                     groups.setdefault(key, []).append(row)
             for key, rows in groups.items():
                 own = np.asarray(vectors.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), -1)
-                angle = np.arccos(np.clip((own / np.linalg.norm(own, axis=1)[:, None]) @ pivots[key].T, -1, 1))
-                cell[rows] = angle.argmin(axis=1)
+                unit, first = pivots[key]
+                angle = np.arccos(np.clip((own / np.linalg.norm(own, axis=1)[:, None]) @ unit.T, -1, 1))
+                cell[rows] = angle[:, :first].argmin(axis=1)
                 for row, found in zip(rows, angle.tolist(), strict=True):
                     angles[row] = found
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angles, pa.list_(pa.float64()))], schema=schema)
@@ -110,13 +111,15 @@ def _cells(classes: DataFrame, counts: DataFrame, tile: int) -> DataFrame:
     """classes with cell and angles. Pivots are a bounded number of vectors, by a hash, of a bounded number of large labels."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    large = counts.where(F.col("n") > tile).orderBy(F.desc("n"), "label", "dim").limit(PIVOT_LABELS).select("label", "dim")
+    large = counts.where(F.col("n") > tile).orderBy(F.desc("n"), "label", "dim").limit(PIVOT_LABELS)
     first = Window.partitionBy("label", "dim").orderBy(F.xxhash64("k1"), "k1", "k2")
     chosen = classes.join(F.broadcast(large), ["label", "dim"]).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= PIVOTS)
     pivots: dict[tuple, list] = {}
-    for row in chosen.select("label", "dim", "embedding").collect():  # at most PIVOT_LABELS * PIVOTS vectors
+    tiles: dict[tuple, int] = {}
+    for row in chosen.select("label", "dim", "n", "embedding").collect():  # at most PIVOT_LABELS * PIVOTS vectors
         pivots.setdefault((row["label"], row["dim"]), []).append(row["embedding"])
-    unit = {key: np.array(own) / np.linalg.norm(own, axis=1)[:, None] for key, own in pivots.items()}
+        tiles[row["label"], row["dim"]] = -(-row["n"] // tile)
+    unit = {key: (np.array(own) / np.linalg.norm(own, axis=1)[:, None], tiles[key]) for key, own in pivots.items()}
     extra = classes.sparkSession.createDataFrame([], "cell int, angles array<double>").schema
     schema = type(extra)([*classes.schema.fields, *extra.fields])
     return stored(classes.mapInArrow(_angled(unit, to_arrow_schema(schema, prefers_large_types=False)), schema))
