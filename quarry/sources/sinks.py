@@ -32,3 +32,9 @@ def append(df: DataFrame, path: str, partition: Sequence[str] = ()) -> None:
 def overwrite_partitions(df: DataFrame, path: str, partition: Sequence[str]) -> None:
     """Replaces just the partitions that df has rows of."""
     df.write.option("partitionOverwriteMode", "dynamic").partitionBy(*partition).mode("overwrite").parquet(path)
+
+
+def refresh(df: DataFrame, path: str) -> DataFrame:
+    """Computes a stored aggregate anew, in place of the one at path, and reads it. df must not read from path itself."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -41,6 +41,12 @@ def test_writers(spark, tmp_path):
     assert sorted((r.k, r.a) for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [(1, "new"), (2, "z"), (2, "z")]
 
 
+def test_a_stored_aggregate_is_computed_anew(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2), (1, 3), (2, 4)], "k int, v int")
+    for where, wanted in (("true", {1: 5, 2: 4}), ("k = 1", {1: 5})):
+        assert {r.k: r.s for r in sinks.refresh(rows.where(where).groupBy("k").agg(F.sum("v").alias("s")), str(tmp_path / "view")).collect()} == wanted
+
+
 def test_streams_equal_batches(spark, sf_dir, tmp_path):
     """Two files of events, the second with repeats of the first: once each, by window, by job."""
     source, batch = str(tmp_path / "in"), spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
