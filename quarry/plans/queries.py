@@ -180,12 +180,12 @@ def reconcile_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 , matches AS (SELECT o_custkey * 100 + year(o_orderdate) % 100 AS k, count(*) AS n, min(o_orderkey) AS one FROM orders GROUP BY ALL)
-SELECT p.l_orderkey AS record_id, coalesce(n, 0) AS matches, CASE WHEN n = 1 THEN one END AS linked_id, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'conflict' ELSE 'unmatched' END AS link_status
-FROM (SELECT DISTINCT l_orderkey, l_partkey * 100 + year(l_shipdate) % 100 AS k FROM lineitem WHERE l_linenumber = 1) p LEFT JOIN matches USING (k)""")
+SELECT p.l_orderkey AS record_id, p.l_linenumber AS line, coalesce(n, 0) AS matches, CASE WHEN n = 1 THEN one END AS linked_id, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'conflict' ELSE 'unmatched' END AS link_status
+FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey * 100 + year(l_shipdate) % 100 AS k FROM lineitem) p LEFT JOIN matches USING (k)""")
 def exact_link_arity(spark: SparkSession, d: str) -> DataFrame:
-    left = b.read(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("record_id"), (F.col("l_partkey") * 100 + F.year("l_shipdate") % 100).alias("k")).distinct()
+    left = b.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") * 100 + F.year("l_shipdate") % 100).alias("k")).distinct()
     right = b.read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") * 100 + F.year("o_orderdate") % 100).alias("k"))
-    return relational.link_by_arity(left, right, "k", "o_orderkey").select("record_id", "matches", "linked_id", "link_status")
+    return relational.link_by_arity(left, right, "k", "o_orderkey").select("record_id", "line", "matches", "linked_id", "link_status")
 
 
 def _signal_values() -> str:
