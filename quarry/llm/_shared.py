@@ -82,8 +82,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = state
 
 
-def hot_keys(rows: DataFrame, key: str, share: int = 1000, least: int = 10_000) -> DataFrame | None:
-    """(key, salts) of the keys that hold more than `least` rows and one in `share`: fewer than `share` keys, whatever the table; None without any."""
+def hot_counts(counts: DataFrame, key: str, share: int = 1000, least: int = 1000) -> DataFrame | None:
+    """(key, salts) of the keys that hold more than `least` rows and one in `share`: fewer than `share` keys, whatever the table; None without any. counts: key, count."""
+    most = max(least, (counts.agg(F.sum("count")).first()[0] or 0) // share)
+    found = counts.where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("salts"))
+    known = found.collect()  # fewer than `share`
+    return counts.sparkSession.createDataFrame(known, found.schema) if known else None
+
+
+def hot_keys(rows: DataFrame, key: str, share: int = 1000, least: int = 1000) -> DataFrame | None:
+    """As hot_counts, of the rows' own counts."""
     most = max(least, rows.count() // share)
     found = rows.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("salts"))
     known = found.collect()  # fewer than `share`

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import components, hot_keys, small_batches, spread_join, stored
+from quarry.llm._shared import components, hot_counts, hot_keys, small_batches, spread_join, stored
 from quarry.llm._words import PLAIN, chunks, mix, shingle_hashes, split
 
 #: Orders in which a key's centre is chosen; parts beyond those that are needed; members up to which pairs of a
@@ -33,8 +33,8 @@ from quarry.llm._words import PLAIN, chunks, mix, shingle_hashes, split
 ORDERS, EXTRA, FEW, TILE, VERIFY_PAIRS, VERIFY_BYTES, BROADCAST_IDS = 2, 3, 64, 512, 2000, 8 << 20, 500_000
 #: Documents from which frequent shingles and crowded keys are learned; bits of the table of shingles.
 SAMPLE_DOCS, COMMON_BITS = 5000, 1 << 24
-#: Sampled documents that make a key crowded; tasks that such a key is dealt to, each with a centre of its own.
-CROWDED, SALTS = 25, 32
+#: Sampled documents that make a key crowded; tasks that such a key is dealt to; more centres for keys whose many members are still apart.
+CROWDED, SALTS, CENTRES = 25, 32, 8
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -256,17 +256,18 @@ def _exact(k: int, percent: int):
 def _verified(documents: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs (a, b, and the bytes wa and wb of their texts) whose sets are similar enough. A centre with many or long partners is split by salts."""
     pairs = stored(pairs)
-    per_a = stored(pairs.groupBy("a").agg(F.max("wa").alias("wa"), F.greatest(F.ceil(F.count("*") / 128), F.ceil(F.sum("wb") / VERIFY_BYTES)).alias("salts")))
+    per_a = stored(pairs.groupBy("a").agg(F.count("*").alias("count"), F.max("wa").alias("wa"), F.greatest(F.ceil(F.count("*") / 128), F.ceil(F.sum("wb") / VERIFY_BYTES)).alias("salts")))
     count = pairs.count()
     size = (pairs.agg(F.sum("wb")).first()[0] or 0) + (per_a.agg(F.sum(F.col("wa") * F.col("salts"))).first()[0] or 0)
     buckets = max(1, -(-count // VERIFY_PAIRS), -(-size // (2 * VERIFY_BYTES)))
-    salted = spread_join(pairs.select("a", "b"), per_a.select("a", F.col("salts").alias("n")), "a", "b", hot_keys(pairs, "a")).withColumn("salt", F.pmod(F.xxhash64("b"), "n"))
+    salted = spread_join(pairs.select("a", "b"), per_a.select("a", F.col("salts").alias("n")), "a", "b", hot_counts(per_a, "a")).withColumn("salt", F.pmod(F.xxhash64("b"), "n"))
     members = stored(salted.select("a", "salt", F.col("b").alias("doc_id")).unionAll(salted.select("a", "salt", F.col("a").alias("doc_id")).distinct()))
     ids = members.select("doc_id").distinct()
     if 2 * count <= BROADCAST_IDS:  # a small id set goes to the documents; otherwise both are shuffled
         ids = F.broadcast(ids)
     texts = documents.join(ids, "doc_id", "left_semi").distinct()
-    rows = spread_join(members, texts, "doc_id", "salt", hot_keys(members, "doc_id")).select("a", "salt", F.col("doc_id").alias("member"), "text", F.pmod(F.xxhash64("a", "salt"), F.lit(buckets)).alias("bucket"))
+    often = hot_counts(per_a.select(F.col("a").alias("doc_id"), F.col("salts").alias("count")), "doc_id")  # a centre is there once a salt
+    rows = spread_join(members, texts, "doc_id", "salt", often).select("a", "salt", F.col("doc_id").alias("member"), "text", F.pmod(F.xxhash64("a", "salt"), F.lit(buckets)).alias("bucket"))
     return stored(rows.groupBy("bucket").applyInArrow(_exact(k, percent), "a long, b long"))
 
 
@@ -282,8 +283,10 @@ def similarity_components(documents: DataFrame, k: int = 5, percent: int = 80) -
     documents = small_batches(documents).select(F.col("doc_id").cast("long"), "text")
     profiles = stored(documents.mapInArrow(_profiles(k), "doc_id long, n long, h1 long, h2 long, size long, sketch binary"))
     nodes = profiles.where("doc_id is not null and n > 0")
-    classes = nodes.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    copies = stored(nodes.join(classes, ["n", "h1", "h2"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
+    same = F.struct("n", "h1", "h2").alias("same")
+    classes = stored(nodes.groupBy(same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("count")).where("first < last").drop("last"))
+    often = hot_counts(classes, "same")
+    copies = stored(spread_join(nodes.select("doc_id", same), classes.drop("count"), "same", "doc_id", often).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct())
     sample = _sample(documents)
     keys = _keyed(k, percent, frequent_shingles(sample, k))
     shape = "key long, doc_id long, n int, m int"
@@ -291,22 +294,22 @@ def similarity_components(documents: DataFrame, k: int = 5, percent: int = 80) -
     # Keys of many sampled documents are dealt out; their number is bounded by the sample, and what is missed costs time only.
     crowded = stored(sample.mapInArrow(keys, shape).groupBy("key").count().where(F.col("count") >= CROWDED).select("key", F.lit(True).alias("crowded")))
     keyed = keyed.join(F.broadcast(crowded), "key", "left").withColumn("salt", F.when(F.col("crowded"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int"))
-    # The first of a key, in one of a few orders, is its centre; of a crowded key, the first in each task.
-    in_key = Window.partitionBy("key", "salt").orderBy(F.xxhash64("doc_id", F.col("key").bitwiseAND(ORDERS - 1)), "doc_id")
-    centre = F.first(F.struct("doc_id", "n")).over(in_key)
+    # The first of a key, in one of a few orders, is its centre; of a crowded key it is found by an aggregate.
+    turn = F.xxhash64("doc_id", F.col("key").bitwiseAND(ORDERS - 1))
+    in_key = Window.partitionBy("key", "salt").orderBy(turn, "doc_id")
+    centre = F.when(F.col("crowded").isNull(), F.first(F.struct("doc_id", "n")).over(in_key))
     more = F.lead("doc_id").over(in_key).isNotNull()
-    shared = keyed.withColumn("centre", centre).withColumn("more", more).where("centre.doc_id <> doc_id or more or crowded")
-    shared = stored(shared.select("key", "doc_id", "n", "m", F.col("centre.doc_id").alias("c"), F.col("centre.n").alias("cn"), F.coalesce("crowded", F.lit(False)).alias("crowded")))
-    centres = shared.where("crowded and c = doc_id")  # SALTS of a key at most
-    first = centres.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("f"))
-    between = centres.join(first, "key").select("doc_id", "n", F.col("f.doc_id").alias("c"), F.col("f.n").alias("cn"))
+    shared = keyed.withColumn("centre", centre).withColumn("more", more).where("crowded or centre.doc_id <> doc_id or more")
+    shared = stored(shared.select("key", "doc_id", "n", "m", F.col("centre.doc_id").alias("c"), F.col("centre.n").alias("cn"), "crowded"))
+    centres = shared.where("crowded").groupBy("key").agg(F.min_by(F.struct("doc_id", "n"), F.struct(turn, "doc_id")).alias("centre"))
+    shared = shared.join(F.broadcast(centres), "key", "left").withColumns({"c": F.coalesce("c", "centre.doc_id"), "cn": F.coalesce("cn", "centre.n")}).drop("centre", "crowded")  # one row of each crowded key
     one = copies.select(F.col("a").alias("id"), F.col("b").alias("first"))  # a copy's first document stands for it
 
     def first_of(df: DataFrame, column: str) -> DataFrame:
         return df.join(one, F.col(column) == one["id"], "left").withColumn(column, F.coalesce("first", column)).drop("id", "first")
 
     fits = f"100 * least(n, cn) >= {percent} * greatest(n, cn)"
-    star = shared.select("doc_id", "n", "c", "cn").unionAll(between).where(f"c <> doc_id and {fits}").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
+    star = shared.where(f"c <> doc_id and {fits}").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
     star = first_of(first_of(star, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sketches = nodes.select("doc_id", "sketch", "n", "size").distinct()
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("size").alias(f"w{x}"))
@@ -320,10 +323,26 @@ def similarity_components(documents: DataFrame, k: int = 5, percent: int = 80) -
     links = copies.unionAll(_verified(documents, within(star), k, percent))
     found = stored(components(links))
     # Members of one key that are still apart.
-    rest = first_of(shared.select("key", "doc_id", "n", "m").distinct(), "doc_id").distinct()
-    rest = stored(rest.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-    mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x < y").select("key", "members")
-    rest = stored(spread_join(rest, mixed, "key", "doc_id", hot_keys(rest, "key")))
+    members = stored(first_of(shared.select("key", "doc_id", "n", "m").distinct(), "doc_id").distinct())
+    hot = crowded.select("key", F.lit(SALTS).alias("salts"))
+
+    def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+        rows = stored(rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+        mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x < y").select("key", "members")
+        return stored(spread_join(rows, mixed, "key", "doc_id", hot))
+
+    rest = apart(members, found)
+    crowd = rest.where(F.col("members") > FEW)
+    if crowd.limit(1).count():  # each is compared with a few more centres of its key, not with all others
+        others = [F.min_by(F.struct("doc_id", "n", "component"), F.struct(F.xxhash64("doc_id", F.lit(ORDERS + k)), "doc_id")) for k in range(CENTRES)]
+        more = crowd.groupBy("key").agg(F.array(*others).alias("c"))
+        # A document meets those of its most crowded key only; who shares more keys with it would be met many times.
+        once = stored(crowd.groupBy("doc_id").agg(F.max_by(F.struct("key", "n", "component"), F.struct("members", "key")).alias("x")).select("doc_id", "x.*"))
+        met = spread_join(once, more, "key", "doc_id", hot).select("doc_id", "n", "component", F.explode("c").alias("c")).where("component <> c.component").select("doc_id", "n", F.col("c.doc_id").alias("c"), F.col("c.n").alias("cn"))
+        met = met.where(fits).select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
+        links = links.unionAll(_verified(documents, within(met), k, percent))
+        found = stored(components(links))
+        rest = apart(rest.drop("component", "members"), found)
     few = rest.where(F.col("members") <= FEW)
     left, right = (few.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "m", "component"))) for x in "ab")
     pairs = left.join(right, "key").where(f"doc_ida < doc_idb and componenta <> componentb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._fm import FMIndex, SmallestOwner
-from quarry.llm._shared import hot_keys, small_batches, spread_join, stored
+from quarry.llm._shared import hot_counts, hot_keys, small_batches, spread_join, stored
 from quarry.llm._words import PLAIN, _power_tables, chunks, mix, shingle_hashes, sliding_min, split
 
 #: Words of an anchor; windows in a segment at most; words in a shard's index, about.
@@ -240,9 +240,7 @@ def repeated_spans(documents: DataFrame, width: int = 50) -> DataFrame:
     later = windows.join(same, ["h1", "h2"]).where("doc_id > owner").select("anchor", "content", F.col("at").alias("start"), (F.col("at") + width).alias("stop"))
     ranges = found.where("not hot").select("anchor", "content", "start", "stop").unionAll(later).groupBy("anchor", "content").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     owners = distinct.select("anchor", "content", F.col("doc_id").alias("owner")).join(ranges, ["anchor", "content"], "left").withColumn("words", same_words).drop("anchor", "content")
-    most = max(10_000, owned.count() // 1000)
-    often = distinct.where(F.col("copies") > most).select(same_words, F.ceil(F.col("copies") / most).cast("int").alias("salts"))  # fewer than 1,000
-    often = often if often.limit(1).count() else None
+    often = hot_counts(distinct.select(same_words, F.col("copies").alias("count")), "words")
     moved = F.transform("ranges", lambda r: F.struct((F.col("start") + r["start"]).alias("start"), (F.col("start") + r["stop"]).alias("stop")))
     whole = F.array(F.struct("start", (F.col("start") + F.col("n")).alias("stop")))
     covered = spread_join(owned.withColumn("words", same_words), owners, "words", "doc_id", often).withColumn("spans", F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(moved)).where("spans is not null")
