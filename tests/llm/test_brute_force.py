@@ -175,12 +175,12 @@ def test_op10(spark):
     assert hit / max(1, sum(r.is_toxic for r in rows)) > 0.95
 
 
-@pytest.mark.parametrize("name", ["op3_embedding_near_dedup", "op7_mixing_sources"])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     frame = registry.queries()[name](spark, sf_dir)
     relation = con.execute(f"SELECT {', '.join(frame.columns)} FROM ({registry.oracle_sql()[name]})")
