@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, embedding_dedup, html_extraction, jaccard_join, mixing, pii, secrets, substring_dedup, token_counts, toxicity
+from quarry.llm import decontamination, embedding_dedup, html_extraction, jaccard_join, merkle_manifest, mixing, pii, secrets, substring_dedup, token_counts, toxicity
 
-_MODULES = (substring_dedup, decontamination, embedding_dedup, token_counts, secrets, jaccard_join, mixing, html_extraction, pii, toxicity)
+_MODULES = (substring_dedup, decontamination, embedding_dedup, token_counts, secrets, jaccard_join, merkle_manifest, mixing, html_extraction, pii, toxicity, merkle_manifest)
 
 
 def queries() -> dict:
