@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import conversation_repair, decontamination, embedding_dedup, html_extraction, jaccard_join, merkle_manifest, mixing, pii, secrets, substring_dedup, token_counts, toxicity
+from quarry.llm import conversation_repair, decontamination, embedding_dedup, html_extraction, jaccard_join, merkle_manifest, mixing, pii, quality_rules, secrets, substring_dedup, token_counts, toxicity
 
-_MODULES = (substring_dedup, decontamination, embedding_dedup, token_counts, secrets, jaccard_join, merkle_manifest, mixing, html_extraction, pii, toxicity, merkle_manifest, conversation_repair)
+_MODULES = (substring_dedup, decontamination, embedding_dedup, token_counts, secrets, jaccard_join, merkle_manifest, mixing, html_extraction, pii, toxicity, quality_rules, merkle_manifest, conversation_repair)
 
 
 def queries() -> dict:
