@@ -86,9 +86,13 @@ def matrix_summary(states: DataFrame) -> DataFrame:
 
 
 def coherence_summary(report: DataFrame) -> DataFrame:
-    """One row over the courts of coherence: assets, the share of each flag and of complete ones (0 without assets), conflicts."""
+    """One row over the courts of coherence: assets and complete ones, the share of each flag (0 without assets), conflicts, and courts: all, with assets, ready and critical."""
     whole = F.sum("assets")
-    return report.agg(whole.alias("assets"), *(ratio(F.sum(flag), whole).alias(flag) for flag, *_ in GAPS), ratio(F.sum("complete"), whole).alias("complete"), F.sum("conflicts").alias("conflicts"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return report.agg(
+        total("assets"), F.coalesce(F.sum("complete"), F.lit(0)).alias("complete_assets"), ratio(F.sum("complete"), whole).alias("complete"), *(ratio(F.sum(flag), whole).alias(flag) for flag in FLAGS), *map(total, TROUBLES),
+        F.count("*").alias("courts"), F.count_if(F.col("assets") > 0).alias("courts_with_assets"), F.count_if(F.col("status") == "complete").alias("ready_courts"), F.count_if(F.col("status") == "critical").alias("critical_courts"),
+    )
 
 
 def process_coverage(rows: DataFrame, groups: Column) -> DataFrame:
@@ -120,54 +124,80 @@ def without_targets(datasets: DataFrame, targets: DataFrame, key: str) -> DataFr
     return datasets.join(targets.select(key), key, "left_anti")
 
 
+# Points of the reasons to run a source again, in their order.
+RECOVERY = {
+    "configured_without_validated_run": 35, "never_succeeded": 50, "stale_success": 0, "no_tenant_source_records": 30, "quality_unknown": 10, "quality_failed": 35, "quality_weak": 20,
+    "low_import_yield": 20, "high_error_rate": 20, "low_field_coverage": 15,
+}
+
+
 def recovery_plan(targets: DataFrame, now: str) -> DataFrame:
-    """Reasons, points and priority of each target; healthy ones have 5 points and none.
+    """Reasons, points and priority of the targets that can run: configured or validated, with an adapter. The others go.
 
-    targets: last_success_at, status, records, grade, last_run_status, quality_score, yield, errors, field_coverage.
+    targets: last_success_at, status, adapter, records, grade (null: quality not known), quality_score, yield, error_rate,
+    field_coverage. The days since the last success count up to 30 points at any age, lost quality up to 20.
     """
     age = age_days("last_success_at", F.lit(now).cast("timestamp"))
+    known, score = F.col("grade").isNotNull(), F.col("quality_score")
+    failed = known & ((F.col("grade") == "D") | (score < 0.5))
     tests = {
-        "never_succeeded": (F.col("last_success_at").isNull(), F.lit(50)), "configured_only": (F.col("status") == "configured", F.lit(35)), "no_records": (F.coalesce("records", F.lit(0)) == 0, F.lit(30)),
-        "unknown_quality": (F.col("grade").isNull(), F.lit(10)), "failed": (F.col("last_run_status") == "failed", F.lit(35)), "weak_quality": (F.col("grade").isin("C", "D") & (F.col("last_run_status") != "failed"), F.lit(20)),
-        "low_yield": (F.col("yield") < 0.5, F.lit(20)), "errors": (F.col("errors") > 0, F.lit(20)), "low_field_coverage": (F.col("field_coverage") < 0.5, F.lit(15)),
-        "stale": (age > 30, F.least(age, F.lit(30))),
+        "configured_without_validated_run": F.col("status") == "configured", "never_succeeded": F.col("last_success_at").isNull(), "stale_success": age >= 7, "no_tenant_source_records": F.col("records") == 0, "quality_unknown": ~known,
+        "quality_failed": failed, "quality_weak": known & ~F.coalesce(failed, F.lit(False)) & ((F.col("grade") == "C") | (score < 0.7)), "low_import_yield": known & (F.col("yield") < 0.5), "high_error_rate": known & (F.col("error_rate") >= 0.25),
+        "low_field_coverage": known & (F.coalesce("field_coverage", F.lit(1.0)) < 0.65),
     }
-    hits = {k: (F.coalesce(v, F.lit(False)), points) for k, (v, points) in tests.items()}
-    score = F.floor((1 - F.coalesce(F.col("quality_score"), F.lit(1.0))) * 20 + 0.5)
-    for v, points in hits.values():
-        score = score + F.when(v, points).otherwise(0)
-    out = targets.withColumn("reasons", F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, (v, _) in hits.items()))))
-    out = out.withColumn("recovery_score", F.when(F.size("reasons") == 0, F.lit(5)).otherwise(score).cast("int"))
+    hits = {name: F.coalesce(test, F.lit(False)) for name, test in tests.items()}
+    out = targets.where(F.col("adapter").isNotNull() & F.col("status").isin("configured", "validated"))
+    reasons = F.array_compact(F.array(*(F.when(hit, F.lit(name)) for name, hit in hits.items())))
+    out = out.withColumn("reasons", F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("healthy_refresh"))))
+    points = F.coalesce(F.least(age, F.lit(30)), F.lit(0)) + F.when(known, F.floor(F.round((1 - score) * 20, 9) + 0.5)).otherwise(0) + F.when((F.col("status") == "validated") & (F.col("reasons")[0] == "healthy_refresh"), 5).otherwise(0)
+    for name, hit in hits.items():
+        points = points + F.when(hit, RECOVERY[name]).otherwise(0)
+    out = out.withColumn("recovery_score", points.cast("int"))
     return out.withColumn("recovery_priority", F.when(F.col("recovery_score") >= 80, F.lit("critical")).when(F.col("recovery_score") >= 50, F.lit("high")).when(F.col("recovery_score") >= 25, F.lit("medium")).otherwise(F.lit("low")))
 
 
-def coverage_score(discovered: Column, imported: Column, errors: Column) -> Column:
-    """0 nothing found, 0.25 only errors, 0.5 found, 0.75 imported with errors, 1 imported."""
-    return F.when((imported > 0) & (errors == 0), 1.0).when(imported > 0, 0.75).when((discovered > 0) & (errors == 0), 0.5).when(errors > 0, 0.25).otherwise(0.0)
+def coverage_score(status: Column, errors: Column, records: Column, linked: Column, discovered: Column) -> Column:
+    """0 for a failed run, 0.5 with any error, 1 with records or linked assets, 0.75 if something was discovered, else 0.25."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return F.when(status == "failed", 0.0).when(n(errors) > 0, 0.5).when((n(records) > 0) | (n(linked) > 0), 1.0).when(n(discovered) > 0, 0.75).otherwise(0.25)
 
 
-#: Gaps of a court: flag, code, severity and the action for it.
+# Fields without which an asset is not known; flags that are counted; what troubles a court; gaps: flag or trouble, code, severity and the action for it.
+CORE_FIELDS = ("cnj_number", "debtor_name", "court_alias", "face_value")
+FLAGS = ("has_primary_source", "has_process", "has_publication", "has_value", "has_score", "has_evidence", "has_resolved")
+TROUBLES = ("conflicts", "field_conflicts", "pending")
 GAPS = (
-    ("has_cnj", "missing_cnj", "high", "review_import"), ("has_value", "missing_value", "high", "import_valuation"), ("has_primary_source", "missing_primary_source", "high", "link_primary_source"),
-    ("has_process", "missing_process", "medium", "search_process"), ("has_publication", "missing_publication", "medium", "search_publication"), ("has_score", "missing_score", "low", "refresh_score"),
-    ("has_cross_check", "missing_cross_check", "low", "cross_check_source"),
+    ("has_primary_source", "missing_primary_source", "high", "link_primary_source"), ("has_process", "missing_datajud_process", "medium", "search_process"), ("has_publication", "missing_djen_publication", "medium", "search_publication"),
+    ("has_value", "missing_valuation", "medium", "import_valuation"), ("has_score", "missing_score", "medium", "refresh_score"), ("has_resolved", "missing_field_evidence", "medium", "materialize_field_evidence"),
+    ("conflicts", "source_conflicts", "high", "resolve_conflict"), ("field_conflicts", "field_evidence_conflicts", "high", "review_field_evidence"), ("pending", "pending_candidate_review", "medium", "review_candidates"),
 )
 
 
-def coherence(rows: DataFrame, key: str = "court") -> DataFrame:
-    """Per court: counts of each flag and of complete assets, conflicts, gaps, status. rows: one per asset with the flags of GAPS and n_conflicts."""
+def coherence(rows: DataFrame, key: str = "court", every: DataFrame | None = None) -> DataFrame:
+    """Per court: counts of each flag, of complete assets and of troubled ones, gaps, the first four actions, status.
+
+    rows: one per asset with the first five FLAGS and the counts evidence, resolved_fields, n_conflicts, n_field_conflicts
+    and pending_candidates. every: courts that are reported also without assets. An asset is complete with the five flags
+    and all core fields resolved, and without conflict or candidate.
+    """
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rows = rows.withColumns({"has_evidence": n("evidence") > 0, "has_resolved": n("resolved_fields") >= len(CORE_FIELDS)})
+    trouble = dict(zip(TROUBLES, (n("n_conflicts") > 0, n("n_field_conflicts") > 0, n("pending_candidates") > 0), strict=True))
     complete = F.lit(True)
-    for flag, *_ in GAPS[:-1]:
-        complete = complete & F.col(flag)
-    out = rows.groupBy(key).agg(F.count("*").alias("assets"), *(F.count_if(F.col(flag)).alias(flag) for flag, *_ in GAPS), F.count_if(complete).alias("complete"), F.count_if(F.col("n_conflicts") > 0).alias("conflicts"))
+    for test in (*(F.col(flag) for flag in FLAGS if flag != "has_evidence"), *(~test for test in trouble.values())):
+        complete = complete & test
+    out = rows.groupBy(key).agg(F.count("*").alias("assets"), *(F.count_if(F.col(flag)).alias(flag) for flag in FLAGS), F.count_if(complete).alias("complete"), *(F.count_if(test).alias(name) for name, test in trouble.items()))
+    if every is not None:
+        out = every.select(key).distinct().join(out, key, "full").fillna(0)
     out = out.withColumn("complete_rate", ratio("complete", "assets"))
-    gaps = [F.when(F.col(flag) < F.col("assets"), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), (F.col("assets") - F.col(flag)).alias("missing"), F.lit(action).alias("action"))) for flag, code, severity, action in GAPS]
-    gaps.append(F.when(F.col("conflicts") > 0, F.struct(F.lit("source_conflict").alias("code"), F.lit("high").alias("severity"), F.col("conflicts").alias("missing"), F.lit("resolve_conflict").alias("action"))))
-    out = out.withColumn("gaps", F.array_compact(F.array(*gaps)))
+    missing = lambda name: F.col(name) if name in TROUBLES else F.col("assets") - F.col(name)
+    gap = lambda code, severity, count, action: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), count.cast("long").alias("missing"), F.lit(action).alias("action"))
+    gaps = F.array_compact(F.array(*(F.when(missing(name) > 0, gap(code, severity, missing(name), action)) for name, code, severity, action in GAPS)))
+    out = out.withColumn("gaps", F.when(F.col("assets") == 0, F.array(gap("no_assets", "medium", F.lit(0), "link_assets"))).otherwise(gaps))
     high = F.exists("gaps", lambda g: g["severity"] == "high")
     usable = (F.col("has_primary_source") > 0) & (F.col("has_process") > 0) & (F.col("has_score") > 0)
     status = F.when(F.col("assets") == 0, F.lit("partial")).when(high, F.lit("critical")).when(F.col("complete_rate") >= 0.95, F.lit("complete")).when(usable, F.lit("usable")).otherwise(F.lit("partial"))
-    return out.withColumn("status", status)
+    return out.withColumns({"actions": F.slice(F.transform("gaps", lambda g: g["action"]), 1, 4), "status": status})
 
 
 def gap_roll_up(report: DataFrame, key: str = "court") -> DataFrame:
@@ -188,14 +218,29 @@ def roll_up(checks: DataFrame, key: str, status: str = "status") -> DataFrame:
 
 
 def job_state(runs: DataFrame, key: str, now: str, success_h: int = 20, running_h: int = 6, failure_h: int = 2) -> DataFrame:
-    """Per job: last success, start and failure, and why it need not run: recent_success, running, recent_failure, or null.
+    """Per job: last completed, running and failed run, and why it need not run: in_progress, recent_success, recent_failure, or null.
 
-    runs: key, status (success, running, failed) and at.
+    runs: key, status and at. A run that failed, was skipped or was cancelled is a failure.
     """
-    last = lambda s: F.max(F.when(F.col("status") == s, F.col("at")))
-    out = runs.groupBy(key).agg(last("success").alias("last_success"), last("running").alias("last_running"), last("failed").alias("last_failure"))
+    last = lambda *s: F.max(F.when(F.col("status").isin(*s), F.col("at")))
+    out = runs.groupBy(key).agg(last("completed").alias("last_success"), last("running").alias("last_running"), last("failed", "skipped", "cancelled").alias("last_failure"))
     recent = lambda c, hours: F.col(c) >= F.lit(now).cast("timestamp") - F.expr(f"interval {hours} hours")
-    return out.withColumn("skip_reason", F.when(recent("last_success", success_h), F.lit("recent_success")).when(recent("last_running", running_h), F.lit("running")).when(recent("last_failure", failure_h), F.lit("recent_failure")))
+    return out.withColumn("skip_reason", F.when(recent("last_running", running_h), F.lit("in_progress")).when(recent("last_success", success_h), F.lit("recent_success")).when(recent("last_failure", failure_h), F.lit("recent_failure")))
+
+
+def health(queues: DataFrame, workers: DataFrame, stalled: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row, status: degraded, attention or ok. queues, workers and jobs have a status; stalled has a row for each run that hangs.
+
+    A degraded queue, a stale worker or a hanging run degrade the whole; a queue with a backlog, or a job that is due or cools down, ask for attention.
+    """
+    count = lambda df, *states: df.agg(F.count_if(F.col("status").isin(*states)).alias("n"))
+    parts = {"degraded": count(queues, "degraded"), "stale": count(workers, "stale"), "stalled": stalled.agg(F.count("*").alias("n")), "backlogged": count(queues, "backlogged"), "waiting": count(jobs, "cooldown", "due")}
+    row = None
+    for name, df in parts.items():
+        one = df.select(F.lit(name).alias("name"), "n")
+        row = one if row is None else row.unionAll(one)
+    row = row.agg(*(F.coalesce(F.sum(F.when(F.col("name") == name, F.col("n"))), F.lit(0)).alias(name) for name in parts))
+    return row.withColumn("status", F.when((F.col("degraded") > 0) | (F.col("stale") > 0) | (F.col("stalled") > 0), F.lit("degraded")).when((F.col("backlogged") > 0) | (F.col("waiting") > 0), F.lit("attention")).otherwise(F.lit("ok")))
 
 
 def freshness(beats: DataFrame, queues: DataFrame, now: str, seconds: int = 60) -> DataFrame:

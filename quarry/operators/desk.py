@@ -21,7 +21,7 @@ def data_issue(issue: str) -> Column:
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     return {
-        "missing_value": (count("face_value") <= 0) | ~flag("has_value"), "missing_process": ~flag("has_process"), "missing_publication": ~flag("has_publication"),
+        "missing_value": (count("face_value") <= 0) | ~flag("has_value"), "missing_datajud": ~flag("has_process"), "missing_djen": ~flag("has_publication"),
         "missing_field_evidence": count("resolved_fields") < 4, "conflicts": (count("n_conflicts") > 0) | (count("n_field_conflicts") > 0), "candidate_review": count("pending_candidates") > 0,
     }[issue]
 
@@ -58,7 +58,7 @@ def desk(df: DataFrame) -> DataFrame:
 
 def quality_summary(df: DataFrame) -> DataFrame:
     """One row: rows, those with each issue, and those blocked and complete."""
-    issues = ("missing_value", "missing_process", "missing_publication", "missing_field_evidence", "conflicts", "candidate_review")
+    issues = ("missing_value", "missing_datajud", "missing_djen", "missing_field_evidence", "conflicts", "candidate_review")
     return df.agg(F.count("*").alias("total"), *(F.count_if(data_issue(issue)).alias(issue) for issue in issues), *(F.count_if(F.col("status") == state).alias(state) for state in ("blocked", "complete")))
 
 

@@ -129,10 +129,11 @@ def dossier_checks() -> dict[str, Column]:
 
 
 def completeness(checks: dict[str, Column]) -> tuple[Column, Column]:
-    """(score, grade) of checks that are complete, partial or missing; partial counts half."""
+    """(score, grade) of checks that are complete, partial or missing; partial counts half, and the sum is rounded before it is graded."""
     score = F.lit(0.0)
     for name, state in checks.items():
         score = score + F.when(state == "complete", float(CHECKS[name])).when(state == "partial", CHECKS[name] / 2).otherwise(0.0)
+    score = F.floor(score + 0.5).cast("int")
     return score, F.when(score >= 90, F.lit("A")).when(score >= 75, F.lit("B")).when(score >= 55, F.lit("C")).otherwise(F.lit("D"))
 
 
@@ -143,20 +144,25 @@ def relative_spread(values: DataFrame, key: str, value: str, least: float = 0.05
 
 
 def advise(df: DataFrame) -> DataFrame:
-    """Readiness, state, and fit of four channels, of rows with positive_signals, negative_signals, review_items, blocked_items, payment_probability, term_months, final_score and codes."""
+    """Readiness, state, and fit of four channels, of rows with positive_signals, negative_signals, review_items, blocked_items, payment_probability, term_months, final_score and codes.
+
+    Fits are whole numbers; a blocked row has only the wait. The first best channel of 55 or more is recommended.
+    """
     ready = clamp(F.lit(72) + 6 * F.col("positive_signals") - 12 * F.col("negative_signals") - 8 * F.col("review_items") - 35 * F.col("blocked_items"), 0, 100)
     out = df.withColumn("readiness", ready)
     state = F.when((F.col("blocked_items") > 0) | (F.col("readiness") < 45), F.lit("blocked")).when((F.col("readiness") < 78) | (F.col("review_items") > 0), F.lit("review")).otherwise(F.lit("ready"))
-    has = lambda *codes: F.arrays_overlap("codes", F.array(*map(F.lit, codes)))
-    r, p = F.col("readiness"), F.col("payment_probability")
+    out = out.withColumn("advice_state", state)
+    has = lambda code: F.coalesce(F.array_contains("codes", code), F.lit(False))
+    r, p, blocked = F.col("readiness"), F.col("payment_probability"), F.col("advice_state") == "blocked"
+    whole = lambda c: F.floor(clamp(c, 0, 100) + 0.5).cast("int")
     fits = {
-        "private_sale": r + 20 * F.col("final_score") + F.when(has("payment_available", "payment_process_detected"), 8).otherwise(0),
-        "direct_agreement": r + F.when(has("direct_agreement_opened", "direct_agreement_window"), 24).otherwise(-12) + F.when(has("superpreference_granted"), 8).otherwise(0),
-        "hold": F.lit(55) + 30 * p - F.col("term_months") / 3,
-        "bridge": r - 12 + F.when(p > 0.75, 10).otherwise(-10),
+        "private_cession": F.when(blocked, 0).otherwise(whole(r + 20 * F.col("final_score") + F.when(has("payment_available"), 8).otherwise(0))),
+        "direct_agreement": F.when(blocked, 0).otherwise(whole(r + F.when(has("direct_agreement_opened"), 24).otherwise(-12) + F.when(has("superpreference_granted"), 8).otherwise(0))),
+        "hold_and_wait": whole(F.lit(55) + 30 * p - F.col("term_months") / 3),
+        "bridge_loan": F.when(blocked, 0).otherwise(whole(r - 12 + F.when(p > 0.75, 10).otherwise(-10))),
     }
-    channels = F.array(*(F.struct(clamp(v, 0, 100).alias("fit"), F.lit(-k).alias("_order"), F.lit(name).alias("channel")) for k, (name, v) in enumerate(fits.items())))
-    out = out.withColumns({"advice_state": state, "_best": F.array_max(channels), "channels": F.transform(channels, lambda x: F.struct(x["channel"].alias("channel"), x["fit"].alias("fit")))})
+    channels = F.array(*(F.struct(v.alias("fit"), F.lit(-k).alias("_order"), F.lit(name).alias("channel")) for k, (name, v) in enumerate(fits.items())))
+    out = out.withColumns({"_best": F.array_max(channels), "channels": F.transform(channels, lambda x: F.struct(x["channel"].alias("channel"), x["fit"].alias("fit")))})
     return out.withColumn("recommended_channel", F.when(F.col("_best.fit") >= 55, F.col("_best.channel"))).drop("_best")
 
 

@@ -60,7 +60,12 @@ ACTS = (
     ("court_costs", r"\bcustas\b|\bpreparo\b|\brecolhimento\b"),
     ("interlocutory_decision", r"\bdecisao\b|\bdefiro\b|\bindefiro\b|\bhomologo\b|\brejeito\b|\bacolho\b"),
 )
-FATAL = ("citation", "sentence", "embargos_decision", "appellate_decision", "article_523_notice", "interlocutory_decision", "compliance_challenge", "monocratic_decision", "counterarguments", "extrajudicial_execution")
+# Acts with a deadline of 15 days, and those whose missed deadline is fatal; words for days.
+FIFTEEN_DAYS = ("citation", "sentence", "embargos_decision", "appellate_decision", "article_523_notice", "interlocutory_decision", "compliance_challenge", "monocratic_decision", "counterarguments", "extrajudicial_execution")
+FATAL = (
+    "citation", "sentence", "embargos_decision", "appellate_decision", "article_523_notice", "interlocutory_decision", "compliance_challenge",
+    "monocratic_decision", "judgment_docket", "counterarguments", "extrajudicial_execution", "attachment", "case_return", "court_costs",
+)
 DEADLINE_WORDS = {"cinco": 5, "oito": 8, "dez": 10, "quinze": 15}
 _DEADLINE = r"\bprazo\s+(?:de\s+)?(\d{1,3}|cinco|dez|quinze|oito)\s+dias?\s*(uteis|corridos)?"
 
@@ -115,7 +120,7 @@ def interpret(df: DataFrame, text: str, court: Column | None = None, communicati
     act = F.col("act_type")
     canonical = (
         F.when((F.col("branch") == "labor") & act.isin("sentence", "embargos_decision", "appellate_decision"), 8)
-        .when(F.col("branch").isin("small_claims", "federal_small_claims") & act.isin("citation", "sentence", "embargos_decision"), 10).when(act.isin(*FATAL), 15).when(act == "case_return", 10)
+        .when(F.col("branch").isin("small_claims", "federal_small_claims") & act.isin("citation", "sentence", "embargos_decision"), 10).when(act.isin(*FIFTEEN_DAYS), 15).when(act == "case_return", 10)
     )
     out = out.withColumn("assumed_deadline", F.col("explicit_days").isNull() & t.rlike(HEARD))
     out = out.withColumn("deadline_days", F.coalesce("explicit_days", canonical, F.when(F.col("assumed_deadline"), 5)))
@@ -124,14 +129,14 @@ def interpret(df: DataFrame, text: str, court: Column | None = None, communicati
     out = out.withColumns({"hearing_on": hearing[0], "hearing_time": hearing[1], "judgment_on": judgment[0]})
     due = F.col("deadline_days").isNotNull()
     reasons = F.array_compact(F.array(
-        F.when(F.col("assumed_deadline"), F.lit("manifestation_without_explicit_deadline")), F.when(act.isin(*FATAL) & ~due, F.lit("fatal_act_without_deadline")),
+        F.when(F.col("assumed_deadline"), F.lit("manifestation_without_explicit_deadline")), F.when(act.isin(*FATAL) & (act != "judgment_docket") & ~due, F.lit("fatal_act_without_deadline")),
         F.when(F.col("explicit_days") > 60, F.lit("unusually_long_deadline")), F.when(due & t.rlike(NO_DEADLINE), F.lit("text_denies_deadline_but_deadline_was_detected")),
     ))
     out = out.withColumn("review_reasons", reasons)
     labels = F.array_distinct(F.array_compact(F.array(
         F.col("branch"), act, F.when(F.col("hearing_on").isNotNull(), F.lit("hearing")), *(F.when(t.rlike(pattern), F.lit(name)) for name, pattern in MATTERS),
     )))
-    priority = F.when(t.rlike(URGENT) | (F.col("deadline_days") <= 5), F.lit("high")).when(act.isin(*FATAL, "judgment_docket") | due, F.lit("medium")).otherwise(F.lit("low"))
+    priority = F.when(t.rlike(URGENT) | (F.col("deadline_days") <= 5), F.lit("high")).when(act.isin(*FATAL) | due, F.lit("medium")).otherwise(F.lit("low"))
     confidence = F.when(F.size("review_reasons") > 0, F.lit("low")).when(due, F.lit("high")).otherwise(F.lit("low"))
     action = F.when(due, F.lit("calendar_deadline")).when(act == "judgment_docket", F.lit("review_date")).otherwise(F.lit("review"))
     by_act = F.create_map(*(F.lit(x) for pair in BASIS.items() for x in pair))[act]

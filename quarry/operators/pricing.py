@@ -145,24 +145,26 @@ def explanation() -> Column:
 
 
 def signal_scores(assets: DataFrame) -> DataFrame:
-    """Six sub-scores and the final score from positive_weight, negative_weight, codes and what is known of the asset.
+    """Six sub-scores and the final score, a whole number, from the weights and codes of the asset's events and what is known of it.
 
-    Needs cnj_number, debtor_id and face_value; an asset with a prior cession has legal score 0.
+    Needs positive_weight, negative_weight, codes, cnj_number, debtor_id and face_value; an asset with a prior cession has legal score 0.
+    Sub-scores that lose half of the negative weight may end in .5.
     """
     plus, minus = (F.coalesce(c, F.lit(0)) for c in ("positive_weight", "negative_weight"))
     value = F.coalesce(F.col("face_value").cast("double"), F.lit(0.0))
-    whole = lambda c: clamp(F.floor(c + 0.5), 0, 100)
+    within = lambda c: clamp(c, 0, 100)
     out = assets.withColumns({
         "quality_score": 30 * (F.col("cnj_number").isNotNull().cast("int") + F.col("debtor_id").isNotNull().cast("int") + (value > 0).cast("int")),
-        "maturity_score": whole(F.lit(40) + 20 * has_code("requisition_issued").cast("int") + 15 * has_code("final_judgment").cast("int") + 15 * has_code("calculation_homologated").cast("int")),
-        "liquidity_score": whole(F.lit(45) + 35 * has_code("payment_available").cast("int") + 25 * has_code("direct_agreement_opened").cast("int") + 25 * has_code("superpreference_granted").cast("int")
-                                 + 22 * has_code("direct_agreement_window").cast("int") + 20 * has_code("preferential_queue").cast("int") + 20 * has_code("payment_process_detected").cast("int") - minus / 2),
-        "legal_score": F.when(has_code("prior_cession_detected"), 0).otherwise(whole(F.lit(50) + plus - minus)),
+        "maturity_score": within(F.lit(40) + 20 * has_code("requisition_issued").cast("int") + 15 * has_code("final_judgment").cast("int") + 15 * has_code("calculation_homologated").cast("int")),
+        "liquidity_score": within(F.lit(45) + 35 * has_code("payment_available").cast("int") + 25 * has_code("payment_process_detected").cast("int") + 25 * has_code("direct_agreement_opened").cast("int")
+                                 + 22 * has_code("direct_agreement_window").cast("int") + 20 * has_code("preferential_queue").cast("int") + 20 * has_code("superpreference_granted").cast("int") - minus / 2),
+        "legal_score": F.when(has_code("prior_cession_detected"), 0).otherwise(within(F.lit(50) + plus - minus)),
         "economic_score": F.when(value >= 50_000, 70).otherwise(45),
     })
-    out = out.withColumn("risk_score", whole(F.lit(100) - F.col("legal_score") + minus / 2))
+    out = out.withColumn("risk_score", within(F.lit(100) - F.col("legal_score") + minus / 2))
     final = 0.2 * F.col("quality_score") + 0.2 * F.col("maturity_score") + 0.2 * F.col("liquidity_score") + 0.3 * F.col("legal_score") + 0.1 * F.col("economic_score") - 0.1 * F.col("risk_score")
-    return out.withColumn("signal_score", clamp(final, 0.0, 100.0))
+    # Ten times the weights are whole, so that the rounding sees no error of binary fractions.
+    return out.withColumn("signal_score", clamp(F.floor(F.round(final, 6) + 0.5), 0, 100).cast("int"))
 
 
 def changed_only(scores: DataFrame, known: DataFrame, keys: Sequence[str] = ("asset_id",), fingerprint: str = "fingerprint") -> DataFrame:
@@ -170,19 +172,28 @@ def changed_only(scores: DataFrame, known: DataFrame, keys: Sequence[str] = ("as
     return scores.join(known.select(*keys, fingerprint), [*keys, fingerprint], "left_anti")
 
 
-def import_score(present: Sequence[str], year: str) -> tuple[Column, Column]:
-    """(completeness, maturity): 30 for each of the fields present and 10 more, at most 100; years since 2000, at most 100."""
-    filled = F.lit(0)
-    for column in present:
-        filled = filled + F.when(F.col(column).isNotNull(), 30).otherwise(0)
-    return F.least(filled + 10, F.lit(100)).alias("completeness"), clamp(F.coalesce(F.col(year), F.lit(2000)) - 2000, 0, 100).alias("maturity")
+def import_scores(cnj: str = "cnj_number", debtor: str = "debtor_name", value: str = "face_value", year: str = "exercise_year") -> dict[str, Column]:
+    """data_quality_score: 30 for each of process number, debtor and value that is there and neither blank nor 0; final_score: 10 more.
+
+    maturity_score: years since 2000, at most 100, negative before it; null without a year.
+    """
+    filled = [F.col(c).isNotNull() & (F.col(c).cast("string") != "") for c in (cnj, debtor)] + [F.col(value).cast("double") != 0]
+    quality = 30 * sum((F.coalesce(test, F.lit(False)).cast("int") for test in filled), F.lit(0))
+    maturity = F.when(F.col(year) != 0, F.least(F.col(year) - 2000, F.lit(100)))
+    return {"data_quality_score": quality, "maturity_score": maturity, "final_score": F.least(quality + 10, F.lit(100))}
 
 
 def data_quality() -> Column:
-    """Issues, and status blocked, review or complete, of a row with the flags has_cnj, has_debtor, has_value, has_process, has_publication and n_conflicts."""
+    """Issues, and status blocked, review or complete, of a row with face_value, the flags has_value, has_process and has_publication, and the counts resolved_fields, n_conflicts (of sources), n_field_conflicts and pending_candidates.
+
+    Conflicts and candidates that wait for a review block; other issues ask for a review. Null counts are 0.
+    """
+    n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    conflicts, waiting = (n("n_conflicts") > 0) | (n("n_field_conflicts") > 0), n("pending_candidates") > 0
     issues = F.array_compact(F.array(
-        F.when(~F.col("has_cnj"), F.lit("missing_cnj")), F.when(~F.col("has_debtor"), F.lit("missing_debtor")), F.when(~F.col("has_value"), F.lit("missing_value")),
-        F.when(~F.col("has_process"), F.lit("missing_process")), F.when(~F.col("has_publication"), F.lit("missing_publication")), F.when(F.col("n_conflicts") > 0, F.lit("source_conflict")),
+        F.when((F.coalesce(F.col("face_value").cast("double"), F.lit(0.0)) <= 0) | no("has_value"), F.lit("missing_value")), F.when(no("has_process"), F.lit("missing_datajud")), F.when(no("has_publication"), F.lit("missing_djen")),
+        F.when(n("resolved_fields") < 4, F.lit("missing_field_evidence")), F.when(conflicts, F.lit("conflicts")), F.when(waiting, F.lit("candidate_review")),
     ))
-    status = F.when(~F.col("has_cnj") | ~F.col("has_value"), F.lit("blocked")).when(F.size(issues) == 0, F.lit("complete")).otherwise(F.lit("review"))
+    status = F.when(conflicts | waiting, F.lit("blocked")).when(F.size(issues) == 0, F.lit("complete")).otherwise(F.lit("review"))
     return F.struct(issues.alias("issues"), status.alias("status"))

@@ -167,27 +167,31 @@ def process_movements(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BUDGET = """, rows AS (SELECT asset_id, court, asset_id % 9 = 0 AS no_key, asset_id % 8 = 0 AS no_value, cnj_number, exercise_year, debtor_name, total FROM assets),
-checked AS (SELECT *, (no_key AND asset_id % 2 = 0)::INT + no_value::INT AS missing FROM rows)"""
+checked AS (SELECT *, asset_id % 11 = 0 AS no_debtor, (asset_id % 11 = 0)::INT + no_value::INT AS missing FROM rows)"""
 
 
 def _budget(spark: SparkSession, d: str) -> DataFrame:
     row = F.create_map(
         F.lit("chave"), F.when(F.col("asset_id") % 9 == 0, F.lit(" ")).otherwise(F.concat(F.lit("K"), F.col("asset_id").cast("string"))), F.lit("cnj"), F.when(F.col("asset_id") % 2 == 0, F.lit("1")).otherwise(F.col("cnj_number")), F.lit("exercicio"), F.col("exercise_year").cast("string"),
-        F.lit("nome_da_uo_executada"), F.concat(F.lit(" "), "debtor_name"), F.lit("valor_original_do_precatorio"), F.when(F.col("asset_id") % 8 == 0, F.lit("x")).otherwise(F.concat(F.lit("R$ "), _brl("total"))), F.lit("valor_atualizado"), F.concat(F.regexp_replace(_brl("total"), r"\.", ""), F.lit("999")),
+        F.lit("nome_da_uo_executada"), F.when(F.col("asset_id") % 11 > 0, F.concat(F.lit(" "), "debtor_name")).otherwise(F.lit("  ")), F.lit("valor_original_do_precatorio"), F.when(F.col("asset_id") % 8 == 0, F.lit("x")).otherwise(F.concat(F.lit("R$ "), _brl("total"))), F.lit("valor_atualizado"), F.concat(F.regexp_replace(_brl("total"), r"\.", ""), F.lit("999")),
         F.lit("indiceatualizacao"), F.lit("1,0315237099479411"), F.lit("tributario"), F.lit("Não"), F.lit("fundef"), F.lit("SIM"), F.lit("data_de_ajuizamento_da_acao_originaria"), F.date_format("created_at", "dd/MM/yyyy"), F.lit("data_da_autuacao"), F.date_format("created_at", "yyyy-MM-dd HH:mm"), F.lit("valor"), F.lit(None).cast("string"),
     )
     return tribunals.budget_row(b.assets(spark, d).select("court", "asset_id", "created_at", row.alias("row")))
 
 
-@query(_BUDGET + """ SELECT asset_id, CASE WHEN NOT no_key THEN 'K' || asset_id END AS external_id, CASE WHEN asset_id % 2 = 1 THEN cnj_number END AS cnj_number, exercise_year, debtor_name, CASE WHEN NOT no_value THEN total END AS face_value, total AS updated_value,
+@query(_BUDGET + """ SELECT asset_id, CASE WHEN NOT no_key THEN 'K' || asset_id END AS external_id, CASE WHEN asset_id % 2 = 1 THEN cnj_number END AS cnj_number, exercise_year, CASE WHEN NOT no_debtor THEN debtor_name ELSE '' END AS debtor_name, CASE WHEN NOT no_value THEN total END AS face_value, total AS updated_value,
   1.0315237099479411::DECIMAL(38,16) AS index_value, false AS is_tax, true AS is_fundef, a.created_at::DATE AS filed_on, a.created_at::DATE AS registered_on, missing = 0 AS valid FROM checked JOIN (SELECT asset_id, created_at FROM assets) a USING (asset_id)""")
 def open_data_rows(spark: SparkSession, d: str) -> DataFrame:
     return _budget(spark, d).select("asset_id", "external_id", "cnj_number", "exercise_year", "debtor_name", "face_value", "updated_value", "index_value", "is_tax", "is_fundef", "filed_on", "registered_on", "valid")
 
 
-@query(_BUDGET + " SELECT court, count(*) AS total, count(*) FILTER (missing = 0) AS imported, count(*) FILTER (missing > 0) AS errors, CASE WHEN count(*) FILTER (missing = 0) = 0 THEN 'failed' WHEN count(*) FILTER (missing > 0) > 0 THEN 'partial' ELSE 'completed' END AS status FROM checked GROUP BY court")
+@query(_BUDGET + """, imports AS (SELECT court || '-' || (asset_id % 500) AS import, missing FROM checked)
+SELECT import, count(*) AS total, count(*) FILTER (missing = 0) AS imported, count(*) FILTER (missing > 0) AS errors, CASE WHEN count(*) FILTER (missing > 0) = 0 THEN 'completed' WHEN count(*) FILTER (missing = 0) > 0 THEN 'partial' ELSE 'failed' END AS status FROM imports GROUP BY import
+UNION ALL SELECT 'empty', 0, 0, 0, 'completed'""")
 def import_statuses(spark: SparkSession, d: str) -> DataFrame:
-    return tribunals.import_status(_budget(spark, d), "court")
+    """Small imports of a court, and one without rows."""
+    rows = _budget(spark, d).select(F.concat_ws("-", "court", (F.col("asset_id") % 500).cast("string")).alias("import"), "valid")
+    return tribunals.import_status(rows.unionAll(spark.createDataFrame([("empty", None)], "import string, valid boolean")), "import")
 
 
 @query("""
@@ -220,12 +224,10 @@ def ranked_page_links(spark: SparkSession, d: str) -> DataFrame:
     return files.ranked_links(found, "page").select("page", "href", "rank", "format", "year", "heading")
 
 
-@query(_LISTED + """, s AS (SELECT asset_id, CASE WHEN asset_id % 6 = 0 THEN NULL ELSE place END AS q, ['agreement', 'paid', 'list'][asset_id % 3 + 1] AS kind, preference FROM listed)
-SELECT asset_id, concat_ws(',', CASE WHEN q <= 100 THEN 'queue_position_favorable' WHEN q IS NULL THEN 'queue_position_unknown' END, CASE kind WHEN 'agreement' THEN 'direct_agreement_window' WHEN 'paid' THEN 'payment_process_detected' END,
-  CASE WHEN preference = 'superpreference' THEN 'superpreference_granted' WHEN preference IS NOT NULL THEN 'preferential_queue' END) AS signals FROM s""")
+@query(_LISTED + """, s AS (SELECT asset_id, CASE WHEN asset_id % 6 < 4 THEN place END AS q, ['chronological_list', 'direct_agreement', 'preferential_lot', 'paid_or_payment_process', 'change_notice', NULL][(asset_id // 8) % 6 + 1] AS kind FROM listed)
+SELECT asset_id, concat_ws(',', CASE WHEN q <= 100 THEN 'queue_position_favorable' END, CASE WHEN q IS NULL AND kind = 'chronological_list' THEN 'queue_position_unknown' END, CASE kind WHEN 'direct_agreement' THEN 'direct_agreement_window' WHEN 'preferential_lot' THEN 'preferential_queue' WHEN 'paid_or_payment_process' THEN 'payment_process_detected' END) AS signals FROM s""")
 def list_signals(spark: SparkSession, d: str) -> DataFrame:
-    """In agreement lists a direct agreement is open, in payment lists a payment is made."""
-    from quarry.functions.text import preference
-
-    rows = _listed(spark, d).withColumns({"queue_position": F.when(F.col("asset_id") % 6 != 0, F.col("place")), "source_kind": F.get(F.array(*map(F.lit, ("agreement", "paid", "list"))), F.pmod("asset_id", F.lit(3)).cast("int")), "preference": preference("wish")})
+    """Kinds of lists in turn, with and without places."""
+    kinds = ("chronological_list", "direct_agreement", "preferential_lot", "paid_or_payment_process", "change_notice", None)
+    rows = _listed(spark, d).withColumns({"queue_position": F.when(F.col("asset_id") % 6 < 4, F.col("place")), "source_kind": F.get(F.array(*map(F.lit, kinds)), F.pmod(F.floor(F.col("asset_id") / 8), F.lit(6)).cast("int"))})
     return rows.select("asset_id", F.array_join(tribunals.operational_signals(), ",").alias("signals"))

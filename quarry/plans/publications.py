@@ -21,7 +21,9 @@ def publication_signals(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("code").agg(F.count("*").alias("publications"), F.countDistinct("asset_id").alias("assets"), F.max("confidence").alias("confidence"))
 
 
-_FATAL = ", ".join(f"'{x}'" for x in legal.FATAL)
+# Typed from the rules, not from the library.
+_FIFTEEN = "'citation', 'sentence', 'embargos_decision', 'appellate_decision', 'article_523_notice', 'interlocutory_decision', 'compliance_challenge', 'monocratic_decision', 'counterarguments', 'extrajudicial_execution'"
+_FATAL = "'citation', 'sentence', 'embargos_decision', 'appellate_decision', 'article_523_notice', 'interlocutory_decision', 'compliance_challenge', 'monocratic_decision', 'judgment_docket', 'counterarguments', 'extrajudicial_execution', 'attachment', 'case_return', 'court_costs'"
 _ACT = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{pattern}') THEN '{name}' END" for name, pattern in legal.ACTS) + "], lambda x: x IS NOT NULL)[1]"
 _DEADLINE = legal._DEADLINE
 _INTERPRETED = f"""{_TEXT}, court AS (SELECT *, upper(coalesce(court, '')) AS c, contains(lower(strip_accents(coalesce(judicial_class, ''))), 'juizado especial') AS special FROM p),
@@ -34,14 +36,14 @@ explicit AS (SELECT *, nullif(CASE token WHEN 'cinco' THEN 5 WHEN 'oito' THEN 8
 canonical AS (
   SELECT *, days IS NULL AND heard AS assumed, act_type IN ({_FATAL}) AS fatal,
     coalesce(days, CASE WHEN branch = 'labor' AND act_type IN ('sentence', 'embargos_decision', 'appellate_decision') THEN 8 WHEN branch IN ('small_claims', 'federal_small_claims') AND act_type IN ('citation', 'sentence', 'embargos_decision') THEN 10
-      WHEN act_type IN ({_FATAL}) THEN 15 WHEN act_type = 'case_return' THEN 10 END, CASE WHEN days IS NULL AND heard THEN 5 END) AS deadline_days FROM explicit),
+      WHEN act_type IN ({_FIFTEEN}) THEN 15 WHEN act_type = 'case_return' THEN 10 END, CASE WHEN days IS NULL AND heard THEN 5 END) AS deadline_days FROM explicit),
 said AS (
   SELECT publication_id, asset_id, published_on, court, branch, act_type, deadline_days, CASE WHEN days IS NOT NULL AND token_kind = 'corridos' THEN 'calendar_days' WHEN deadline_days IS NOT NULL THEN 'business_days' END AS deadline_kind,
     try_strptime(nullif(regexp_extract(t, '(?s)(?:{legal.HEARING}).{{0,80}}([0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}})', 1), ''), '%d/%m/%Y')::DATE AS hearing_on,
     try_strptime(nullif(regexp_extract(t, '(?s)(?:{legal.JUDGMENT}).{{0,80}}([0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}})', 1), ''), '%d/%m/%Y')::DATE AS judgment_on,
-    CASE WHEN assumed THEN 'manifestation_without_explicit_deadline' END AS r1, CASE WHEN days > 60 THEN 'unusually_long_deadline' END AS r2,
+    CASE WHEN assumed THEN 'manifestation_without_explicit_deadline' END AS r1, CASE WHEN fatal AND act_type <> 'judgment_docket' AND deadline_days IS NULL THEN 'fatal_act_without_deadline' END AS r0, CASE WHEN days > 60 THEN 'unusually_long_deadline' END AS r2,
     CASE WHEN deadline_days IS NOT NULL AND regexp_matches(t, '{legal.NO_DEADLINE}') THEN 'text_denies_deadline_but_deadline_was_detected' END AS r3,
-    CASE WHEN regexp_matches(t, '{legal.URGENT}') OR deadline_days <= 5 THEN 'high' WHEN fatal OR act_type = 'judgment_docket' OR deadline_days IS NOT NULL THEN 'medium' ELSE 'low' END AS priority, fatal FROM canonical)
+    CASE WHEN regexp_matches(t, '{legal.URGENT}') OR deadline_days <= 5 THEN 'high' WHEN fatal OR deadline_days IS NOT NULL THEN 'medium' ELSE 'low' END AS priority, fatal FROM canonical)
 """
 
 
@@ -49,8 +51,8 @@ def _interpreted(spark: SparkSession, d: str) -> DataFrame:
     return legal.interpret(b.publications(spark, d), "text", F.col("court"), F.col("communication"), F.col("judicial_class"))
 
 
-@query(_INTERPRETED + """SELECT publication_id, branch, act_type, deadline_days, deadline_kind, hearing_on, judgment_on, priority, concat_ws(',', r1, r2, r3) AS reasons,
-  CASE WHEN concat_ws(',', r1, r2, r3) <> '' OR deadline_days IS NULL THEN 'low' ELSE 'high' END AS confidence FROM said""")
+@query(_INTERPRETED + """SELECT publication_id, branch, act_type, deadline_days, deadline_kind, hearing_on, judgment_on, priority, concat_ws(',', r1, r0, r2, r3) AS reasons,
+  CASE WHEN concat_ws(',', r1, r0, r2, r3) <> '' OR deadline_days IS NULL THEN 'low' ELSE 'high' END AS confidence FROM said""")
 def publication_interpretation(spark: SparkSession, d: str) -> DataFrame:
     return _interpreted(spark, d).select("publication_id", "branch", "act_type", "deadline_days", "deadline_kind", "hearing_on", "judgment_on", "priority", F.array_join("review_reasons", ",").alias("reasons"), "confidence")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import dates, maths, text
-from quarry.operators import coverage, evidence, legal, pricing, relational
+from quarry.operators import coverage, desk, evidence, legal, pricing, relational
 from quarry.plans import bindings as b
 
 QUERIES: dict = {}
@@ -26,6 +26,8 @@ def query(sql: str | None):
 
 
 MONEY = "decimal(18,2)"
+# Fixed values of these queries: fields of an asset by line number, the four core ones first.
+FIELDS = ("cnj_number", "debtor_name", "court_alias", "face_value", "nature", "exercise_year", "lifecycle_status")
 
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:
@@ -105,57 +107,80 @@ def _flags(spark: SparkSession, d: str) -> DataFrame:
     links, events = b.links(spark, d), b.events(spark, d)
     by_role = links.groupBy("asset_id").agg(F.bool_or(F.col("role") == "primary").alias("has_primary_source"), F.bool_or(F.col("role") == "enrichment").alias("has_cross_check"), F.countDistinct(F.when(F.col("role") == "conflict", F.col("source_id"))).alias("n_conflicts"))
     by_event = events.groupBy("asset_id").agg(F.bool_or(F.col("event_type") == "view").alias("has_process"), F.bool_or(F.col("event_type") == "click").alias("has_publication"), F.bool_or(F.col("event_type") == "purchase").alias("has_score"))
-    rows = b.assets(spark, d).select("asset_id", "court", "cnj_number", "debtor_id").join(_latest(spark, d).select("asset_id", "updated_value"), "asset_id", "left").join(by_role, "asset_id", "left").join(by_event, "asset_id", "left")
+    # A line item is the evidence of a field, in conflict if it was returned, and a candidate that waits if its discount is the highest.
+    item = b.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id"), F.get(F.array(*map(F.lit, FIELDS)), F.pmod(F.col("l_linenumber") - 1, F.lit(len(FIELDS))).cast("int")).alias("field"), (F.col("l_returnflag") == "R").alias("conflict"), (F.col("l_discount") >= 0.1).alias("waits"))
+    by_field = item.groupBy("asset_id").agg(F.count("*").alias("evidence"), F.countDistinct(F.when(~F.col("conflict") & F.col("field").isin(*coverage.CORE_FIELDS), F.col("field"))).alias("resolved_fields"), F.count_if("conflict").alias("n_field_conflicts"), F.count_if("waits").alias("pending_candidates"))
+    rows = b.assets(spark, d).select("asset_id", "court", "cnj_number", "debtor_id").join(_latest(spark, d).select("asset_id", "updated_value"), "asset_id", "left").join(by_role, "asset_id", "left").join(by_event, "asset_id", "left").join(by_field, "asset_id", "left")
     flags = {c: F.coalesce(c, F.lit(False)) for c in ("has_primary_source", "has_cross_check", "has_process", "has_publication", "has_score")}
-    return rows.withColumns(flags | {"n_conflicts": F.coalesce("n_conflicts", F.lit(0)), "has_cnj": F.col("cnj_number").isNotNull(), "has_debtor": F.col("debtor_id").isNotNull(), "has_value": F.coalesce(F.col("updated_value") > 0, F.lit(False))})
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("n_conflicts", "evidence", "resolved_fields", "n_field_conflicts", "pending_candidates")}
+    return rows.withColumns(flags | counts | {"face_value": F.col("updated_value"), "has_cnj": F.col("cnj_number").isNotNull(), "has_debtor": F.col("debtor_id").isNotNull(), "has_value": F.coalesce(F.col("updated_value") > 0, F.lit(False))})
 
 
 _FLAGS_SQL = """, by_role AS (
   SELECT asset_id, bool_or(role = 'primary') AS has_primary_source, bool_or(role = 'enrichment') AS has_cross_check, count(DISTINCT source_id) FILTER (role = 'conflict') AS n_conflicts FROM links GROUP BY asset_id),
+by_field AS (
+  SELECT l_orderkey AS asset_id, count(*) AS evidence, count(DISTINCT (l_linenumber - 1) % 7) FILTER (l_returnflag <> 'R' AND (l_linenumber - 1) % 7 < 4) AS resolved_fields, count(*) FILTER (l_returnflag = 'R') AS n_field_conflicts, count(*) FILTER (l_discount >= 0.1) AS pending_candidates
+  FROM lineitem GROUP BY l_orderkey),
 by_event AS (
   SELECT asset_id, bool_or(event_type = 'view') AS has_process, bool_or(event_type = 'click') AS has_publication, bool_or(event_type = 'purchase') AS has_score FROM asset_events GROUP BY asset_id),
 flags AS (
   SELECT asset_id, court, cnj_number IS NOT NULL AS has_cnj, debtor_id IS NOT NULL AS has_debtor, coalesce(updated_value > 0, false) AS has_value,
     coalesce(has_primary_source, false) AS has_primary_source, coalesce(has_cross_check, false) AS has_cross_check, coalesce(has_process, false) AS has_process,
-    coalesce(has_publication, false) AS has_publication, coalesce(has_score, false) AS has_score, coalesce(n_conflicts, 0) AS n_conflicts
-  FROM assets LEFT JOIN latest USING (asset_id) LEFT JOIN by_role USING (asset_id) LEFT JOIN by_event USING (asset_id))
+    coalesce(has_publication, false) AS has_publication, coalesce(has_score, false) AS has_score, coalesce(n_conflicts, 0) AS n_conflicts, updated_value AS face_value,
+    coalesce(evidence, 0) AS evidence, coalesce(resolved_fields, 0) AS resolved_fields, coalesce(n_field_conflicts, 0) AS n_field_conflicts, coalesce(pending_candidates, 0) AS pending_candidates
+  FROM assets LEFT JOIN latest USING (asset_id) LEFT JOIN by_field USING (asset_id) LEFT JOIN by_role USING (asset_id) LEFT JOIN by_event USING (asset_id))
 """
 
 
-@query(_FLAGS_SQL + """
-SELECT asset_id, list_filter([CASE WHEN NOT has_cnj THEN 'missing_cnj' END, CASE WHEN NOT has_debtor THEN 'missing_debtor' END, CASE WHEN NOT has_value THEN 'missing_value' END,
-    CASE WHEN NOT has_process THEN 'missing_process' END, CASE WHEN NOT has_publication THEN 'missing_publication' END, CASE WHEN n_conflicts > 0 THEN 'source_conflict' END], lambda x: x IS NOT NULL).list_aggregate('string_agg', ',') AS issues,
-  CASE WHEN NOT has_cnj OR NOT has_value THEN 'blocked' WHEN has_debtor AND has_process AND has_publication AND n_conflicts = 0 THEN 'complete' ELSE 'review' END AS status
-FROM flags""")
+_QUALITY_SQL = _FLAGS_SQL + """, q AS (
+  SELECT *, coalesce(face_value, 0) <= 0 OR NOT has_value AS i1, NOT has_process AS i2, NOT has_publication AS i3, resolved_fields < 4 AS i4, n_conflicts > 0 OR n_field_conflicts > 0 AS i5, pending_candidates > 0 AS i6 FROM flags),
+quality AS (SELECT *, CASE WHEN i5 OR i6 THEN 'blocked' WHEN i1 OR i2 OR i3 OR i4 THEN 'review' ELSE 'complete' END AS status FROM q)
+"""
+
+
+@query(_QUALITY_SQL + """
+SELECT asset_id, nullif(concat_ws(',', CASE WHEN i1 THEN 'missing_value' END, CASE WHEN i2 THEN 'missing_datajud' END, CASE WHEN i3 THEN 'missing_djen' END, CASE WHEN i4 THEN 'missing_field_evidence' END, CASE WHEN i5 THEN 'conflicts' END, CASE WHEN i6 THEN 'candidate_review' END), '') AS issues, status
+FROM quality""")
 def asset_quality_flags(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d).withColumn("q", pricing.data_quality()).select("asset_id", F.when(F.size("q.issues") > 0, F.array_join("q.issues", ",")).alias("issues"), "q.status")
 
 
-@query(_FLAGS_SQL + """, marked AS (
-  SELECT *, has_cnj AND has_value AND has_primary_source AND has_process AND has_publication AND has_score AS complete FROM flags),
+# A court with few assets has fewer gaps: courts are told apart further by the year of the process.
+_COHERENCE_SQL = _FLAGS_SQL + """, marked AS (
+  SELECT *, court || '-' || substr(cnj_number, 12, 4) AS place, has_primary_source AND has_process AND has_publication AND has_value AND has_score AND resolved_fields >= 4 AND n_conflicts = 0 AND n_field_conflicts = 0 AND pending_candidates = 0 AS is_complete
+  FROM flags JOIN (SELECT asset_id, cnj_number FROM assets) USING (asset_id)),
 per_court AS (
-  SELECT court, count(*) AS assets, count(*) FILTER (complete) AS complete, count(*) FILTER (n_conflicts > 0) AS conflicts, count(*) FILTER (has_cnj) AS c1, count(*) FILTER (has_value) AS c2,
-    count(*) FILTER (has_primary_source) AS c3, count(*) FILTER (has_process) AS c4, count(*) FILTER (has_publication) AS c5, count(*) FILTER (has_score) AS c6, count(*) FILTER (has_cross_check) AS c7
-  FROM marked GROUP BY court)
-SELECT court, assets, complete, conflicts, (c1 < assets)::INT + (c2 < assets)::INT + (c3 < assets)::INT + (c4 < assets)::INT + (c5 < assets)::INT + (c6 < assets)::INT + (c7 < assets)::INT + (conflicts > 0)::INT AS n_gaps,
-  CASE WHEN c1 < assets OR c2 < assets OR c3 < assets OR conflicts > 0 THEN 'critical' WHEN complete >= 0.95 * assets THEN 'complete' WHEN c3 > 0 AND c4 > 0 AND c6 > 0 THEN 'usable' ELSE 'partial' END AS status
+  SELECT place AS court, count(*) AS assets, count(*) FILTER (is_complete) AS complete, count(*) FILTER (has_primary_source) AS c1, count(*) FILTER (has_process) AS c2, count(*) FILTER (has_publication) AS c3, count(*) FILTER (has_value) AS c4, count(*) FILTER (has_score) AS c5,
+    count(*) FILTER (evidence > 0) AS c6, count(*) FILTER (resolved_fields >= 4) AS c7, count(*) FILTER (n_conflicts > 0) AS conflicts, count(*) FILTER (n_field_conflicts > 0) AS field_conflicts, count(*) FILTER (pending_candidates > 0) AS pending
+  FROM marked GROUP BY place UNION ALL SELECT 'none', 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)
+"""
+
+
+@query(_COHERENCE_SQL + """
+SELECT court, assets, complete, c1 AS has_primary_source, c2 AS has_process, c3 AS has_publication, c4 AS has_value, c5 AS has_score, c6 AS has_evidence, c7 AS has_resolved, conflicts, field_conflicts, pending,
+  CASE WHEN assets = 0 THEN 'no_assets' ELSE concat_ws(',', CASE WHEN c1 < assets THEN 'missing_primary_source' END, CASE WHEN c2 < assets THEN 'missing_datajud_process' END, CASE WHEN c3 < assets THEN 'missing_djen_publication' END, CASE WHEN c4 < assets THEN 'missing_valuation' END,
+    CASE WHEN c5 < assets THEN 'missing_score' END, CASE WHEN c7 < assets THEN 'missing_field_evidence' END, CASE WHEN conflicts > 0 THEN 'source_conflicts' END, CASE WHEN field_conflicts > 0 THEN 'field_evidence_conflicts' END, CASE WHEN pending > 0 THEN 'pending_candidate_review' END) END AS gaps,
+  CASE WHEN assets = 0 THEN 'partial' WHEN c1 < assets OR conflicts > 0 OR field_conflicts > 0 THEN 'critical' WHEN complete >= 0.95 * assets THEN 'complete' WHEN c1 > 0 AND c2 > 0 AND c5 > 0 THEN 'usable' ELSE 'partial' END AS status
 FROM per_court""")
 def coherence_by_court(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.coherence(_flags(spark, d)).select("court", "assets", "complete", "conflicts", F.size("gaps").alias("n_gaps"), "status")
-
-
-@query(_FLAGS_SQL + """, gaps AS (
-  SELECT court, 'missing_process' AS code, 'medium' AS severity, count(*) FILTER (NOT has_process) AS missing FROM flags GROUP BY court
-  UNION ALL SELECT court, 'missing_publication', 'medium', count(*) FILTER (NOT has_publication) FROM flags GROUP BY court
-  UNION ALL SELECT court, 'missing_score', 'low', count(*) FILTER (NOT has_score) FROM flags GROUP BY court
-  UNION ALL SELECT court, 'missing_cnj', 'high', count(*) FILTER (NOT has_cnj) FROM flags GROUP BY court
-  UNION ALL SELECT court, 'missing_value', 'high', count(*) FILTER (NOT has_value) FROM flags GROUP BY court
-  UNION ALL SELECT court, 'missing_primary_source', 'high', count(*) FILTER (NOT has_primary_source) FROM flags GROUP BY court
-  UNION ALL SELECT court, 'missing_cross_check', 'low', count(*) FILTER (NOT has_cross_check) FROM flags GROUP BY court
-  UNION ALL SELECT court, 'source_conflict', 'high', count(*) FILTER (n_conflicts > 0) FROM flags GROUP BY court)
-SELECT code, sum(missing)::BIGINT AS missing, count(*) AS courts, any_value(severity) AS severity FROM gaps WHERE missing > 0 GROUP BY code""")
+    counts = ("has_primary_source", "has_process", "has_publication", "has_value", "has_score", "has_evidence", "has_resolved", "conflicts", "field_conflicts", "pending")
+    return _coherence(spark, d).select("court", "assets", "complete", *counts, F.array_join(F.transform("gaps", lambda g: g["code"]), ",").alias("gaps"), "status")
+
+
+def _coherence(spark: SparkSession, d: str) -> DataFrame:
+    rows = _flags(spark, d).withColumn("court", F.concat_ws("-", "court", F.substring("cnj_number", 12, 4)))
+    return coverage.coherence(rows, every=spark.createDataFrame([("none",)], "court string"))
+
+
+@query(_COHERENCE_SQL + """, gaps AS (
+  SELECT court, 'missing_primary_source' AS code, 'high' AS severity, assets - c1 AS missing FROM per_court UNION ALL SELECT court, 'missing_datajud_process', 'medium', assets - c2 FROM per_court
+  UNION ALL SELECT court, 'missing_djen_publication', 'medium', assets - c3 FROM per_court UNION ALL SELECT court, 'missing_valuation', 'medium', assets - c4 FROM per_court UNION ALL SELECT court, 'missing_score', 'medium', assets - c5 FROM per_court
+  UNION ALL SELECT court, 'missing_field_evidence', 'medium', assets - c7 FROM per_court UNION ALL SELECT court, 'source_conflicts', 'high', conflicts FROM per_court UNION ALL SELECT court, 'field_evidence_conflicts', 'high', field_conflicts FROM per_court
+  UNION ALL SELECT court, 'pending_candidate_review', 'medium', pending FROM per_court)
+SELECT code, sum(missing)::BIGINT AS missing, count(*) AS courts, any_value(severity) AS severity FROM gaps WHERE missing > 0 GROUP BY code
+UNION ALL SELECT 'no_assets', 0, count(*), 'medium' FROM per_court WHERE assets = 0""")
 def gap_roll_up(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.gap_roll_up(coverage.coherence(_flags(spark, d))).select("code", "missing", "courts", "severity")
+    return coverage.gap_roll_up(_coherence(spark, d)).select("code", "missing", "courts", "severity")
 
 
 @query("SELECT asset_id, lifecycle_status FROM assets WHERE NOT EXISTS (SELECT 1 FROM asset_events e WHERE e.asset_id = assets.asset_id)")
@@ -188,11 +213,12 @@ def exact_link_arity(spark: SparkSession, d: str) -> DataFrame:
     return relational.link_by_arity(left, right, "k", "o_orderkey").select("record_id", "line", "matches", "linked_id", "link_status")
 
 
-def _signal_values() -> str:
-    return ", ".join(f"('{code}', {float(m)!r}, {w}, {1 if table is pricing.POSITIVE else -1})" for table in (pricing.POSITIVE, pricing.NEGATIVE) for code, (m, w) in table.items())
-
-
-_SIGNALS_SQL = f""", signal(code, multiplier, weight, sign) AS (VALUES {_signal_values()}),
+# Typed from the rules, not from the library: multiplier, weight and sign of each signal.
+_SIGNAL_VALUES = """('direct_agreement_opened', 1.6, 18, 1), ('direct_agreement_window', 1.45, 16, 1), ('superpreference_granted', 1.4, 16, 1), ('preferential_queue', 1.25, 14, 1), ('payment_available', 1.9, 22, 1),
+  ('payment_process_detected', 1.35, 18, 1), ('queue_position_favorable', 1.18, 10, 1), ('final_judgment', 1.12, 10, 1), ('calculation_homologated', 1.1, 9, 1), ('requisition_issued', 1.08, 8, 1),
+  ('prior_cession_detected', 0.0, 100, -1), ('lien_detected', 0.6, 28, -1), ('suspension_detected', 0.3, 42, -1), ('objection_pending', 0.55, 28, -1), ('beneficiary_inventory_pending', 0.45, 36, -1),
+  ('fee_dispute_detected', 0.7, 18, -1), ('special_regime_declared', 0.7, 22, -1), ('queue_position_unknown', 0.95, 6, -1)"""
+_SIGNALS_SQL = f""", signal(code, multiplier, weight, sign) AS (VALUES {_SIGNAL_VALUES}),
 all_signals AS (SELECT asset_id, code FROM asset_events UNION ALL SELECT asset_id, CASE lifecycle_status WHEN 'in_payment' THEN 'payment_available' WHEN 'suspended' THEN 'suspension_detected' END FROM assets),
 by_asset AS (
   SELECT asset_id, product(multiplier) AS multiplier, sum(CASE WHEN sign > 0 THEN weight ELSE 0 END)::BIGINT AS positive_weight, sum(CASE WHEN sign < 0 THEN weight ELSE 0 END)::BIGINT AS negative_weight,
@@ -210,24 +236,26 @@ def payment_probability_product(spark: SparkSession, d: str) -> DataFrame:
     return _signals(spark, d).select("asset_id", F.round("multiplier", 9).alias("multiplier"), "positive_weight", "negative_weight", F.array_join("codes", ",").alias("codes"))
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    a = b.assets(spark, d).select("asset_id", "cnj_number", "debtor_id").join(_latest(spark, d).select("asset_id", F.col("updated_value").alias("face_value")), "asset_id", "left")
-    return pricing.signal_scores(a.join(_signals(spark, d), "asset_id", "left"))
-
-
-@query(_SIGNALS_SQL + """, s AS (
-  SELECT asset_id, coalesce(positive_weight, 0) AS p, coalesce(negative_weight, 0) AS n, coalesce(codes, []) AS codes, coalesce(updated_value, 0) AS v, cnj_number, debtor_id
-  FROM assets LEFT JOIN latest USING (asset_id) LEFT JOIN by_asset USING (asset_id)),
+@query(f""", signal(code, multiplier, weight, sign) AS (VALUES {_SIGNAL_VALUES}),
+by_events AS (
+  SELECT asset_id, sum(CASE WHEN sign > 0 THEN weight ELSE 0 END)::BIGINT AS p, sum(CASE WHEN sign < 0 THEN weight ELSE 0 END)::BIGINT AS n, list(DISTINCT code) AS codes FROM asset_events JOIN signal USING (code) GROUP BY asset_id),
+s AS (
+  SELECT asset_id, coalesce(p, 0) AS p, coalesce(n, 0) AS n, coalesce(codes, []) AS codes, coalesce(updated_value, 0) AS v, cnj_number, debtor_id
+  FROM assets LEFT JOIN latest USING (asset_id) LEFT JOIN by_events USING (asset_id)),
 t AS (
   SELECT *, 30 * ((cnj_number IS NOT NULL)::INT + (debtor_id IS NOT NULL)::INT + (v > 0)::INT) AS quality,
     least(greatest(40 + 20 * list_contains(codes, 'requisition_issued')::INT + 15 * list_contains(codes, 'final_judgment')::INT + 15 * list_contains(codes, 'calculation_homologated')::INT, 0), 100) AS maturity,
-    least(greatest(floor(45 + 35 * list_contains(codes, 'payment_available')::INT + 25 * list_contains(codes, 'direct_agreement_opened')::INT + 25 * list_contains(codes, 'superpreference_granted')::INT + 22 * list_contains(codes, 'direct_agreement_window')::INT
-      + 20 * list_contains(codes, 'preferential_queue')::INT + 20 * list_contains(codes, 'payment_process_detected')::INT - n / 2.0 + 0.5), 0), 100) AS liquidity,
-    CASE WHEN list_contains(codes, 'prior_cession_detected') THEN 0 ELSE least(greatest(50 + p - n, 0), 100) END AS legal, CASE WHEN v >= 50000 THEN 70 ELSE 45 END AS economic FROM s)
-SELECT asset_id, quality::INT AS quality_score, legal::INT AS legal_score, liquidity::INT AS liquidity_score,
-  round(least(greatest(0.2::DOUBLE * quality + 0.2::DOUBLE * maturity + 0.2::DOUBLE * liquidity + 0.3::DOUBLE * legal + 0.1::DOUBLE * economic - 0.1::DOUBLE * least(greatest(floor(100 - legal + n / 2.0 + 0.5), 0), 100), 0), 100), 4) AS signal_score FROM t""")
+    least(greatest(45 + 35 * list_contains(codes, 'payment_available')::INT + 25 * list_contains(codes, 'payment_process_detected')::INT + 25 * list_contains(codes, 'direct_agreement_opened')::INT + 22 * list_contains(codes, 'direct_agreement_window')::INT
+      + 20 * list_contains(codes, 'preferential_queue')::INT + 20 * list_contains(codes, 'superpreference_granted')::INT - n / 2.0, 0), 100) AS liquidity,
+    CASE WHEN list_contains(codes, 'prior_cession_detected') THEN 0 ELSE least(greatest(50 + p - n, 0), 100) END AS legal, CASE WHEN v >= 50000 THEN 70 ELSE 45 END AS economic FROM s),
+u AS (SELECT *, least(greatest(100 - legal + n / 2.0, 0), 100) AS risk FROM t)
+SELECT asset_id, quality::INT AS quality_score, maturity::INT AS maturity_score, legal::INT AS legal_score, liquidity::DOUBLE AS liquidity_score, risk::DOUBLE AS risk_score, economic::INT AS economic_score,
+  least(greatest(floor((2 * quality + 2 * maturity + 2 * liquidity + 3 * legal + economic - risk)::DECIMAL(18,3) / 10 + 0.5), 0), 100)::INT AS signal_score FROM u""")
 def event_signal_score(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("asset_id", *(F.col(c).cast("int").alias(c) for c in ("quality_score", "legal_score", "liquidity_score")), F.round("signal_score", 4).alias("signal_score"))
+    """Scores by events alone: the state of an asset is no event."""
+    a = b.assets(spark, d).select("asset_id", "cnj_number", "debtor_id").join(_latest(spark, d).select("asset_id", F.col("updated_value").alias("face_value")), "asset_id", "left")
+    scored = pricing.signal_scores(a.join(pricing.signals_by_asset(b.events(spark, d).select("asset_id", "code")), "asset_id", "left"))
+    return scored.select("asset_id", *(F.col(c).cast("int").alias(c) for c in ("quality_score", "maturity_score", "legal_score", "economic_score")), *(F.col(c).cast("double").alias(c) for c in ("liquidity_score", "risk_score")), "signal_score")
 
 
 def _priced(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
@@ -296,17 +324,23 @@ def opportunity_list(spark: SparkSession, d: str) -> DataFrame:
     return _priced(spark, d, newest).where(F.col("grade").isin("A+", "A", "B+") & (F.col("payment_probability") >= 0.5)).select("asset_id", "grade", F.round("final_score", 6).alias("final_score"))
 
 
-@query(_PRICE_SQL + """, adv AS (
-  SELECT asset_id, final_score, probability, term_months, codes, least(greatest(72 + 6 * positive_signals - 12 * negative_signals, 0), 100) AS r FROM graded),
+@query(_PRICE_SQL + """, checks AS (
+  SELECT *, list_contains(codes, 'prior_cession_detected')::INT + list_contains(codes, 'suspension_detected')::INT + list_contains(codes, 'beneficiary_inventory_pending')::INT AS n_blocked,
+    list_contains(codes, 'lien_detected')::INT + list_contains(codes, 'fee_dispute_detected')::INT + (NOT list_contains(codes, 'suspension_detected') AND (list_contains(codes, 'objection_pending') OR lifecycle_status = 'suspended'))::INT
+      + (NOT list_has_any(codes, ['payment_available', 'direct_agreement_opened', 'superpreference_granted']))::INT AS n_review FROM graded),
+adv AS (SELECT *, least(greatest(72 + 6 * positive_signals - 12 * negative_signals - 8 * n_review - 35 * n_blocked, 0), 100) AS r FROM checks),
+states AS (SELECT *, CASE WHEN n_blocked > 0 OR r < 45 THEN 'blocked' WHEN r < 78 OR n_review > 0 THEN 'review' ELSE 'ready' END AS advice_state FROM adv),
 fits AS (
-  SELECT asset_id, r, least(greatest(r + 20 * final_score + CASE WHEN list_has_any(codes, ['payment_available', 'payment_process_detected']) THEN 8 ELSE 0 END, 0), 100) AS f1,
-    least(greatest(r + CASE WHEN list_has_any(codes, ['direct_agreement_opened', 'direct_agreement_window']) THEN 24 ELSE -12 END + CASE WHEN list_contains(codes, 'superpreference_granted') THEN 8 ELSE 0 END, 0), 100) AS f2,
-    least(greatest(55 + 30 * probability - term_months / 3.0::DOUBLE, 0), 100) AS f3, least(greatest(r - 12 + CASE WHEN probability > 0.75 THEN 10 ELSE -10 END, 0), 100) AS f4 FROM adv)
-SELECT asset_id, r::BIGINT AS readiness, CASE WHEN r < 45 THEN 'blocked' WHEN r < 78 THEN 'review' ELSE 'ready' END AS advice_state,
-  CASE WHEN greatest(f1, f2, f3, f4) < 55 THEN NULL WHEN f1 >= greatest(f2, f3, f4) THEN 'private_sale' WHEN f2 >= greatest(f3, f4) THEN 'direct_agreement' WHEN f3 >= f4 THEN 'hold' ELSE 'bridge' END AS recommended_channel FROM fits""")
+  SELECT asset_id, r, advice_state, n_review, n_blocked, CASE WHEN advice_state = 'blocked' THEN 0 ELSE floor(least(greatest(r + 20 * final_score + CASE WHEN list_contains(codes, 'payment_available') THEN 8 ELSE 0 END, 0), 100) + 0.5) END AS f1,
+    CASE WHEN advice_state = 'blocked' THEN 0 ELSE least(greatest(r + CASE WHEN list_contains(codes, 'direct_agreement_opened') THEN 24 ELSE -12 END + CASE WHEN list_contains(codes, 'superpreference_granted') THEN 8 ELSE 0 END, 0), 100) END AS f2,
+    floor(least(greatest(55 + 30 * probability - term_months / 3.0::DOUBLE, 0), 100) + 0.5) AS f3, CASE WHEN advice_state = 'blocked' THEN 0 ELSE least(greatest(r - 12 + CASE WHEN probability > 0.75 THEN 10 ELSE -10 END, 0), 100) END AS f4 FROM states)
+SELECT asset_id, r::BIGINT AS readiness, n_review::INT AS review_items, n_blocked::INT AS blocked_items, advice_state, concat_ws(',', f1::INT, f2::INT, f3::INT, f4::INT) AS fits,
+  CASE WHEN greatest(f1, f2, f3, f4) < 55 THEN NULL WHEN f1 >= greatest(f2, f3, f4) THEN 'private_cession' WHEN f2 >= greatest(f3, f4) THEN 'direct_agreement' WHEN f3 >= f4 THEN 'hold_and_wait' ELSE 'bridge_loan' END AS recommended_channel FROM fits""")
 def liquidity_advice(spark: SparkSession, d: str) -> DataFrame:
-    rows = _priced(spark, d).withColumns({"positive_signals": F.coalesce("positive_signals", F.lit(0)), "negative_signals": F.coalesce("negative_signals", F.lit(0)), "review_items": F.lit(0), "blocked_items": F.lit(0), "codes": F.coalesce("codes", F.array().cast("array<string>"))})
-    return evidence.advise(rows).select("asset_id", F.col("readiness").cast("long").alias("readiness"), "advice_state", "recommended_channel")
+    """Readiness by the checklist of each asset, and the best of four ways out."""
+    rows = _priced(spark, d).withColumns({"positive_signals": F.coalesce("positive_signals", F.lit(0)), "negative_signals": F.coalesce("negative_signals", F.lit(0)), "codes": F.coalesce("codes", F.array().cast("array<string>"))}).withColumn("_list", desk.checklist())
+    rows = rows.withColumns({"review_items": F.size(F.filter("_list", lambda x: x["state"] == "review")), "blocked_items": F.size(F.filter("_list", lambda x: x["state"] == "blocked"))})
+    return evidence.advise(rows).select("asset_id", F.col("readiness").cast("long").alias("readiness"), "review_items", "blocked_items", "advice_state", F.array_join(F.transform("channels", lambda x: x["fit"].cast("int").cast("string")), ",").alias("fits"), "recommended_channel")
 
 
 @query("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import coverage, desk, evidence, legal, pricing, timeline
 from quarry.plans import bindings as b
-from quarry.plans.queries import _FLAGS_SQL, _PRICE_SQL, _flags, _priced, query
+from quarry.plans.queries import _COHERENCE_SQL, _FLAGS_SQL, _PRICE_SQL, _QUALITY_SQL, _coherence, _flags, _priced, query
 
 _STAGES = ("inbox", "qualified", "offer", "due_diligence", "cession", "paid", "lost", "won")
 _STAGED = _PRICE_SQL + ", staged AS (SELECT g.*, a.debtor_name, a.cnj_number, [" + ", ".join(f"'{s}'" for s in _STAGES) + "][(asset_id % 8 + 1)::INT] AS stage FROM graded g JOIN (SELECT asset_id, debtor_name, cnj_number FROM assets) a USING (asset_id))"
@@ -43,24 +43,17 @@ def intake_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return desk.intake(_staged(spark, d).withColumn("known", F.col("asset_id") % 3 == 0)).select("asset_id", "outcome")
 
 
-_EVIDENCE = _FLAGS_SQL + """, e AS (SELECT *, (asset_id % 6)::INT AS resolved_fields, (asset_id % 13 = 0)::INT AS n_field_conflicts, (asset_id % 9 = 0)::INT AS pending_candidates, CASE WHEN asset_id % 17 = 0 THEN 0 ELSE 1 END AS face_value FROM flags),
-q AS (SELECT *, face_value <= 0 OR NOT has_value AS i1, NOT has_process AS i2, NOT has_publication AS i3, resolved_fields < 4 AS i4, n_conflicts > 0 OR n_field_conflicts > 0 AS i5, pending_candidates > 0 AS i6,
-  CASE WHEN NOT has_cnj OR NOT has_value THEN 'blocked' WHEN has_debtor AND has_process AND has_publication AND n_conflicts = 0 THEN 'complete' ELSE 'review' END AS status FROM e)"""
-
-
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("asset_id")
-    rows = _flags(spark, d).withColumns({"resolved_fields": (k % 6).cast("int"), "n_field_conflicts": (k % 13 == 0).cast("int"), "pending_candidates": (k % 9 == 0).cast("int"), "face_value": F.when(k % 17 == 0, 0).otherwise(1)})
-    return rows.withColumn("status", pricing.data_quality()["status"])
+    return _flags(spark, d).withColumn("status", pricing.data_quality()["status"])
 
 
-@query(_EVIDENCE + """ SELECT count(*) AS total, count(*) FILTER (i1) AS missing_value, count(*) FILTER (i2) AS missing_process, count(*) FILTER (i3) AS missing_publication, count(*) FILTER (i4) AS missing_field_evidence, count(*) FILTER (i5) AS conflicts,
-  count(*) FILTER (i6) AS candidate_review, count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (status = 'complete') AS complete FROM q""")
+@query(_QUALITY_SQL + """ SELECT count(*) AS total, count(*) FILTER (i1) AS missing_value, count(*) FILTER (i2) AS missing_datajud, count(*) FILTER (i3) AS missing_djen, count(*) FILTER (i4) AS missing_field_evidence, count(*) FILTER (i5) AS conflicts,
+  count(*) FILTER (i6) AS candidate_review, count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (status = 'complete') AS complete FROM quality""")
 def quality_summary(spark: SparkSession, d: str) -> DataFrame:
     return desk.quality_summary(_evidence(spark, d))
 
 
-@query(_EVIDENCE + " SELECT 'missing_value' AS issue, count(*) AS n FROM q WHERE i1 UNION ALL SELECT 'conflicts', count(*) FROM q WHERE i5 UNION ALL SELECT 'candidate_review', count(*) FROM q WHERE i6")
+@query(_QUALITY_SQL + " SELECT 'missing_value' AS issue, count(*) AS n FROM q WHERE i1 UNION ALL SELECT 'conflicts', count(*) FROM q WHERE i5 UNION ALL SELECT 'candidate_review', count(*) FROM q WHERE i6")
 def issue_filters(spark: SparkSession, d: str) -> DataFrame:
     rows = _evidence(spark, d)
     out = [desk.opportunities(rows, issue=issue).agg(F.count("*").alias("n")).select(F.lit(issue).alias("issue"), "n") for issue in ("missing_value", "conflicts", "candidate_review")]
@@ -139,8 +132,8 @@ s AS (SELECT *, CASE WHEN source_links > 0 THEN 2 ELSE 0 END AS s1, CASE WHEN id
   CASE WHEN valuations > 0 AND budget_facts > 0 THEN 2 WHEN valuations > 0 OR budget_facts > 0 THEN 1 ELSE 0 END AS s5, CASE WHEN processes > 0 OR publications >= 2 THEN 2 WHEN publications > 0 THEN 1 ELSE 0 END AS s6, CASE WHEN scores > 0 THEN 2 ELSE 0 END AS s7, CASE WHEN has_opportunity AND asset_id % 2 = 0 THEN 2 WHEN has_opportunity THEN 1 ELSE 0 END AS s8 FROM c)"""
 
 
-@query(_CHECKED + """, g AS (SELECT *, (15 * s1 + 20 * s2 + 15 * s3 + 10 * s4 + 15 * s5 + 10 * s6 + 10 * s7 + 5 * s8) / 2.0 AS score100 FROM s)
-SELECT asset_id, score100::DOUBLE AS completeness, CASE WHEN score100 >= 90 THEN 'A' WHEN score100 >= 75 THEN 'B' WHEN score100 >= 55 THEN 'C' ELSE 'D' END AS grade,
+@query(_CHECKED + """, g AS (SELECT *, floor((15 * s1 + 20 * s2 + 15 * s3 + 10 * s4 + 15 * s5 + 10 * s6 + 10 * s7 + 5 * s8) / 2.0 + 0.5) AS score100 FROM s)
+SELECT asset_id, score100::INT AS completeness, CASE WHEN score100 >= 90 THEN 'A' WHEN score100 >= 75 THEN 'B' WHEN score100 >= 55 THEN 'C' ELSE 'D' END AS grade,
   concat_ws(',', CASE WHEN asset_id % 13 = 0 THEN 'resolve_high_severity_conflicts' END, CASE WHEN s3 < 2 AND candidates > 0 THEN 'review_datajud_candidates' WHEN s3 < 2 THEN 'enrich_from_datajud' END, CASE WHEN s4 < 2 THEN 'sync_djen_publications' END, CASE WHEN s5 < 2 THEN 'backfill_financial_facts' END,
     CASE WHEN s1 < 2 THEN 'link_primary_source_evidence' END, CASE WHEN s7 < 2 THEN 'recompute_asset_score' END, CASE WHEN NOT has_opportunity AND score >= 80 THEN 'create_cession_opportunity' END) AS actions FROM g""")
 def asset_dossiers(spark: SparkSession, d: str) -> DataFrame:
@@ -229,9 +222,12 @@ def matrix_totals(spark: SparkSession, d: str) -> DataFrame:
     return coverage.matrix_summary(_states(spark, d))
 
 
-@query(_FLAGS_SQL + """ SELECT count(*) AS assets, round(avg(has_value::INT), 4) AS has_value, round(avg(has_process::INT), 4) AS has_process, round(avg((has_cnj AND has_value AND has_primary_source AND has_process AND has_publication AND has_score)::INT), 4) AS complete, count(*) FILTER (n_conflicts > 0) AS conflicts FROM flags""")
+@query(_COHERENCE_SQL + """, r AS (SELECT *, CASE WHEN assets > 0 AND NOT (c1 < assets OR conflicts > 0 OR field_conflicts > 0) AND complete >= 0.95 * assets THEN 1 ELSE 0 END AS ready, CASE WHEN assets > 0 AND (c1 < assets OR conflicts > 0 OR field_conflicts > 0) THEN 1 ELSE 0 END AS critical FROM per_court)
+SELECT sum(assets)::BIGINT AS assets, sum(complete)::BIGINT AS complete_assets, round(sum(complete) / sum(assets)::DOUBLE, 4) AS complete, round(sum(c1) / sum(assets)::DOUBLE, 4) AS has_primary_source, round(sum(c2) / sum(assets)::DOUBLE, 4) AS has_process, round(sum(c3) / sum(assets)::DOUBLE, 4) AS has_publication,
+  round(sum(c4) / sum(assets)::DOUBLE, 4) AS has_value, round(sum(c5) / sum(assets)::DOUBLE, 4) AS has_score, round(sum(c6) / sum(assets)::DOUBLE, 4) AS has_evidence, round(sum(c7) / sum(assets)::DOUBLE, 4) AS has_resolved, sum(conflicts)::BIGINT AS conflicts, sum(field_conflicts)::BIGINT AS field_conflicts, sum(pending)::BIGINT AS pending,
+  count(*) AS courts, count(*) FILTER (assets > 0) AS courts_with_assets, sum(ready)::BIGINT AS ready_courts, sum(critical)::BIGINT AS critical_courts FROM r""")
 def coherence_totals(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.coherence_summary(coverage.coherence(_flags(spark, d))).select("assets", "has_value", "has_process", "complete", "conflicts")
+    return coverage.coherence_summary(_coherence(spark, d))
 
 
 @query("""

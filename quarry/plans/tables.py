@@ -201,42 +201,75 @@ def serialised_assets(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(back.alias("r")).select("r.asset_id", F.col("r.tenant.id").alias("tenant_id"), F.col("r.debtor.name").alias("debtor_name"), F.col("r.debtor.type").alias("debtor_type"), F.col("r.total").alias("total_text"), "r.state")
 
 
-@query("""
-, runs AS (SELECT event_type AS job, event_id, event_at, ['success', 'failed', 'running'][event_id % 3 + 1] AS status, event_id * 10 AS metric FROM asset_events),
-last AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY job ORDER BY event_at DESC, event_id DESC) = 1), s AS (SELECT job, max(event_at) FILTER (status = 'success') AS ok, max(event_at) FILTER (status = 'running') AS busy, max(event_at) FILTER (status = 'failed') AS bad FROM runs WHERE event_id % 97 < 2 GROUP BY job)
-SELECT last.job, last.event_id, last.status, last.metric, CASE WHEN ok >= TIMESTAMP '2024-01-30 18:00:00' - INTERVAL 20 HOUR THEN 'recent_success' WHEN busy >= TIMESTAMP '2024-01-30 18:00:00' - INTERVAL 6 HOUR THEN 'running' WHEN bad >= TIMESTAMP '2024-01-30 18:00:00' - INTERVAL 2 HOUR THEN 'recent_failure' END AS skip_reason FROM last LEFT JOIN s USING (job)""")
+# Jobs run in one of five states; now is late on the last day of the events.
+_RUNS = """
+, moment AS (SELECT max(ts) - INTERVAL 5 MINUTE AS now FROM events),
+runs AS (SELECT event_type || '-' || user_id % 40 AS job, event_id, ts AS event_at, ['completed', 'failed', 'running', 'skipped', 'cancelled'][event_id % 5 + 1] AS status, event_id * 10 AS metric FROM events)
+"""
+
+
+def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    events = b.read(spark, d, "events")
+    now = events.agg(F.date_format(F.max("ts") - F.expr("interval 5 minutes"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+    state = F.get(F.array(*map(F.lit, ("completed", "failed", "running", "skipped", "cancelled"))), F.pmod("event_id", F.lit(5)).cast("int"))
+    return events.select(F.concat_ws("-", "event_type", (F.col("user_id") % 40).cast("string")).alias("job"), "event_id", F.col("ts").cast("timestamp").alias("at"), state.alias("status"), (F.col("event_id") * 10).alias("metric")), now
+
+
+@query(_RUNS + """, last AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY job ORDER BY event_at DESC, event_id DESC) = 1),
+s AS (SELECT job, max(event_at) FILTER (status = 'completed') AS ok, max(event_at) FILTER (status = 'running') AS busy, max(event_at) FILTER (status IN ('failed', 'skipped', 'cancelled')) AS bad FROM runs GROUP BY job)
+SELECT last.job, last.event_id, last.status, last.metric, CASE WHEN busy >= now - INTERVAL 6 HOUR THEN 'in_progress' WHEN ok >= now - INTERVAL 20 HOUR THEN 'recent_success' WHEN bad >= now - INTERVAL 2 HOUR THEN 'recent_failure' END AS skip_reason FROM last LEFT JOIN s USING (job), moment""")
 def job_runs(spark: SparkSession, d: str) -> DataFrame:
-    """The latest run of each job with its metric, and why the job need not run again."""
-    runs = b.events(spark, d).select(F.col("event_type").alias("job"), "event_id", F.col("event_at").cast("timestamp").alias("at"), F.get(F.array(*map(F.lit, ("success", "failed", "running"))), F.pmod("event_id", F.lit(3)).cast("int")).alias("status"), (F.col("event_id") * 10).alias("metric"))
+    """The latest run of each job with its metric, and why the job need not run again: a running one first, then a success, then a failure."""
+    runs, now = _runs(spark, d)
     last = relational.latest_by(runs, ["job"], [F.col("at"), F.col("event_id")])
-    state = coverage.job_state(runs.where("event_id % 97 < 2"), "job", "2024-01-30 18:00:00")
-    return last.join(state.select("job", "skip_reason"), "job", "left").select("job", "event_id", "status", "metric", "skip_reason")
+    return last.join(coverage.job_state(runs, "job", now).select("job", "skip_reason"), "job", "left").select("job", "event_id", "status", "metric", "skip_reason")
+
+
+@query(_RUNS + """, tenant AS (SELECT job, event_id % 3 AS tenant, status, event_at FROM runs), n AS (SELECT tenant, count(*) FILTER (status = 'failed' AND event_at >= now - INTERVAL 6 HOUR) AS failed, count(*) FILTER (status = 'running' AND event_at < now - INTERVAL 700 HOUR) AS hangs FROM tenant, moment GROUP BY tenant)
+SELECT tenant, CASE WHEN tenant = 0 THEN hangs ELSE 0 END AS stalled, CASE WHEN (tenant = 1 AND failed > 0) OR (tenant = 0 AND hangs > 0) THEN 'degraded' WHEN tenant = 2 THEN 'attention' ELSE 'ok' END AS status FROM n""")
+def overall_health(spark: SparkSession, d: str) -> DataFrame:
+    """Per group of runs: a failed queue degrades, so does a hanging run; a job that is due asks for attention."""
+    runs, now = _runs(spark, d)
+    moment, out = F.lit(now).cast("timestamp"), None
+    for tenant in range(3):
+        own = runs.where(F.col("event_id") % 3 == tenant)
+        queues = own.where((F.col("status") == "failed") & (F.col("at") >= moment - F.expr("interval 6 hours"))).select(F.lit("degraded" if tenant == 1 else "ok").alias("status"))
+        jobs = own.select(F.lit("due" if tenant == 2 else "fresh").alias("status"))
+        stalled = own.where((F.col("status") == "running") & (F.col("at") < moment - F.expr("interval 700 hours"))) if tenant == 0 else own.limit(0)
+        one = coverage.health(queues, own.limit(0), stalled, jobs).select(F.lit(tenant).cast("long").alias("tenant"), "stalled", "status")
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
-@query("""
-, q AS (SELECT DISTINCT event_type AS queue FROM events UNION SELECT 'idle'), beat AS (SELECT event_type AS queue, max(event_at) AS last_beat FROM asset_events WHERE event_id % 211 = 0 GROUP BY ALL)
-SELECT queue, last_beat, coalesce(last_beat >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 60 SECOND, false) AS fresh FROM q LEFT JOIN beat USING (queue)""")
+@query(_RUNS + """, q AS (SELECT DISTINCT job AS queue FROM runs UNION SELECT 'idle'), beat AS (SELECT job AS queue, max(event_at) AS last_beat FROM runs GROUP BY ALL)
+SELECT queue, last_beat, coalesce(last_beat >= now - INTERVAL 1800 SECOND, false) AS fresh FROM q LEFT JOIN beat USING (queue), moment""")
 def queue_freshness(spark: SparkSession, d: str) -> DataFrame:
-    events = b.events(spark, d)
-    beats = events.where("event_id % 211 = 0").select(F.col("event_type").alias("queue"), F.col("event_at").alias("at"))
-    queues = events.select(F.col("event_type").alias("queue")).distinct().unionAll(spark.createDataFrame([("idle",)], "queue string"))
-    return coverage.freshness(beats, queues, "2024-01-30 12:00:00")
+    runs, now = _runs(spark, d)
+    queues = runs.select(F.col("job").alias("queue")).distinct().unionAll(spark.createDataFrame([("idle",)], "queue string"))
+    return coverage.freshness(runs.select(F.col("job").alias("queue"), "at"), queues, now, 1800)
 
 
 @query("""
-, t AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 > 0 THEN DATE '2024-01-01' - (s_suppkey % 60)::INT END AS ok_on, ['configured', 'validated'][s_suppkey % 2 + 1] AS status, s_suppkey % 3 AS records, [NULL, 'A', 'C'][s_suppkey % 3 + 1] AS grade, ['success', 'failed'][(s_suppkey // 5) % 2 + 1] AS run, (s_suppkey % 10) / 10.0::DOUBLE AS q, (s_suppkey % 7) / 10.0::DOUBLE AS y, s_suppkey % 6 = 0 AS e, (s_suppkey % 9) / 10.0::DOUBLE AS f FROM supplier),
-s AS (SELECT *, CASE WHEN ok_on IS NULL THEN 50 ELSE 0 END AS p1, CASE WHEN status = 'configured' THEN 35 ELSE 0 END AS p2, CASE WHEN records = 0 THEN 30 ELSE 0 END AS p3, CASE WHEN grade IS NULL THEN 10 ELSE 0 END AS p4, CASE WHEN run = 'failed' THEN 35 ELSE 0 END AS p5, CASE WHEN grade = 'C' AND run <> 'failed' THEN 20 ELSE 0 END AS p6,
-  CASE WHEN y < 0.5 THEN 20 ELSE 0 END AS p7, CASE WHEN e THEN 20 ELSE 0 END AS p8, CASE WHEN f < 0.5 THEN 15 ELSE 0 END AS p9, CASE WHEN DATE '2024-01-20' - ok_on > 30 THEN least(DATE '2024-01-20' - ok_on, 30) ELSE 0 END AS p10 FROM t),
-u AS (SELECT id, p1 + p2 + p3 + p4 + p5 + p6 + p7 + p8 + p9 + p10 AS p, floor((1 - q) * 20 + 0.5) AS base FROM s)
-SELECT id, CASE WHEN p = 0 THEN 5 ELSE p + base END::INT AS recovery_score, CASE WHEN p = 0 THEN 'low' WHEN p + base >= 80 THEN 'critical' WHEN p + base >= 50 THEN 'high' WHEN p + base >= 25 THEN 'medium' ELSE 'low' END AS recovery_priority FROM u""")
+, t AS (
+  SELECT s_suppkey AS id, s_suppkey AS k, ['configured', 'validated', 'blocked', 'validated'][s_suppkey % 4 + 1] AS status, CASE WHEN s_suppkey % 13 > 0 THEN 'a' END AS adapter, CASE WHEN s_suppkey % 5 > 0 THEN DATE '2024-01-20' - (s_suppkey % 41)::INT END AS ok_on,
+    (s_suppkey // 4) % 3 AS records, [NULL, 'A', 'B', 'C', 'D'][(s_suppkey // 3) % 5 + 1] AS grade, (s_suppkey % 21) / 20.0::DOUBLE AS q, (s_suppkey % 7) / 10.0::DOUBLE AS y, (s_suppkey % 9) / 20.0::DOUBLE AS e, CASE WHEN s_suppkey % 6 > 0 THEN 0.55::DOUBLE + (s_suppkey % 5) / 20.0::DOUBLE END AS f FROM supplier),
+s AS (
+  SELECT *, DATE '2024-01-20' - ok_on AS age, grade IS NOT NULL AS known, coalesce(grade = 'D' OR (grade IS NOT NULL AND q < 0.5), false) AS failed FROM t WHERE adapter IS NOT NULL AND status IN ('configured', 'validated')),
+r AS (
+  SELECT *, concat_ws(',', CASE WHEN status = 'configured' THEN 'configured_without_validated_run' END, CASE WHEN ok_on IS NULL THEN 'never_succeeded' WHEN age >= 7 THEN 'stale_success' END, CASE WHEN records = 0 THEN 'no_tenant_source_records' END, CASE WHEN NOT known THEN 'quality_unknown' WHEN failed THEN 'quality_failed' WHEN grade = 'C' OR q < 0.7 THEN 'quality_weak' END,
+    CASE WHEN known AND y < 0.5 THEN 'low_import_yield' END, CASE WHEN known AND e >= 0.25 THEN 'high_error_rate' END, CASE WHEN known AND coalesce(f, 1) < 0.65 THEN 'low_field_coverage' END) AS reasons FROM s),
+p AS (
+  SELECT id, coalesce(nullif(reasons, ''), 'healthy_refresh') AS reasons, 50 * (ok_on IS NULL)::INT + 35 * (status = 'configured')::INT + 30 * (records = 0)::INT + 10 * (NOT known)::INT + CASE WHEN contains(reasons, 'quality_failed') THEN 35 WHEN contains(reasons, 'quality_weak') THEN 20 ELSE 0 END
+    + 20 * contains(reasons, 'low_import_yield')::INT + 20 * contains(reasons, 'high_error_rate')::INT + 15 * contains(reasons, 'low_field_coverage')::INT + coalesce(least(age, 30), 0) + CASE WHEN known THEN floor(round((1 - q) * 20, 9) + 0.5)::INT ELSE 0 END + 5 * (status = 'validated' AND reasons = '')::INT AS points FROM r)
+SELECT id, reasons, points::INT AS recovery_score, CASE WHEN points >= 80 THEN 'critical' WHEN points >= 50 THEN 'high' WHEN points >= 25 THEN 'medium' ELSE 'low' END AS recovery_priority FROM p""")
 def recovery_plans(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     turn = lambda of, *values: F.get(F.array(*map(F.lit, values)), F.pmod(of, F.lit(len(values))).cast("int"))
     rows = b.read(spark, d, "supplier").select(
-        k.alias("id"), F.when(k % 4 > 0, F.date_sub(F.lit("2024-01-01").cast("date"), (k % 60).cast("int")).cast("timestamp")).alias("last_success_at"), turn(k, "configured", "validated").alias("status"), (k % 3).alias("records"), turn(k, None, "A", "C").alias("grade"), turn(F.floor(k / 5), "success", "failed").alias("last_run_status"),
-        ((k % 10) / 10).alias("quality_score"), ((k % 7) / 10).alias("yield"), (k % 6 == 0).cast("int").alias("errors"), ((k % 9) / 10).alias("field_coverage"),
+        k.alias("id"), turn(k, "configured", "validated", "blocked", "validated").alias("status"), F.when(k % 13 > 0, F.lit("a")).alias("adapter"), F.when(k % 5 > 0, F.date_sub(F.lit("2024-01-20").cast("date"), (k % 41).cast("int")).cast("timestamp")).alias("last_success_at"), F.pmod(F.floor(k / 4), F.lit(3)).alias("records"),
+        turn(F.floor(k / 3), None, "A", "B", "C", "D").alias("grade"), ((k % 21) / 20).alias("quality_score"), ((k % 7) / 10).alias("yield"), ((k % 9) / 20).alias("error_rate"), F.when(k % 6 > 0, F.lit(0.55) + (k % 5) / 20).alias("field_coverage"),
     )
-    return coverage.recovery_plan(rows, "2024-01-20").select("id", "recovery_score", "recovery_priority")
+    return coverage.recovery_plan(rows, "2024-01-20").select("id", F.array_join("reasons", ",").alias("reasons"), "recovery_score", "recovery_priority")
 
 
 @query("""
@@ -257,12 +290,12 @@ def readiness_sections(spark: SparkSession, d: str) -> DataFrame:
     return coverage.roll_up(rows, "section")
 
 
-@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 > 0 AND s_suppkey % 2 = 0 THEN 1.0 WHEN s_suppkey % 3 > 0 THEN 0.75 WHEN s_suppkey % 5 > 0 AND s_suppkey % 2 = 0 THEN 0.5 WHEN s_suppkey % 2 > 0 THEN 0.25 ELSE 0.0 END::DOUBLE AS score,
+@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN 0.0 WHEN s_suppkey % 2 > 0 THEN 0.5 WHEN s_suppkey % 3 > 0 OR s_suppkey % 8 = 0 THEN 1.0 WHEN s_suppkey % 5 > 0 THEN 0.75 ELSE 0.25 END::DOUBLE AS score,
   greatest(s_suppkey % 4 - 2, 0)::BIGINT AS found, CASE WHEN s_suppkey % 6 > 0 THEN s_suppkey ELSE 7 END::BIGINT AS imported FROM supplier""")
 def run_counters(spark: SparkSession, d: str) -> DataFrame:
     """A run's score, and counters that keep what was known where nothing is said, and are never below 0."""
     k = F.col("s_suppkey")
-    rows = b.read(spark, d, "supplier").select(k.alias("id"), coverage.coverage_score(k % 5, k % 3, k % 2).alias("score"), F.lit(0).alias("found"), F.lit(7).alias("imported"))
+    rows = b.read(spark, d, "supplier").select(k.alias("id"), coverage.coverage_score(F.when(k % 7 == 0, F.lit("failed")).otherwise(F.lit("completed")), k % 2, k % 3, (k % 8 == 0).cast("int"), k % 5).alias("score"), F.lit(0).alias("found"), F.lit(7).alias("imported"))
     new = b.read(spark, d, "supplier").select(k.alias("id"), (k % 4 - 2 + 0.5).alias("found"), F.when(k % 6 > 0, k).alias("imported")).withColumn("found", F.when(F.col("found") < 0, F.floor("found")).otherwise(F.col("found")))
     return coverage.counters(rows, new, "id", ["found", "imported"])
 
@@ -282,14 +315,18 @@ def count_deltas(spark: SparkSession, d: str) -> DataFrame:
     return relational.deltas(count(events.where("event_id % 2 = 0 and event_type <> 'view'")), count(events.where("event_type <> 'error'")), "event_type", "n")
 
 
-@query("SELECT asset_id, least(10 + 30 * ((asset_id % 2 > 0)::INT + (asset_id % 3 > 0)::INT + 1 + (asset_id % 5 > 0)::INT), 100)::INT AS completeness, least(greatest((exercise_year - 2000) * 1, 0), 100)::INT AS maturity FROM assets WHERE asset_id % 7 > 0")
+@query("""
+, r AS (SELECT asset_id, asset_id % 2 > 0 AS has_number, asset_id % 3 > 0 AS has_debtor, asset_id % 5 > 1 AS has_value, CASE WHEN asset_id % 11 > 0 THEN exercise_year - CASE WHEN asset_id % 4 = 0 THEN 0 ELSE 1 END * 2 END AS year FROM assets WHERE asset_id % 7 > 0)
+SELECT asset_id, 30 * (has_number::INT + has_debtor::INT + has_value::INT) AS data_quality_score, CASE WHEN year IS NOT NULL THEN least(year - 2000, 100) END::INT AS maturity_score, least(30 * (has_number::INT + has_debtor::INT + has_value::INT) + 10, 100) AS final_score FROM r""")
 def import_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Of imported rows whose fingerprint is not known yet."""
+    """Of imported rows whose fingerprint is not known yet: empty names, values of 0 and years before 2000 among them."""
     k = F.col("asset_id")
-    rows = b.assets(spark, d).select("asset_id", F.when(k % 2 > 0, k).alias("a"), F.when(k % 3 > 0, k).alias("b"), F.lit(1).alias("c"), F.when(k % 5 > 0, k).alias("e"), F.col("exercise_year").alias("year"), text.fingerprint(id=k).alias("fingerprint"))
+    rows = b.assets(spark, d).select(
+        "asset_id", F.when(k % 2 > 0, F.col("cnj_number")).alias("cnj_number"), F.when(k % 3 > 0, F.col("debtor_name")).when(k % 6 == 0, F.lit("")).alias("debtor_name"), F.when(k % 5 > 1, F.col("total")).when(k % 5 == 1, F.lit(0)).alias("face_value"),
+        F.when(k % 11 > 0, F.col("exercise_year") - F.when(k % 4 == 0, 0).otherwise(2)).alias("exercise_year"), text.fingerprint(id=k).alias("fingerprint"),
+    )
     new = pricing.changed_only(rows, rows.where("asset_id % 7 = 0").select("asset_id", "fingerprint"))
-    completeness, maturity = pricing.import_score(["a", "b", "c", "e"], "year")
-    return new.select("asset_id", completeness, maturity)
+    return new.select("asset_id", *(c.cast("int").alias(name) for name, c in pricing.import_scores().items()))
 
 
 @query("""

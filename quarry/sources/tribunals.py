@@ -188,21 +188,23 @@ def budget_row(df: DataFrame, row: str = "row") -> DataFrame:
         brazilian_money(F.coalesce(r["valor_original_do_precatorio"], r["valor"])).alias("face_value"), brazilian_money(r["valor_atualizado"]).alias("updated_value"), brazilian_decimal(r["indiceatualizacao"]).alias("index_value"),
         yes_no(r["tributario"]).alias("is_tax"), yes_no(r["fundef"]).alias("is_fundef"), day_or_null(r["data_de_ajuizamento_da_acao_originaria"]).alias("filed_on"), day_or_null(r["data_da_autuacao"]).alias("registered_on"),
     )
-    missing = F.array_compact(F.array(F.when(F.col("external_id").isNull() & F.col("cnj_number").isNull(), F.lit("identifier")), F.when(F.col("face_value").isNull(), F.lit("face_value")), F.when(F.col("exercise_year").isNull(), F.lit("exercise_year"))))
-    return out.withColumn("missing", missing).withColumn("valid", F.size("missing") == 0)
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    errors = F.array_compact(F.array(F.when(blank("debtor_name"), F.lit("debtor_missing")), F.when(F.coalesce(F.col("face_value").cast("double"), F.lit(0.0)) == 0, F.lit("face_value_invalid"))))
+    return out.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
 
 
 def import_status(rows: DataFrame, key: str) -> DataFrame:
-    """Per import: completed, partial or failed by its valid rows."""
-    out = rows.groupBy(key).agg(F.count("*").alias("total"), F.count_if("valid").alias("imported"), F.count_if(~F.col("valid")).alias("errors"))
-    return out.withColumn("status", F.when(F.col("imported") == 0, F.lit("failed")).when(F.col("errors") > 0, F.lit("partial")).otherwise(F.lit("completed")))
+    """Per import: failed with errors and nothing taken, partial with errors, else completed, also if it is empty. rows: one per import and row; `valid` is null for an import without rows."""
+    out = rows.groupBy(key).agg(F.count("valid").alias("total"), F.count_if("valid").alias("imported"), F.count_if(~F.col("valid")).alias("errors"))
+    return out.withColumn("status", F.when((F.col("errors") > 0) & (F.col("imported") == 0), F.lit("failed")).when(F.col("errors") > 0, F.lit("partial")).otherwise(F.lit("completed")))
 
 
-def operational_signals(queue: str = "queue_position", kind: str = "source_kind", pref: str = "preference") -> Column:
-    """Signals that a list itself gives: its kind, a good position, a preference."""
+def operational_signals(queue: str = "queue_position", kind: str = "source_kind") -> Column:
+    """Signals that a list itself gives: a position within the first 100, none in a list that is in order of time, and what kind of list it is."""
+    q, k = F.col(queue), F.col(kind)
     return F.array_compact(F.array(
-        F.when(F.col(queue) <= 100, F.lit("queue_position_favorable")).when(F.col(queue).isNull(), F.lit("queue_position_unknown")), F.when(F.col(kind) == "agreement", F.lit("direct_agreement_window")),
-        F.when(F.col(kind) == "paid", F.lit("payment_process_detected")), F.when(F.col(pref) == "superpreference", F.lit("superpreference_granted")).when(F.col(pref).isNotNull(), F.lit("preferential_queue")),
+        F.when(q <= 100, F.lit("queue_position_favorable")), F.when(q.isNull() & (k == "chronological_list"), F.lit("queue_position_unknown")), F.when(k == "direct_agreement", F.lit("direct_agreement_window")),
+        F.when(k == "preferential_lot", F.lit("preferential_queue")), F.when(k == "paid_or_payment_process", F.lit("payment_process_detected")),
     ))
 
 

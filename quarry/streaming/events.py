@@ -44,3 +44,34 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def heartbeat_states(beats: DataFrame, stale_after: int = 60) -> DataFrame:
+    """(queue_name, status, checked_at) whenever the status of a queue changes: ok with a beat, stale once none has come for `stale_after` seconds.
+
+    beats: queue_name, checked_at, as they come. A timer of each queue fires without a row; a beat that is older than
+    the last changes nothing; a stale queue that beats again is ok.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key, frames, state: GroupState):
+        import pandas as pd
+
+        last, status = state.get if state.exists else (None, None)
+        if state.hasTimedOut:
+            state.update((last, "stale"))
+            yield pd.DataFrame({"queue_name": [key[0]], "status": ["stale"], "checked_at": [pd.Timestamp(last)]})
+            return
+        newest = max((frame["checked_at"].max() for frame in frames), default=None)
+        newest = None if pd.isna(newest) else newest.to_pydatetime()
+        if newest is not None and (last is None or newest > last):
+            state.update((newest, "ok"))
+            state.setTimeoutDuration(stale_after * 1000)
+            if status != "ok":
+                yield pd.DataFrame({"queue_name": [key[0]], "status": ["ok"], "checked_at": [pd.Timestamp(newest)]})
+        elif status == "ok":
+            state.setTimeoutDuration(stale_after * 1000)
+
+    return beats.select("queue_name", "checked_at").groupBy("queue_name").applyInPandasWithState(
+        step, "queue_name string, status string, checked_at timestamp", "last timestamp, status string", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
