@@ -57,7 +57,23 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines(files, "file", "text")
 
 
-def lines(df: DataFrame, key: str, text: str) -> DataFrame:
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, n, line) of text files, read in splits, n from 1 through a file. Lines end at \\n or \\r\\n; each is UTF-8, else windows-1252.
+
+    A line is counted within its split; the lines of the splits before are a prefix sum over one row per split. No task
+    sees a whole file, and what a line needs from lines of other splits comes in the same way: see carried, blocks, previous.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace(decoded(F.col("value").cast("binary")), r"\r$", "").alias("line"))
+    sizes = rows.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("file", "split", (before - F.col("first") + 1).alias("shift"))
+    return rows.join(sizes, ["file", "split"]).select("file", "split", (F.col("at") + F.col("shift")).alias("n"), "line")
+
+
+def lines(df: DataFrame, key: str, text: str | None) -> DataFrame:
+    """(key, n, line) of texts; without a text column df has lines already, of split_lines for example."""
+    if text is None:
+        return df
     return df.select(key, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("n", "line")).withColumn("n", F.col("n") + 1)
 
 
@@ -162,16 +178,48 @@ def pdf_texts(files: DataFrame, extract: Callable[[bytes], str], key: str = "pat
     return files.select(key, content).mapInPandas(read, f"{key} string, text string")
 
 
+def _incoming(df: DataFrame, key: str, summary: Column, scan) -> DataFrame:
+    """df with `_in`: what the splits before leave for a line's split. summary: of a split; scan: of the summaries `_s` before, over one row per split of a file."""
+    per = df.groupBy(key, "split").agg(summary.alias("_s"))
+    return df.join(per.select(key, "split", scan("_s", Window.partitionBy(key).orderBy("split")).alias("_in")), [key, "split"])
+
+
+def _within(df: DataFrame, key: str):
+    return Window.partitionBy(key, "split").orderBy("n") if "split" in df.columns else Window.partitionBy(key).orderBy("n")
+
+
 def blocks(df: DataFrame, key: str, starts: Column) -> DataFrame:
-    """(key, block, text): a line for which starts holds opens a block that runs to the next; lines before the first go."""
-    order = Window.partitionBy(key).orderBy("n")
-    rows = df.withColumn("block", F.sum(starts.cast("int")).over(order)).where("block > 0")
+    """(key, block, text): a line for which starts holds opens a block that runs to the next, over splits too; lines before the first go."""
+    rows = df.withColumn("block", F.coalesce(F.sum(starts.cast("int")).over(_within(df, key)), F.lit(0)))
+    if "split" in df.columns:
+        rows = _incoming(rows, key, F.count_if(starts), lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        rows = rows.withColumn("block", F.col("block") + F.col("_in"))
+    rows = rows.where("block > 0")
     return rows.groupBy(key, "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
 def carried(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    """Line rows with the last value that was set at or before them."""
-    return df.withColumn(name, F.last(value, True).over(Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    """Line rows with the last value that was set at or before them, in their split or one before."""
+    rows = df.withColumn("_v", value)
+    rows = rows.withColumn(name, F.last("_v", True).over(_within(df, key).rowsBetween(Window.unboundedPreceding, 0)))
+    if "split" in df.columns:
+        rows = _incoming(rows, key, F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("n"))), lambda c, w: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        rows = rows.withColumn(name, F.coalesce(name, "_in")).drop("_in")
+    return rows.drop("_v")
+
+
+def previous(df: DataFrame, key: str, value: Column, k: int, name: str) -> DataFrame:
+    """Line rows with the values of up to k lines before them, the nearest last, in their split or those before."""
+    rows = df.withColumn("_v", F.struct(value.alias("v")))
+    rows = rows.withColumn(name, F.collect_list("_v").over(_within(df, key).rowsBetween(-k, -1)))
+    if "split" in df.columns:
+        # A split has a line at least, so the k splits before hold the k lines before.
+        last = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("_late"), F.struct("n", "_v"))))), 1, k)
+        rows = rows.withColumn("_late", F.row_number().over(Window.partitionBy(key, "split").orderBy(F.desc("n"))) <= k)
+        rows = _incoming(rows, key, F.transform(F.reverse(last), lambda x: x["_v"]), lambda c, w: F.flatten(F.collect_list(c).over(w.rowsBetween(-k, -1))))
+        rows = rows.withColumn(name, F.concat("_in", name)).drop("_in", "_late")
+    near = F.slice(F.reverse(name), 1, k)
+    return rows.withColumn(name, F.transform(F.reverse(near), lambda x: x["v"])).drop("_v")
 
 
 def links(df: DataFrame, key: str, html: str) -> DataFrame:

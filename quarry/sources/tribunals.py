@@ -26,7 +26,7 @@ from quarry.functions.text import (
     short_process_number,
     whole_number,
 )
-from quarry.sources.files import blocks, carried, cells, delimited, html_rows, lines
+from quarry.sources.files import blocks, carried, cells, delimited, html_rows, lines, previous
 
 RECORD = ("cnj_number", "debtor_name", "value", "year", "queue_position", "nature", "preference")
 # Column names under which each field comes.
@@ -65,7 +65,7 @@ def records(df: DataFrame, keys: list[str], row: str = "row", need_number: bool
     return out.where("cnj_number is not null" if need_number else "cnj_number is not null or value is not null or year is not null")
 
 
-def delimited_records(df: DataFrame, key: str, text: str, header: Column | None = None) -> DataFrame:
+def delimited_records(df: DataFrame, key: str, text: str | None, header: Column | None = None) -> DataFrame:
     return records(delimited(lines(df, key, text), key, header), [key, "n"])
 
 
@@ -78,7 +78,7 @@ def excel_html(df: DataFrame, key: str, html: str) -> DataFrame:
     return out.where("cnj_number is not null and year is not null")
 
 
-def chronological_csv(df: DataFrame, key: str, text: str) -> DataFrame:
+def chronological_csv(df: DataFrame, key: str, text: str | None) -> DataFrame:
     """Lists whose header stands somewhere below a preamble; one record per process number.
 
     Sums of values, the first position, the first other cells, and the masked documents of a number.
@@ -94,7 +94,7 @@ def chronological_csv(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def positional_budget(df: DataFrame, key: str, text: str, amounts: int = 11, percents: int = 3) -> DataFrame:
+def positional_budget(df: DataFrame, key: str, text: str | None, amounts: int = 11, percents: int = 3) -> DataFrame:
     """Budget tables by position: a five-digit code, a name that is not a total, amounts, then percentages."""
     rows = lines(df, key, text).withColumn("c", cells("line", ";")).where(F.get("c", F.lit(0)).rlike(r"^\d{5}$") & (F.lower(F.get("c", F.lit(1))) != "total"))
     money = [money_cell(F.get("c", F.lit(2 + k))).alias(f"amount_{k + 1}") for k in range(amounts)]
@@ -102,7 +102,7 @@ def positional_budget(df: DataFrame, key: str, text: str, amounts: int = 11, per
     return rows.select(key, "n", F.get("c", F.lit(0)).alias("code"), F.get("c", F.lit(1)).alias("name"), *money, *share)
 
 
-def report_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
+def report_blocks(df: DataFrame, key: str, text: str | None) -> DataFrame:
     """Reports in which a line with position and process number opens a record of several lines."""
     starts = F.col("line").rlike(r"^\s*\d+\s+\d{7}-?\d{2}\.?\d{4}\.?\d\.?\d{2}")
     debtor = F.nullif(F.trim(F.regexp_extract("line", r"(?i)^\s*(?:entidade|ente)\s+devedor[a]?\s*:\s*(.+)$", 1)), F.lit(""))
@@ -116,7 +116,7 @@ def report_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def sectioned_text(df: DataFrame, key: str, text: str) -> DataFrame:
+def sectioned_text(df: DataFrame, key: str, text: str | None) -> DataFrame:
     """Lists under section titles (alimentar, comum) that hold for the lines below: position, number, amount, preference."""
     upper = F.upper(F.col("line"))
     title = F.when(~F.col("line").rlike(r"\d{10}"), F.when(upper.contains("ALIMENTAR"), F.lit("alimentar")).when(upper.contains("COMUM") | upper.contains("COMUNS"), F.lit("comum")))
@@ -126,16 +126,15 @@ def sectioned_text(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(F.col("line").rlike(pattern)).select(key, "n", whole_number(get(1)).alias("queue_position"), padded_process_number(get(2)).alias("cnj_number"), brazilian_money(get(3)).alias("value"), "nature", preference(get(4)).alias("preference"))
 
 
-def annual_map(df: DataFrame, key: str, text: str) -> DataFrame:
+def annual_map(df: DataFrame, key: str, text: str | None) -> DataFrame:
     """Annual debt maps: lines with court, year, sphere, state and four amounts; a name may stand on up to three lines before."""
     pattern = r"^\s*TJ[A-Z]{2,3}\s+(20\d{2})\s+(\S+)\s+([A-Z]{2})\s+(?:(\d{7})\s+)?(ESPECIAL|GERAL|COMUM)\s+(\S+)\s+(?:(\d{14}|\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2})\s+)?(.*?)\s*R\$\s*([\d.,-]+)\s+R\$\s*([\d.,-]+)\s+R\$\s*([\d.,-]+)\s+R\$\s*([\d.,-]+)\s*$"
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(key).orderBy("n")
     rows = lines(df, key, text).withColumn("line", collapse("line"))
     is_row = F.col("line").rlike("(?i)" + pattern)
-    spill = F.array(*(F.when(F.lag(~is_row, k).over(order) & F.forall(F.array(*(F.coalesce(F.lag(~is_row, j).over(order), F.lit(False)) for j in range(1, k + 1))), lambda x: x), F.lag("line", k).over(order)) for k in (3, 2, 1)))
-    rows = rows.withColumn("_before", collapse(F.array_join(F.array_compact(spill), " "))).where(is_row)
+    # Of the three lines before, those behind the last row.
+    rows = previous(rows, key, F.when(~is_row, F.col("line")), 3, "_before")
+    behind = F.aggregate("_before", F.array().cast("array<string>"), lambda out, x: F.when(x.isNull(), F.array().cast("array<string>")).otherwise(F.concat(out, F.array(x))))
+    rows = rows.withColumn("_before", collapse(F.array_join(behind, " "))).where(is_row)
     get = lambda k: F.nullif(F.trim(F.regexp_extract("line", "(?i)" + pattern, k)), F.lit(""))
     name = F.coalesce(get(8), F.nullif("_before", F.lit("")), F.concat(F.lit("Municipality IBGE "), get(4), F.lit(" - "), get(3)))
     money = {label: brazilian_money(get(9 + k)) for k, label in enumerate(("debt_before", "paid", "current_year", "debt_after"))}
@@ -143,7 +142,7 @@ def annual_map(df: DataFrame, key: str, text: str) -> DataFrame:
     return out.withColumn("open_stock", F.coalesce("debt_after", F.lit(0)) + F.coalesce("current_year", F.lit(0))).withColumn("debtor_type", debtor_type("debtor_name"))
 
 
-def pdf_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+def pdf_rows(df: DataFrame, key: str, text: str | None) -> DataFrame:
     """Lists in which a line is position, number, local date and time, nature, amount and debtor."""
     pattern = r"^\s*(\d+)\s+([\d.-]{20,25})\s+(\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2})\s+(\S+)\s+(?:R\$\s*)?([\d.]+,\d{2})\s+(.*)$"
     get = lambda k: F.regexp_extract("line", pattern, k)
