@@ -21,16 +21,16 @@ def _file(rows: DataFrame, key: str, order: str, line: Column, head: str = "", f
 
 
 def _listed(spark: SparkSession, d: str) -> DataFrame:
-    """Assets with texts for their nature and preference, and their position within their court."""
+    """Assets with texts for their nature and preference, and their position within their file: 10,000 ids of a court, so that files are more, not longer, with more assets."""
     from pyspark.sql import Window
 
     words = {"alimentar": "Crédito Alimentar", "comum": "Comum", "unknown": "Indefinido"}
     nature = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
     wish = F.get(F.array(*map(F.lit, ("Superpreferência", "Idoso", "Doença grave", "-"))), F.pmod("asset_id", F.lit(4)).cast("int"))
-    return b.assets(spark, d).select("court", "asset_id", "cnj_number", "debtor_name", "total", (F.lit(2000) + F.col("exercise_year") % 30).alias("exercise_year"), "nature", nature[F.col("nature")].alias("nature_text"), wish.alias("wish"), F.row_number().over(Window.partitionBy("court").orderBy("asset_id")).alias("place"))
+    return b.assets(spark, d).withColumn("court", F.concat_ws("-", "court", F.floor(F.col("asset_id") / 10_000).cast("string"))).select("court", "asset_id", "cnj_number", "debtor_name", "total", (F.lit(2000) + F.col("exercise_year") % 30).alias("exercise_year"), "nature", nature[F.col("nature")].alias("nature_text"), wish.alias("wish"), F.row_number().over(Window.partitionBy("court").orderBy("asset_id")).alias("place"))
 
 
-_LISTED = ", listed AS (SELECT * EXCLUDE (exercise_year), (2000 + exercise_year % 30)::INT AS exercise_year, row_number() OVER (PARTITION BY court ORDER BY asset_id) AS place, ['superpreference', 'elderly', 'illness', NULL][asset_id % 4 + 1] AS preference FROM assets)"
+_LISTED = ", listed AS (SELECT * EXCLUDE (exercise_year, court), court || '-' || (asset_id // 10000) AS court, (2000 + exercise_year % 30)::INT AS exercise_year, row_number() OVER (PARTITION BY court, asset_id // 10000 ORDER BY asset_id) AS place, ['superpreference', 'elderly', 'illness', NULL][asset_id % 4 + 1] AS preference FROM assets)"
 
 
 @query(_LISTED + " SELECT court, place AS queue_position, cnj_number, debtor_name || '; Ltda' AS debtor_name, total AS value, exercise_year AS year, nature, preference FROM listed")
@@ -40,7 +40,7 @@ def delimited_list(spark: SparkSession, d: str) -> DataFrame:
     return tribunals.delimited_records(text, "court", "text").drop("n")
 
 
-@query("SELECT court, count(*) AS rows FROM assets GROUP BY court")
+@query(_LISTED + " SELECT court, count(*) AS rows FROM listed GROUP BY court")
 def delimited_row_counts(spark: SparkSession, d: str) -> DataFrame:
     text = _file(_listed(spark, d), "court", "place", F.concat_ws(",", "place", "cnj_number"), "Ordem,Processo\n\n", "\n \n")
     return files.data_rows(files.lines(text, "court", "text"), "court")
