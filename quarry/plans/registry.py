@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import files, golden, histories, pages, publications, reports, tables, texts  # noqa: F401  they register their queries
+from quarry.plans import files, golden, histories, lists, pages, publications, reports, tables, texts  # noqa: F401  they register their queries
 from quarry.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
