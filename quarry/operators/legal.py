@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import blank_to_null, col, fold, search_text
+from quarry.functions.text import fold, search_text
 
 # Per signal its polarity, confidence, movement code, and patterns over folded lower-case text.
 SIGNALS = (
@@ -144,19 +144,24 @@ def interpret(df: DataFrame, text: str, court: Column | None = None, communicati
     return out.withColumns({"labels": labels, "priority": priority, "confidence": confidence, "recommended_action": action, "legal_basis": basis}).drop("_t", "_kind")
 
 
-def deadline_state(now: str) -> Column:
-    """open, due or overdue of a row with due_on; missing without one."""
-    today = F.lit(now).cast("date")
-    return F.when(F.col("due_on").isNull(), F.lit("missing")).when(F.col("due_on") < today, F.lit("overdue")).when(F.col("due_on") == today, F.lit("due")).otherwise(F.lit("open"))
+def classify_movements(movements: DataFrame, complements: DataFrame) -> DataFrame:
+    """(process_id, movement_id, asset_id, code, polarity, confidence, matched_by, idempotency_key, evidence) of the signals in movements.
 
+    movements: process_id, movement_id, asset_id, code, name, raw (JSON), at. complements: movement_id, position, code,
+    value, name, description. The text of a movement is its name, its raw data and what its complements say; code
+    12457 is a signal whatever the text. A signal of a movement is one row, however often it is classified.
+    """
+    said = F.concat_ws(" ", "name", "description", F.col("code").cast("string"), F.col("value").cast("string"))
+    per = complements.groupBy("movement_id").agg(F.array_sort(F.collect_list(F.struct("position", said.alias("text"), "code", "value", "name", "description"))).alias("complements"))
+    rows = movements.join(per, "movement_id", "left")
+    texts = F.transform(F.coalesce("complements", F.array().cast(per.schema["complements"].dataType)), lambda c: c["text"])
+    rows = rows.withColumn("_text", F.concat_ws(" ", "name", F.coalesce("raw", F.lit("")), F.array_join(texts, " ")))
+    found = rows.select("process_id", "movement_id", "asset_id", "code", "name", "at", "complements", F.explode(signals("_text", F.col("code"))).alias("s"))
+    key = F.sha2(F.to_json(F.struct(F.lit("datajud").alias("source"), F.col("process_id").alias("processId"), F.col("movement_id").alias("movementId"), F.col("s.code").alias("signalCode"))), 256)
+    evidence = F.struct(F.col("code").alias("movement_code"), F.col("name").alias("movement_name"), "at", "complements")
+    return found.select("process_id", "movement_id", "asset_id", "s.code", "s.polarity", "s.confidence", "s.matched_by", key.alias("idempotency_key"), evidence.alias("evidence")).dropDuplicates(["idempotency_key"])
 
-def agenda(publications: DataFrame, now: str) -> DataFrame:
-    """One row per dated item (deadline, hearing, judgment) not dismissed; past ones only if the act is fatal."""
-    item = lambda kind, day: F.struct(F.lit(kind).alias("kind"), F.col(day).alias("day"))
-    items = F.filter(F.array(item("deadline", "due_on"), item("hearing", "hearing_on"), item("judgment", "judgment_on")), lambda x: x["day"].isNotNull())
-    out = publications.where(~F.coalesce("dismissed", F.lit(False)) if "dismissed" in publications.columns else F.lit(True)).withColumn("_item", F.explode(items))
-    return out.select("*", "_item.kind", "_item.day").drop("_item").where((F.col("day") >= F.lit(now).cast("date")) | F.col("act_type").isin(*FATAL))
 
-
-def movement_text(name: Column | str, raw: Column | str, complements: Column) -> Column:
-    return F.concat_ws(" ", blank_to_null(name), col(raw), F.array_join(complements, " "))
+def movement_events(found: DataFrame) -> DataFrame:
+    """Events of assets from signals of classify_movements: (asset_id, event_type, at, idempotency_key); processes without an asset give none."""
+    return found.where("asset_id is not null").select("asset_id", F.col("code").alias("event_type"), F.col("evidence.at").alias("at"), F.concat(F.lit("datajud-signal:"), "idempotency_key").alias("idempotency_key"))

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.legal import classify
+from quarry.functions.dates import deadline_results
+from quarry.functions.text import process_number
+from quarry.operators.legal import classify, interpret
 
 
 def intake(processes: DataFrame, items: DataFrame, key: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -22,6 +24,41 @@ def intake(processes: DataFrame, items: DataFrame, key: str, columns: Sequence[s
     return merged, once
 
 
+def linked(items: DataFrame, processes: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, processes): items with cnj_number, process_key and asset_id, and the processes after them.
+
+    items: tenant_id, process_number, court. processes: tenant_id, cnj_number, asset_id, court. assets: tenant_id,
+    cnj_number, asset_id. A valid number links to the process of its tenant, which gets the court it lacks; without
+    one a process is made, of the asset with that number (the smallest id), if there is one. A known process keeps
+    its asset, also if it has none. Other numbers link to nothing.
+    """
+    keys = ["tenant_id", "cnj_number"]
+    rows = items.drop("cnj_number", "asset_id").withColumn("cnj_number", process_number("process_number"))
+    named = rows.where("cnj_number is not null").groupBy(*keys).agg(F.min("court").alias("_court"))
+    owners = assets.where("cnj_number is not null").groupBy(*keys).agg(F.min("asset_id").alias("_owner"))
+    both = processes.select(*keys, "asset_id", "court", F.lit(True).alias("_known")).join(named, keys, "full").join(owners, keys, "left")
+    after = both.select(*keys, F.when(F.col("_known"), F.col("asset_id")).otherwise(F.col("_owner")).alias("asset_id"), F.coalesce("court", "_court").alias("court"), F.col("_known").isNull().alias("is_new"))
+    return rows.join(after.select(*keys, "asset_id"), keys, "left"), after
+
+
+def flow(items: DataFrame, known: DataFrame, processes: DataFrame, assets: DataFrame, days: DataFrame, now: str) -> dict[str, DataFrame]:
+    """What items of an API make: publications (linked, interpreted, with deadline and whether they are new), processes, events.
+
+    items: tenant_id, djen_id, process_number, court, communication, judicial_class, text, available_on, published_on,
+    calendar_verified. known: tenant_id, djen_id. An item of a djen_id that is known replaces it; of repeated items the
+    last text holds. Events: `ingested` of a publication that is new, and the signals of its text for its asset.
+    """
+    keys = ["tenant_id", "djen_id"]
+    once = items.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in items.columns if c not in keys)), "text").alias("_i")).select(*keys, "_i.*")
+    rows, after = linked(once, processes, assets)
+    rows = rows.join(known.select(*keys).distinct().withColumn("_old", F.lit(True)), keys, "left").withColumn("is_new", F.col("_old").isNull()).drop("_old")
+    read = interpret(rows, "text", F.col("court"), F.col("communication"), F.col("judicial_class"))
+    read = deadline_results(read.withColumn("manual_due_on", F.lit(None).cast("date")), days, now)
+    ingested = read.where("is_new").select(*keys, "asset_id", F.lit("ingested").alias("event_type"))
+    signals = classify(read.where("asset_id is not null"), "text", [*keys, "asset_id"]).select(*keys, "asset_id", F.col("code").alias("event_type"))
+    return {"publications": read, "processes": after, "events": ingested.unionAll(signals.distinct())}
+
+
 def newest(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
     """A classification scan: the newest rows, up to a limit."""
     return df.orderBy(*order).limit(limit)

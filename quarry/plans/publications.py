@@ -164,3 +164,56 @@ def intake_of_items(spark: SparkSession, d: str) -> DataFrame:
     processes, rows = publications.intake(known, found, "asset_id", ["class_name"])
     per = rows.groupBy("asset_id").agg(F.count("*").alias("publications"))
     return processes.join(per, "asset_id", "left").select("asset_id", "class_name", F.coalesce("publications", F.lit(0)).alias("publications"))
+
+
+# Every publication as an item of an API: numbers of assets, some of them no numbers; a fourth is known; some come twice.
+_ITEMS = """, item AS (
+  SELECT said.*, said.publication_id AS djen_id, a.tenant_id, a.cnj_number, a.asset_id AS owner, CASE WHEN said.asset_id % 3 = 0 THEN NULL ELSE a.cnj_number END AS number FROM said LEFT JOIN (SELECT asset_id, tenant_id, cnj_number FROM assets) a USING (asset_id)),
+p2 AS (SELECT publication_id, (SELECT min(day) FROM (SELECT range::DATE AS day FROM range(DATE '2024-01-01', DATE '2024-03-01', INTERVAL 1 DAY)) w WHERE w.day > said.published_on AND isodow(w.day) < 6 AND w.day NOT IN (DATE '2024-02-12', DATE '2024-02-13')) AS start, deadline_days AS k, deadline_kind AS kind FROM said)"""
+
+
+def _flow(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    k = F.col("asset_id")
+    found = b.publications(spark, d).withColumnRenamed("published_on", "available_on")
+    assets = b.assets(spark, d).select("asset_id", "tenant_id", "cnj_number")
+    items = found.join(assets, "asset_id", "left").select("tenant_id", F.col("publication_id").alias("djen_id"), F.when(k % 3 > 0, F.col("cnj_number")).otherwise(F.lit("123")).alias("process_number"), "court", "communication", "judicial_class", "text", "available_on", F.lit(None).cast("date").alias("published_on"), F.lit(True).alias("calendar_verified"))
+    items = items.unionAll(items.where("djen_id % 10 = 0"))
+    known = items.where("djen_id % 4 = 0").select("tenant_id", "djen_id")
+    processes = assets.where("asset_id % 2 = 0").select("tenant_id", "cnj_number", F.when(k % 4 > 0, k).alias("asset_id"), F.when(k % 8 > 0, F.lit("known")).alias("court"))
+    return publications.flow(items, known, processes, assets, dates.calendar(spark, "2023-12-01", "2025-05-31"), "2024-02-12")
+
+
+@query(_INTERPRETED + _ITEMS + _CALENDAR + """SELECT djen_id, i.tenant_id, CASE WHEN number IS NULL OR (owner % 2 = 0 AND owner % 4 = 0) THEN NULL ELSE owner END AS asset_id, djen_id % 4 > 0 OR i.tenant_id IS NULL AS is_new, branch, act_type, priority, due_on, coalesce(due_on < DATE '2024-02-12', false) AS overdue
+FROM item i LEFT JOIN due USING (publication_id)""")
+def publication_flow(spark: SparkSession, d: str) -> DataFrame:
+    """Items linked to processes and assets, interpreted, with their deadlines."""
+    return _flow(spark, d)["publications"].select("djen_id", "tenant_id", "asset_id", "is_new", "branch", "act_type", "priority", "due_on", "overdue")
+
+
+@query(_INTERPRETED + _ITEMS + f""", rule(code, confidence, pattern) AS (VALUES {_CODES}) """ + """
+SELECT 'process' AS kind, CASE WHEN asset_id % 2 = 0 THEN 'known' ELSE 'new' END AS name, count(*) AS n FROM (SELECT DISTINCT owner AS asset_id FROM item WHERE number IS NOT NULL UNION SELECT asset_id FROM assets WHERE asset_id % 2 = 0) GROUP BY ALL
+UNION ALL SELECT 'event', 'ingested', count(*) FROM item WHERE djen_id % 4 > 0 OR tenant_id IS NULL
+UNION ALL SELECT 'event', code, count(*) FROM item i JOIN p ON p.publication_id = i.publication_id JOIN rule ON regexp_matches(p.t, pattern) WHERE number IS NOT NULL AND NOT (owner % 2 = 0 AND owner % 4 = 0) GROUP BY code""")
+def publication_flow_events(spark: SparkSession, d: str) -> DataFrame:
+    """Processes after the flow, and the events that it makes."""
+    out = _flow(spark, d)
+    count = lambda df, kind, name: df.groupBy(name.alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+    return count(out["processes"], "process", F.when(F.col("is_new"), F.lit("new")).otherwise(F.lit("known"))).unionAll(count(out["events"], "event", F.col("event_type")))
+
+
+@query(f""", m AS (
+  SELECT event_id AS movement_id, user_id AS process_id, CASE WHEN user_id % 4 > 0 THEN user_id END AS asset_id, CASE WHEN event_id % 6 = 0 THEN 12457 ELSE event_id % 50 END AS code, ['Certidão de trânsito em julgado', 'Expedição de alvará', 'Alvará expedido', NULL][event_id % 4 + 1] AS name,
+    CASE WHEN event_id % 5 = 0 THEN 'suspensão' ELSE '' END || ' ' || CASE WHEN event_id % 7 = 0 THEN 'penhora no rosto' ELSE '' END AS more FROM events),
+rule(code, confidence, pattern) AS (VALUES {_CODES}),
+f AS (SELECT DISTINCT movement_id, process_id, asset_id, r.code FROM m JOIN rule r ON regexp_matches(lower(strip_accents(coalesce(name, '') || ' ' || more)), r.pattern) OR (r.code = 'requisition_issued' AND m.code = 12457))
+SELECT code, count(*) AS signals, count(DISTINCT process_id) AS processes, count(asset_id) AS events FROM f GROUP BY code""")
+def movement_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Signals of movements: in the name, in the raw data, in a complement's description, or by the code."""
+    e = b.read(spark, d, "events")
+    k, name = F.col("event_id"), F.get(F.array(*map(F.lit, ("Certidão de trânsito em julgado", "Expedição de alvará", "Alvará expedido", None))), F.pmod("event_id", F.lit(4)).cast("int"))
+    raw = F.when(k % 5 == 0, F.to_json(F.struct(F.lit("suspensão").alias("nota"))))
+    moves = e.select(F.col("user_id").alias("process_id"), k.alias("movement_id"), F.when(F.col("user_id") % 4 > 0, F.col("user_id")).alias("asset_id"), F.when(k % 6 == 0, 12457).otherwise(k % 50).cast("int").alias("code"), name.alias("name"), raw.alias("raw"), F.col("ts").alias("at"))
+    extra = e.where(k % 7 == 0).select(k.alias("movement_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("position")).select("movement_id", "position", F.lit(3).alias("code"), F.lit("v").alias("value"), F.lit("complemento").alias("name"), F.when(F.col("position") == 2, F.lit("Penhora no rosto")).alias("description"))
+    found = legal.classify_movements(moves.unionAll(moves.where(k % 9 == 0)), extra)
+    events = legal.movement_events(found).groupBy(F.col("event_type").alias("code")).agg(F.count("*").alias("events"))
+    return found.groupBy("code").agg(F.count("*").alias("signals"), F.countDistinct("process_id").alias("processes")).join(events, "code", "left").select("code", "signals", "processes", F.coalesce("events", F.lit(0)).alias("events"))
