@@ -231,3 +231,31 @@ def list_signals(spark: SparkSession, d: str) -> DataFrame:
     kinds = ("chronological_list", "direct_agreement", "preferential_lot", "paid_or_payment_process", "change_notice", None)
     rows = _listed(spark, d).withColumns({"queue_position": F.when(F.col("asset_id") % 6 < 4, F.col("place")), "source_kind": F.get(F.array(*map(F.lit, kinds)), F.pmod(F.floor(F.col("asset_id") / 8), F.lit(6)).cast("int"))})
     return rows.select("asset_id", F.array_join(tribunals.operational_signals(), ",").alias("signals"))
+
+
+@query(_LISTED + """, s AS (SELECT *, row_number() OVER (PARTITION BY court ORDER BY place) AS k FROM listed WHERE asset_id % 9 > 0)
+SELECT court, CASE WHEN asset_id % 4 = 0 THEN k ELSE 1000 + place END::INT AS queue_position, exercise_year AS year, cnj_number, total AS value, CASE asset_id % 3 WHEN 0 THEN 'superpreferential' WHEN 2 THEN 'alimentar_balance' END AS preference, CASE WHEN asset_id % 3 = 1 THEN 'comum' ELSE 'alimentar' END AS nature FROM s""")
+def numbered_budget_list(spark: SparkSession, d: str) -> DataFrame:
+    """Below a preamble; rows without a number go, rows without a position count what stays."""
+    k = F.col("asset_id")
+    number = F.when(k % 9 > 0, F.col("cnj_number")).otherwise(F.lit(" "))
+    basis = F.when(k % 3 == 0, F.lit("Art. 102, § 2º, inciso II")).when(k % 3 == 1, F.lit("Créditos não alimentares")).otherwise(F.lit("inciso IV"))
+    line = F.concat_ws(";", F.when(k % 4 > 0, (F.lit(1000) + F.col("place")).cast("string")).otherwise(F.lit("")), F.col("exercise_year").cast("string"), number, basis, F.concat(F.lit("R$ "), _brl("total")))
+    text = _file(_listed(spark, d), "court", "place", line, "Tribunal\n\nRelação de precatórios\nNº de Ordem Cronológica;Proposta;Número do Precatório;Base legal para enquadramento na ordem cronológica;Parcela devida\n\n")
+    return tribunals.budget_list(text, "court", "text").select("court", "queue_position", "year", "cnj_number", "value", "preference", "nature")
+
+
+@query(_LISTED + """, s AS (SELECT *, asset_id % 6 AS k FROM listed)
+SELECT court, asset_id, CASE WHEN k < 2 THEN cnj_number END AS cnj_number, CASE k WHEN 0 THEN cnj_number WHEN 1 THEN cnj_number WHEN 2 THEN 'R' || asset_id WHEN 3 THEN 'row' ELSE 'Q' || asset_id END AS process, CASE k WHEN 2 THEN 'R' || asset_id END AS requisition, CASE WHEN k <> 4 THEN total END AS value,
+  CASE WHEN k = 1 THEN NULL ELSE place END::INT AS queue_position, CASE WHEN k IN (0, 2) THEN exercise_year WHEN k = 3 THEN 2024 WHEN k = 1 AND substr(cnj_number, 12, 4) >= '2000' THEN substr(cnj_number, 12, 4)::INT ELSE 2031 END::INT AS year, debtor_name, CASE WHEN k = 3 THEN DATE '2024-05-06' END AS filed_on FROM s WHERE k <> 5""")
+def requisition_list(spark: SparkSession, d: str) -> DataFrame:
+    """A year is in its column, else anywhere in the row, else the file's. Names of columns in turn: a process, a number in any cell, a requisition, only an amount, only a precatório; rows with none of them go."""
+    k, s = F.col("asset_id") % 6, F.col("asset_id").cast("string")
+    only = lambda test, value: F.when(test, value)
+    row = F.create_map(
+        F.lit("processo"), only(k == 0, F.col("cnj_number")), F.lit("observacao"), only(k == 1, F.concat(F.lit("ver "), "cnj_number")), F.lit("requisicao"), only(k == 2, F.concat(F.lit("R"), s)), F.lit("prc"), only(k == 4, F.concat(F.lit("Q"), s)), F.lit("valor"), only((k < 4), _brl("total")),
+        F.lit("ordem"), only(k != 1, F.col("place").cast("string")), F.lit("exercicio"), only(k.isin(0, 2), F.col("exercise_year").cast("string")), F.lit("devedor"), F.col("debtor_name"), F.lit("autuacao"), only(k == 3, F.lit("06/05/2024")),
+    )
+    rows = _listed(spark, d).select("court", "asset_id", row.alias("row"))
+    out = tribunals.requisitions(rows, ["court", "asset_id"], fallback_year=F.lit(2031))
+    return out.withColumn("process", F.when(F.col("process").startswith("row:") & (F.length("process") == 68), F.lit("row")).otherwise(F.col("process"))).select("court", "asset_id", "cnj_number", "process", "requisition", "value", "queue_position", "year", "debtor_name", "filed_on")

@@ -116,6 +116,15 @@ def delimited(df: DataFrame, key: str, is_header: Column | None = None) -> DataF
     return out.select(key, "n", named.alias("row"))
 
 
+def kept_index(df: DataFrame, key: str, out: str, chunk: int = 100_000) -> DataFrame:
+    """Rows (key, n) with their number from 1 among the rows of a file: counted by chunks of lines, so that a large file is many tasks'."""
+    rows = df.withColumn("_c", F.floor(F.col("n") / chunk))
+    sizes = rows.groupBy(key, "_c").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(sizes.select(key, "_c", before.alias("_before")), [key, "_c"])
+    return rows.withColumn(out, (F.col("_before") + F.row_number().over(Window.partitionBy(key, "_c").orderBy("n"))).cast("int")).drop("_c", "_before")
+
+
 def data_rows(df: DataFrame, key: str) -> DataFrame:
     """Rows of each delimited file without its header and blank lines."""
     return df.groupBy(key).agg(F.greatest(F.count_if(F.trim("line") != "") - 1, F.lit(0)).alias("rows"))

@@ -16,6 +16,8 @@ from quarry.functions.text import (
     find_money,
     find_process_number,
     find_year,
+    fold,
+    header_key,
     money_cell,
     nature,
     padded_process_number,
@@ -26,7 +28,7 @@ from quarry.functions.text import (
     short_process_number,
     whole_number,
 )
-from quarry.sources.files import blocks, carried, cells, delimited, html_rows, lines, previous
+from quarry.sources.files import blocks, carried, cells, delimited, html_rows, kept_index, lines, previous
 
 RECORD = ("cnj_number", "debtor_name", "value", "year", "queue_position", "nature", "preference")
 # Column names under which each field comes.
@@ -41,6 +43,15 @@ ALIASES = {
 }
 
 
+# Names of the columns of requisition lists, in the order in which they are tried.
+REQUISITION = {
+    "process": ("processo", "numero_do_processo", "numero_processo", "numero_do_precatorio", "precatorio", "prc", "num_req", "numero_da_requisicao", "requisicao"), "requisition": ("num_req", "numero_requisicao", "numero_da_requisicao", "requisicao"),
+    "value": ("valor_atualizado", "valor_requisitado", "valor_do_precatorio", "valor", "valor_principal", "parcela_devida"), "order": ("n_ordem", "ordem", "ordem_cronologica", "numero_ordem", "n_de_ordem_cronologica"),
+    "year": ("proposta", "exercicio", "ano_proposta", "ano_orcamento", "ano"), "origin": ("processo_originario", "processo_de_origem", "proc_orig_execucao", "origem"), "debtor": ("entidade_devedora", "ente_devedor", "devedor", "orgao_devedor", "unidade_orcamentaria"),
+    "nature": ("natureza_do_credito", "natureza_credito", "natureza", "tipo"), "filed": ("data_de_apresentacao", "data_apresentacao", "data_de_autuacao", "autuado_em", "autuacao"),
+}
+
+
 def pick(row: Column | str, field: str) -> Column:
     """The first filled cell among a field's names."""
     source = F.col(row) if isinstance(row, str) else row
@@ -94,6 +105,42 @@ def chronological_csv(df: DataFrame, key: str, text: str | None) -> DataFrame:
     )
 
 
+def budget_list(df: DataFrame, key: str, text: str | None) -> DataFrame:
+    """Lists below a preamble whose header names the number of the precatório; rows without one go.
+
+    A row without a position has its number among the rows that stay.
+    """
+    is_header = F.array_contains(F.transform(F.split("line", ";"), header_key), "numero_do_precatorio")
+    r = F.col("row")
+    number = F.nullif(F.trim(r["numero_do_precatorio"]), F.lit(""))
+    basis = F.nullif(F.trim(r["base_legal_para_enquadramento_na_ordem_cronologica"]), F.lit(""))
+    # What clauses of the legal basis say.
+    said = F.upper(fold(F.coalesce(basis, F.lit(""))))
+    wish = F.when(said.contains("INCISO II"), F.lit("superpreferential")).when(said.contains("INCISO III"), F.lit("alimentar_preferential")).when(said.contains("INCISO IV"), F.lit("alimentar_balance")).when(said.contains("INCISO V"), F.lit("common"))
+    kind = F.when(said.contains("NAO ALIMENTARES") | said.contains("INCISO V"), F.lit("comum")).otherwise(F.lit("alimentar"))
+    rows = kept_index(delimited(lines(df, key, text), key, is_header).where(number.isNotNull()), key, "_at")
+    return rows.select(
+        key, "n", F.coalesce(whole_number(r["n_de_ordem_cronologica"]).cast("int"), F.col("_at")).alias("queue_position"), whole_number(r["proposta"]).cast("int").alias("year"), number.alias("process_number"), process_number(number).alias("cnj_number"),
+        brazilian_money(r["parcela_devida"]).alias("value"), brazilian_money(r["valor_pago"]).alias("paid_value"), wish.alias("preference"), kind.alias("nature"),
+    )
+
+
+def requisitions(df: DataFrame, keys: list[str], row: str = "row", fallback_year: Column | None = None) -> DataFrame:
+    """Rows of requisition lists by the names of REQUISITION. Only rows without any of process number, value, process and requisition go.
+
+    process: the process, else its number, else the requisition, else `row:` and the hash of the row.
+    """
+    cell = lambda name: F.coalesce(*(F.nullif(F.trim(F.col(row)[c]), F.lit("")) for c in REQUISITION[name]))
+    cnj = F.coalesce(process_number(cell("process")), find_process_number(flat(row)))
+    out = df.select(
+        *keys, cnj.alias("cnj_number"), cell("process").alias("_process"), cell("requisition").alias("requisition"), money_cell(cell("value")).alias("value"), whole_number(cell("order")).cast("int").alias("queue_position"),
+        F.coalesce(whole_number(cell("year")).cast("int"), find_year(flat(row)), fallback_year if fallback_year is not None else F.lit(None).cast("int")).alias("year"), cell("origin").alias("origin"), collapse(cell("debtor")).alias("debtor_name"), nature(cell("nature")).alias("nature"),
+        day_or_null(cell("filed")).alias("filed_on"), F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(row)))), 256).alias("_row"),
+    )
+    out = out.where(F.col("cnj_number").isNotNull() | (F.coalesce("value", F.lit(0)) != 0) | F.col("_process").isNotNull() | F.col("requisition").isNotNull())
+    return out.withColumn("process", F.coalesce("_process", "cnj_number", "requisition", F.concat(F.lit("row:"), "_row"))).drop("_process", "_row")
+
+
 def positional_budget(df: DataFrame, key: str, text: str | None, amounts: int = 11, percents: int = 3) -> DataFrame:
     """Budget tables by position: a five-digit code, a name that is not a total, amounts, then percentages."""
     rows = lines(df, key, text).withColumn("c", cells("line", ";")).where(F.get("c", F.lit(0)).rlike(r"^\d{5}$") & (F.lower(F.get("c", F.lit(1))) != "total"))
