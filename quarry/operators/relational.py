@@ -64,10 +64,11 @@ def link_by_arity(left: DataFrame, right: DataFrame, key: str, right_id: str) ->
 
 
 def match_either(left: DataFrame, right: DataFrame, first: str, second: str, left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id, matched_by): rows that agree in first or else in second; two equi-joins, no OR in a join."""
-    one = left.select(left_id, first).join(right.select(right_id, first), first).select(left_id, right_id, F.lit(0).alias("_p"), F.lit(first).alias("matched_by"))
-    two = left.select(left_id, second).join(right.select(right_id, second), second).select(left_id, right_id, F.lit(1).alias("_p"), F.lit(second).alias("matched_by"))
-    return top_by(one.unionByName(two), [left_id], [F.asc("_p"), F.asc(right_id)]).drop("_p")
+    """(left_id, right_id, matched_by): the first right_id that agrees in first, else in second. The right side is one row for each value, so no value makes pairs."""
+    least = lambda key, name: right.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(right_id).alias(name))
+    rows = left.select(left_id, first, second).join(least(first, "_one"), first, "left").join(least(second, "_two"), second, "left")
+    rows = rows.select(left_id, F.coalesce("_one", "_two").alias(right_id), F.when(F.col("_one").isNotNull(), F.lit(first)).otherwise(F.lit(second)).alias("matched_by")).where(F.col(right_id).isNotNull())
+    return rows.groupBy(left_id).agg(F.min_by(F.struct(right_id, "matched_by"), F.struct(F.col("matched_by") != first, right_id)).alias("_m")).select(left_id, "_m.*")
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 25) -> DataFrame:

@@ -89,11 +89,11 @@ def budget_table(spark: SparkSession, d: str) -> DataFrame:
     return tribunals.positional_budget(text, "court", "text").select("court", "code", "name", "amount_1", "amount_2", "amount_11", "percent_1")
 
 
-@query(_LISTED + " SELECT court, place AS queue_position, cnj_number, 'MUNICIPIO DE ' || upper(court) AS debtor_name, total AS value, nature, preference FROM listed WHERE nature <> 'unknown'")
+@query(_LISTED + " SELECT court, place AS queue_position, cnj_number, 'MUNICIPIO DE ' || upper(court) AS debtor_name, total AS value, nature, preference FROM listed")
 def report_list(spark: SparkSession, d: str) -> DataFrame:
     """Records of several lines under a debtor named once."""
     line = F.concat(F.col("place").cast("string"), F.lit(" "), "cnj_number", F.lit(" PRC\n  natureza "), "nature_text", F.lit("\n  valor "), _brl("total"), F.lit("\n  "), "wish")
-    text = _file(_listed(spark, d).where("nature <> 'unknown'"), "court", "place", line)
+    text = _file(_listed(spark, d), "court", "place", line)
     text = text.withColumn("text", F.concat(F.lit("Relatório\nEntidade devedora: MUNICIPIO DE "), F.upper("court"), F.lit("\n"), "text"))
     return tribunals.report_blocks(text, "court", "text").select("court", "queue_position", "cnj_number", "debtor_name", "value", "nature", "preference")
 
@@ -122,10 +122,10 @@ def annual_debt_map(spark: SparkSession, d: str) -> DataFrame:
     return found.where("debtor_name <> 'TOTAL'").select("court", "year", "debtor_name", "special", "debt_before", F.col("open_stock").cast("decimal(18,2)").alias("open_stock"))
 
 
-@query(_LISTED + " SELECT court, place AS queue_position, cnj_number, created_at + INTERVAL 13 HOUR + INTERVAL 30 MINUTE AS presented_at, nature, total AS value, debtor_name FROM listed WHERE nature <> 'unknown'")
+@query(_LISTED + " SELECT court, place AS queue_position, cnj_number, created_at + INTERVAL 13 HOUR + INTERVAL 30 MINUTE AS presented_at, nature, total AS value, debtor_name FROM listed")
 def printed_list(spark: SparkSession, d: str) -> DataFrame:
     """Local times, three hours before UTC (two in the summers of those years)."""
-    rows = _listed(spark, d).where("nature <> 'unknown'").join(b.read(spark, d, "orders").select(F.col("o_orderkey").alias("asset_id"), "o_orderdate"), "asset_id")
+    rows = _listed(spark, d).join(b.read(spark, d, "orders").select(F.col("o_orderkey").alias("asset_id"), "o_orderdate"), "asset_id")
     at = F.from_utc_timestamp(F.col("o_orderdate") + F.expr("interval 13 hours 30 minutes"), "America/Sao_Paulo")
     line = F.concat_ws(" ", "place", "cnj_number", F.date_format(at, "dd/MM/yyyy HH:mm:ss"), F.upper("nature"), _brl("total"), "debtor_name")
     return tribunals.pdf_rows(_file(rows, "court", "place", line, "Lista\n"), "court", "text").select("court", "queue_position", "cnj_number", "presented_at", "nature", "value", "debtor_name")

@@ -111,20 +111,20 @@ def publication_agenda(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-, cases AS (SELECT asset_id, asset_id % 4 > 0 AS active FROM assets WHERE asset_id % 3 = 0), per AS (SELECT asset_id, count(*) AS n, max(published_on) AS latest FROM publications GROUP BY ALL)
+, cases AS (SELECT asset_id, asset_id % 4 > 0 AS active FROM assets), per AS (SELECT asset_id, count(*) AS n, max(published_on) AS latest FROM publications GROUP BY ALL)
 SELECT asset_id, active, coalesce(n, 0) AS publications, latest AS latest_on FROM cases LEFT JOIN per USING (asset_id)""")
 def monitored_cases(spark: SparkSession, d: str) -> DataFrame:
-    cases = b.assets(spark, d).where("asset_id % 3 = 0").select("asset_id", (F.col("asset_id") % 4 > 0).alias("active"))
+    cases = b.assets(spark, d).select("asset_id", (F.col("asset_id") % 4 > 0).alias("active"))
     return publications.monitored(cases, b.publications(spark, d), "asset_id", "published_on").select("asset_id", "active", "publications", "latest_on")
 
 
 @query("""
-, cases AS (SELECT asset_id AS id, asset_id % 4 > 0 AS active FROM assets WHERE asset_id % 3 = 0), lawyers AS (SELECT s_suppkey AS id, s_suppkey % 2 = 0 AS active FROM supplier), per AS (SELECT asset_id AS id, count(*) AS n FROM publications GROUP BY ALL)
+, cases AS (SELECT asset_id AS id, asset_id % 4 > 0 AS active FROM assets), lawyers AS (SELECT s_suppkey AS id, s_suppkey % 2 = 0 AS active FROM supplier), per AS (SELECT asset_id AS id, count(*) AS n FROM publications GROUP BY ALL)
 SELECT (SELECT count(*) FROM cases WHERE active) AS active_cases, (SELECT count(*) FROM lawyers WHERE active) AS active_registrations,
   ((SELECT coalesce(sum(n), 0) FROM cases JOIN per USING (id)) + (SELECT coalesce(sum(n), 0) FROM lawyers JOIN per USING (id)))::BIGINT AS publications""")
 def monitoring_totals(spark: SparkSession, d: str) -> DataFrame:
     found = b.publications(spark, d).withColumnRenamed("asset_id", "id")
-    cases = b.assets(spark, d).where("asset_id % 3 = 0").select(F.col("asset_id").alias("id"), (F.col("asset_id") % 4 > 0).alias("active"))
+    cases = b.assets(spark, d).select(F.col("asset_id").alias("id"), (F.col("asset_id") % 4 > 0).alias("active"))
     lawyers = b.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 2 == 0).alias("active"))
     return publications.monitoring_totals(publications.monitored(cases, found, "id", "published_on"), publications.monitored(lawyers, found, "id", "published_on"))
 
@@ -152,13 +152,13 @@ def _scan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return publications.newest(found, [F.desc("published_on"), F.desc("publication_id")], 5000), processes
 
 
-@query(f"""{_TEXT}, items AS (SELECT user_id AS asset_id, event_id, ts::DATE AS day, text FROM events JOIN p ON publication_id = event_id WHERE event_id % 2 = 0 UNION ALL SELECT user_id, event_id, ts::DATE, text FROM events JOIN p ON publication_id = event_id WHERE event_id % 10 = 0),
+@query(f"""{_TEXT}, items AS (SELECT user_id AS asset_id, event_id, ts::DATE AS day, text FROM events JOIN p ON publication_id = event_id UNION ALL SELECT user_id, event_id, ts::DATE, text FROM events JOIN p ON publication_id = event_id WHERE event_id % 10 = 0),
 known AS (SELECT asset_id, asset_id % 5 = 0 AS filled FROM assets WHERE asset_id % 4 = 0), proc AS (SELECT DISTINCT asset_id FROM items)
 SELECT coalesce(p.asset_id, k.asset_id) AS asset_id, CASE WHEN k.filled THEN 'known class' WHEN p.asset_id IS NOT NULL THEN 'new class' END AS class_name,
   (SELECT count(*) FROM (SELECT DISTINCT day, text FROM items i WHERE i.asset_id = coalesce(p.asset_id, k.asset_id))) AS publications FROM proc p FULL JOIN known k ON k.asset_id = p.asset_id""")
 def intake_of_items(spark: SparkSession, d: str) -> DataFrame:
     """Items of an API, some twice: existing values of a process win; a publication is its text and day."""
-    found = b.publications(spark, d).where("publication_id % 2 = 0").select("asset_id", "publication_id", F.col("published_on").alias("day"), "text")
+    found = b.publications(spark, d).select("asset_id", "publication_id", F.col("published_on").alias("day"), "text")
     found = found.unionAll(found.where("publication_id % 10 = 0")).withColumn("class_name", F.lit("new class"))
     known = b.assets(spark, d).where("asset_id % 4 = 0").select("asset_id", F.when(F.col("asset_id") % 5 == 0, F.lit("known class")).alias("class_name"))
     processes, rows = publications.intake(known, found, "asset_id", ["class_name"])

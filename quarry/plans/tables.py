@@ -103,12 +103,12 @@ def case_registrations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-, l AS (SELECT o_orderkey AS id, o_custkey AS a, (floor(o_totalprice)::INT % 1000)::INT AS z FROM orders), r AS (SELECT c_custkey AS rid, c_custkey AS a, (floor(c_acctbal)::INT % 1000)::INT AS z FROM customer WHERE c_custkey % 4 = 0),
+, l AS (SELECT o_orderkey AS id, o_custkey AS a, (floor(o_totalprice)::INT % 1000)::INT AS z FROM orders), r AS (SELECT c_custkey AS rid, CASE WHEN c_custkey % 4 = 0 THEN c_custkey END AS a, (floor(c_acctbal)::INT % 1000)::INT AS z FROM customer),
 m AS (SELECT id, rid, 0 AS p FROM l JOIN r USING (a) UNION ALL SELECT id, rid, 1 FROM l JOIN r USING (z))
 SELECT id, rid, CASE p WHEN 0 THEN 'a' ELSE 'z' END AS matched_by FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY p, rid) = 1""")
 def matches_by_either_key(spark: SparkSession, d: str) -> DataFrame:
     left = b.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("a"), (F.floor("o_totalprice").cast("int") % 1000).alias("z"))
-    right = b.read(spark, d, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("rid"), F.col("c_custkey").alias("a"), (F.floor("c_acctbal").cast("int") % 1000).alias("z"))
+    right = b.read(spark, d, "customer").select(F.col("c_custkey").alias("rid"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_custkey")).alias("a"), (F.floor("c_acctbal").cast("int") % 1000).alias("z"))
     return relational.match_either(left, right, "a", "z", "id", "rid")
 
 
@@ -148,7 +148,7 @@ def candidate_list(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 , a AS (SELECT asset_id, cnj_number, court_id, (asset_id % 3 = 0) AS none, year(created_at) AS filed, exercise_year AS proposal, ['Desapropriação indireta', 'Aposentadoria especial', 'Outros'][asset_id % 3 + 1] AS cause FROM assets),
-p AS (SELECT asset_id AS pid, cnj_number AS pn, court_id AS pc, exercise_year + asset_id % 2 AS py, [1265, 1266, 7][asset_id % 3 + 1] AS code, ['Precatório', 'RPV', 'Cumprimento de sentença'][asset_id % 3 + 1] AS klass, ['Desapropriação', 'Aposentadoria', 'Salário'][asset_id % 3 + 1] AS subject FROM assets WHERE asset_id % 5 = 0),
+p AS (SELECT asset_id AS pid, cnj_number AS pn, court_id AS pc, exercise_year + asset_id % 2 AS py, [1265, 1266, 7][asset_id % 3 + 1] AS code, ['Precatório', 'RPV', 'Cumprimento de sentença'][asset_id % 3 + 1] AS klass, ['Desapropriação', 'Aposentadoria', 'Salário'][asset_id % 3 + 1] AS subject FROM assets),
 pairs AS (SELECT DISTINCT asset_id, pid FROM a JOIN p ON NOT none AND substr(cnj_number, 1, 7) = substr(pn, 1, 7) UNION SELECT asset_id, pid FROM a JOIN p ON none AND court_id = pc AND filed = py AND code IN (1265, 1266)),
 scored AS (
   SELECT asset_id, pid, least(100, 35 * (NOT none AND substr(cnj_number, 1, 7) = substr(pn, 1, 7))::INT + 20 * (NOT none AND substr(cnj_number, 12, 4) = substr(pn, 12, 4))::INT + 15 * (NOT none AND substr(cnj_number, 17, 4) = substr(pn, 17, 4))::INT + 10 * (proposal::VARCHAR = substr(pn, 12, 4))::INT
@@ -161,7 +161,7 @@ def process_candidates(spark: SparkSession, d: str) -> DataFrame:
     turn = lambda *values: F.get(F.array(*map(F.lit, values)), F.pmod("asset_id", F.lit(len(values))).cast("int"))
     rows = b.assets(spark, d)
     a = rows.select("asset_id", F.when(F.col("asset_id") % 3 > 0, F.col("cnj_number")).alias("cnj_number"), F.col("court_id").alias("court"), F.year("created_at").alias("filed_year"), F.col("exercise_year").alias("proposal_year"), turn("Desapropriação indireta", "Aposentadoria especial", "Outros").alias("cause"))
-    p = rows.where("asset_id % 5 = 0").select(
+    p = rows.select(
         F.col("asset_id").alias("process_id"), F.col("cnj_number").alias("cnj"), F.col("court_id").alias("p_court"), (F.col("exercise_year") + F.col("asset_id") % 2).cast("int").alias("p_year"), turn(1265, 1266, 7).alias("class_code"), turn("Precatório", "RPV", "Cumprimento de sentença").alias("class_name"),
         turn("Desapropriação", "Aposentadoria", "Salário").alias("subject"),
     )

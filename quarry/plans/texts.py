@@ -134,12 +134,12 @@ def hashes(spark: SparkSession, d: str) -> DataFrame:
     return b.debtors(spark, d).select("debtor_id", text.keyed_hash("name", "pepper").alias("keyed"), F.sha2(json.canonical(row, "e string, b struct<d:array<int>,c:string>, a long"), 256).alias("stable"))
 
 
-@query("""SELECT asset_id, created_at::DATE AS iso, created_at::DATE AS slashed, created_at AS digits14, created_at + INTERVAL 3 HOUR AS local_time, date_trunc('month', created_at)::DATE AS short_month, last_day(created_at::DATE) AS month_end, year(created_at)::INT AS year_in_text,
-  (DATE '1999-01-01' - created_at::DATE)::INT AS age, (DATE '1999-01-01' - created_at::DATE) > 1000 AS stale, (asset_id * 1000)::BIGINT AS ms FROM assets WHERE month(created_at) BETWEEN 4 AND 9""")
+@query("""SELECT asset_id, created_at::DATE AS iso, created_at::DATE AS slashed, created_at AS digits14, timezone('UTC', timezone('America/Sao_Paulo', created_at::TIMESTAMP)) AS local_time, date_trunc('month', created_at)::DATE AS short_month, last_day(created_at::DATE) AS month_end, year(created_at)::INT AS year_in_text,
+  (DATE '1999-01-01' - created_at::DATE)::INT AS age, (DATE '1999-01-01' - created_at::DATE) > 1000 AS stale, (asset_id * 1000)::BIGINT AS ms FROM assets""")
 def date_texts(spark: SparkSession, d: str) -> DataFrame:
     at = F.col("created_at")
     month = F.get(F.array(*map(F.lit, dates.MONTHS)), F.month(at) - 1)
-    return b.assets(spark, d).where(F.month(at).between(4, 9)).select(
+    return b.assets(spark, d).select(
         "asset_id", dates.day_or_null(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).alias("iso"), dates.day_or_null(F.date_format(at, "dd/MM/yyyy HH:mm")).alias("slashed"), dates.moment_or_null(F.date_format(at, "yyyyMMddHHmmss")).alias("digits14"),
         dates.local_moment(F.date_format(at, "dd/MM/yyyy HH:mm:ss")).alias("local_time"), dates.short_month(F.concat(month, F.lit("/"), F.year(at).cast("string"))).alias("short_month"), dates.month_end(F.date_format(at, "MM/yyyy")).alias("month_end"),
         dates.year_of(F.concat(F.lit("de "), F.year(at).cast("string"))).alias("year_in_text"), dates.age_days("created_at", F.lit("1999-01-01").cast("timestamp")).alias("age"), dates.is_stale("created_at", F.lit("1999-01-01").cast("timestamp"), 1000).alias("stale"),
@@ -150,11 +150,11 @@ def date_texts(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 , days AS (SELECT range::DATE AS day FROM range(DATE '2024-01-01', DATE '2024-03-05', INTERVAL 1 DAY)), cal AS (SELECT day, isodow(day) < 6 AND day NOT IN (DATE '2024-01-01', DATE '2024-02-12', DATE '2024-02-13') AS working FROM days),
 e AS (SELECT event_id, event_at::DATE AS day, (event_at::DATE + (event_id % 20)::INT - 4)::DATE AS other FROM asset_events)
-SELECT event_id, (SELECT min(c.day) FROM cal c WHERE c.working AND c.day > e.day) AS published_on, (SELECT count(*) FROM cal c WHERE c.working AND c.day > e.day AND c.day <= e.other) AS working_days FROM e WHERE other >= DATE '2024-01-01'""")
+SELECT event_id, (SELECT min(c.day) FROM cal c WHERE c.working AND c.day > e.day) AS published_on, (SELECT count(*) FROM cal c WHERE c.working AND c.day > e.day AND c.day <= e.other) AS working_days FROM e""")
 def working_days(spark: SparkSession, d: str) -> DataFrame:
     """The first working day after a day, and the working days up to another."""
     days = dates.calendar(spark, "2023-12-01", "2024-03-31")
-    rows = b.events(spark, d).select("event_id", F.to_date("event_at").alias("day")).withColumn("other", F.date_add("day", (F.col("event_id") % 20).cast("int") - 4)).where("other >= date'2024-01-01'")
+    rows = b.events(spark, d).select("event_id", F.to_date("event_at").alias("day")).withColumn("other", F.date_add("day", (F.col("event_id") % 20).cast("int") - 4))
     rows = dates.working_days_between(dates.add_working_days(rows, "day", 1, days, "published_on"), "day", "other", days, "working_days")
     return rows.select("event_id", "published_on", "working_days")
 
