@@ -131,17 +131,52 @@ def graded(df: DataFrame, score: str) -> DataFrame:
     return df.withColumns(dict(zip(("grade", "decision", "priority"), values, strict=True)))
 
 
+# Texts of an explanation, by decision, and by what tells a debtor's reliability and the term; weights of the score's parts with the bounds between which they are scaled.
+HEADLINES = {"aggressive_buy": "prioritize commercial action", "buy": "commercially attractive", "watch": "monitor and complete diligence", "avoid": "avoid until risk clears"}
+RELIABILITY = ("Uses historical on-time payment rate for the debtor.", "Uses debtor reliability score when historical payment rate is unavailable.", "Uses conservative default reliability by debtor type.")
+TERMS = {
+    "payment_available": "Payment available signal sets a short expected exit window.", "payment_process_detected": "Payment-process document indicates near-term liquidity.", "superpreference_granted": "Superpreference signal shortens expected queue time.",
+    None: "Falls back to debtor type, payment regime and lifecycle status.",
+}
+DETAILS = {
+    "risk_adjusted_irr": "Primary ranking metric after payment probability is applied.", "offer_rate": "Lower acquisition cost increases expected spread but must remain commercially executable.",
+    "signals": "DJEN, DataJud, tribunal queue and payment documents change payment probability.",
+}
+PARTS = {"risk_adjusted_irr": (0.4, 0.05, 0.6), "payment_probability": (0.25, 0, 1), "term_months": (0.2, 1, 60), "face_value": (0.15, 50_000, 5_000_000)}
+
+
+def _percent(value: Column) -> Column:
+    """A share in percent with at most two decimals."""
+    return F.concat(F.regexp_replace(F.format_string("%.2f", F.round(value * 100, 2)), r"\.?0+$", ""), F.lit("%"))
+
+
 def explanation() -> Column:
-    """The drivers and risks behind a price, as a struct of texts."""
-    drivers = F.array_compact(F.array(
-        F.when(F.col("breakdown.irr") >= 0.2, F.lit("Strong risk-adjusted return")), F.when(F.col("payment_probability") >= 0.7, F.lit("High payment probability")),
-        F.when(F.col("term_months") <= 18, F.lit("Short expected term")), F.when(F.coalesce("positive_signals", F.lit(0)) > 0, F.concat(F.col("positive_signals").cast("string"), F.lit(" positive signals"))),
-    ))
-    risks = F.array_compact(F.array(
-        F.when(F.col("payment_probability") < 0.4, F.lit("Low payment probability")), F.when(F.col("term_months") >= 60, F.lit("Long expected term")),
-        F.when(F.col("payment_regime") == "special", F.lit("Special payment regime")), F.when(F.coalesce("negative_signals", F.lit(0)) > 0, F.concat(F.col("negative_signals").cast("string"), F.lit(" negative signals"))),
-    ))
-    return F.struct(drivers.alias("drivers"), risks.alias("risks"), F.concat_ws("; ", F.concat(F.lit("grade "), "grade"), F.col("decision"), F.array_join(drivers, ", ")).alias("summary"))
+    """Why a priced row has its grade: headline, summary, breakdown (value, normalized, weight and contribution of each part) and factors (key, impact, value, detail)."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    text = lambda c: c.cast("string")
+    headline, term = F.lit(None).cast("string"), F.when(F.col("queue_position") <= 100, F.concat(F.lit("Queue position "), text(F.col("queue_position")), F.lit(" shortens the estimated term."))).otherwise(F.lit(TERMS[None]))
+    for decision, words in HEADLINES.items():
+        headline = F.when(F.col("decision") == decision, F.concat(F.lit("Grade "), "grade", F.lit(f": {words}"))).otherwise(headline)
+    for code in ("superpreference_granted", "payment_process_detected", "payment_available"):
+        term = F.when(has_code(code), F.lit(TERMS[code])).otherwise(term)
+    signals = F.concat(text(n("positive_signals")), F.lit(" {} "), text(n("negative_signals")), F.lit(" negative"))
+    summary = F.concat_ws(
+        ", ", F.concat(F.lit("Score "), "grade", F.lit(" from "), _percent(F.col("risk_adjusted_irr")), F.lit(" risk-adjusted IRR")), F.concat(_percent(F.col("payment_probability")), F.lit(" payment probability")),
+        F.concat(text(F.col("term_months")), F.lit(" month estimated term")), F.concat(F.replace(signals, F.lit("{}"), F.lit("positive and")), F.lit(" signals")),
+    )
+    breakdown = []
+    for name, (weight, low, high) in PARTS.items():
+        part = inverse_scaled(name, low, high) if name == "term_months" else scaled(name, low, high)
+        breakdown.append(F.struct(F.round(F.col(name).cast("double"), 6).alias("value"), F.round(part, 6).alias("normalized"), F.lit(weight).alias("weight"), F.round(part * weight, 6).alias("contribution")).alias(name))
+    reliable = F.when(F.coalesce(F.col("on_time_rate").cast("double"), F.lit(0.0)) != 0, F.lit(RELIABILITY[0])).when(n("reliability") != 0, F.lit(RELIABILITY[1])).otherwise(F.lit(RELIABILITY[2]))
+    good = lambda test: F.when(test, F.lit("positive")).otherwise(F.lit("neutral"))
+    factor = lambda key, impact, value, detail: F.struct(F.lit(key).alias("key"), impact.alias("impact"), value.alias("value"), detail.alias("detail"))
+    factors = F.array(
+        factor("risk_adjusted_irr", good(F.col("risk_adjusted_irr") >= 0.25), text(F.round("risk_adjusted_irr", 6)), F.lit(DETAILS["risk_adjusted_irr"])), factor("payment_probability", good(F.col("payment_probability") >= 0.75), text(F.round("payment_probability", 6)), reliable),
+        factor("estimated_term", F.when(F.col("term_months") <= 18, F.lit("positive")).when(F.col("term_months") >= 60, F.lit("negative")).otherwise(F.lit("neutral")), text(F.col("term_months")), term), factor("offer_rate", good(F.col("offer_rate") <= 0.6), text(F.round("offer_rate", 6)), F.lit(DETAILS["offer_rate"])),
+        factor("signals", F.when(n("negative_signals") > 0, F.lit("negative")).when(n("positive_signals") > 0, F.lit("positive")).otherwise(F.lit("neutral")), F.replace(signals, F.lit("{}"), F.lit("positive /")), F.lit(DETAILS["signals"])),
+    )
+    return F.struct(headline.alias("headline"), summary.alias("summary"), F.struct(*breakdown).alias("breakdown"), factors.alias("factors"))
 
 
 def signal_scores(assets: DataFrame) -> DataFrame:

@@ -93,9 +93,18 @@ def liquidity_checklist(spark: SparkSession, d: str) -> DataFrame:
     return _priced(spark, d).select("asset_id", F.array_join(F.transform(desk.checklist(), lambda x: x["state"]), ",").alias("states"))
 
 
-@query(_STAGED + " SELECT asset_id, (CASE WHEN probability >= 0.7 THEN 1 ELSE 0 END + CASE WHEN term_months <= 18 THEN 1 ELSE 0 END + CASE WHEN positive_signals > 0 THEN 1 ELSE 0 END + CASE WHEN 0.4::DOUBLE * least(greatest((risk_irr - 0.05::DOUBLE) / 0.55::DOUBLE, 0), 1) >= 0.2 THEN 1 ELSE 0 END)::INT AS drivers, (CASE WHEN probability < 0.4 THEN 1 ELSE 0 END + CASE WHEN term_months >= 60 THEN 1 ELSE 0 END + CASE WHEN payment_regime = 'special' THEN 1 ELSE 0 END + CASE WHEN negative_signals > 0 THEN 1 ELSE 0 END)::INT AS risks FROM staged")
+@query(_STAGED + r""" SELECT asset_id, 'Grade ' || grade || ': ' || CASE grade WHEN 'A+' THEN 'prioritize commercial action' WHEN 'A' THEN 'commercially attractive' WHEN 'B+' THEN 'commercially attractive' WHEN 'D' THEN 'avoid until risk clears' ELSE 'monitor and complete diligence' END AS headline,
+  'Score ' || grade || ' from ' || regexp_replace(printf('%.2f', round(risk_irr * 100, 2)), '\.?0+$', '') || '% risk-adjusted IRR, ' || regexp_replace(printf('%.2f', round(probability * 100, 2)), '\.?0+$', '') || '% payment probability, ' || term_months || ' month estimated term, ' || positive_signals || ' positive and ' || negative_signals || ' negative signals' AS summary,
+  concat_ws(',', CASE WHEN risk_irr >= 0.25 THEN 'positive' ELSE 'neutral' END, CASE WHEN probability >= 0.75 THEN 'positive' ELSE 'neutral' END, CASE WHEN term_months <= 18 THEN 'positive' WHEN term_months >= 60 THEN 'negative' ELSE 'neutral' END, CASE WHEN offer_rate <= 0.6 THEN 'positive' ELSE 'neutral' END, CASE WHEN negative_signals > 0 THEN 'negative' WHEN positive_signals > 0 THEN 'positive' ELSE 'neutral' END) AS impacts,
+  positive_signals || ' positive / ' || negative_signals || ' negative' AS signals, CASE WHEN reliability > 0 THEN 'Uses debtor reliability score when historical payment rate is unavailable.' ELSE 'Uses conservative default reliability by debtor type.' END AS reliability,
+  CASE WHEN list_contains(codes, 'payment_available') THEN 'Payment available signal sets a short expected exit window.' WHEN list_contains(codes, 'payment_process_detected') THEN 'Payment-process document indicates near-term liquidity.' WHEN list_contains(codes, 'superpreference_granted') THEN 'Superpreference signal shortens expected queue time.'
+    WHEN queue_position <= 100 THEN 'Queue position ' || queue_position || ' shortens the estimated term.' ELSE 'Falls back to debtor type, payment regime and lifecycle status.' END AS term,
+  round(0.4::DOUBLE * least(greatest((risk_irr - 0.05::DOUBLE) / 0.55::DOUBLE, 0), 1), 6) AS irr_part, round(0.25::DOUBLE * probability, 6) AS probability_part, round(0.2::DOUBLE * (1 - least(greatest((term_months - 1) / 59.0::DOUBLE, 0), 1)), 6) AS term_part, round(0.15::DOUBLE * least(greatest((face_value - 50000) / 4950000.0::DOUBLE, 0), 1), 6) AS face_part FROM staged""")
 def price_explanations(spark: SparkSession, d: str) -> DataFrame:
-    return _priced(spark, d).withColumn("e", pricing.explanation()).select("asset_id", F.size("e.drivers").alias("drivers"), F.size("e.risks").alias("risks"))
+    """Headline, summary, impacts, details that depend on the row, and what each part adds to the score."""
+    rows = _priced(spark, d).withColumn("e", pricing.explanation())
+    parts = zip(("irr_part", "probability_part", "term_part", "face_part"), pricing.PARTS, strict=True)
+    return rows.select("asset_id", "e.headline", "e.summary", F.array_join(F.transform("e.factors", lambda f: f["impact"]), ",").alias("impacts"), F.col("e.factors")[4]["value"].alias("signals"), F.col("e.factors")[1]["detail"].alias("reliability"), F.col("e.factors")[2]["detail"].alias("term"), *(F.col(f"e.breakdown.{part}.contribution").alias(name) for name, part in parts))
 
 
 _TIMELINE = """, t AS (
