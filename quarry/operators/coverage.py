@@ -65,6 +65,29 @@ def primary_targets(targets: DataFrame, key: str, status: str, order: list[str])
     return top_by(targets, [key], [layer_rank(status).desc(), *(F.asc(c) for c in order)])
 
 
+def layers(targets: DataFrame, key: str, counts: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """Per key its strongest target, as a layer: status, evidence_score and the counts behind them.
+
+    targets: key, name, status, adapter, url, last_success_at, discovered, records, priority_order, dataset. A target
+    ranks by its own status, then adapter, address and counts in points; of equal ones the first by priority_order and
+    name. counts: dataset, records of the tenant, which count for the layer's status and score, not for the rank.
+    """
+    from quarry.operators.relational import top_by
+
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    runs = F.col("status").isin("implemented", "generic_supported") & F.col("adapter").isNotNull()
+
+    def state(tenant: Column) -> Column:
+        evidence = F.col("last_success_at").isNotNull() | (n("discovered") > 0) | (n("records") > 0) | (tenant > 0)
+        return F.when(F.col("status") == "blocked_captcha", F.lit("blocked")).when(runs & evidence, F.lit("validated")).when(runs, F.lit("configured")).when(F.col("url").isNotNull(), F.lit("mapped")).otherwise(F.lit("missing"))
+
+    rank = layer_rank(state(F.lit(0))) * 1000 + F.when(F.col("adapter").isNotNull(), 100).otherwise(0) + F.when(F.col("url").isNotNull(), 10).otherwise(0) + n("records") + n("discovered")
+    best = top_by(targets.withColumn("rank", rank), [key], [F.desc("rank"), F.asc("priority_order"), F.asc("name")])
+    out = best.join(counts.select(dataset, F.col("records").alias("tenant_records")), dataset, "left").withColumn("tenant_records", n("tenant_records"))
+    score = F.when(F.col("last_success_at").isNotNull(), 2.0).otherwise(0.0) + F.least(n("discovered"), F.lit(100)) / 100 + F.least(n("records") + F.col("tenant_records"), F.lit(100)) / 50
+    return out.withColumns({"layer_status": state(F.col("tenant_records")), "evidence_score": score})
+
+
 # Gaps of a state's coverage by its primary layer, with severity.
 PRIMARY_GAPS = {"missing": ("primary_source_missing", "high"), "mapped": ("primary_source_mapped_without_adapter", "medium"), "configured": ("primary_source_not_validated", "medium")}
 

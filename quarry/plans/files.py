@@ -259,3 +259,17 @@ def requisition_list(spark: SparkSession, d: str) -> DataFrame:
     rows = _listed(spark, d).select("court", "asset_id", row.alias("row"))
     out = tribunals.requisitions(rows, ["court", "asset_id"], fallback_year=F.lit(2031))
     return out.withColumn("process", F.when(F.col("process").startswith("row:") & (F.length("process") == 68), F.lit("row")).otherwise(F.col("process"))).select("court", "asset_id", "cnj_number", "process", "requisition", "value", "queue_position", "year", "debtor_name", "filed_on")
+
+
+@query("""
+, m AS (SELECT court, debtor_id, name, debtor_id % 2 = 0 AS special, (debtor_id % 90 + 0.5)::DECIMAL(18,2) AS before, (debtor_id % 130)::DECIMAL(18,2) AS paid, 2020 + debtor_id % 4 AS year FROM debtors)
+SELECT court, 'MUNICIPIO DE X' || debtor_id AS debtor_name, 'tjrj_annual_map:' || year AS source, make_date(year::INT, 1, 1) AS period_start, make_date(year::INT, 12, 31) AS period_end, 1 AS sample_size, paid AS paid_volume, (before + 7 + 10)::DECIMAL(18,2) AS open_debt_stock, special AS regime_special,
+  floor(CASE WHEN special THEN 45 ELSE 68 END + 25 * least(paid / (before + 10)::DOUBLE, 1) + 0.5)::INT AS reliability_score FROM m""")
+def payment_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Annual maps as statistics of debtors; a map that says a debtor twice keeps the later line."""
+    key = F.col("debtor_id")
+    row = lambda paid, before: F.concat(F.lit("TJRJ "), (F.lit(2020) + key % 4).cast("string"), F.lit(" MUNICIPAL RJ "), F.lpad(key.cast("string"), 7, "0"), F.lit(" "), F.when(key % 2 == 0, F.lit("ESPECIAL")).otherwise(F.lit("GERAL")), F.lit(" DIRETA MUNICIPIO DE X"), key.cast("string"), F.lit(" R$ "), _brl(before), F.lit(" R$ "), _brl(paid), F.lit(" R$ 10,00 R$ "), _brl(before + 7))
+    line = F.concat(row(key * 3, key), F.lit("\n"), row(key % 130, key % 90 + 0.5))
+    found = tribunals.annual_map(_file(b.debtors(spark, d), "court", "debtor_id", line, "Mapa\n"), "court", "text")
+    out = tribunals.payment_stats(found, ["court"])
+    return out.withColumns({"paid_volume": F.col("paid_volume").cast("decimal(18,2)"), "open_debt_stock": F.col("open_debt_stock").cast("decimal(18,2)")})

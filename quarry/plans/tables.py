@@ -282,6 +282,28 @@ def primary_targets(spark: SparkSession, d: str) -> DataFrame:
     return coverage.primary_targets(rows.withColumn("status", coverage.layer_status()), "court", "status", ["id"]).select("court", "id", "status")
 
 
+@query("""
+, t AS (
+  SELECT s_nationkey AS court, s_suppkey AS name, ['implemented', 'generic_supported', 'blocked_captcha', 'planned'][s_suppkey % 4 + 1] AS status, CASE WHEN s_suppkey % 3 > 0 THEN 'a' END AS adapter, CASE WHEN s_suppkey % 5 > 0 THEN 'u' END AS url, s_suppkey % 6 = 0 AS ok, CASE WHEN s_suppkey % 7 > 2 THEN s_suppkey % 140 ELSE 0 END AS discovered,
+    CASE WHEN s_suppkey % 8 > 5 THEN s_suppkey % 90 END AS records, s_suppkey % 10 AS dataset FROM supplier),
+c AS (SELECT s_suppkey % 10 AS dataset, count(*) AS n FROM supplier WHERE s_suppkey % 10 < 5 GROUP BY ALL),
+r AS (SELECT *, status IN ('implemented', 'generic_supported') AND adapter IS NOT NULL AS runs, ok OR discovered > 0 OR coalesce(records, 0) > 0 AS evidence FROM t),
+k AS (SELECT *, CASE WHEN status = 'blocked_captcha' THEN 1 WHEN runs AND evidence THEN 4 WHEN runs THEN 3 WHEN url IS NOT NULL THEN 2 ELSE 0 END * 1000 + 100 * (adapter IS NOT NULL)::INT + 10 * (url IS NOT NULL)::INT + coalesce(records, 0) + discovered AS rank FROM r),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY court ORDER BY rank DESC, name % 3, name) = 1)
+SELECT court, name, rank::BIGINT AS rank, CASE WHEN status = 'blocked_captcha' THEN 'blocked' WHEN runs AND (evidence OR n > 0) THEN 'validated' WHEN runs THEN 'configured' WHEN url IS NOT NULL THEN 'mapped' ELSE 'missing' END AS layer_status,
+  round(2 * ok::INT + least(discovered, 100) / 100.0::DOUBLE + least(coalesce(records, 0) + coalesce(n, 0), 100) / 50.0::DOUBLE, 6) AS evidence_score FROM b LEFT JOIN c USING (dataset)""")
+def target_layers(spark: SparkSession, d: str) -> DataFrame:
+    """The strongest target of each court by status, adapter, address and counts, and the evidence behind its layer."""
+    k = F.col("s_suppkey")
+    status = F.get(F.array(*map(F.lit, ("implemented", "generic_supported", "blocked_captcha", "planned"))), F.pmod(k, F.lit(4)).cast("int"))
+    rows = b.read(spark, d, "supplier").select(
+        F.col("s_nationkey").alias("court"), k.alias("name"), status.alias("status"), F.when(k % 3 > 0, F.lit("a")).alias("adapter"), F.when(k % 5 > 0, F.lit("u")).alias("url"), F.when(k % 6 == 0, F.lit("2024-01-01")).alias("last_success_at"), F.when(k % 7 > 2, k % 140).otherwise(0).alias("discovered"),
+        F.when(k % 8 > 5, k % 90).alias("records"), (k % 3).alias("priority_order"), (k % 10).alias("dataset"),
+    )
+    counts = rows.where("dataset < 5").groupBy("dataset").agg(F.count("*").alias("records"))
+    return coverage.layers(rows, "court", counts).select("court", "name", F.col("rank").cast("long").alias("rank"), "layer_status", F.round("evidence_score", 6).alias("evidence_score"))
+
+
 @query("""
 , c AS (SELECT s_nationkey AS section, s_suppkey AS id, CASE WHEN s_suppkey % 10 >= 8 THEN 2 WHEN s_suppkey % 10 >= 3 THEN 1 ELSE 0 END AS r FROM supplier)
 SELECT section, ['fail', 'warn', 'pass'][min(r) + 1] AS status, count(*) AS checks, count(*) FILTER (r = 0) AS failed FROM c GROUP BY section""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import json
 from quarry.functions.dates import day_or_null, local_moment, short_month
+from quarry.functions.maths import reliability
 from quarry.functions.text import (
     brazilian_money,
     code_key,
@@ -189,6 +190,19 @@ def annual_map(df: DataFrame, key: str, text: str | None) -> DataFrame:
     return out.withColumn("open_stock", F.coalesce("debt_after", F.lit(0)) + F.coalesce("current_year", F.lit(0))).withColumn("debtor_type", debtor_type("debtor_name"))
 
 
+def payment_stats(rows: DataFrame, keys: list[str], source: str = "tjrj_annual_map") -> DataFrame:
+    """Rows of annual_map as payment statistics of debtors: (keys, debtor_name, source, period_start, period_end, sample_size, paid_volume, open_debt_stock, regime_special, reliability_score).
+
+    One row for each debtor and year, the last by n: what an upsert by debtor and source keeps. Due is what was owed
+    before and what the year added.
+    """
+    due = F.coalesce("debt_before", F.lit(0)) + F.coalesce("current_year", F.lit(0))
+    each = rows.withColumn("source", F.concat(F.lit(f"{source}:"), F.col("year").cast("string"))).withColumns({"_due": due, "special": F.coalesce("special", F.lit(False))})
+    last = each.groupBy(*keys, "debtor_name", "source").agg(F.max_by(F.struct("year", "paid", "open_stock", "special", "_due"), "n").alias("_x")).select(*keys, "debtor_name", "source", "_x.*")
+    score = reliability(F.coalesce("paid", F.lit(0)), F.col("_due"), F.col("special")).cast("int")
+    return last.select(*keys, "debtor_name", "source", F.make_date("year", F.lit(1), F.lit(1)).alias("period_start"), F.make_date("year", F.lit(12), F.lit(31)).alias("period_end"), F.lit(1).alias("sample_size"), F.col("paid").alias("paid_volume"), F.col("open_stock").alias("open_debt_stock"), F.col("special").alias("regime_special"), score.alias("reliability_score"))
+
+
 def pdf_rows(df: DataFrame, key: str, text: str | None) -> DataFrame:
     """Lists in which a line is position, number, local date and time, nature, amount and debtor."""
     pattern = r"^\s*(\d+)\s+([\d.-]{20,25})\s+(\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2})\s+(\S+)\s+(?:R\$\s*)?([\d.]+,\d{2})\s+(.*)$"
