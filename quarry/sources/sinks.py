@@ -1,4 +1,4 @@
-"""Writers: CSV export, append-only tables, partition overwrite."""
+"""Writers: CSV export, append-only tables, partition overwrite; stored aggregates are refreshed in versions."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import csv_cell
 from quarry.operators.relational import bounded
+from quarry.sources.versions import refresh
 
+__all__ = ["append", "export_rows", "overwrite_partitions", "refresh", "write_csv"]
 # Columns of the export.
 EXPORT = ("asset_id", "cnj_number", "debtor_name", "debtor_type", "nature", "lifecycle_status", "exercise_year", "face_value", "updated_value", "final_score", "created_at")
 
@@ -32,9 +34,3 @@ def append(df: DataFrame, path: str, partition: Sequence[str] = ()) -> None:
 def overwrite_partitions(df: DataFrame, path: str, partition: Sequence[str]) -> None:
     """Replaces just the partitions that df has rows of."""
     df.write.option("partitionOverwriteMode", "dynamic").partitionBy(*partition).mode("overwrite").parquet(path)
-
-
-def refresh(df: DataFrame, path: str) -> DataFrame:
-    """Computes a stored aggregate anew, in place of the one at path, and reads it. df must not read from path itself."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
