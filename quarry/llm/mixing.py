@@ -4,95 +4,126 @@ Each source's documents are cut into blocks. With weight p/q its k-th block (fro
 floor(kq/p) and due before slot ceil((k+1)q/p); earliest deadline first meets all deadlines, so at any slot
 every source is less than one block from its share. The schedule has period q, so one period is computed
 and every block finds its slot by arithmetic; documents are never ordered in one task.
+
+Sources of weight 1 have one block a period, released at its start and due at its end. Whatever their
+number, only the slots of the heavier sources are simulated: those of weight 1 take the slots between in
+the order of their names, so a number among them, which Spark gives, is all that their slot needs.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
+from math import gcd
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents of a block; slots of a period before rounding; sources with weights of their own at most.
-BLOCK, PERIOD, MAX_SOURCES = 16, 1000, 100_000
+from quarry.llm._shared import stored
+
+#: Documents of a block; slots of a period before rounding; blocks a period that given weights over 1 may add up to.
+BLOCK, PERIOD, MAX_SLOTS = 16, 1000, 250_000
+
 
+def schedule(heavy: list[tuple[int, int]], light: int) -> list[tuple[int, int, int]]:
+    """(source, block, slot) of the sources of weight 2 and more in one period, by earliest deadline, then name.
 
-def schedule(weights: list[int]) -> list[tuple[int, int]]:
-    """(source, block) of each slot of one period, by earliest deadline, then source."""
-    period = sum(weights)
-    waiting = [(0, source) for source in range(len(weights))]  # (release, source)
+    heavy: weight of each such source, in order of names, and how many of the `light` sources of weight 1 have
+    smaller names. The slots that are not returned go to the light sources in order of their names.
+    """
+    period = sum(weight for weight, _ in heavy) + light
+    waiting = [(0, source) for source in range(len(heavy))]  # (release, source)
     ready: list[tuple[int, int]] = []  # (deadline, source)
-    done, slots = [0] * len(weights), []
-    heapq.heapify(waiting)
-    for slot in range(period):
+    done, slots, slot, passed = [0] * len(heavy), [], 0, 0  # passed: light sources that have had their slot
+    while waiting or ready:
         while waiting and waiting[0][0] <= slot:
             source = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(done[source] + 1) * period // weights[source]), source))
-        source = heapq.heappop(ready)[1]
-        slots.append((source, done[source]))
-        done[source] += 1
-        if done[source] < weights[source]:
-            heapq.heappush(waiting, (done[source] * period // weights[source], source))
+            heapq.heappush(ready, (-(-(done[source] + 1) * period // heavy[source][0]), source))
+        if ready and (ready[0][0] < period or heavy[ready[0][1]][1] <= passed):
+            source = heapq.heappop(ready)[1]
+            slots.append((source, done[source], slot))
+            done[source] += 1
+            slot += 1
+            if done[source] < heavy[source][0]:
+                heapq.heappush(waiting, (done[source] * period // heavy[source][0], source))
+        else:  # light sources, up to the next release or a heavy one that is due no later and named before the next
+            until = min(heavy[ready[0][1]][1] if ready else light, passed + (waiting[0][0] - slot if waiting else light))
+            slot, passed = slot + until - passed, until
     return slots
 
 
-#: Name under which the sources beyond the largest MAX_SOURCES are mixed as one.
-POOL = "\x00others"
+def _between(taken: Iterable[int]):
+    """The slot of the r-th light source, where those in taken, ascending, have gone to others."""
+    before = np.array([slot - k for k, slot in enumerate(taken)], np.int64)  # light slots before each
 
+    @F.pandas_udf("long")
+    def slot(rank: pd.Series) -> pd.Series:
+        return rank + np.searchsorted(before, rank.to_numpy(), side="right")
 
-def root_weights(roots: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Weights in proportion to the square roots of the sources' sizes, in whole slots of about `period`."""
-    total = sum(roots[source] for source in sorted(roots))
-    return {source: max(1, int(period * root / total + 0.5)) for source, root in roots.items()}
+    return slot
 
 
-def mix_sources(documents: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, digits: int = 3, most: int = MAX_SOURCES) -> DataFrame:
+def _shares(sizes: DataFrame, weights: dict[str, int] | None) -> DataFrame:
+    """(_source, _own): the weight of each source. Given ones are divided by their common divisor; else see mix_sources."""
+    if weights is None:
+        # Decimals add up to the same total in any order.
+        total = sizes.agg(F.sum(F.sqrt("count").cast("decimal(38,12)"))).first()[0]
+        return sizes.select("_source", F.greatest(F.lit(1), F.floor(PERIOD * F.sqrt("count") / F.lit(float(total or 1)) + 0.5)).cast("long").alias("_own"))
+    positive = {source: weight for source, weight in weights.items() if weight > 0}
+    divisor = gcd(*positive.values()) or 1
+    if (slots := sum(weight for weight in positive.values() if weight > divisor) // divisor) > MAX_SLOTS:
+        raise ValueError(f"the weights have a period of {slots} slots and more; give smaller whole numbers")
+    shares = sizes.sparkSession.createDataFrame([(source, weight // divisor) for source, weight in positive.items()], "_source string, _own long")
+    if missing := [x["_source"] for x in sizes.join(F.broadcast(shares), "_source", "left_anti").limit(5).collect()]:  # as many as weights were given
+        raise ValueError(f"no weight for {sorted(missing)}")
+    return shares
+
+
+def _numbered(shares: DataFrame) -> DataFrame:
+    """shares with _light: how many sources of weight 1 have smaller names."""
+    ranges = stored(shares.repartitionByRange("_source").withColumn("_range", F.spark_partition_id()))
+    before = lambda of: of.rowsBetween(Window.unboundedPreceding, -1)
+    per_range = ranges.groupBy("_range").agg(F.count_if(F.col("_own") == 1).alias("n"))
+    per_range = per_range.select("_range", F.coalesce(F.sum("n").over(before(Window.orderBy("_range"))), F.lit(0)).alias("_from"))  # one row a shuffle partition
+    within = F.count_if(F.col("_own") == 1).over(before(Window.partitionBy("_range").orderBy("_source")))
+    return ranges.withColumn("_light", F.coalesce(within, F.lit(0))).join(F.broadcast(per_range), "_range").select("_source", "_own", (F.col("_from") + F.col("_light")).alias("_light"))
+
+
+def mix_sources(documents: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK, digits: int = 3) -> DataFrame:
     """documents with block (number within its source), slot and place (within the block): their order is the mix.
 
-    weights gives each source a whole number; without it, root_weights of the sources' sizes, where the sources
-    beyond the `most` largest share one weight, the sum of theirs, and are mixed as one. Within a source,
-    documents are in order of the MD5 of doc_id, so any prefix of the mix is a fair sample of it.
-    A source that runs out leaves its slots empty; the others keep theirs. A null source is a source of
-    its own, named ''; null doc_ids come last in their source; repeated rows each have a place; columns
+    weights gives each source a whole number; without it, sources have weights in proportion to the square roots
+    of their sizes, in whole slots of about PERIOD and at least one. Every source has a weight of its own, whatever
+    their number. Within a source, documents are in order of the MD5 of doc_id, so any prefix of the mix is a fair
+    sample of it. A source that runs out leaves its slots empty; the others keep theirs. A null source is a source
+    of its own, named ''; null doc_ids come last in their source; repeated rows each have a place; columns
     named block, slot or place give way; an empty table gives no rows. A source without a positive weight
-    in given weights is an error.
+    in given weights is an error, and so are given weights over the common divisor that add up to more than
+    MAX_SLOTS of them.
     """
     base = documents.drop("block", "slot", "place")
     spark = documents.sparkSession
     name, digest = F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("g"))
-    sizes = base.groupBy(name.alias("_source")).count()
-    if weights is None:
-        # At most `most` rows; the rest is added up where it is.
-        largest = [(x["_source"], float(x["count"]) ** 0.5) for x in sizes.orderBy(F.desc("count"), "_source").limit(most).collect()]
-        roots = dict(largest)
-        if len(largest) == most:
-            own = spark.createDataFrame([(source,) for source, _ in largest], "_source string")
-            rest = sizes.join(F.broadcast(own), "_source", "left_anti").agg(F.sum(F.sqrt("count"))).first()[0]
-            if rest is not None:
-                roots[POOL] = rest
-                mapped = F.broadcast(own.select(F.col("_source").alias("_known")))
-                base_named = base.withColumn("_name", name).join(mapped, F.col("_name") == F.col("_known"), "left").withColumn("_source", F.coalesce("_known", F.lit(POOL))).drop("_name", "_known")
-        weights = root_weights(roots) if roots else {}
-        pooled = POOL in roots
-    else:
-        pooled = False
-        known = spark.createDataFrame([(source,) for source, weight in weights.items() if weight > 0], "_source string")
-        if missing := [x["_source"] for x in sizes.join(F.broadcast(known), "_source", "left_anti").limit(5).collect()]:  # as many as weights were given
-            raise ValueError(f"no weight for {sorted(missing)}")
-    keyed = (base_named if pooled else base.withColumn("_source", name)).withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, digits))
+    shares = stored(_numbered(_shares(base.groupBy(name.alias("_source")).count(), weights)))
+    # Fewer than PERIOD sources by sizes have more than one slot of about PERIOD; of given weights, at most half of MAX_SLOTS.
+    heavy = shares.where("_own > 1").orderBy("_source").collect()
+    light = shares.where("_own = 1").count()
+    slots = schedule([(x["_own"], x["_light"]) for x in heavy], light)
+    period = sum(x["_own"] for x in heavy) + light
+    shares = shares.withColumn("_alone", F.when(F.col("_own") == 1, _between(slot for _, _, slot in slots)("_light")))
+    slots = spark.createDataFrame([(heavy[source]["_source"], number, slot) for source, number, slot in slots], "_source string, _number long, _slot long")
+    keyed = base.withColumn("_source", name).withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, digits))
     parts = keyed.select("_source", "_part").groupBy("_source", "_part").count()
     before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_source", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    names = sorted(source for source in weights if weights[source] > 0)
-    shares = [weights[source] for source in names]
-    slots = spark.createDataFrame([(names[source], number, slot, shares[source]) for slot, (source, number) in enumerate(schedule(shares))], "_source string, _number long, _slot long, _share long")
+    parts = parts.join(shares.drop("_light"), "_source")  # 16 ** digits rows of a source at most
     within = Window.partitionBy("_source", "_part").orderBy(F.col("doc_id").isNull(), "_digest", "doc_id", *([F.xxhash64("text")] if "text" in base.columns else []))
     placed = keyed.join(parts, ["_source", "_part"]).withColumn("_rank", F.col("_before") + F.row_number().over(within) - 1)
     placed = placed.withColumn("block", F.floor(F.col("_rank") / block)).withColumn("place", F.pmod("_rank", F.lit(block)))
-    share = spark.createDataFrame(list(zip(names, shares, strict=True)), "_source string, _own long")
-    placed = placed.join(F.broadcast(share), "_source").withColumn("_number", F.pmod("block", "_own"))
-    placed = placed.join(F.broadcast(slots), ["_source", "_number"])  # the period: about PERIOD rows and one more per source
-    slot = F.floor(F.col("block") / F.col("_share")) * sum(shares) + F.col("_slot")
+    placed = placed.withColumn("_number", F.pmod("block", "_own")).join(F.broadcast(slots), ["_source", "_number"], "left")  # MAX_SLOTS rows at most
+    slot = F.floor(F.col("block") / F.col("_own")) * period + F.coalesce("_slot", "_alone")
     return placed.select(*base.columns, "block", slot.alias("slot"), "place")
 
 

@@ -185,15 +185,3 @@ def test_sql(spark, sf_dir, name):
     frame = registry.queries()[name](spark, sf_dir)
     relation = con.execute(f"SELECT {', '.join(frame.columns)} FROM ({registry.oracle_sql()[name]})")
     assert sorted(map(repr, relation.fetchall())) == sorted(repr(tuple(r)) for r in frame.collect())
-
-
-def test_mix_stays_within_a_block():
-    from quarry.llm.mixing import schedule
-
-    for weights in ([1], [3, 1, 7], [500, 1, 1, 20], [2, 2, 2]):
-        done, period = [0] * len(weights), sum(weights)
-        for slot, (source, number) in enumerate(schedule(weights)):
-            assert number == done[source]
-            done[source] += 1
-            assert all(abs(n - w * (slot + 1) / period) < 1 for n, w in zip(done, weights, strict=True))
-        assert done == weights

@@ -361,13 +361,6 @@ def test_pii(spark, documents, nothing):
     assert [(x.kind, x.start, x.end) for x in found[99][0]] == [("like_ip", 26, 35)]
 
 
-def test_mixing_pools_what_is_beyond_the_largest_sources(spark):
-    rows = [(k, f"s{k % 7}" if k % 2 else f"t{k}") for k in range(400)]
-    frame = spark.createDataFrame(rows, "doc_id long, source string")
-    got = mixing.mix_sources(frame, block=2, most=7).collect()
-    assert len(got) == 400 and len({(r.slot, r.place) for r in got}) == 400 and {r.source for r in got} == {source for _, source in rows}
-
-
 def test_toxicity_of_repeated_documents(spark):
     words = "alpha beta gamma delta".split()
     texts = [(k, f"{words[k % 4]} common words {'awful insult' if k % 3 == 0 else 'kind praise'}") for k in range(120)]

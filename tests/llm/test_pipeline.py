@@ -7,6 +7,7 @@ import corpus_pipeline
 import pyarrow as pa
 
 from quarry.llm import mixing, secrets, toxicity
+from test_mixing import plain_schedule, root_weights
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -72,8 +73,8 @@ def test_pipeline(spark, sf_dir):
     for doc in sorted(rows, key=lambda doc: (hashlib.md5(str(doc).encode()).hexdigest(), doc)):
         by_source.setdefault(rows[doc][1] or "", []).append(doc)
     names = sorted(by_source)
-    weights = mixing.root_weights({name: len(own) ** 0.5 for name, own in by_source.items()})
-    slot = {(names[source], number): at for at, (source, number) in enumerate(mixing.schedule([weights[name] for name in names]))}
+    weights = root_weights({name: len(own) for name, own in by_source.items()})
+    slot = {(names[source], number): at for at, (source, number) in enumerate(plain_schedule([weights[name] for name in names]))}
     period = sum(weights.values())
     wanted = {}
     for name, own in by_source.items():
