@@ -1,11 +1,12 @@
 """HTML extraction by two-pass block rules.
 
 A page is cut into blocks at block-level tags. First pass, each block by itself: long blocks rich in stop
-words are good, long ones poor in them and blocks made of links are bad, the rest, short blocks, are
-undecided. Element names, roles, classes and ids of navigation, adverts and the like vote: a strong vote
+words are good, blocks made of links are bad, the rest, short blocks and long ones poor in stop words, are
+undecided. Where all long blocks of a page together are poor in stop words, the page is in a language that the
+lists lack, and its long blocks with a sentence's end are good. Element names, roles, classes and ids of navigation, adverts and the like vote: a strong vote
 makes a block bad, a weak one only if it is not good by its words. An element that holds nearly all of the
 page's good text is its frame, whatever it is called, and has no vote. Second pass: an undecided block takes
-the label of its nearest decided neighbours; those in the same article count first, then the nearer one.
+the label of its nearest decided neighbours; those in the same article count first, then the nearer one; without an article, a heading follows the next.
 
 Tags are read in one pass, states of open elements are carried on the stack, and votes are summed from the
 inner to the outer elements, so the time grows with a page's length whatever it holds.
@@ -50,11 +51,16 @@ _MARKS = frozenset(
     footer masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related
     share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget""".split()
 )
+#: Words that name readers' answers if an element that groups or lists is called so; within an article they may name a part of it.
+_ANSWERS, _GROUPS = frozenset("response responses reply replies respond discussion".split()), frozenset("article section ol ul li".split())
 _BESIDE_MARKS = frozenset(
     """area article articles bar block body bottom box buttons column container content entry footer form global group inner item items label left level
     link links list main page panel post posts primary reader readers right row secondary section site slot stories text thread title top unit user wrap wrapper""".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
+#: Characters of scripts without spaces between words (Han, kana, Thai, Lao, Khmer, Burmese), two of which count as a word; ends of sentences.
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
+_SENTENCE = re.compile(r"[.!?…。！？।؟۔][\"'”’»)\]]*(?:\s|$)")
 _NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))?+)?+""")
@@ -120,16 +126,17 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, str]]:
 
 
 @lru_cache(1 << 14)
-def _named(token: str, in_article: bool) -> int:
+def _named(token: str, in_article: bool, groups: bool) -> int:
     """Vote of one class or id: strong if all its words are known, weak if only some name what is not the article."""
     words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+", token)]
     if "header" in words and not in_article and all(w in ("header", "site", "page", "global", "top", "main", "wrapper", "container", "inner") for w in words):
         return 2
-    if not _MARKS.intersection(words):
+    marks = _MARKS | _ANSWERS if groups else _MARKS
+    if not marks.intersection(words):
         return 0
     if any(w in ("no", "not", "without", "with", "has", "hide") for w in words):
         return 0  # says how the page is laid out
-    return 2 if all(w in _MARKS or w in _BESIDE_MARKS or w.isdigit() for w in words) else 1
+    return 2 if all(w in marks or w in _BESIDE_MARKS or w.isdigit() for w in words) else 1
 
 
 @lru_cache(1 << 14)
@@ -144,7 +151,7 @@ def vote(tag: str, attributes: str, in_article: bool) -> int:
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in _ROLES:
         return 2
-    return max((_named(token, in_article) for token in f"{found.get('class', '')} {found.get('id', '')}".split()), default=0)
+    return max((_named(token, in_article, tag in _GROUPS) for token in f"{found.get('class', '')} {found.get('id', '')}".split()), default=0)
 
 
 def blocks(page: str) -> tuple[list[Block], list[Mark]]:
@@ -210,17 +217,23 @@ def blocks(page: str) -> tuple[list[Block], list[Mark]]:
     return out, marks
 
 
-def density(block: Block, articles: bool) -> bool | None:
-    """Good, bad, or None for undecided, by links, length and stop words."""
+def _words(text: str) -> tuple[int, int]:
+    """How many words a text has, and how many of them are stop words."""
+    words = text.lower().split()
+    return len(words) + len(_SPACELESS.findall(text)) // 2, sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words)
+
+
+def density(block: Block, counts: tuple[int, int], articles: bool, known: bool) -> bool | None:
+    """Good, bad, or None for undecided, by links, length and stop words (counts); known: the page's language has stop words."""
     if block.linked >= LINKED * len(block.text):
-        return None if block.article and len(block.text) >= LONG_LINKED else False
-    words = block.text.lower().split()
-    if block.heading or len(words) < LONG:
+        sentence = block.linked < len(block.text) and _SENTENCE.search(block.text)
+        return None if block.article and (sentence or len(block.text) >= LONG_LINKED) else False
+    words, stops = counts
+    if block.heading or words < LONG:
         return None
-    share = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-    if share >= STOP_HIGH or articles and block.article and share >= STOP_LOW:
-        return True
-    return None if block.article or share >= STOP_LOW else False
+    if not known:
+        return True if _SENTENCE.search(block.text) else None
+    return True if stops >= STOP_HIGH * words or articles and block.article and stops >= STOP_LOW * words else None
 
 
 def _votes(found: list[Block], marks: list[Mark], labels: list[bool | None], articles: bool) -> list[int]:
@@ -250,7 +263,10 @@ def article_text(page: str | None) -> str:
     """The main text: good blocks in page order, joined by one line feed."""
     found, marks = blocks(page or "")
     articles = any(b.article for b in found)
-    labels = [density(b, articles) for b in found]
+    counts = [_words(b.text) for b in found]
+    long = [own for b, own in zip(found, counts, strict=True) if own[0] >= LONG and b.linked < LINKED * len(b.text)]
+    known = sum(stops for _, stops in long) >= STOP_LOW * sum(words for words, _ in long)
+    labels = [density(b, own, articles, known) for b, own in zip(found, counts, strict=True)]
     votes = _votes(found, marks, labels, articles)
     voted = [False] * len(found)
     for k, block in enumerate(found):
@@ -279,6 +295,8 @@ def article_text(page: str | None) -> str:
                 label = any(labels[x] for x in own) if own else block.article in good or block.article not in decided
             elif articles:
                 label = False
+            elif block.heading and nearest[k][1] >= 0:  # it heads what follows
+                label = labels[nearest[k][1]]
             elif len(near) == 2 and labels[near[0]] != labels[near[1]]:
                 label = labels[near[0] if k - near[0] <= near[1] - k else near[1]]
             else:
