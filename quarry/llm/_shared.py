@@ -23,10 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
 def small_batches(df: DataFrame, rows: int = 1000, size: str = "16m") -> DataFrame:
     """df, with the session's Arrow batches bounded, for texts of any length must fit beside the executor's heap.
 
-    Spark has these bounds for a session only, so they stay set; sessions with smaller ones keep theirs.
+    Spark has these bounds for a session only, so they stay set; sessions with smaller ones keep theirs. Spark
+    takes 0 and less for no bound at all.
     """
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return df

@@ -218,26 +218,29 @@ def repeated_spans(documents: DataFrame, width: int = 50) -> DataFrame:
     owned = stored(spread_join(segments, shared, "anchor", "content", hot_keys(segments, "anchor")))
     same_words = F.struct("anchor", "content").alias("words")
     distinct = stored(owned.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("o"), F.count("*").alias("copies")).select("anchor", "content", "o.*", "copies"))
-    crowd = distinct.groupBy("anchor").count()
+    crowd = stored(distinct.groupBy("anchor").count())
+    often = hot_counts(crowd, "anchor")
     hot = stored(crowd.where(F.col("count") > HOT_SEGMENTS).select("anchor"))
-    cold = distinct.join(hot, "anchor", "left_anti").select("doc_id", "row", "anchor", "content", "start", "n", F.lit(False).alias("hot"))
+    cold = spread_join(distinct, hot, "anchor", "content", often, "left_anti").select("doc_id", "row", "anchor", "content", "start", "n", F.lit(False).alias("hot"))
 
     def texts(wanted: DataFrame) -> DataFrame:
         own = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct(*(c for c in wanted.columns if c not in ("doc_id", "row")))).alias("wanted"))
         return documents.select("doc_id", "row", "text").join(own, ["doc_id", "row"]).select("doc_id", "row", "text", "wanted")
 
     # A hot anchor's windows by the hash of their words: however many documents have one, its first and its last copy go to the index.
-    windows = stored(texts(distinct.join(hot, "anchor").select("doc_id", "row", "anchor", "content", "start", "n")).mapInArrow(_windows(width), "h1 long, h2 long, anchor long, content long, at int, doc_id long, row long, start int"))
+    windows = stored(texts(spread_join(distinct, hot, "anchor", "content", often).select("doc_id", "row", "anchor", "content", "start", "n")).mapInArrow(_windows(width), "h1 long, h2 long, anchor long, content long, at int, doc_id long, row long, start int"))
     place = F.struct("doc_id", "row", "start")
-    twice = stored(windows.groupBy("h1", "h2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x.doc_id < y.doc_id"))
+    twice = stored(windows.groupBy("h1", "h2").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("count")).where("x.doc_id < y.doc_id"))
     copies = twice.select(F.explode(F.array("x", "y")).alias("o"), F.col("h1").alias("anchor"), F.col("h2").alias("content")).select("o.doc_id", "o.row", "anchor", "content", "o.start", F.lit(width).alias("n"), F.lit(True).alias("hot"))
     shards = max(1, -(-((cold.agg(F.sum("n")).first()[0] or 0) + 2 * width * twice.count()) // SHARD_WORDS))
     pieces = texts(cold.unionAll(copies)).mapInArrow(_pieces, "anchor long, content long, hot boolean, doc_id long, text string")
     route = F.pmod(F.when(F.col("hot"), F.xxhash64("anchor", "content")).otherwise(F.xxhash64("anchor")), F.lit(shards))
     found = stored(pieces.withColumn("shard", route).groupBy("shard").applyInArrow(_shard(width), "anchor long, content long, hot boolean, start int, stop int"))
     # What the index confirmed holds for each copy in a document after the first.
-    same = found.where("hot").select(F.col("anchor").alias("h1"), F.col("content").alias("h2")).distinct().join(twice.select("h1", "h2", F.col("x.doc_id").alias("owner")), ["h1", "h2"])
-    later = windows.join(same, ["h1", "h2"]).where("doc_id > owner").select("anchor", "content", F.col("at").alias("start"), (F.col("at") + width).alias("stop"))
+    window = F.struct("h1", "h2").alias("window")  # one that very many documents have is dealt out
+    same = found.where("hot").select(F.col("anchor").alias("h1"), F.col("content").alias("h2")).distinct().join(twice.select("h1", "h2", F.col("x.doc_id").alias("owner")), ["h1", "h2"]).select(window, "owner")
+    often = hot_counts(twice.select(window, "count"), "window")
+    later = spread_join(windows.withColumn("window", window), same, "window", "doc_id", often).where("doc_id > owner").select("anchor", "content", F.col("at").alias("start"), (F.col("at") + width).alias("stop"))
     ranges = found.where("not hot").select("anchor", "content", "start", "stop").unionAll(later).groupBy("anchor", "content").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     owners = distinct.select("anchor", "content", F.col("doc_id").alias("owner")).join(ranges, ["anchor", "content"], "left").withColumn("words", same_words).drop("anchor", "content")
     often = hot_counts(distinct.select(same_words, F.col("copies").alias("count")), "words")

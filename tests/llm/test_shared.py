@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import _shared, jaccard_join
+from quarry.llm import _shared, jaccard_join, substring_dedup
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -52,3 +52,24 @@ def test_similarity_with_ids_that_are_not_broadcast(spark, monkeypatch):
                 if near(i, j):
                     parent[i] = parent[j] = min(parent[i], parent[j])
     assert got == dict(enumerate(parent))
+
+
+@pytest.mark.parametrize(("before", "after"), [("0", "1000"), ("-1", "1000"), ("10000", "1000"), ("10", "10")])
+def test_batches_are_bounded_whatever_the_session_says(spark, before, after):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    try:
+        spark.conf.set(name, before)
+        _shared.small_batches(spark.range(1))
+        assert spark.conf.get(name) == after
+    finally:
+        spark.conf.set(name, old)
+
+
+def test_windows_that_very_many_documents_have(spark):
+    """One window in 3,000 texts that differ around it, its anchor and itself above the bound from which keys are dealt out."""
+    shared = [f"w{k}" for k in range(50)]
+    rows = [(k, " ".join([f"a{k}x{j}" for j in range(3)] + shared + [f"b{k}x{j}" for j in range(3)])) for k in range(3000)]
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == (0, rows[0][1]) and len(got) == len(rows)
+    assert all(got[k] == (50, " ".join(text.split()[:3] + text.split()[-3:])) for k, text in rows[1:])
