@@ -26,6 +26,11 @@ def half_up(x: Column | str, places: int = 0) -> Column:
     return F.floor(col(x) * 10**places + 0.5) / 10**places
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """The product with a power of ten rounded to a whole number, halves away from zero, and divided again; round() itself goes by the shortest decimal text of a double instead."""
+    return F.round(col(x).cast("double") * float(10**places), 0) / float(10**places)
+
+
 def to_fixed(x: Column | str, places: int) -> Column:
     """Rounded by the exact binary value of a double, exact halves away from zero: 1.005 is below its half and goes down."""
     value = F.abs(col(x).cast("double"))

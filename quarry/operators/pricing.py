@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.maths import clamp, inverse_scaled, product, rate, scaled
+from quarry.functions.maths import clamp, inverse_scaled, product, rate, rounded, scaled
 
 # Payment multiplier and score weight of each signal, positive and negative.
 POSITIVE = {
@@ -147,7 +147,7 @@ PARTS = {"risk_adjusted_irr": (0.4, 0.05, 0.6), "payment_probability": (0.25, 0,
 
 def _percent(value: Column) -> Column:
     """A share in percent with at most two decimals."""
-    return F.concat(F.regexp_replace(F.format_string("%.2f", F.round(value * 100, 2)), r"\.?0+$", ""), F.lit("%"))
+    return F.concat(F.regexp_replace(F.format_string("%.2f", rounded(value * 100, 2)), r"\.?0+$", ""), F.lit("%"))
 
 
 def explanation() -> Column:
@@ -167,13 +167,13 @@ def explanation() -> Column:
     breakdown = []
     for name, (weight, low, high) in PARTS.items():
         part = inverse_scaled(name, low, high) if name == "term_months" else scaled(name, low, high)
-        breakdown.append(F.struct(F.round(F.col(name).cast("double"), 6).alias("value"), F.round(part, 6).alias("normalized"), F.lit(weight).alias("weight"), F.round(part * weight, 6).alias("contribution")).alias(name))
+        breakdown.append(F.struct(rounded(name, 6).alias("value"), rounded(part, 6).alias("normalized"), F.lit(weight).alias("weight"), rounded(part * weight, 6).alias("contribution")).alias(name))
     reliable = F.when(F.coalesce(F.col("on_time_rate").cast("double"), F.lit(0.0)) != 0, F.lit(RELIABILITY[0])).when(n("reliability") != 0, F.lit(RELIABILITY[1])).otherwise(F.lit(RELIABILITY[2]))
     good = lambda test: F.when(test, F.lit("positive")).otherwise(F.lit("neutral"))
     factor = lambda key, impact, value, detail: F.struct(F.lit(key).alias("key"), impact.alias("impact"), value.alias("value"), detail.alias("detail"))
     factors = F.array(
-        factor("risk_adjusted_irr", good(F.col("risk_adjusted_irr") >= 0.25), text(F.round("risk_adjusted_irr", 6)), F.lit(DETAILS["risk_adjusted_irr"])), factor("payment_probability", good(F.col("payment_probability") >= 0.75), text(F.round("payment_probability", 6)), reliable),
-        factor("estimated_term", F.when(F.col("term_months") <= 18, F.lit("positive")).when(F.col("term_months") >= 60, F.lit("negative")).otherwise(F.lit("neutral")), text(F.col("term_months")), term), factor("offer_rate", good(F.col("offer_rate") <= 0.6), text(F.round("offer_rate", 6)), F.lit(DETAILS["offer_rate"])),
+        factor("risk_adjusted_irr", good(F.col("risk_adjusted_irr") >= 0.25), text(rounded("risk_adjusted_irr", 6)), F.lit(DETAILS["risk_adjusted_irr"])), factor("payment_probability", good(F.col("payment_probability") >= 0.75), text(rounded("payment_probability", 6)), reliable),
+        factor("estimated_term", F.when(F.col("term_months") <= 18, F.lit("positive")).when(F.col("term_months") >= 60, F.lit("negative")).otherwise(F.lit("neutral")), text(F.col("term_months")), term), factor("offer_rate", good(F.col("offer_rate") <= 0.6), text(rounded("offer_rate", 6)), F.lit(DETAILS["offer_rate"])),
         factor("signals", F.when(n("negative_signals") > 0, F.lit("negative")).when(n("positive_signals") > 0, F.lit("positive")).otherwise(F.lit("neutral")), F.replace(signals, F.lit("{}"), F.lit("positive /")), F.lit(DETAILS["signals"])),
     )
     return F.struct(headline.alias("headline"), summary.alias("summary"), F.struct(*breakdown).alias("breakdown"), factors.alias("factors"))

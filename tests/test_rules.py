@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import maths
 from quarry.operators import coverage, evidence, legal, pricing
 from quarry.sources import tribunals
 
@@ -73,3 +74,9 @@ def test_scores_of_runs_and_imports(spark):
     checks = {"source_evidence": F.lit("complete"), "canonical_identity": F.lit("complete"), "judicial_process": F.lit("complete"), "publication_history": F.lit("complete"), "financial_facts": F.lit("complete"), "legal_signals": F.lit("complete"), "scoring": F.lit("complete"), "operation": F.lit("partial")}
     value, grade = evidence.completeness(checks)
     assert tuple(one.select(value.alias("v"), grade.alias("g")).first()) == (98, "A")  # 97.5
+
+
+def test_explained_halves(spark):
+    """A share of which a hundred times a hundred is a whole and a half goes up, whatever the text of its percentage; a part just below its half stays down."""
+    row = spark.createDataFrame([(0.10674999999999998, 0.00653)], "share double, part double").select(pricing._percent(F.col("share")).alias("p"), maths.rounded(F.lit(0.15) * F.col("part"), 6).alias("c")).first()
+    assert (row.p, row.c) == ("10.68%", 0.000979)
