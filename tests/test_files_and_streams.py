@@ -84,3 +84,10 @@ def test_exact_rounding(spark):
     given = {1.005: 1.0, 1.255: 1.25, 2.5: 2.5, -1.005: -1.0, 0.125: 0.13, -0.125: -0.13, 8.345: 8.35, 10.235: 10.23, 0.0: 0.0, 1e12 + 0.005: round(1e12 + 0.005, 2)}
     rows = spark.createDataFrame([(x,) for x in given], "x double").select("x", maths.to_fixed("x", 2).alias("y")).collect()
     assert {r.x: r.y for r in rows} == given
+
+
+def test_years_of_links(spark):
+    """Numbers in a page's address are no years, those in a file's are."""
+    links = [(1, 0, "/mapa/2010", "Mapa"), (1, 1, "/mapa/2011", "Mapa de 2012"), (1, 2, "/lista-2013.csv", "Lista"), (1, 3, "/lista-2014.csv", "Lista de 2015")]
+    rows = files.ranked_links(spark.createDataFrame(links, "page int, n int, href string, title string"), "page").orderBy("n").collect()
+    assert [r.year for r in rows] == [None, 2012, 2013, 2015]
