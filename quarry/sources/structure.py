@@ -75,19 +75,25 @@ def regions(scan: DataFrame, key: str, *names: str) -> DataFrame:
     return rows.where("opens").select(key, "name", F.col("n").alias("begin"), "end", "tag")
 
 
+def _covered(scan: DataFrame, regions_: DataFrame, key: str) -> DataFrame:
+    """regions_ with `n`, a row for each tag from begin up to end, or to the last of the page: as many rows as they enclose, whatever else the page holds."""
+    lasts = scan.groupBy(key).agg(F.max("n").alias("_last"))
+    to = F.coalesce(F.col("end") - 1, F.col("_last"))
+    return regions_.join(lasts, key).where(F.col("begin") <= to).withColumn("n", F.explode(F.sequence(F.col("begin"), to))).drop("_last")
+
+
 def contents(scan: DataFrame, regions_: DataFrame, key: str, by: str = " ") -> DataFrame:
     """regions_ with `text`: what they enclose, without tags, references decoded, white space as one space."""
     inner = scan.select(key, "n", F.concat(F.when(F.col("opens") & F.col("name").isin("script", "style"), F.lit("")).otherwise(F.lit(by)), "text").alias("piece"))
-    within = (F.col("n") >= F.col("begin")) & (F.col("end").isNull() | (F.col("n") < F.col("end")))
-    joined = regions_.join(inner, key).where(within)
+    joined = _covered(scan, regions_, key).join(inner, [key, "n"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "")
     return joined.groupBy(*regions_.columns).agg(strip_tags(text, "").alias("text"))
 
 
 def holders(rows: DataFrame, regions_: DataFrame, key: str) -> DataFrame:
     """rows (key, n), each with the begin of the innermost of regions_ that holds it; rows in none go."""
-    own = regions_.select(key, F.col("begin").alias("holder"), "end")
-    inside = rows.join(own, key).where((F.col("n") > F.col("holder")) & (F.col("end").isNull() | (F.col("n") < F.col("end")))).drop("end")
+    own = _covered(rows, regions_, key).where(F.col("n") > F.col("begin")).select(key, F.col("begin").alias("holder"), "n")
+    inside = rows.join(own, [key, "n"])
     return inside.groupBy(*rows.columns).agg(F.max("holder").alias("holder"))
 
 

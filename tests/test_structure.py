@@ -37,3 +37,14 @@ def test_a_heading_counts_once_and_panels_follow_selects(spark):
     html = "<h3>Estaduais e Municipais</h3><h4>Ordem Cronologica</h4>" + panel.format(2020) + panel.format(2021) + select.format(1) + select.format(2) + "<h4>Outra</h4><h4>Ordem Cronológica</h4>" + panel.format(2022) + select.format(3)
     got = structure.panel_links(spark.createDataFrame([(1, html)], "k long, html string"), "k", "html", BASE).collect()
     assert [(r.year, r.path_id, r.debtor_name) for r in got] == [(2020, "1", "E1")]
+
+
+def test_long_pages(spark):
+    """What a page's 20,000 regions hold is joined by its place, not each region with each tag (800 million pairs); a region that nothing closes reaches to the end, and one behind all rows holds none."""
+    scan = structure.tags(spark.createDataFrame([(1, "<p>x</p>" * 20_000 + "<p>y<b>z"), (2, "<b>q</b><p>r")], "k long, html string"), "k", "html")
+    regions = structure.regions(scan, "k", "p")
+    assert sorted(map(tuple, structure.contents(scan, regions, "k").groupBy("k", "text").count().collect())) == [(1, "x", 20_000), (1, "y z", 1), (2, "r", 1)]
+    held = structure.holders(scan.where("name = 'b' and opens").select("k", "n"), regions, "k").collect()
+    assert [(r.k, r.n, r.holder) for r in held] == [(1, 40_001, 40_000)]
+    joins = [line for line in structure.contents(scan, regions, "k")._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in line]
+    assert joins and not any("<" in line and "(n#" in line and "begin#" in line for line in joins)
