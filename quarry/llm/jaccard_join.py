@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._shared import components, hot_counts, hot_keys, small_batches, spread_join, stored
+from quarry.llm._shared import components, components_with, hot_counts, hot_keys, small_batches, spread_join, stored
 from quarry.llm._words import PLAIN, chunks, mix, shingle_hashes, split
 
 #: Orders in which a key's centre is chosen; parts beyond those that are needed; members up to which pairs of a
@@ -256,9 +256,10 @@ def _exact(k: int, percent: int):
 def _verified(documents: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of pairs (a, b, and the bytes wa and wb of their texts) whose sets are similar enough. A centre with many or long partners is split by salts."""
     pairs = stored(pairs)
-    per_a = stored(pairs.groupBy("a").agg(F.count("*").alias("count"), F.max("wa").alias("wa"), F.greatest(F.ceil(F.count("*") / 128), F.ceil(F.sum("wb") / VERIFY_BYTES)).alias("salts")))
-    count = pairs.count()
-    size = (pairs.agg(F.sum("wb")).first()[0] or 0) + (per_a.agg(F.sum(F.col("wa") * F.col("salts"))).first()[0] or 0)
+    per_a = stored(pairs.groupBy("a").agg(F.count("*").alias("count"), F.max("wa").alias("wa"), F.sum("wb").alias("wb"), F.greatest(F.ceil(F.count("*") / 128), F.ceil(F.sum("wb") / VERIFY_BYTES)).alias("salts")))
+    count, size = per_a.agg(F.sum("count"), F.sum(F.col("wb") + F.col("wa") * F.col("salts"))).first()
+    if not count:
+        return pairs.select("a", "b")
     buckets = max(1, -(-count // VERIFY_PAIRS), -(-size // (2 * VERIFY_BYTES)))
     salted = spread_join(pairs.select("a", "b"), per_a.select("a", F.col("salts").alias("n")), "a", "b", hot_counts(per_a, "a")).withColumn("salt", F.pmod(F.xxhash64("b"), "n"))
     members = stored(salted.select("a", "salt", F.col("b").alias("doc_id")).unionAll(salted.select("a", "salt", F.col("a").alias("doc_id")).distinct()))
@@ -292,38 +293,43 @@ def similarity_components(documents: DataFrame, k: int = 5, percent: int = 80) -
     shape = "key long, doc_id long, n int, m int"
     keyed = documents.where("doc_id is not null and text is not null").mapInArrow(keys, shape)
     # Keys of many sampled documents are dealt out; their number is bounded by the sample, and what is missed costs time only.
-    crowded = stored(sample.mapInArrow(keys, shape).groupBy("key").count().where(F.col("count") >= CROWDED).select("key", F.lit(True).alias("crowded")))
-    keyed = keyed.join(F.broadcast(crowded), "key", "left").withColumn("salt", F.when(F.col("crowded"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    crowded = stored(sample.mapInArrow(keys, shape).groupBy("key").agg(F.count("*").alias("crowd")).where(F.col("crowd") >= CROWDED))
+    keyed = keyed.join(F.broadcast(crowded), "key", "left").withColumn("salt", F.when(F.col("crowd").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int"))
     # The first of a key, in one of a few orders, is its centre; of a crowded key it is found by an aggregate.
     turn = F.xxhash64("doc_id", F.col("key").bitwiseAND(ORDERS - 1))
     in_key = Window.partitionBy("key", "salt").orderBy(turn, "doc_id")
-    centre = F.when(F.col("crowded").isNull(), F.first(F.struct("doc_id", "n")).over(in_key))
+    centre = F.when(F.col("crowd").isNull(), F.first(F.struct("doc_id", "n")).over(in_key))
     more = F.lead("doc_id").over(in_key).isNotNull()
-    shared = keyed.withColumn("centre", centre).withColumn("more", more).where("crowded or centre.doc_id <> doc_id or more")
-    shared = stored(shared.select("key", "doc_id", "n", "m", F.col("centre.doc_id").alias("c"), F.col("centre.n").alias("cn"), "crowded"))
-    centres = shared.where("crowded").groupBy("key").agg(F.min_by(F.struct("doc_id", "n"), F.struct(turn, "doc_id")).alias("centre"))
-    shared = shared.join(F.broadcast(centres), "key", "left").withColumns({"c": F.coalesce("c", "centre.doc_id"), "cn": F.coalesce("cn", "centre.n")}).drop("centre", "crowded")  # one row of each crowded key
+    shared = keyed.withColumn("centre", centre).withColumn("more", more).where("crowd is not null or centre.doc_id <> doc_id or more")
+    shared = stored(shared.select("key", "doc_id", "n", "m", F.col("centre.doc_id").alias("c"), F.col("centre.n").alias("cn"), "crowd"))
+    # A few more centres of a crowded key, for what its centre leaves apart.
+    others = [F.min_by(F.struct("doc_id", "n"), F.struct(F.xxhash64("doc_id", F.lit(ORDERS + k)), "doc_id")) for k in range(CENTRES)]
+    centres = stored(shared.where("crowd is not null").groupBy("key").agg(F.min_by(F.struct("doc_id", "n"), F.struct(turn, "doc_id")).alias("centre"), F.array(*others).alias("more")))  # one row of each crowded key
     one = copies.select(F.col("a").alias("id"), F.col("b").alias("first"))  # a copy's first document stands for it
 
     def first_of(df: DataFrame, column: str) -> DataFrame:
         return df.join(one, F.col(column) == one["id"], "left").withColumn(column, F.coalesce("first", column)).drop("id", "first")
 
     fits = f"100 * least(n, cn) >= {percent} * greatest(n, cn)"
-    star = shared.where(f"c <> doc_id and {fits}").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
+    star = shared.join(F.broadcast(centres.select("key", "centre")), "key", "left").select("doc_id", "n", F.coalesce("c", "centre.doc_id").alias("c"), F.coalesce("cn", "centre.n").alias("cn"))
+    # A document meets the others of its most crowded key only; who shares more keys with it would be met many times.
+    once = shared.where("crowd is not null").groupBy("doc_id").agg(F.max_by(F.struct("key", "n"), F.struct("crowd", "key")).alias("x")).select("doc_id", "x.*")
+    met = once.join(F.broadcast(centres.select("key", "more")), "key").select("doc_id", "n", F.explode("more").alias("c")).select("doc_id", "n", F.col("c.doc_id").alias("c"), F.col("c.n").alias("cn"))
+    star = star.unionAll(met).where(f"c <> doc_id and {fits}").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
     star = first_of(first_of(star, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sketches = nodes.select("doc_id", "sketch", "n", "size").distinct()
+    sketches = stored(nodes.select("doc_id", "sketch", "n", "size").distinct())
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("size").alias(f"w{x}"))
 
     def within(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs)
         one = spread_join(pairs, side("a"), "a", "b", hot_keys(pairs, "a"))
         both = spread_join(one, side("b"), "b", "a", hot_keys(pairs, "b"))
-        return both.select("a", "b", "sa", "sb", "na", "nb", "wa", "wb").mapInArrow(_within_bound(percent), "a long, b long, wa long, wb long").distinct()
+        return both.select("a", "b", "sa", "sb", "na", "nb", "wa", "wb").mapInArrow(_within_bound(percent), "a long, b long, wa long, wb long")
 
     links = copies.unionAll(_verified(documents, within(star), k, percent))
     found = stored(components(links))
     # Members of one key that are still apart.
-    members = stored(first_of(shared.select("key", "doc_id", "n", "m").distinct(), "doc_id").distinct())
+    members = stored(first_of(shared.select("key", "doc_id", "n", "m", F.col("crowd").isNotNull().alias("met")), "doc_id").distinct())
     hot = crowded.select("key", F.lit(SALTS).alias("salts"))
 
     def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -332,16 +338,14 @@ def similarity_components(documents: DataFrame, k: int = 5, percent: int = 80) -
         return stored(spread_join(rows, mixed, "key", "doc_id", hot))
 
     rest = apart(members, found)
-    crowd = rest.where(F.col("members") > FEW)
-    if crowd.limit(1).count():  # each is compared with a few more centres of its key, not with all others
+    crowd = rest.where((F.col("members") > TILE) & ~F.col("met"))
+    if crowd.limit(1).count():  # keys that the sample missed: each is compared with a few more centres of its key, not with all others
         others = [F.min_by(F.struct("doc_id", "n", "component"), F.struct(F.xxhash64("doc_id", F.lit(ORDERS + k)), "doc_id")) for k in range(CENTRES)]
         more = crowd.groupBy("key").agg(F.array(*others).alias("c"))
-        # A document meets those of its most crowded key only; who shares more keys with it would be met many times.
         once = stored(crowd.groupBy("doc_id").agg(F.max_by(F.struct("key", "n", "component"), F.struct("members", "key")).alias("x")).select("doc_id", "x.*"))
         met = spread_join(once, more, "key", "doc_id", hot).select("doc_id", "n", "component", F.explode("c").alias("c")).where("component <> c.component").select("doc_id", "n", F.col("c.doc_id").alias("c"), F.col("c.n").alias("cn"))
         met = met.where(fits).select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
-        links = links.unionAll(_verified(documents, within(met), k, percent))
-        found = stored(components(links))
+        found = stored(components_with(found, _verified(documents, within(met), k, percent)))
         rest = apart(rest.drop("component", "members"), found)
     few = rest.where(F.col("members") <= FEW)
     left, right = (few.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "m", "component"))) for x in "ab")
@@ -349,11 +353,11 @@ def similarity_components(documents: DataFrame, k: int = 5, percent: int = 80) -
     pairs = pairs.groupBy(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).agg(F.count("*").alias("common"), F.min(F.least("ma", "mb") - F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))).alias("least"))
     tiled = _tiled(stored(rest.where(F.col("members") > FEW)))
     dealt = tiled.join(sketches.select("doc_id", "sketch"), "doc_id").select("key", "doc_id", "component", "n", "sketch", "tile", F.explode("pairs").alias("p")).select("*", "p.s", "p.t").drop("p")
-    crowded = dealt.groupBy("key", "s", "t").applyInArrow(_apart(percent), "a long, b long")  # two tiles at most
-    late = within(pairs.where("common >= least").select("a", "b").unionAll(crowded).distinct())
+    near = dealt.groupBy("key", "s", "t").applyInArrow(_apart(percent), "a long, b long")  # two tiles at most
+    late = within(pairs.where("common >= least").select("a", "b").unionAll(near).distinct())
     late = _verified(documents, late, k, percent)
     if late.limit(1).count():
-        found = components(links.unionAll(late))
+        found = components_with(found, late)
     found = found.withColumnRenamed("node", "doc_id")
     return profiles.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
