@@ -2,10 +2,11 @@
 
 The model is a modified Kneser-Ney model of character n-grams. Spark counts them over every distinct line of all
 documents that pass the counts, so neither copies nor boilerplate teach it more than once, and derives the lower
-orders, discounts, probabilities and back-off weights by grouping and joining. What remains of a language, the
-n-grams that make at least a millionth of its characters, is kept as arrays of 64-bit hashes in order, with their
-log-probabilities beside them; a task scores a batch of texts by binary search. Each language has a band around the
-median bits of its documents, as wide as their spread asks for; documents above or below it are rejected.
+orders, discounts, probabilities and back-off weights by grouping and joining. A language's n-grams that make at least
+a millionth of its characters are kept as arrays of 64-bit hashes in order, with their log-probabilities beside them; a
+task scores a batch of texts by binary search. Windows of a text that are not among them meet the whole model in joins,
+so no n-gram is left out. Each language has a band around the median bits of its documents, as wide as their spread
+asks for; documents above or below it are rejected.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from quarry.llm import _words
 from quarry.llm._shared import hot_keys, small_batches, spread_join, stored
 
-#: Characters of the longest n-gram, and the share of a language's characters that an n-gram must make to stay.
+#: Characters of the longest n-gram, and the share of a language's characters that an n-gram in the tasks' arrays makes.
 ORDER, SHARE = 4, 1e-6
 #: Base rules: fewest words, most repeated words in percent. A document teaches if it also has at most this percent of symbols to words.
 LEAST_WORDS, MOST_REPEATED, MOST_SYMBOLS = 50, 50, 2
@@ -135,14 +136,14 @@ def _counted(order: int):
     return run
 
 
-def language_model(documents: DataFrame, order: int = ORDER, share: float = SHARE) -> DataFrame:
-    """lang, size, gram, logp, backoff: a modified Kneser-Ney model of the characters of each language, in bits.
+def language_model(documents: DataFrame, order: int = ORDER, share: float = 0.0) -> DataFrame:
+    """lang, size, gram, logp, backoff, raw, characters: a modified Kneser-Ney model of the characters of each language, in bits.
 
     documents: lang, text. A document that fails the base rules or is full of symbols teaches nothing; every other
     line counts once, however many documents have it. A null lang is a language of its own. `\\n` begins and ends
-    lines. An n-gram stays if it makes at least `share` of its language's characters, so at most 1/share of each
-    size stay; the mass of the others goes to the back-off weights. The empty gram holds the probability of a
-    character that no line has.
+    lines. Every n-gram stays; with a `share`, only those that make at least so much of their language's characters,
+    and the mass of the others goes to the back-off weights. The empty gram holds the probability of a
+    character that no line has. raw: how often an n-gram is there; characters: of its language.
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")
     texts = documents.select(lang, F.col("text").cast("string").alias("text")).where("text is not null")
@@ -169,23 +170,23 @@ def language_model(documents: DataFrame, order: int = ORDER, share: float = SHAR
         context = F.substring("gram", 1, n - 1).alias("context")
         own = tables[n].join(facts.where(F.col("size") == n), "lang")
         cut = F.col("adj") - F.when(F.col("adj") == 1, F.col("d1")).when(F.col("adj") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = own.select("lang", "gram", context, "adj", cut.alias("cut"), (F.col("raw") >= F.col("characters") * share).alias("stays"), "kinds")
+        own = own.select("lang", "gram", context, "adj", cut.alias("cut"), (F.col("raw") >= F.col("characters") * share).alias("stays"), "kinds", "raw", "characters")
         sums = own.groupBy("lang", "context").agg(F.sum("adj").alias("total"), F.sum(F.when(F.col("stays"), F.col("cut")).otherwise(0.0)).alias("given"))
         own = own.where("stays").join(sums, ["lang", "context"]).withColumn("left", 1 - F.col("given") / F.col("total"))
         if n == 1:
             unseen = F.col("left") / (F.col("kinds") + 1)
-            now = own.select("lang", "gram", (F.col("cut") / F.col("total") + unseen).alias("p"))
-            model = own.groupBy("lang").agg(F.first(unseen).alias("p")).select("lang", F.lit(0).alias("size"), F.lit("").alias("gram"), "p")
+            now = own.select("lang", "gram", (F.col("cut") / F.col("total") + unseen).alias("p"), "raw", "characters")
+            model = own.groupBy("lang").agg(F.first(unseen).alias("p"), F.first("characters").alias("characters")).select("lang", F.lit(0).alias("size"), F.lit("").alias("gram"), "p", F.col("characters").alias("raw"), "characters")
         else:
             own = own.withColumn("gram_below", F.substring("gram", 2, n - 1)).join(below.select("lang", F.col("gram").alias("gram_below"), F.col("p").alias("p_below")), ["lang", "gram_below"])
-            now = own.select("lang", "gram", (F.col("cut") / F.col("total") + F.col("left") * F.col("p_below")).alias("p"))
+            now = own.select("lang", "gram", (F.col("cut") / F.col("total") + F.col("left") * F.col("p_below")).alias("p"), "raw", "characters")
             weights = sums.select("lang", F.col("context").alias("gram"), (1 - F.col("given") / F.col("total")).alias("w"))
             below = below.join(weights, ["lang", "gram"], "left")
             model = model.withColumn("w", F.lit(None).cast("double")) if n == 2 else model
-            model = model.unionByName(below.select("lang", F.lit(n - 1).alias("size"), "gram", "p", "w"))
+            model = model.unionByName(below.select("lang", F.lit(n - 1).alias("size"), "gram", "p", "raw", "characters", "w"))
         below = stored(now)
-    model = model.unionByName(below.select("lang", F.lit(order).alias("size"), "gram", "p", F.lit(None).cast("double").alias("w")))
-    return stored(model.select("lang", "size", "gram", F.log2("p").alias("logp"), F.coalesce(F.log2(F.greatest("w", F.lit(1e-9))), F.lit(0.0)).alias("backoff")))
+    model = model.unionByName(below.select("lang", F.lit(order).alias("size"), "gram", "p", "raw", "characters", F.lit(None).cast("double").alias("w")))
+    return stored(model.select("lang", "size", "gram", F.log2("p").alias("logp"), F.coalesce(F.log2(F.greatest("w", F.lit(1e-9))), F.lit(0.0)).alias("backoff"), "raw", "characters"))
 
 
 def _arrays(table: pa.Table, order: int) -> dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -218,8 +219,8 @@ def _gram_hashes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bits(codes: np.ndarray, of: np.ndarray, n_texts: int, sizes: list, order: int) -> np.ndarray:
-    """Bits a character of each text, ends of lines included; NaN for a text without words."""
+def bits(codes: np.ndarray, of: np.ndarray, n_texts: int, sizes: list, order: int, rare: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
+    """Bits and characters of each text, ends of lines included, and with `rare` its windows that the arrays do not hold, and how often; their bits are not in the first."""
     known, hashes = _windows(codes, order)
     known[0] = 0
     # A place's probability is that of its longest n-gram, so each of those is looked up once.
@@ -241,6 +242,10 @@ def bits(codes: np.ndarray, of: np.ndarray, n_texts: int, sizes: list, order: in
     for n in range(order, 0, -1):
         spot, hit = found(n, place)
         hit &= open_ & (length >= n)
+        if n == order:
+            whole = hit.copy()  # found as long as it can be
+        else:
+            whole |= hit & (length == n)
         logs[hit] = sizes[n][1][spot[hit]] + back[hit]
         open_ &= ~hit
         if n > 1:  # the context, the n - 1 characters before the last, may have a weight
@@ -250,14 +255,23 @@ def bits(codes: np.ndarray, of: np.ndarray, n_texts: int, sizes: list, order: in
     logs[open_] += back[open_]
     out = logs[back_to]
     told = known > 0
-    total, n = np.bincount(of[told], -out[told], minlength=n_texts), np.bincount(of[told], minlength=n_texts)
-    return np.where(n > 1, total / np.maximum(n, 1), np.nan)
+    windows: list[list] = [[] for _ in range(n_texts)]
+    if rare:
+        late = np.flatnonzero(told & ~whole[back_to])
+        pairs, count = np.unique(np.stack([of[late], back_to[late]]), axis=1, return_counts=True)
+        text = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        for doc, at, many in zip(*pairs.tolist(), count.tolist(), strict=True):
+            end = int(place[at]) + 1
+            windows[doc].append({"gram": text[end - min(int(length[at]), order) : end], "n": many})
+        out[late] = 0.0
+    return np.bincount(of[told], -out[told], minlength=n_texts), np.bincount(of[told], minlength=n_texts), windows
 
 
-_SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, teaches boolean, bits double"
+_OPEN = pa.list_(pa.struct([("gram", pa.string()), ("n", pa.int64())]))
+_SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, teaches boolean, total double, chars long, open array<struct<gram:string,n:long>>"
 
 
-def _scored(model: dict, others: set, order: int):
+def _scored(model: dict, others: set, rare: set, order: int):
     names = [x.split()[0] for x in _SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,34 +279,63 @@ def _scored(model: dict, others: set, order: int):
             own = batch.filter(pa.array([x in model or x in others for x in batch.column("lang").to_pylist()], pa.bool_()))
             for part in _words.chunks(own):
                 langs, texts = np.array(part.column("lang").to_pylist(), object), part.column("text").to_pylist()
-                stats, score = text_stats(part.column("text")), np.full(len(texts), np.nan)
+                stats, total, chars, late = text_stats(part.column("text")), np.zeros(len(texts)), np.zeros(len(texts), np.int64), [[] for _ in texts]
                 for lang in set(langs) & model.keys():
                     rows = np.flatnonzero(langs == lang)
                     codes, of = _codes([texts[i] for i in rows])
-                    score[rows] = bits(codes, of, len(rows), model[lang], order)
+                    total[rows], chars[rows], own_late = bits(codes, of, len(rows), model[lang], order, lang in rare)
+                    for row, x in zip(rows.tolist(), own_late, strict=True):
+                        late[row] = x
                 failed, teaches = _verdicts(stats)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(stats[x]) for x in STATS), pa.array(failed), pa.array(teaches), pa.array(score, mask=np.isnan(score))], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(stats[x]) for x in STATS), pa.array(failed), pa.array(teaches), pa.array(total), pa.array(chars), pa.array(late, _OPEN)], names=names)
 
     return run
 
 
-def scores(documents: DataFrame, model: DataFrame, order: int = ORDER, block: int = BLOCK) -> DataFrame:
+def _looked_up(windows: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """lang, gram, logp of distinct windows (lang, gram) by the whole model: of the longest n-gram that ends a window, after the weights of the contexts that are longer."""
+    out = windows.withColumns({"cur": F.col("gram"), "back": F.lit(0.0), "logp": F.lit(None).cast("double")})
+    table = lambda n, key, value: model.where(F.col("size") == n).select("lang", F.col("gram").alias(key), F.col(value).alias("_v"))
+    for n in range(order, 0, -1):
+        due = F.col("logp").isNull() & (F.length("cur") == n)
+        out = out.join(table(n, "cur", "logp"), ["lang", "cur"], "left").withColumn("logp", F.coalesce("logp", F.when(due, F.col("_v") + F.col("back")))).drop("_v")
+        if n > 1:
+            out = out.withColumn("_c", F.when(due, F.substring("cur", 1, n - 1))).join(table(n - 1, "_c", "backoff"), ["lang", "_c"], "left")
+            out = out.withColumn("back", F.col("back") + F.coalesce("_v", F.lit(0.0))).drop("_v", "_c")
+        out = out.withColumn("cur", F.when(due, F.substring("cur", 2, n)).otherwise(F.col("cur")))
+    unseen = model.where("size = 0").select("lang", F.col("logp").alias("_v"))  # a row per language
+    return out.join(F.broadcast(unseen), "lang", "left").select("lang", "gram", F.coalesce("logp", F.col("_v") + F.col("back")).alias("logp"))
+
+
+def scores(documents: DataFrame, model: DataFrame, order: int = ORDER, block: int = BLOCK, share: float = SHARE) -> DataFrame:
     """doc_id, lang, STATS, base_failed, teaches and bits of each document; stored. bits is null where the language has no model.
 
-    The driver sends the arrays of at most `block` n-grams and one more language (1/SHARE of each size at most) to the
-    tasks; with more, the documents are read once for each block of languages.
+    The driver sends the arrays of at most `block` n-grams and one more language to the tasks, of n-grams that make at
+    least `share` of their language's characters (1/share of each size at most); with more, the documents are read once
+    for each block of languages. What a text has beside them is looked up in the whole model by joins.
     """
     named = documents.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = named.groupBy("lang").agg(F.lit(1).alias("one")).join(model.groupBy("lang").count(), "lang", "left")
+    common = F.col("raw") >= F.col("characters") * share
+    sizes = named.groupBy("lang").agg(F.lit(1).alias("one")).join(model.groupBy("lang").agg(F.count_if(common).alias("count"), F.count_if(~common).alias("others")), "lang", "left")
     running = F.sum(F.coalesce("count", F.lit(0)) + 1).over(Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # a row per language
-    blocks = stored(sizes.select("lang", F.floor((running - 1) / block).alias("block")))
-    out = None
+    blocks = stored(sizes.select("lang", F.floor((running - 1) / block).alias("block"), F.coalesce(F.col("others") > 0, F.lit(False)).alias("rare")))
+    out, any_rare = None, False
     for number in sorted(x["block"] for x in blocks.select("block").distinct().collect()):
-        langs = {x["lang"] for x in blocks.where(F.col("block") == number).select("lang").collect()}  # at most `block`
-        table = model.join(F.broadcast(blocks.where(F.col("block") == number).select("lang")), "lang").toArrow()
-        part = small_batches(named).mapInArrow(_scored(_arrays(table, order), langs, order), _SCORED)
+        langs = {x["lang"]: x["rare"] for x in blocks.where(F.col("block") == number).select("lang", "rare").collect()}  # at most `block`
+        rare = {x for x, has in langs.items() if has}
+        any_rare = any_rare or bool(rare)
+        table = model.where(common).join(F.broadcast(blocks.where(F.col("block") == number).select("lang")), "lang").toArrow()
+        part = small_batches(named).mapInArrow(_scored(_arrays(table, order), set(langs), rare, order), _SCORED)
         out = part if out is None else out.unionAll(part)
-    return stored(out if out is not None else named.sparkSession.createDataFrame([], _SCORED))
+    kept = [x.split()[0] for x in _SCORED.split(", ")[:-3]]
+    bits_ = F.when(F.col("chars") > 1, F.col("total") / F.col("chars")).alias("bits")
+    if not any_rare:
+        return stored((out if out is not None else named.sparkSession.createDataFrame([], _SCORED)).select(*kept, bits_))
+    out = stored(out.withColumn("_row", F.monotonically_increasing_id()))
+    late = out.select("_row", "lang", F.explode("open").alias("x")).select("_row", F.struct("lang", "x.gram").alias("window"), "x.n")
+    found = _looked_up(late.select("window.*").distinct(), model, order).select(F.struct("lang", "gram").alias("window"), "logp")
+    more = spread_join(late, found, "window", "_row", hot_keys(late, "window")).groupBy("_row").agg(F.sum(-F.col("n") * F.col("logp")).alias("more"))
+    return stored(out.join(more, "_row", "left").withColumn("total", F.col("total") + F.coalesce("more", F.lit(0.0))).select(*kept, bits_))
 
 
 def _median(histogram: DataFrame, value: str) -> DataFrame:
