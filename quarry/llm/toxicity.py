@@ -151,13 +151,33 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "text"), own], names=[*(c for c in part.schema.names if c != "text"), "features"])
 
 
+def _telling(rows: DataFrame, chain: tuple[str, ...]) -> DataFrame:
+    """f: the features that fit_linear may choose in some model of the chain: with one fold left out, or none, MIN_ROWS rows have them and their classes differ by MIN_Z.
+
+    rows: a row per text with labels, fold and features. A little below MIN_Z counts too, for sums of doubles come in any order.
+    """
+    known = {x["fold"]: x for x in rows.groupBy("fold").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in chain)).collect()}  # FOLDS rows
+    folds = sorted(known)
+    per = [F.count_if(F.col("fold") == k).alias(f"n{k}") for k in folds] + [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0.0)).alias(f"{c}{k}") for k in folds for c in chain]
+    counted = rows.select("fold", *chain, F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n"), *per)
+    test = F.lit(False)
+    for out in (None, *folds):
+        own = [k for k in folds if k != out]
+        size, n = sum(known[k]["n"] for k in own), sum((F.col(f"n{k}") for k in own), F.lit(0))
+        for c in chain if size else ():
+            prior = float(np.clip(sum(known[k][c] for k in own) / size, 1e-3, 1 - 1e-3))
+            apart = F.abs(sum((F.col(f"{c}{k}") for k in own), F.lit(0.0)) - n * prior)
+            test = test | ((n >= MIN_ROWS) & (apart >= (MIN_Z - 1e-6) * F.sqrt(n * prior * (1 - prior))))
+    return counted.where(test).select("f")
+
+
 def train(documents: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, sample_rows: int = SAMPLE_ROWS, text_bytes: int = TEXT_BYTES) -> Chain:
     """A chain from at most sample_rows labelled documents of at most text_bytes, chosen by a hash of doc_id.
 
     Rows of labels with a null in doc_id or a label are left out; several rows of one doc_id count as their
     largest labels, several documents of one doc_id as the first text. Copies of a text are in one fold. Only
-    features that MIN_ROWS of the sample have reach the driver, for no model takes others. Without rows or
-    with one class only, the chain finds nothing toxic.
+    features that some model may choose reach the driver (see _telling). Without rows or with one class only,
+    the chain finds nothing toxic.
     """
     documents = small_batches(documents)
     known = labels.select("doc_id", *chain).na.drop().groupBy("doc_id").agg(*(F.max(c).cast("double").alias(c) for c in chain))
@@ -165,9 +185,7 @@ def train(documents: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAI
     texts = documents.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= text_bytes).join(F.broadcast(known), "doc_id")  # at most sample_rows rows
     texts = texts.groupBy("doc_id", *chain).agg(F.min("text").alias("text")).select(F.col("doc_id").cast("long"), *chain, F.pmod(F.xxhash64("text"), F.lit(FOLDS)).alias("fold"), "text")
     rows = stored(texts.mapInArrow(_features_of, "doc_id long, " + ", ".join(f"{c} double" for c in chain) + ", fold long, features array<int>"))
-    own = rows.select("doc_id", F.explode("features").alias("f"))
-    common = own.groupBy("f").count().where(F.col("count") >= MIN_ROWS).select("f")
-    own = own.join(common, "f").groupBy("doc_id").agg(F.collect_list("f").alias("features"))
+    own = rows.select("doc_id", F.explode("features").alias("f")).join(_telling(rows, chain), "f").groupBy("doc_id").agg(F.collect_list("f").alias("features"))
     table = rows.drop("features").join(own, "doc_id", "left").toArrow().sort_by("doc_id")
     features_ = [np.sort(np.asarray(x.values, np.int64) & 0xFFFFFFFF) if x.is_valid else np.empty(0, np.int64) for x in table.column("features")]
     y = np.array([table.column(c).to_numpy() for c in chain]).T
