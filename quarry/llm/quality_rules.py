@@ -112,15 +112,37 @@ def _windows(codes: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray
     return known, hashes
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of short lines put together to about a chunk, so that an n-gram is counted once for many lines."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column("line"))).as_py() or 0
+        if size >= _words.CHUNK_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _places(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of values' distinct ones: a place of each, which of them each value is, and how often each is there."""
+    _, which, count = np.unique(values, return_inverse=True, return_counts=True)
+    place = np.empty(len(count), np.int64)
+    place[which] = np.arange(len(values))
+    return place, which, count
+
+
 def _counted(order: int):
     """lang, gram, n: how often each n-gram of full length, or from a line's start, ends in the lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             for part in _words.chunks(batch, "line"):
-                names, index = np.unique(np.array(part.column("lang").to_pylist(), object), return_inverse=True)
-                lines = part.column("line").to_pylist()
-                for k, lang in enumerate(names):
+                langs = part.column("lang").dictionary_encode()
+                index, lines = langs.indices.to_numpy(), part.column("line").to_pylist()
+                for k, lang in enumerate(langs.dictionary.to_pylist()):
                     codes, _ = _codes([lines[i] for i in np.flatnonzero(index == k)])
                     known, hashes = _windows(codes, order)
                     size = np.minimum(known, order)
@@ -128,9 +150,9 @@ def _counted(order: int):
                     text = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
                     for n in range(2, order + 1):
                         at = np.flatnonzero(size == n)
-                        _, first, count = np.unique(hashes[n - 1][at], return_index=True, return_counts=True)
-                        ends = at[first] + 1
-                        if len(ends):
+                        if len(at):
+                            own, count = _places(hashes[n - 1][at])[::2]
+                            ends = at[own] + 1
                             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(ends), pa.string()), pa.array([text[e - n : e] for e in ends.tolist()], pa.string()), pa.array(count)], names=["lang", "gram", "n"])
 
     return run
@@ -219,8 +241,8 @@ def _gram_hashes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bits(codes: np.ndarray, of: np.ndarray, n_texts: int, sizes: list, order: int, rare: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
-    """Bits and characters of each text, ends of lines included, and with `rare` its windows that the arrays do not hold, and how often; their bits are not in the first."""
+def bits(codes: np.ndarray, of: np.ndarray, n_texts: int, sizes: list, order: int, rare: bool = False) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Bits and characters of each text, ends of lines included, and with `rare` its windows that the arrays do not hold: texts, windows, how often; their bits are not in the first."""
     known, hashes = _windows(codes, order)
     known[0] = 0
     # A place's probability is that of its longest n-gram, so each of those is looked up once.
@@ -228,8 +250,9 @@ def bits(codes: np.ndarray, of: np.ndarray, n_texts: int, sizes: list, order: in
     for n in range(1, order):
         at = np.flatnonzero(known == n)
         longest[at] = _words.mix(hashes[n - 1][at] + np.uint64(n))
-    _, place, back_to = np.unique(longest, return_index=True, return_inverse=True)
-    length, open_, back = known[place], known[place] > 0, np.zeros(len(place))
+    place, back_to, _ = _places(longest)
+    length, back = known[place], np.zeros(len(place))
+    open_, whole = length > 0, np.zeros(len(place), bool)  # whole: found as long as it can be
     logs = np.full(len(place), sizes[0][1][0] if len(sizes[0][1]) else np.float32(-20), np.float64)
 
     def found(n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,34 +263,42 @@ def bits(codes: np.ndarray, of: np.ndarray, n_texts: int, sizes: list, order: in
         return spot, table[spot] == wanted
 
     for n in range(order, 0, -1):
-        spot, hit = found(n, place)
-        hit &= open_ & (length >= n)
-        if n == order:
-            whole = hit.copy()  # found as long as it can be
-        else:
-            whole |= hit & (length == n)
-        logs[hit] = sizes[n][1][spot[hit]] + back[hit]
-        open_ &= ~hit
+        due = np.flatnonzero(open_ & (length >= n))
+        spot, hit = found(n, place[due])
+        at = due[hit]
+        whole[at] = (n == order) | (length[at] == n)
+        logs[at] = sizes[n][1][spot[hit]] + back[at]
+        open_[at] = False
         if n > 1:  # the context, the n - 1 characters before the last, may have a weight
-            spot, hit = found(n - 1, place - 1)
-            hit &= length >= n
-            back[hit] += sizes[n - 1][2][spot[hit]]
+            due = due[~hit]
+            spot, hit = found(n - 1, place[due] - 1)
+            back[due[hit]] += sizes[n - 1][2][spot[hit]]
     logs[open_] += back[open_]
     out = logs[back_to]
     told = known > 0
-    windows: list[list] = [[] for _ in range(n_texts)]
+    windows: tuple = (np.empty(0, np.int64), pa.array([], pa.string()), np.empty(0, np.int64))
     if rare:
         late = np.flatnonzero(told & ~whole[back_to])
-        pairs, count = np.unique(np.stack([of[late], back_to[late]]), axis=1, return_counts=True)
+        pairs, many = np.unique(of[late] * len(place) + back_to[late], return_counts=True)
+        at, which = np.unique(pairs % len(place), return_inverse=True)
         text = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-        for doc, at, many in zip(*pairs.tolist(), count.tolist(), strict=True):
-            end = int(place[at]) + 1
-            windows[doc].append({"gram": text[end - min(int(length[at]), order) : end], "n": many})
+        ends = place[at] + 1
+        grams = [text[a:b] for a, b in zip((ends - np.minimum(length[at], order)).tolist(), ends.tolist(), strict=True)]
+        windows = pairs // len(place), pa.array(grams, pa.string()).take(pa.array(which)), many
         out[late] = 0.0
     return np.bincount(of[told], -out[told], minlength=n_texts), np.bincount(of[told], minlength=n_texts), windows
 
 
-_OPEN = pa.list_(pa.struct([("gram", pa.string()), ("n", pa.int64())]))
+def _lists(late: list[pa.Table], n_texts: int) -> pa.ListArray:
+    """The windows (row, gram, n) of each text as a list."""
+    if not late:
+        late = [pa.table({"row": pa.array([], pa.int64()), "gram": pa.array([], pa.string()), "n": pa.array([], pa.int64())})]
+    table = pa.concat_tables(late).sort_by("row").combine_chunks()
+    at = np.searchsorted(table.column("row").to_numpy(), np.arange(n_texts + 1))
+    pairs = [pa.concat_arrays(table.column(c).chunks) if table.column(c).num_chunks else pa.array([], t) for c, t in (("gram", pa.string()), ("n", pa.int64()))]
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(pairs, ["gram", "n"]))
+
+
 _SCORED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, teaches boolean, total double, chars long, open array<struct<gram:string,n:long>>"
 
 
@@ -279,15 +310,14 @@ def _scored(model: dict, others: set, rare: set, order: int):
             own = batch.filter(pa.array([x in model or x in others for x in batch.column("lang").to_pylist()], pa.bool_()))
             for part in _words.chunks(own):
                 langs, texts = np.array(part.column("lang").to_pylist(), object), part.column("text").to_pylist()
-                stats, total, chars, late = text_stats(part.column("text")), np.zeros(len(texts)), np.zeros(len(texts), np.int64), [[] for _ in texts]
+                stats, total, chars, late = text_stats(part.column("text")), np.zeros(len(texts)), np.zeros(len(texts), np.int64), []
                 for lang in set(langs) & model.keys():
                     rows = np.flatnonzero(langs == lang)
                     codes, of = _codes([texts[i] for i in rows])
-                    total[rows], chars[rows], own_late = bits(codes, of, len(rows), model[lang], order, lang in rare)
-                    for row, x in zip(rows.tolist(), own_late, strict=True):
-                        late[row] = x
+                    total[rows], chars[rows], (own, grams, many) = bits(codes, of, len(rows), model[lang], order, lang in rare)
+                    late.append(pa.table({"row": rows[own], "gram": grams, "n": many}))
                 failed, teaches = _verdicts(stats)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(stats[x]) for x in STATS), pa.array(failed), pa.array(teaches), pa.array(total), pa.array(chars), pa.array(late, _OPEN)], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(stats[x]) for x in STATS), pa.array(failed), pa.array(teaches), pa.array(total), pa.array(chars), _lists(late, len(texts))], names=names)
 
     return run
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from quarry.llm import quality_rules as q
 from test_quality import SHAPE, plain_model, prose
@@ -33,3 +34,11 @@ def test_no_ngram_is_left_out(spark):
     rows = [(k, " ".join("".join(r.choices(letters, k=5)) for _ in range(1000)), "zh", "s", 1) for k in range(180)]
     model = q.language_model(spark.createDataFrame(rows, SHAPE))
     assert model.where("size = 4 and raw = 1 and characters > 1000000").limit(1).count() == 1
+
+
+def test_lines_of_small_batches_are_counted_together():
+    """An n-gram is one row for many batches of a task, with the sum of its counts."""
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en"], "line": ["abc ab"]}) for _ in range(50)]
+    got = [x for batch in q._counted(3)(iter(batches)) for x in batch.to_pylist()]
+    assert len({x["gram"] for x in got}) == len(got)
+    assert {x["gram"]: x["n"] for x in got} == {g: 50 for g in ("\na", "\nab", "abc", "bc ", "c a", " ab", "ab\n")}
