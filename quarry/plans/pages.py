@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.plans import bindings as b
 from quarry.plans.queries import query
-from quarry.sources import pages, structure
+from quarry.sources import files, pages, structure
 
 # Fixed values of these queries: titles in turn, with the kind that each has.
 OPEN_DATA = (("Precatórios expedidos para 20{y}", "expedition_file"), ("Série histórica de dados orçamentários", "budget_history"), ("Índice de correção monetária", "correction_index"), ("Outros dados de 20{y}", None))
@@ -25,7 +25,7 @@ def _title(table):
 
 
 def _page(spark: SparkSession, d: str, html) -> DataFrame:
-    return b.debtors(spark, d).select(F.col("debtor_id").alias("page"), html.alias("html"))
+    return files.spread(b.debtors(spark, d), "debtor_id").select(F.col("debtor_id").alias("page"), html.alias("html"))
 
 
 @query(f"SELECT debtor_id AS page, {_kinds(OPEN_DATA)}[debtor_id % 4 + 1] AS kind, CASE WHEN debtor_id % 4 = 0 THEN 2010 + debtor_id % 20 END::INT AS year FROM debtors WHERE debtor_id % 4 IN (1, 2) OR (debtor_id % 4 = 0 AND debtor_id % 20 < 10)")

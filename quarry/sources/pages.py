@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import code_key, col, search_text, strip_tags
-from quarry.sources.files import detect_format
+from quarry.sources.files import computed, detect_format
 
 # Per source, kinds of links by a pattern of the folded title (group 1: the year, if there is a group), the first that holds.
 TITLES = {
@@ -38,23 +38,26 @@ def with_context(df: DataFrame, key: str, html: str, reach: int) -> DataFrame:
     rows = df.select(key, html, F.posexplode(F.filter(parts, lambda x: x["a"].isNotNull())).alias("n", "x"), F.transform(parts, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["a"]), F.lit(0))).alias("sizes"))
     at = F.aggregate(F.slice("sizes", 1, F.col("n")), F.lit(0), lambda s, x: s + x) + F.length("x.gap")
     begin = F.greatest(at - reach, F.lit(0))
-    return rows.select(key, "n", F.trim(strip_tags(F.regexp_extract("x.a", anchor, 1))).alias("href"), strip_tags(F.regexp_extract("x.a", anchor, 2)).alias("title"), F.substr(html, begin + 1, at - begin).alias("before"))
+    out = rows.select(key, "n", F.trim(strip_tags(F.regexp_extract("x.a", anchor, 1))).alias("href"), strip_tags(F.regexp_extract("x.a", anchor, 2)).alias("title"), F.substr(html, begin + 1, at - begin).alias("before"))
+    return computed(out, "href", "title")
 
 
 def title_kinds(links: DataFrame, source: str) -> DataFrame:
     """Links of a known kind, with kind and year (null where the title has none); the first of each address."""
-    t, kind, year = search_text("title"), F.lit(None).cast("string"), F.lit(None).cast("int")
+    t, kind, year = F.col("_t"), F.lit(None).cast("string"), F.lit(None).cast("int")
     for name, pattern in reversed(TITLES[source]):
         kind = F.when(t.rlike(pattern), F.lit(name)).otherwise(kind)
         year = F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 1).try_cast("int") if "(" in pattern else F.lit(None).cast("int")).otherwise(year)
-    rows = links.withColumns({"kind": kind, "year": year}).where("kind is not null")
+    folded = computed(links.withColumn("_t", search_text("title")), "_t")
+    rows = computed(folded.withColumns({"kind": kind, "year": year}), "kind", "year").drop("_t").where("kind is not null")
     return rows.where(F.col("href").rlike(r"(?i)\.csv(?:$|\?)")) if source == "trf2" else rows
 
 
 def sectioned_kinds(links: DataFrame) -> DataFrame:
     """Links (title, before) of a known kind, by the title and the section whose heading is the last above them."""
     plain = lambda c: F.trim(F.regexp_replace(search_text(c), r"[^a-z0-9]+", " "))
-    above, t = plain(strip_tags("before")), plain("title")
+    folded = computed(links.withColumns({"_above": plain(strip_tags("before")), "_t": plain("title")}), "_above", "_t")
+    above, t = F.col("_above"), F.col("_t")
     last = lambda words: F.length(above) - F.length(F.substring_index(above, words, -1))  # noqa: E731  0 where the words are not there
     (first, one), (second, two) = SECTIONS
     section = F.when(last(two) > last(one), F.lit(second)).when(last(one) > 0, F.lit(first))
@@ -65,7 +68,7 @@ def sectioned_kinds(links: DataFrame) -> DataFrame:
             test = test & F.contains(t, F.lit(word))
         test = test & (section.eqNullSafe(inside) if inside else F.lit(True)) & (~section.eqNullSafe(outside) if outside else F.lit(True))
         kind = F.when(test, F.lit(name)).otherwise(kind)
-    return links.withColumns({"section": section, "kind": kind}).where("kind is not null")
+    return computed(folded.withColumns({"section": section, "kind": kind}), "section", "kind").drop("_above", "_t").where("kind is not null")
 
 
 def monthly_reports(links: DataFrame) -> DataFrame:
@@ -82,7 +85,8 @@ def monthly_reports(links: DataFrame) -> DataFrame:
 
 def documents(links: DataFrame) -> DataFrame:
     """Links to documents of precatórios, with kind, format and the first year in title or address."""
-    haystack = code_key(F.concat_ws(" ", "title", "href"))
+    links = computed(links.withColumn("_words", code_key(F.concat_ws(" ", "title", "href"))), "_words")
+    haystack = F.col("_words")
     kind = F.lit(DOCUMENTS[-1][0])
     for name, words in reversed(DOCUMENTS[:-1]):
         test = F.lit(False)
@@ -90,7 +94,7 @@ def documents(links: DataFrame) -> DataFrame:
             test = test | F.contains(haystack, F.lit(word))
         kind = F.when(test, F.lit(name)).otherwise(kind)
     out = links.withColumns({"kind": kind, "format": detect_format(F.lit(None).cast("string"), F.lit(None).cast("string"), "href"), "year": F.regexp_extract(F.concat_ws(" ", "title", "href"), r"(20\d{2})", 1).try_cast("int")})
-    return out.where(F.col("format").isin("pdf", "csv", "xlsx", "xls") & (F.contains(haystack, F.lit("PRECATORIO")) | F.contains(haystack, F.lit("ORDEM_CRONOLOGICA"))))
+    return out.where(F.col("format").isin("pdf", "csv", "xlsx", "xls") & (F.contains(haystack, F.lit("PRECATORIO")) | F.contains(haystack, F.lit("ORDEM_CRONOLOGICA")))).drop("_words")
 
 
 def category_group(href: Column | str) -> Column:
