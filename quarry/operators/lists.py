@@ -49,12 +49,13 @@ def publications_of_assets(publications: DataFrame, processes: DataFrame, keys:
 
 
 def presence(tables: dict[str, DataFrame], keys: Sequence[str] = ("tenant_id", "asset_id")) -> DataFrame:
-    """A row for each key that any table has, with a flag for each table: one shuffle of distinct keys, however many tables there are."""
-    names, rows = list(tables), None
+    """A row for each key that any table has, with a flag for each table: rows are a key and a bit, summed before the one shuffle, however many tables there are."""
+    rows = None
     for at, df in enumerate(tables.values()):
-        own = df.select(*keys).distinct().withColumn("_at", F.lit(at))
+        own = df.select(*keys, F.lit(1 << at).cast("long").alias("_bit"))
         rows = own if rows is None else rows.unionAll(own)
-    return rows.groupBy(*keys).agg(*(F.bool_or(F.col("_at") == at).alias(name) for at, name in enumerate(names)))
+    told = rows.groupBy(*keys).agg(F.bit_or("_bit").alias("_bits"))
+    return told.select(*keys, *((F.col("_bits").bitwiseAND(F.lit(1 << at).cast("long")) != 0).alias(name) for at, name in enumerate(tables)))
 
 
 def court_priority(court: Column | str, critical: Sequence[str], partial: Sequence[str], targeted: Sequence[str]) -> Column:
@@ -63,24 +64,25 @@ def court_priority(court: Column | str, critical: Sequence[str], partial: Sequen
     return F.when(c.isin(*critical), CRITICAL).when(c.isin(*partial), PARTIAL).when(c.isin(*targeted), TARGETED).otherwise(OTHER)
 
 
-def reconcilable(rows: DataFrame, tables: dict[str, DataFrame], audits: DataFrame, now: str, cooldown: int = COOLDOWN, source: str | None = None) -> DataFrame:
+def reconcilable(rows: DataFrame, tables: dict[str, DataFrame], audits: DataFrame, now: str, cooldown: int = COOLDOWN, source: str | None = None, keys: Sequence[str] = ("tenant_id", "asset_id")) -> DataFrame:
     """Assets that lack a score, a process, a publication, a valuation, a budget fact or a source, or have a candidate that waits or a conflict; without those that a reconciliation took up within `cooldown` hours.
 
-    rows: tenant_id, asset_id, current_score_id, current_score, source, deleted_at. tables, each with tenant_id and
-    asset_id: processes, publications, valuations, budgets, links, candidates (with status), conflicts. audits:
-    tenant_id, asset_id, event, created_at.
+    rows: tenant_id, asset_id, current_score_id, current_score, source, deleted_at. tables, each with the keys:
+    processes, publications, valuations, budgets, links, candidates (with status), conflicts. audits: the keys,
+    event, created_at. keys: asset_id alone will do where ids are unique across tenants.
     """
     live = rows.where("deleted_at is null")
     live = live.where(F.col("source") == source) if source else live
-    waiting = tables | {"candidates": tables["candidates"].where(F.col("status").isin("candidate", "ambiguous"))}
-    flagged = live.join(presence(waiting), ["tenant_id", "asset_id"], "left")
-    has = {name: F.coalesce(F.col(name), F.lit(False)) for name in waiting}
-    lacks = F.col("current_score_id").isNull() | F.col("current_score").isNull() | has["candidates"] | has["conflicts"]
-    for name in ("processes", "publications", "valuations", "budgets", "links"):
-        lacks = lacks | ~has[name]
     since = F.lit(now).cast("timestamp") - F.expr(f"interval {int(cooldown)} hours")
-    recent = audits.where(F.col("event").isin(*PLANNED) & (F.col("created_at") >= since)).select("tenant_id", "asset_id").distinct()
-    return flagged.where(lacks).drop(*waiting).join(recent, ["tenant_id", "asset_id"], "left_anti")
+    recent = audits.where(F.col("event").isin(*PLANNED) & (F.col("created_at") >= since))
+    told = presence(tables | {"candidates": tables["candidates"].where(F.col("status").isin("candidate", "ambiguous")), "_recent": recent}, keys)
+    whole = ~F.col("candidates") & ~F.col("conflicts")
+    for name in ("processes", "publications", "valuations", "budgets", "links"):
+        whole = whole & F.col(name)
+    # Only keys that can keep an asset out meet the assets: those taken up lately, and those that lack nothing.
+    out = live.join(told.select(*keys, "_recent", whole.alias("_whole")).where("_recent or _whole"), list(keys), "left")
+    lacks = F.col("current_score_id").isNull() | F.col("current_score").isNull() | ~F.coalesce("_whole", F.lit(False))
+    return out.where(lacks & ~F.coalesce("_recent", F.lit(False))).drop("_recent", "_whole")
 
 
 def chosen(rows: DataFrame, priority: Column | None = None, limit: int = 25) -> DataFrame:
