@@ -20,7 +20,7 @@ def test_presence_deals_once(spark):
     assert got == {1: (True,) * 7, None: (True,) * 7} | {at + 2: tuple(i == at for i in range(7)) for at in range(7)}
 
 
-@pytest.mark.parametrize("query", [list_plans.reconcilable_assets], ids=lambda f: f.__name__)
+@pytest.mark.parametrize("query", [list_plans.reconcilable_assets, list_plans.reconcile_choice], ids=lambda f: f.__name__)
 def test_tables_meet_assets_once(spark, sf_dir, query):
     """One join with all tables, one with the processes of publications, and those of assets and publications with debtors and courts."""
     assert planned(query(spark, sf_dir))[0].count("Join ") == 6
