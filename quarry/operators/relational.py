@@ -47,6 +47,11 @@ def with_counts(df: DataFrame, other: DataFrame, keys: Sequence[str], **counts:
     return df.join(grouped, list(keys), "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in counts})
 
 
+def counts_by_kind(rows: DataFrame, keys: Sequence[str], kind: str, names: Sequence[str]) -> DataFrame:
+    """Number of rows of each kind by key, as columns of the kinds' names: rows of many tables, united, take one shuffle and one join."""
+    return rows.groupBy(*keys).agg(*(F.count_if(F.col(kind) == name).alias(name) for name in names))
+
+
 def key_union(*frames: DataFrame) -> DataFrame:
     """Distinct keys of all frames."""
     out = frames[0]

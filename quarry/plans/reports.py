@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import coverage, desk, evidence, legal, pricing, timeline
+from quarry.operators import coverage, desk, evidence, legal, pricing, relational, timeline
 from quarry.plans import bindings as b
 from quarry.plans.queries import _COHERENCE_SQL, _FLAGS_SQL, _PRICE_SQL, _QUALITY_SQL, _coherence, _flags, _priced, query
 
@@ -116,10 +116,11 @@ _TIMELINE = """, t AS (
 
 def _timeline(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("asset_id")
-    count = lambda df, name, where="true": df.where(where).groupBy("asset_id").agg(F.count("*").alias(name))
-    events = b.events(spark, d).groupBy("asset_id").agg(F.count_if(F.col("event_type") == "view").alias("processes"), F.count_if(F.col("event_type") == "click").alias("publications"))
+    of = lambda df, kind: df.select("asset_id", F.lit(kind).alias("kind"))
+    events = b.events(spark, d)
+    told = of(b.valuations(spark, d), "valuations").unionAll(of(events.where("event_type = 'view'"), "processes")).unionAll(of(events.where("event_type = 'click'"), "publications")).unionAll(of(b.links(spark, d).where("role = 'primary'"), "source_links"))
     rows = b.assets(spark, d).select("asset_id", F.when(k % 10 > 0, F.col("cnj_number")).alias("cnj_number"), F.when(k % 11 > 0, F.col("debtor_id")).alias("debtor_id"), "court_id")
-    rows = rows.join(count(b.valuations(spark, d), "valuations"), "asset_id", "left").join(events, "asset_id", "left").join(count(b.links(spark, d), "source_links", "role = 'primary'"), "asset_id", "left")
+    rows = rows.join(relational.counts_by_kind(told, ["asset_id"], "kind", ["valuations", "processes", "publications", "source_links"]), "asset_id", "left")
     return rows.fillna(0, ["valuations", "processes", "publications", "source_links"]).withColumns({
         "budget_facts": k % 2, "candidates": (k % 4 == 0).cast("int"), "pending_candidates": (k % 8 == 0).cast("int"), "scores": (k % 5 > 0).cast("int"), "score": F.when(k % 5 > 0, k % 101), "has_opportunity": k % 3 == 0, "has_source": F.lit(None).cast("boolean"),
     })
